@@ -114,6 +114,7 @@ def anchor_rows(
     bound_included: bool,
     closes: str | None = None,
     chunk_us: int | None = None,
+    costly_input: bool = False,
 ) -> DataFrame:
     """Append ``anchor_us``, ``anchor_order`` and ``is_anchor`` to every row.
 
@@ -121,6 +122,9 @@ def anchor_rows(
     start (at exactly ``span_us`` it still is when ``bound_included``); a row whose
     ``closes`` flag is set ends the span it falls into and is part of it. ``order`` (BIGINT)
     breaks ties between rows of the same key and time.
+
+    The rows are read twice. By default the summary pass shuffles only the columns it needs;
+    with ``costly_input`` both passes ask for the same shuffle, which Spark then reuses.
     """
     hold = span_us + 1 if bound_included else span_us
     chunk_us = chunk_us or 40 * span_us
@@ -222,9 +226,9 @@ def anchor_rows(
                 names=group + ["enters", "enters_order"],
             )
 
-    narrow = chunked.select(*group, micros, order, *([closes] if closes else []))
+    needed = chunked.columns if costly_input else [*group, micros, order, *([closes] if closes else [])]
     summaries = (
-        narrow.repartition(*group).sortWithinPartitions(*group, micros, order)
+        chunked.select(*needed).repartition(*group).sortWithinPartitions(*group, micros, order)
         .mapInArrow(summarise, T.StructType(key_fields + [
             chunk_field, T.StructField("first_at", T.LongType()),
             *[T.StructField(k, T.ArrayType(T.LongType())) for k in ("until", "leaves", "leaves_order")],

@@ -40,33 +40,36 @@ def match_domains(events: DataFrame, query: str, domains: DataFrame, out: str) -
 def match_addresses(events: DataFrame, address: str, addresses: DataFrame, out: str) -> DataFrame:
     """Add ``out``: the exact entry if listed, else the first network (file order) around it.
 
-    A network of prefix length n is an equality on (n, address >> (32 - n)).
+    A network of prefix length n is an equality on (n, address >> (32 - n)), so one equi-join
+    finds exact entries and networks alike.
     """
     looked_up = events.withColumn("_address", F.trim(text.text_or_empty(F.col(address))))
-    networks = addresses.filter("prefix is not null").select(
-        "label", "line_no", "prefix",
-        F.expr("shiftright(lo, 32 - prefix)").alias("bits"),
+    is_network = F.col("prefix").isNotNull()
+    entries = addresses.select(
+        "label", F.struct(is_network.alias("network"), "line_no").alias("rank"),
+        F.when(is_network, _network_key(F.col("lo"), F.col("prefix"))).otherwise(F.col("label")).alias("key"),
     )
-    prefixes = networks.agg(F.collect_set("prefix")).scalar()  # at most 33 values
-    distinct = looked_up.select("_address").distinct()
-    exact = distinct.join(
-        addresses.filter("prefix is null").select(F.col("label").alias("_address"), "line_no"),
-        "_address",
-    ).select("_address", F.col("_address").alias("label"), F.lit(0).alias("rank"), "line_no")
-    inside = (
-        distinct.withColumn("number", network.ipv4_number(F.col("_address")))
-        .filter("number is not null")
-        .select("_address", "number", F.explode(prefixes).alias("prefix"))
-        .withColumn("bits", F.expr("shiftright(number, 32 - prefix)"))
-        .join(networks, ["prefix", "bits"])
-        .select("_address", "label", F.lit(1).alias("rank"), "line_no")
-    )
-    hits = exact.unionByName(inside).groupBy("_address").agg(
-        F.min_by("label", F.struct("rank", "line_no")).alias(out)
+    prefixes = addresses.agg(F.collect_set("prefix")).scalar()  # at most 33 values
+    number = network.ipv4_number(F.col("_address"))
+    candidates = F.when(
+        number.isNull(), F.array("_address")
+    ).otherwise(F.concat(F.array("_address"), F.transform("_prefixes", lambda n: _network_key(number, n))))
+    hits = (
+        looked_up.select("_address").distinct()
+        .withColumn("_prefixes", prefixes)
+        .select("_address", F.explode(candidates).alias("key"))
+        .join(entries, "key")
+        .groupBy("_address")
+        .agg(F.min_by("label", "rank").alias(out))
     )
     return looked_up.join(hits, "_address", "left").drop("_address")
 
 
+def _network_key(number, prefix):
+    bits = F.call_function("shiftright", number, F.lit(32) - prefix)
+    return F.concat_ws("/", bits.cast("string"), prefix.cast("string"))
+
+
 def match_process_names(events: DataFrame, path: str, names: DataFrame, out: str) -> DataFrame:
     return (
         events.withColumn("_name", text.basename(F.col(path)))
