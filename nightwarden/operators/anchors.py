@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 NOTHING_OPEN = np.iinfo(np.int64).min
+NO_LEAD = -1
 ANY = np.iinfo(np.int64).max
 
 
@@ -66,11 +67,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iter
         yield pa.Table.from_batches(pending)
 
 
+SUMMARY_SCALARS = ["first_at", "last_at", "first_lead"]
+SUMMARY_LISTS = ["until", "leaves", "leaves_order", "leads"]
+
+
 class _Chunks:
     """Numpy view of a table of whole (key, chunk) groups sorted by time."""
 
     def __init__(self, table: pa.Table, keys: list[str], micros: str, order: str,
-                 closes: str | None, hold: int, chunk_us: int):
+                 closes: str | None, hold: int, chunk_us: int, lead: str | None, idle_us: int | None):
         n = table.num_rows
         numbers = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
         self.hold = hold
@@ -96,6 +101,13 @@ class _Chunks:
         self.closed = close < past
         self.following = np.where(self.closed, close + 1, past)
 
+        # A chain of spans begins anew after a closing row, or after an idle gap.
+        self.lead = numbers(lead).astype(np.int64) if lead else np.full(n, NO_LEAD)
+        self.idle = np.zeros(n + 1, dtype=bool)
+        if idle_us is not None and n:
+            self.idle[1:n] = (self.at[1:] - self.at[:-1] > idle_us) & (self.group[1:] == self.group[:-1])
+        self.renews = self.closed | self.idle[self.following]
+
     def entry(self, opens_until: np.ndarray) -> np.ndarray:
         """First start in each group when the span that enters it ends at the given time."""
         reach = np.clip(opens_until - self.origin, 0, self.stride - 1)
@@ -114,6 +126,8 @@ def anchor_rows(
     bound_included: bool,
     closes: str | None = None,
     chunk_us: int | None = None,
+    lead: str | None = None,
+    idle_us: int | None = None,
     costly_input: bool = False,
 ) -> DataFrame:
     """Append ``anchor_us``, ``anchor_order`` and ``is_anchor`` to every row.
@@ -123,6 +137,11 @@ def anchor_rows(
     ``closes`` flag is set ends the span it falls into and is part of it. ``order`` (BIGINT)
     breaks ties between rows of the same key and time.
 
+    ``lead`` names a non-negative BIGINT column; ``lead_value`` then holds its value at the row
+    that began the current chain of spans: the key's first row, the start after a closing
+    row, or (with ``idle_us``) the start after a longer silence. A span that starts because
+    the one before it ran out continues the chain.
+
     The rows are read twice. By default the summary pass shuffles only the columns it needs;
     with ``costly_input`` both passes ask for the same shuffle, which Spark then reuses.
     """
@@ -138,13 +157,16 @@ def anchor_rows(
 
     def summarise(batches):
         for table in _whole_groups(batches, group):
-            c = _Chunks(table, keys, micros, order, closes, hold, chunk_us)
+            c = _Chunks(table, keys, micros, order, closes, hold, chunk_us, lead, idle_us)
             n, index = table.num_rows, np.arange(table.num_rows)
-            last = np.where(c.following < c.row_end, c.following, index)
+            goes_on = c.following < c.row_end
+            last = np.where(goes_on, c.following, index)
+            leads = np.where(goes_on & c.renews, c.lead[last], NO_LEAD)
             while True:  # pointer jumping: last start of the chunk reached from row i
                 further = last[last]
                 if np.array_equal(further, last):
                     break
+                leads = np.where(leads[last] != NO_LEAD, leads[last], leads)
                 last = further
             leaves = np.where(c.closed[last], NOTHING_OPEN, c.at[last] + hold)
             leaves_order = c.order[last]
@@ -154,12 +176,16 @@ def anchor_rows(
             reach = np.searchsorted(c.position, np.arange(len(c.first)) * c.stride + hold - 1)
             stop = np.minimum(np.minimum(reach, resumes), c.end - 1)
             step = index <= stop[c.group]
-            until = np.where(index == resumes[c.group], ANY, c.at)
+            after_close = index == resumes[c.group]
+            until = np.where(after_close, ANY, c.at)
+            begins = (after_close | c.idle[:n]) & (leads == NO_LEAD)
+            leads = np.where(begins, c.lead, leads)
             same_as_next = np.zeros(n, dtype=bool)
             same_as_next[:-1] = (
                 step[:-1] & step[1:] & (c.group[:-1] == c.group[1:])
                 & (leaves[:-1] == leaves[1:])
                 & ((leaves[:-1] == NOTHING_OPEN) | (leaves_order[:-1] == leaves_order[1:]))
+                & (leads[:-1] == leads[1:])
             )
             keep = np.flatnonzero(step & ~same_as_next)
             # The chunk's last row is its first closing row: a long span ends there.
@@ -169,6 +195,7 @@ def anchor_rows(
                 np.concatenate([until[keep], np.full(len(tail), ANY)]),
                 np.concatenate([leaves[keep], np.full(len(tail), NOTHING_OPEN)]),
                 np.concatenate([leaves_order[keep], np.zeros(len(tail), dtype=np.int64)]),
+                np.concatenate([leads[keep], np.full(len(tail), NO_LEAD)]),
             ]
             arrange = np.argsort(groups, kind="stable")
             offsets = np.searchsorted(groups[arrange], np.arange(len(c.first) + 1)).astype(np.int32)
@@ -176,12 +203,12 @@ def anchor_rows(
             heads = table.select(group).take(pa.array(c.first)).combine_chunks()
             columns = [heads.column(k).combine_chunks() for k in group]
             yield pa.RecordBatch.from_arrays(
-                columns + [pa.array(c.at[c.first])] + lists,
-                names=group + ["first_at", "until", "leaves", "leaves_order"],
+                columns + [pa.array(x) for x in (c.at[c.first], c.at[c.end - 1], c.lead[c.first])] + lists,
+                names=group + SUMMARY_SCALARS + SUMMARY_LISTS,
             )
 
     def walk(batches):
-        before = None  # last summary row of the batch before, with its resolved exit
+        before = None  # the summary row before this one, with its resolved exit
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -190,89 +217,110 @@ def anchor_rows(
             if before is not None:
                 seam = pa.Table.from_batches([before["keys"], batch.select(keys).slice(0, 1)])
                 new_key[0] = _changes(seam, keys)[1]
-            chunk = batch.column("_chunk").to_numpy()
-            first_at = batch.column("first_at").to_numpy()
-            lists = [batch.column(k) for k in ("until", "leaves", "leaves_order")]
+            chunk, first_at, last_at, first_lead = (
+                batch.column(k).to_numpy() for k in ["_chunk"] + SUMMARY_SCALARS)
+            lists = [batch.column(k) for k in SUMMARY_LISTS]
             offsets = lists[0].offsets.to_numpy()
-            until, leaves, leaves_order = [x.values.to_numpy() for x in lists]
-            exits = leaves[offsets[:-1]].copy()
-            exits_order = leaves_order[offsets[:-1]].copy()
+            until, leaves, leaves_order, leads = [x.values.to_numpy() for x in lists]
+            # What a chunk leaves behind when nothing enters it.
+            exits, exits_order = leaves[offsets[:-1]].copy(), leaves_order[offsets[:-1]].copy()
+            exits_lead = leads[offsets[:-1]]
+            exits_lead = np.where(exits_lead == NO_LEAD, first_lead, exits_lead)
             enters = np.full(n, NOTHING_OPEN)
-            enters_order = np.zeros(n, dtype=np.int64)
-            # A chunk answers for itself unless the chunk right before it can reach into it.
-            adjacent = np.zeros(n, dtype=bool)
-            adjacent[1:] = ~new_key[1:] & (chunk[1:] == chunk[:-1] + 1)
-            if before is not None:
-                adjacent[0] = not new_key[0] and chunk[0] == before["chunk"] + 1
-            for i in np.flatnonzero(adjacent):
-                came = (exits[i - 1], exits_order[i - 1]) if i else before["exit"]
-                if came[0] <= first_at[i]:
-                    continue
-                enters[i], enters_order[i] = came
+            enters_order, enters_lead = np.zeros(n, dtype=np.int64), np.full(n, NO_LEAD)
+            for i in np.flatnonzero(~new_key):
+                if i:
+                    span_end, span_order, chain, previous, seen = (
+                        exits[i - 1], exits_order[i - 1], exits_lead[i - 1], chunk[i - 1], last_at[i - 1])
+                else:
+                    span_end, span_order, chain, previous, seen = before["exit"]
+                if span_end == NOTHING_OPEN or (idle_us is not None and first_at[i] - seen > idle_us):
+                    continue  # closed or silent: this chunk begins a new chain
+                enters_lead[i] = chain
                 steps = slice(offsets[i], offsets[i + 1])
-                at = np.searchsorted(until[steps], came[0])
+                at = 0
+                if previous + 1 == chunk[i] and span_end > first_at[i]:
+                    enters[i], enters_order[i] = span_end, span_order
+                    at = np.searchsorted(until[steps], span_end)
                 if at == steps.stop - steps.start:  # longer than the chunk has rows
-                    exits[i], exits_order[i] = came
+                    exits[i], exits_order[i], exits_lead[i] = span_end, span_order, chain
                 else:
                     exits[i], exits_order[i] = leaves[steps][at], leaves_order[steps][at]
+                    exits_lead[i] = leads[steps][at] if leads[steps][at] != NO_LEAD else chain
             before = {
-                "keys": batch.select(keys).slice(n - 1), "chunk": chunk[-1],
-                "exit": (exits[-1], exits_order[-1]),
+                "keys": batch.select(keys).slice(n - 1),
+                "exit": (exits[-1], exits_order[-1], exits_lead[-1], chunk[-1], last_at[-1]),
             }
-            open_ = np.flatnonzero(enters != NOTHING_OPEN)
-            kept = batch.select(group).take(pa.array(open_))
+            told = np.flatnonzero((enters != NOTHING_OPEN) | (enters_lead != NO_LEAD))
+            kept = batch.select(group).take(pa.array(told))
             yield pa.RecordBatch.from_arrays(
-                list(kept.columns) + [pa.array(enters[open_]), pa.array(enters_order[open_])],
-                names=group + ["enters", "enters_order"],
+                list(kept.columns) + [pa.array(x[told]) for x in (enters, enters_order, enters_lead)],
+                names=group + ["enters", "enters_order", "enters_lead"],
             )
 
-    needed = chunked.columns if costly_input else [*group, micros, order, *([closes] if closes else [])]
+    needed = chunked.columns if costly_input else list(
+        dict.fromkeys([*group, micros, order, *[c for c in (closes, lead) if c]]))
     summaries = (
         chunked.select(*needed).repartition(*group).sortWithinPartitions(*group, micros, order)
         .mapInArrow(summarise, T.StructType(key_fields + [
-            chunk_field, T.StructField("first_at", T.LongType()),
-            *[T.StructField(k, T.ArrayType(T.LongType())) for k in ("until", "leaves", "leaves_order")],
+            chunk_field, *[T.StructField(k, T.LongType()) for k in SUMMARY_SCALARS],
+            *[T.StructField(k, T.ArrayType(T.LongType())) for k in SUMMARY_LISTS],
         ]))
     )
     entering = (
         summaries.repartition(*keys).sortWithinPartitions(*group)
         .mapInArrow(walk, T.StructType(key_fields + [
-            chunk_field, T.StructField("enters", T.LongType()), T.StructField("enters_order", T.LongType()),
+            chunk_field,
+            *[T.StructField(k, T.LongType()) for k in ("enters", "enters_order", "enters_lead")],
         ]))
     )
 
     def mark(batches):
         for table in _whole_groups(batches, group):
-            c = _Chunks(table, keys, micros, order, closes, hold, chunk_us)
-            index = np.arange(table.num_rows)
-            enters = pc.fill_null(table.column("enters"), NOTHING_OPEN).combine_chunks().to_numpy()[c.first]
-            enters_order = pc.fill_null(table.column("enters_order"), 0).combine_chunks().to_numpy()
-            is_anchor = np.zeros(table.num_rows, dtype=bool)
+            c = _Chunks(table, keys, micros, order, closes, hold, chunk_us, lead, idle_us)
+            n, index = table.num_rows, np.arange(table.num_rows)
+            enters, enters_order, enters_lead = (
+                pc.fill_null(table.column(name), unset).combine_chunks().to_numpy()[c.first]
+                for name, unset in (("enters", NOTHING_OPEN), ("enters_order", 0), ("enters_lead", NO_LEAD)))
+            is_anchor = np.zeros(n, dtype=bool)
             at = c.entry(enters)
             at = at[at < c.end]
             while len(at):  # one start of every group per step
                 is_anchor[at] = True
                 at = c.following[at][c.following[at] < c.row_end[at]]
-            anchor = np.maximum.accumulate(np.where(is_anchor, index, -1))
-            own = anchor >= c.first[c.group]
-            anchor = np.where(own, anchor, 0)
-            anchor_us = np.where(own, c.at[anchor], enters[c.group] - hold)
-            anchor_order = np.where(own, c.order[anchor], enters_order)
-            out = table.drop_columns(["_chunk", "enters", "enters_order"])
-            for name, values in (("anchor_us", anchor_us), ("anchor_order", anchor_order),
-                                 ("is_anchor", is_anchor)):
+
+            def latest(flag):
+                found = np.maximum.accumulate(np.where(flag, index, -1))
+                own = found >= c.first[c.group]
+                return own, np.where(own, found, 0)
+
+            own, anchor = latest(is_anchor)
+            added = {
+                "anchor_us": np.where(own, c.at[anchor], enters[c.group] - hold),
+                "anchor_order": np.where(own, c.order[anchor], enters_order[c.group]),
+                "is_anchor": is_anchor,
+            }
+            if lead:
+                closing = table.column(closes).combine_chunks().to_numpy(zero_copy_only=False) if closes else is_anchor
+                renewed = c.idle[:n].copy()
+                renewed[1:] |= (closing & ~is_anchor)[:-1]
+                renewed[c.first] = enters_lead == NO_LEAD
+                own, begin = latest(is_anchor & renewed)
+                added["lead_value"] = np.where(own, c.lead[begin], enters_lead[c.group])
+            out = table.drop_columns(["_chunk", "enters", "enters_order", "enters_lead"])
+            for name, values in added.items():
                 out = out.append_column(name, pa.array(values))
             yield from out.combine_chunks().to_batches()
 
-    # The entering spans are one narrow row per chunk at most; the rows keep their layout.
-    marked = (
+    added_fields = [T.StructField("anchor_us", T.LongType()), T.StructField("anchor_order", T.LongType()),
+                    T.StructField("is_anchor", T.BooleanType())]
+    if lead:
+        added_fields.append(T.StructField("lead_value", T.LongType()))
+    # What enters a chunk is one narrow row at most; the rows keep their layout.
+    return (
         chunked.repartition(*group)
         .join(entering, group, "left")
-        .select(*rows.columns, "_chunk", "enters", "enters_order")
+        .select(*rows.columns, "_chunk", "enters", "enters_order", "enters_lead")
         .sortWithinPartitions(*group, micros, order)
-        .mapInArrow(mark, T.StructType(list(rows.schema.fields) + [
-            T.StructField("anchor_us", T.LongType()), T.StructField("anchor_order", T.LongType()),
-            T.StructField("is_anchor", T.BooleanType()),
-        ]))
+        .mapInArrow(mark, T.StructType(list(rows.schema.fields) + added_fields))
     )
-    return marked

@@ -7,18 +7,21 @@ import pytest
 from nightwarden.operators.anchors import anchor_rows
 
 
-def fold(rows, span, bound_included, use_close):
-    out, state = {}, {}
+def fold(rows, span, bound_included, use_close, idle):
+    out, state, chain, seen = {}, {}, {}, {}
     for key, at, order, close in sorted(rows):
         start = state.get(key)
+        if start is None or (idle is not None and at - seen[key] > idle):
+            chain[key] = order
+        seen[key] = at
         is_open = start is not None and (
             at - start[0] <= span if bound_included else at - start[0] < span
         )
         if not is_open:
             state[key] = start = (at, order)
-            out[key, order] = (*start, True)
+            out[key, order] = (*start, True, chain[key])
         else:
-            out[key, order] = (*start, False)
+            out[key, order] = (*start, False, chain[key])
             if use_close and close:
                 state[key] = None
     return out
@@ -26,8 +29,8 @@ def fold(rows, span, bound_included, use_close):
 
 @pytest.mark.parametrize("bound_included", [True, False])
 @pytest.mark.parametrize("use_close", [True, False])
-@pytest.mark.parametrize("density", [3, 40])
-def test_matches_fold(spark, bound_included, use_close, density):
+@pytest.mark.parametrize("density,idle", [(3, None), (40, 20)])
+def test_matches_fold(spark, bound_included, use_close, density, idle):
     rng = random.Random(density * 4 + bound_included * 2 + use_close)
     rows, order = [], 0
     for key in range(12):
@@ -38,8 +41,8 @@ def test_matches_fold(spark, bound_included, use_close, density):
             order += 1
     df = spark.createDataFrame(rows, "key string, at long, ord long, fin boolean").repartition(5)
     got = {
-        (r.key, r.ord): (r.anchor_us, r.anchor_order, r.is_anchor)
+        (r.key, r.ord): (r.anchor_us, r.anchor_order, r.is_anchor, r.lead_value)
         for r in anchor_rows(df, ["key"], "at", "ord", 20, bound_included=bound_included,
-                             closes="fin" if use_close else None, chunk_us=25).collect()
+                             closes="fin" if use_close else None, chunk_us=25, lead="ord", idle_us=idle).collect()
     }
-    assert got == fold(rows, 20, bound_included, use_close)
+    assert got == fold(rows, 20, bound_included, use_close, idle)
