@@ -1,33 +1,28 @@
-"""Schemas of the tables the plans exchange."""
+"""Schemas (DDL) of the tables the plans exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 from nightwarden import fixed_values as fv
 
-HOST_EVENTS = T.StructType.fromDDL(
+HOST_EVENTS = (
     "log_id BIGINT, provider STRING, event_id INT, event_code STRING, level STRING, channel STRING, "
     "computer STRING, event_time TIMESTAMP, data MAP<STRING,STRING>, raw_xml STRING"
 )
-PACKETS = T.StructType.fromDDL(
+PACKETS = (
     "client_id STRING, seq BIGINT, src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol INT, "
     "ts_us BIGINT, payload_bytes INT, header_bytes INT, tcp_window INT, flag_fin BOOLEAN, "
     "flag_syn BOOLEAN, flag_rst BOOLEAN, flag_psh BOOLEAN, flag_ack BOOLEAN, flag_urg BOOLEAN, "
     "flag_cwe BOOLEAN, flag_ece BOOLEAN"
 )
-MODEL_FLOWS = T.StructType(
-    [T.StructField(name, T.DoubleType()) for name in fv.MODEL_FEATURES]
-    + [T.StructField("FlowStartTime", T.DoubleType())]
-)
-ALERTS = T.StructType.fromDDL(
+MODEL_FLOWS = ", ".join(f"{name} DOUBLE" for name in (*fv.MODEL_FEATURES, "FlowStartTime"))
+ALERTS = (
     "alert_id STRING, received_at DOUBLE, client_id STRING, client_ip STRING, timestamp STRING, "
     "track INT, attack_type STRING, severity INT, confidence DOUBLE, window_start STRING, "
     "window_end STRING, event_count INT, evidence STRING, rule_id STRING, mitre_id STRING, "
     "mitre_tactic STRING, suggestion STRING, risk_note STRING, raw_log STRING, "
     "predictions ARRAY<STRUCT<label: STRING, confidence: DOUBLE>>"
 )
-HEARTBEATS = T.StructType.fromDDL(
+HEARTBEATS = (
     "client_id STRING, client_ip STRING, agent_version STRING, host_model_hash STRING, "
     "net_model_hash STRING, last_seen DOUBLE, uptime_seconds INT, host_track_ok BOOLEAN, "
     "net_track_ok BOOLEAN, host_alerts_total INT, net_alerts_total INT, ioc_matches_total INT, "
@@ -38,13 +33,13 @@ WEIGHTS = (
     f"coefs ARRAY<{LAYER}>, intercepts ARRAY<{LAYER}>, scaler_mean ARRAY<DOUBLE>, "
     "scaler_scale ARRAY<DOUBLE>"
 )
-FL_UPDATES = T.StructType.fromDDL(
+FL_UPDATES = (
     "received_at DOUBLE, client_id STRING, track INT, sample_count INT, base_round INT, "
     f"local_loss DOUBLE, {WEIGHTS}"
 )
-MODELS = T.StructType.fromDDL(
+MODELS = (
     f"track INT, round INT, version STRING, client_count INT, updated_at DOUBLE, {WEIGHTS}"
 )
-LABEL_WINDOWS = T.StructType.fromDDL(
+LABEL_WINDOWS = (
     "client_id STRING, window_start DOUBLE, window_end DOUBLE, label STRING"
 )
