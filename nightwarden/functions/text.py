@@ -40,6 +40,11 @@ def matches(text: Column, regex: str) -> Column:
     return text_or_empty(text).rlike(pattern(regex))
 
 
+def stripped(column: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.trim(column, F.lit(" \t\n\r\f\v"))
+
+
 def snippet(text: Column, limit: int = fv.SNIPPET_CHARS) -> Column:
     return F.when(
         F.char_length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("…"))
@@ -53,8 +58,8 @@ def basename(path: Column) -> Column:
 
 def source_label(ip: Column, workstation: Column) -> Column:
     """Logon source: network address, else workstation, else a local marker."""
-    address = F.trim(text_or_empty(ip))
-    station = F.trim(text_or_empty(workstation))
+    address = stripped(text_or_empty(ip))
+    station = stripped(text_or_empty(workstation))
     return (
         F.when(source_is_network(ip), address)
         .when((station != "") & (station != "-"), station)
@@ -63,7 +68,7 @@ def source_label(ip: Column, workstation: Column) -> Column:
 
 
 def source_is_network(ip: Column) -> Column:
-    return ~F.lower(F.trim(text_or_empty(ip))).isin(*fv.NON_ROUTABLE_SOURCES)
+    return ~F.lower(stripped(text_or_empty(ip))).isin(*fv.NON_ROUTABLE_SOURCES)
 
 
 def in_privileged_group(name: Column) -> Column:

@@ -43,7 +43,7 @@ def match_addresses(events: DataFrame, address: str, addresses: DataFrame, out:
     A network of prefix length n is an equality on (n, address >> (32 - n)), so one equi-join
     finds exact entries and networks alike.
     """
-    looked_up = events.withColumn("_address", F.trim(text.text_or_empty(F.col(address))))
+    looked_up = events.withColumn("_address", text.stripped(text.text_or_empty(F.col(address))))
     is_network = F.col("prefix").isNotNull()
     entries = addresses.select(
         "label", F.struct(is_network.alias("network"), "line_no").alias("rank"),

@@ -163,7 +163,7 @@ def counters(found: DataFrame) -> DataFrame:
 
 def missing_command_lines(events: DataFrame) -> DataFrame:
     """Process creations without a command line, per machine."""
-    blank = F.trim(text.text_or_empty(text.field("CommandLine"))) == ""
+    blank = text.stripped(text.text_or_empty(text.field("CommandLine"))) == ""
     return events.filter("event_id = 4688").groupBy("computer").agg(
         F.count_if(blank).alias("cmdline_missing"), F.count("*").alias("process_creations"))
 

@@ -118,23 +118,23 @@ def event_rules() -> list[EventRule]:
     return [
         EventRule(
             "kerberoasting_rc4", (4769,),
-            F.trim(value_of("TicketEncryptionType")).isin("0x17", "23")
+            text.stripped(value_of("TicketEncryptionType")).isin("0x17", "23")
             & ~F.endswith(value_of("ServiceName"), F.lit("$")),
             fill("Move service account {svc} to AES-only Kerberos and inspect client {client}.",
                  svc=field("ServiceName"), client=field("ClientAddress")),
             F.lit("A ticket sealed with RC4 can be cracked away from the domain."),
             {**event_id, **values(ServiceName="ServiceName", TargetUserName="TargetUserName",
                                   ClientAddress="ClientAddress"),
-             "TicketEncryptionType": F.trim(value_of("TicketEncryptionType"))},
+             "TicketEncryptionType": text.stripped(value_of("TicketEncryptionType"))},
         ),
         EventRule(
             "asrep_roasting", (4768,),
-            F.trim(F.coalesce(field("PreAuthType"), F.lit("1"))) == "0",
+            text.stripped(F.coalesce(field("PreAuthType"), F.lit("1"))) == "0",
             fill("Turn pre-authentication back on for {user} and inspect {ip}.",
                  user=field("TargetUserName"), ip=field("IpAddress")),
             F.lit("The reply hands out material that can be cracked without any logon."),
             {**event_id, **values(TargetUserName="TargetUserName", IpAddress="IpAddress"),
-             "PreAuthType": F.trim(value_of("PreAuthType"))},
+             "PreAuthType": text.stripped(value_of("PreAuthType"))},
         ),
         script_rule(
             "ps_download_cradle", fv.DOWNLOAD_CRADLE,
@@ -294,8 +294,8 @@ def threshold_rules(
         (direction == "") | F.contains(direction, F.lit(fv.INBOUND_CODE))
         | F.contains(F.lower(direction), F.lit(fv.INBOUND_WORD))
     )
-    scanner = F.trim(text.first_non_empty(field("SourceAddress"), field("sourceaddress")))
-    port = F.trim(text.first_non_empty(field("DestPort"), field("destport")))
+    scanner = text.stripped(text.first_non_empty(field("SourceAddress"), field("sourceaddress")))
+    port = text.stripped(text.first_non_empty(field("DestPort"), field("destport")))
     return [
         ThresholdRule(
             "brute_force_logon", (4625,), F.lit(True), logon, logon_source, user, account=user,
