@@ -448,9 +448,10 @@ def ioc_address_join(spark, sf_dir):
     return matching.match_addresses(asked, "asked", indicators.addresses(lines), "matched").select("c_custkey", "matched")
 
 
-NAME_LINE = views.pick("p_partkey", "upper(p_brand) || '.exe # ' || p_type", "'  ' || p_brand || '.EXE'", "'#' || p_name", "p_brand || '-x.exe'")
-PATH = f"'C:' || {views.B} || p_type || {views.B} || p_brand || CASE WHEN p_size % 2 = 0 THEN '.exe' ELSE '-x.EXE' END"
-CHAIN_LINE = views.pick("p_partkey", "p_brand || ' -> ' || 'cmd.exe # why'", "p_brand || '->' || 'cmd.exe odd parent'", "'no arrow'", "p_type || ' -> sh'")
+BR = "replace(p_brand, '#', CAST(p_size AS STRING))"
+NAME_LINE = views.pick("p_partkey", f"upper({BR}) || '.exe # ' || p_type", f"'  ' || {BR} || '.EXE'", "'#' || p_name", f"{BR} || '-x.exe'", "''")
+PATH = f"'C:' || {views.B} || p_type || {views.B} || {BR} || CASE WHEN p_size % 2 = 0 THEN '.exe' ELSE '-x.EXE' END"
+CHAIN_LINE = views.pick("p_partkey", f"{BR} || ' -> ' || 'cmd.exe # why'", f"{BR} || '->' || 'cmd.exe odd parent'", "'no arrow'", "p_type || ' -> sh'")
 
 
 @query("ioc_process_list", f"""SELECT DISTINCT lower(trim(split_part({NAME_LINE}, '#', 1))) AS name FROM part WHERE trim(split_part({NAME_LINE}, '#', 1)) <> ''""")
@@ -458,11 +459,11 @@ def ioc_process_list(spark, sf_dir):
     return indicators.process_names(views.read(spark, sf_dir, "part").selectExpr("p_partkey AS line_no", f"{NAME_LINE} AS value"))
 
 
-@query("ioc_process_join", f"""WITH nam AS (SELECT DISTINCT lower(trim(split_part({NAME_LINE}, '#', 1))) AS name FROM part WHERE p_partkey % 3 > 0 AND trim(split_part({NAME_LINE}, '#', 1)) <> '')
+@query("ioc_process_join", f"""WITH nam AS (SELECT DISTINCT lower(trim(split_part({NAME_LINE}, '#', 1))) AS name FROM part WHERE trim(split_part({NAME_LINE}, '#', 1)) <> '')
 SELECT p_partkey, name AS matched FROM (SELECT *, {BASENAME(PATH)} AS b FROM part) LEFT JOIN nam ON b = name""")
 def ioc_process_join(spark, sf_dir):
     part = views.read(spark, sf_dir, "part")
-    names = indicators.process_names(part.filter("p_partkey % 3 > 0").selectExpr("p_partkey AS line_no", f"{NAME_LINE} AS value"))
+    names = indicators.process_names(part.selectExpr("p_partkey AS line_no", f"{NAME_LINE} AS value"))
     asked = part.selectExpr("p_partkey", f"{PATH} AS path")
     return matching.match_process_names(asked, "path", names, "matched").select("p_partkey", "matched")
 
@@ -479,11 +480,11 @@ def ioc_chain_list(spark, sf_dir):
 
 
 @query("ioc_chain_join", f"""WITH {CHAINS} SELECT p_partkey, reason FROM part
-LEFT JOIN chn ON lower(p_brand) = parent AND child = CASE WHEN p_size % 2 = 0 THEN 'cmd.exe' ELSE 'sh' END""")
+LEFT JOIN chn ON lower({BR}) = parent AND child = CASE WHEN p_size % 2 = 0 THEN 'cmd.exe' ELSE 'sh' END""")
 def ioc_chain_join(spark, sf_dir):
     part = views.read(spark, sf_dir, "part")
     chains = indicators.process_chains(part.selectExpr("p_partkey AS line_no", f"{CHAIN_LINE} AS value"))
-    asked = part.selectExpr("p_partkey", "'D:/x/' || p_brand AS parent_path", "CASE WHEN p_size % 2 = 0 THEN 'CMD.exe' ELSE 'sh' END AS child_path")
+    asked = part.selectExpr("p_partkey", f"'D:/x/' || {BR} AS parent_path", "CASE WHEN p_size % 2 = 0 THEN 'CMD.exe' ELSE 'sh' END AS child_path")
     return matching.match_process_chains(asked, "parent_path", "child_path", chains, "reason").select("p_partkey", "reason")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import host
+from checks import host, network, network_flows
 
-MODULES = (host,)
+MODULES = (host, network_flows, network)
 
 
 def queries() -> dict:

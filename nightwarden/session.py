@@ -35,6 +35,7 @@ def local_session(cpus: int | str = "*", **extra: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("nightwarden")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
         .config("spark.driver.memory", "12g")
     )

@@ -47,10 +47,11 @@ def _user_data(xml: Column) -> Column:
 
 def parse_events(raw: DataFrame, xml: str = "raw_xml", log_id: str = "log_id") -> DataFrame:
     """Host events from raw XML; text that is no event XML is dropped."""
-    parsed = raw.select(
-        F.col(log_id).alias("log_id"), F.col(xml).alias("raw_xml"),
-        F.from_xml(F.col(xml), XML_SCHEMA, {"mode": "PERMISSIVE"}).alias("x"),
-    ).filter("x.System is not null")
+    parse = F.from_xml(F.col("raw_xml"), XML_SCHEMA, {"mode": "PERMISSIVE"})
+    # Exploding the kept record parses once; a plain filter on it would parse twice.
+    kept = F.filter(F.array(parse), lambda x: x["System"].isNotNull())
+    parsed = raw.select(F.col(log_id).alias("log_id"), F.col(xml).alias("raw_xml")).select(
+        "log_id", "raw_xml", F.explode(kept).alias("x"))
     system = lambda path: F.trim(F.coalesce(F.col(f"x.System.{path}"), F.lit("")))
     return parsed.select(
         "log_id",
