@@ -28,10 +28,10 @@ SCALE = [30000 if n == "DestinationPort" else 2e6 if n == "FlowDurationMs" else
          else 3 if "Flag" in n else 500 for n in fv.MODEL_FEATURES]
 MEAN = [s / 4 for s in SCALE]
 HIDDEN = 8
-W1 = [[((i * 7 + j * 3) % 11 - 5) / 4 for j in range(HIDDEN)] for i in range(len(SCALE))]
+W1 = [[((i * 7 + j * 3) % 11 - 5) / 20 for j in range(HIDDEN)] for i in range(len(SCALE))]
 B1 = [(j % 3 - 1) / 10 for j in range(HIDDEN)]
 W2 = [((j * 5) % 7 - 3) / 3 for j in range(HIDDEN)]
-B2 = 0.4
+B2 = 2.5
 
 
 def model() -> net.Model:

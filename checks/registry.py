@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import host, network, network_flows
+from checks import alerts, host, learn, network, network_flows
 
-MODULES = (host, network_flows, network)
+MODULES = (host, network_flows, network, alerts, learn)
 
 
 def queries() -> dict:

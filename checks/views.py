@@ -210,7 +210,7 @@ HEARTBEATS = {
     "beat": "o_orderkey",
     "client_ip": f"'10.3.0.' || {text('o_orderkey % 9')}",
     "last_seen": f"CAST({BASE} + (o_orderkey * 7) % 5000 AS DOUBLE)",
-    "uptime_seconds": "CAST(o_totalprice AS INT)",
+    "uptime_seconds": "CAST(floor(o_totalprice) AS INT)",
     "host_track_ok": "o_orderstatus <> 'F'",
     "net_track_ok": "o_orderstatus = 'O'",
     "rule_hits_total": "CAST(o_orderkey % 1000 AS INT)",

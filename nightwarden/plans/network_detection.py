@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from nightwarden import fixed_values as fv
 from nightwarden.functions import clock
@@ -55,10 +55,14 @@ def without_skip_ports(rows: DataFrame) -> DataFrame:
     return rows.filter(~port.isin(*[float(p) for p in fv.SKIP_PORTS]))
 
 
-def with_signal(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATURES, at: str = "") -> DataFrame:
+def _says_something(value, features: tuple[str, ...]) -> Column:
+    signal = [value(f) for f in features if f not in ("DestinationPort", "Protocol")]
+    return F.exists(F.array(*signal), lambda x: x != 0)
+
+
+def with_signal(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATURES) -> DataFrame:
     """Drop rows in which nothing but the port (or protocol) says anything."""
-    signal = [F.col(f"{at}{f}") for f in features if f not in ("DestinationPort", "Protocol")]
-    return rows.filter(F.exists(F.array(*signal), lambda x: x != 0))
+    return rows.filter(_says_something(F.col, features))
 
 
 def batch_of(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS) -> DataFrame:
@@ -74,7 +78,10 @@ def scoring_rows(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS,
     absent = [f for f in features if f not in rows.columns]
     complete = rows.withColumns({f: F.lit(None).cast("double") for f in absent}) if absent else rows
     prepared = F.struct(*[finite_or_zero(F.col(f)).alias(f) for f in features])
-    return batch_of(with_signal(without_skip_ports(complete).withColumn("x", prepared), features, "x."), seconds)
+    # Exploding the kept struct instead of filtering on 37 derived columns: the optimizer
+    # infers constraints from filters, and their number doubles with every such column.
+    kept = F.filter(F.array(prepared), lambda x: _says_something(lambda f: x[f], features))
+    return batch_of(without_skip_ports(complete).select("*", F.explode(kept).alias("x")), seconds)
 
 
 # --- model ------------------------------------------------------------------------
@@ -158,18 +165,22 @@ def attack_type() -> Column:
     )
 
 
+def metadata(spark: SparkSession) -> DataFrame:
+    """Attack type to rule id, technique, tactic and advice; a fixed handful of rows."""
+    entries = [
+        F.struct(*[F.lit(x).alias(n) for n, x in zip(
+            ("attack", "rule_id", "mitre_id", "mitre_tactic", "suggestion", "risk_note"),
+            (name, *fixed, *ADVICE[name]))])
+        for name, fixed in fv.NETWORK_ATTACKS.items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))
+
+
 def with_metadata(rows: DataFrame, attack: str = "attack_type") -> DataFrame:
     """Add rule id, technique, tactic and advice; unknown types get the generic entry."""
-    entries = []
-    for name, (rule_id, mitre_id, tactic) in fv.NETWORK_ATTACKS.items():
-        suggestion, risk = ADVICE[name]
-        entries += [F.lit(name), F.struct(
-            F.lit(rule_id).alias("rule_id"), F.lit(mitre_id).alias("mitre_id"),
-            F.lit(tactic).alias("mitre_tactic"), F.lit(suggestion).alias("suggestion"),
-            F.lit(risk).alias("risk_note"))]
-    known = F.create_map(*entries)
-    found = F.coalesce(known[F.col(attack)], known[F.lit(fv.GENERIC_ATTACK)])
-    return rows.withColumn("_meta", found).select("*", "_meta.*").drop("_meta")
+    entries = metadata(rows.sparkSession)
+    known = F.when(F.col(attack).isin(*fv.NETWORK_ATTACKS), F.col(attack)).otherwise(fv.GENERIC_ATTACK)
+    return rows.withColumn("attack", known).join(F.broadcast(entries), "attack").drop("attack")
 
 
 def evidence() -> Column:
