@@ -190,13 +190,13 @@ ALERTS = {
     # Every twentieth alert is sent a second time under the id of the one before it.
     "alert_id": f"'a' || {text('CASE WHEN event_id % 20 = 0 AND event_id > 0 THEN event_id - 1 ELSE event_id END')}",
     "arrival": "event_id",
-    "received_at": f"{CLOCK_MS} / 1000.0",
+    "received_at": f"CAST({CLOCK_MS} AS DOUBLE) / 1000",
     "client_id": f"CASE WHEN {HOT} THEN 'PC-0' ELSE 'pc-' || {text('user_id % 10')} END",
     "client_ip": f"'10.9.0.' || {text('user_id % 10')}",
     "track": "CASE WHEN event_type IN ('click', 'signup') THEN 2 WHEN user_id % 13 = 0 THEN 0 ELSE 1 END",
     "attack_type": ATTACK,
     "severity": "CAST(user_id % 4 + 1 AS INT)",
-    "confidence": "round(0.5 + (event_id * 37 % 50) / 100.0, 4)",
+    "confidence": "round(CAST(50 + event_id * 37 % 50 AS DOUBLE) / 100, 4)",
     "event_count": "CAST(event_id % 3 AS INT)",
     "rule_id": "CASE WHEN event_id % 4 = 0 THEN '' WHEN event_type = 'click' THEN 'net_portscan' ELSE 'rule_' || event_type END",
     "mitre_id": f"CASE WHEN event_id % 5 = 0 THEN 'T' || {text('event_id % 7')} ELSE '' END",

@@ -10,7 +10,8 @@ from nightwarden import fixed_values as fv
 from nightwarden.functions import clock
 from nightwarden.functions.numbers import or_nan
 from nightwarden.operators.sequence import previous_row
-from nightwarden.plans.network_detection import Model
+from nightwarden.plans.network_detection import Model, scored
+from nightwarden.session import checkpointed
 
 ATTACK, BENIGN = "ATTACK", "BENIGN"
 
@@ -259,6 +260,12 @@ def _shards(rows: DataFrame, row_id: str, shard_rows: int) -> DataFrame:
     return rows.join(parts, "client_id").withColumn("shard", F.pmod(number, F.col("shards")).cast("int"))
 
 
+def _held(states: DataFrame) -> DataFrame:
+    """Weights per shard under names of their own, as the co-grouping needs."""
+    return states.select(
+        F.col("client_id").alias("held_client"), F.col("shard").alias("held_shard"), F.col("weights").alias("weights"))
+
+
 def fine_tune(
     sample: DataFrame, model: Model, row_id: str, epochs: int = fv.FINE_TUNE_EPOCHS,
     features: tuple[str, ...] = fv.MODEL_FEATURES, shard_rows: int = SHARD_ROWS, seed: int = 0,
@@ -283,23 +290,24 @@ def fine_tune(
 
     result = single.groupBy("client_id").applyInPandas(lambda pdf: tuned(pdf, model, epochs, 0), STATE)
     large = sharded.filter("shards > 1")
-    places = large.groupBy("client_id", "shard").agg(F.count("*").alias("n"))
-    if places.isEmpty():
+    if large.isEmpty():
         return result
+    # Read once per epoch, so it is written out first; the state follows the same way.
+    large = checkpointed(large)
+    places = large.select("client_id", "shard").distinct()
     state = places.select("client_id").distinct().select(
         "client_id", F.lit(None).cast("array<double>").alias("weights"))
     for number in range(epochs):
-        held = places.join(state, "client_id").select("client_id", "shard", "weights")
+        held = _held(places.join(state, "client_id"))
 
         def one_epoch(left: pd.DataFrame, right: pd.DataFrame, number=number) -> pd.DataFrame:
             flat = right["weights"].iloc[0]
             start = model if flat is None else with_weights(model, np.asarray(flat))
             return tuned(left, start, 1, number)
 
-        trained = large.groupBy("client_id", "shard").cogroup(held.groupBy("client_id", "shard")).applyInPandas(
+        trained = large.groupBy("client_id", "shard").cogroup(held.groupBy("held_client", "held_shard")).applyInPandas(
             one_epoch, STATE)
-        # Epochs follow one another, so the small state is written out between them.
-        state = _average_flat(trained).checkpoint()
+        state = checkpointed(_average_flat(trained))
     return result.unionByName(state.select("client_id", "n", "weights"))
 
 
@@ -318,7 +326,7 @@ def scored_by_client(rows: DataFrame, models: DataFrame, model: Model, row_id: s
     sharded = _shards(rows, row_id, shard_rows).select(
         "client_id", "shard", row_id, "y", *[f"x.{f}" for f in features])
     places = sharded.select("client_id", "shard").distinct()
-    held = places.join(models, "client_id").select("client_id", "shard", "weights")
+    held = _held(places.join(models, "client_id"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -328,7 +336,7 @@ def scored_by_client(rows: DataFrame, models: DataFrame, model: Model, row_id: s
             p_attack=own.attack_probability(left[list(features)].to_numpy(float)))
 
     id_type = dict(rows.dtypes)[row_id]
-    return sharded.groupBy("client_id", "shard").cogroup(held.groupBy("client_id", "shard")).applyInPandas(
+    return sharded.groupBy("client_id", "shard").cogroup(held.groupBy("held_client", "held_shard")).applyInPandas(
         score, f"client_id string, {row_id} {id_type}, y int, p_attack double")
 
 
@@ -468,7 +476,5 @@ def refit_log_loss(rows: DataFrame, model: Model, scalers: DataFrame,
         ((F.col(f"x.{f}") - F.col("s")[i]["mean"]) / F.col("s")[i]["scale"] * float(model.scale[i])
          + float(model.mean[i])).alias(f)
         for i, f in enumerate(features)])
-    from nightwarden.plans.network_detection import scored
-
     rescaled = rows.drop("p_attack").join(stored, "client_id").withColumn("x", mapped)
     return benign_log_loss(scored(rescaled, model, features))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Event clocks are compared with epoch values, so the zone is pinned.
@@ -24,9 +25,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared folder the cluster names for checkpoints, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder the cluster names for checkpoints; local sessions get their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="nightwarden-checkpoints-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing to the checkpoint folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
 
 
 def local_session(cpus: int | str = "*", **extra: str) -> SparkSession:
