@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import alerts, host, learn, network, network_flows
+from checks import alerts, files, host, learn, network, network_flows, streams
 
-MODULES = (host, network_flows, network, alerts, learn)
+MODULES = (host, network_flows, network, alerts, learn, files, streams)
 
 
 def queries() -> dict:

@@ -248,9 +248,13 @@ def project(df: DataFrame, view: dict[str, str]) -> DataFrame:
 
 
 def host_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event table with its data map, as the readers deliver it."""
+    return host_events_of(read(spark, sf_dir, "events"))
+
+
+def host_events_of(events: DataFrame) -> DataFrame:
+    """Event table (or stream) with its data map, as the readers deliver it."""
     flat = project(
-        project(read(spark, sf_dir, "events"), {**HOST_HEAD, **EVENT_COLUMNS}),
+        project(events, {**HOST_HEAD, **EVENT_COLUMNS}),
         {**{name: name for name in HOST_HEAD}, **HOST_FIELDS},
     )
     filled = F.filter(
