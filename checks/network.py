@@ -121,7 +121,7 @@ def attack_metadata(spark, sf_dir):
 
 @query("flow_evidence", "WITH " + FLOW_SQL + " SELECT flow_no, " + ", ".join(f"round({n}, 4) AS {n}" for n in fv.EVIDENCE_FEATURES) + " FROM fl")
 def flow_evidence(spark, sf_dir):
-    parsed = views.flows(spark, sf_dir).select("flow_no", F.from_json(net.evidence(), net.struct_of(fv.EVIDENCE_FEATURES)).alias("e"))
+    parsed = views.flows(spark, sf_dir).select("flow_no", F.from_json(net.evidence(), "struct<" + ",".join(f"{n}: double" for n in fv.EVIDENCE_FEATURES) + ">").alias("e"))
     return parsed.select("flow_no", "e.*")
 
 
@@ -233,7 +233,7 @@ def udp_flood_batches(spark, sf_dir):
 
 @query("batch_rule_hits", f"WITH {SCORED}, {RULES}, {rule_hits_sql(**LOW)} SELECT * FROM rule_hits")
 def batch_rule_hits(spark, sf_dir):
-    return net.batch_rule_hits(kept(spark, sf_dir), **LOW)
+    return net.batch_rule_hits(kept(spark, sf_dir), **LOW).drop("batch_time")
 
 
 @query("batch_rule_alerts", f"WITH {SCORED}, {META}, {RULES}, {rule_hits_sql(**LOW)} {RULE_ALERTS}")

@@ -22,7 +22,9 @@ def severity(confidence: Column) -> Column:
 def finite_or_zero(column: Column) -> Column:
     """Number, or 0 for NULL, NaN, infinities and text that is no number."""
     value = column.try_cast("double")
-    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == INF), 0.0).otherwise(value)
+    # One comparison does: it fails for NULL, for the infinities, and for NaN, which Spark
+    # orders above everything.
+    return F.when(F.abs(value) < INF, value).otherwise(0.0)
 
 
 def number_or_zero(column: Column) -> Column:

@@ -277,14 +277,13 @@ def fine_tune(
     ``sample`` has the prepared features in ``x``. Returns client, rows and flat weights.
     """
     model = model.validated(features)
-    width = [f"x.{f}" for f in features]
-    sharded = _shards(sample, row_id, shard_rows).select("client_id", "shards", "shard", row_id, "y", *width)
+    sharded = _shards(sample, row_id, shard_rows).select("client_id", "shards", "shard", row_id, "y", "x")
     single = sharded.filter("shards = 1")
 
     def tuned(pdf: pd.DataFrame, start: Model, rounds: int, number: int) -> pd.DataFrame:
         pdf = pdf.sort_values(row_id)
         rng = np.random.default_rng([seed, number, int(pdf["shard"].iloc[0])])
-        after = _train(start, pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(float), rounds, rng)
+        after = _train(start, np.stack(pdf["x"]), pdf["y"].to_numpy(float), rounds, rng)
         return pd.DataFrame({"client_id": [pdf["client_id"].iloc[0]], "n": [len(pdf)],
                              "weights": [flat_weights(after)]})
 
@@ -321,10 +320,9 @@ def _average_flat(states: DataFrame) -> DataFrame:
 
 
 def scored_by_client(rows: DataFrame, models: DataFrame, model: Model, row_id: str,
-                     features: tuple[str, ...] = fv.MODEL_FEATURES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+                     shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Score each client's rows with its own weights: client, row id, ``y``, ``p_attack``."""
-    sharded = _shards(rows, row_id, shard_rows).select(
-        "client_id", "shard", row_id, "y", *[f"x.{f}" for f in features])
+    sharded = _shards(rows, row_id, shard_rows).select("client_id", "shard", row_id, "y", "x")
     places = sharded.select("client_id", "shard").distinct()
     held = _held(places.join(models, "client_id"))
 
@@ -333,7 +331,7 @@ def scored_by_client(rows: DataFrame, models: DataFrame, model: Model, row_id: s
             return left[["client_id", row_id, "y"]].assign(p_attack=np.nan).head(0)
         own = with_weights(model, np.asarray(right["weights"].iloc[0]))
         return left[["client_id", row_id, "y"]].assign(
-            p_attack=own.attack_probability(left[list(features)].to_numpy(float)))
+            p_attack=own.attack_probability(np.stack(left["x"])))
 
     id_type = dict(rows.dtypes)[row_id]
     return sharded.groupBy("client_id", "shard").cogroup(held.groupBy("held_client", "held_shard")).applyInPandas(
@@ -448,11 +446,11 @@ def confident_benign(rows: DataFrame, minimum: float = fv.PSEUDO_LABEL_MIN_CONFI
     return sure.join(enough.select("client_id"), "client_id", "left_semi")
 
 
-def scaler_refit(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATURES, at: str = "x.") -> DataFrame:
+def scaler_refit(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATURES) -> DataFrame:
     """Mean and population deviation per client and feature; a deviation of 0 becomes 1."""
     figures = rows.groupBy("client_id").agg(*[
-        F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), F.avg(f"{at}{f}").alias("mean"),
-                 F.stddev_pop(f"{at}{f}").alias("deviation")).alias(f"s{i}")
+        F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), F.avg(F.col("x")[i]).alias("mean"),
+                 F.stddev_pop(F.col("x")[i]).alias("deviation")).alias(f"s{i}")
         for i, f in enumerate(features)])
     one = lambda s: s.withField("deviation", F.when(s["deviation"] == 0, 1.0).otherwise(s["deviation"]))
     return figures.select("client_id", F.inline(F.transform(
@@ -472,9 +470,8 @@ def refit_log_loss(rows: DataFrame, model: Model, scalers: DataFrame,
     stored = scalers.groupBy("client_id").agg(F.array_sort(F.collect_list(
         F.struct("position", "mean", "scale"))).alias("s"))
     # Express the new scaling in terms of the stored one, which the scorer applies.
-    mapped = F.struct(*[
-        ((F.col(f"x.{f}") - F.col("s")[i]["mean"]) / F.col("s")[i]["scale"] * float(model.scale[i])
-         + float(model.mean[i])).alias(f)
-        for i, f in enumerate(features)])
+    mapped = F.array(*[
+        (F.col("x")[i] - F.col("s")[i]["mean"]) / F.col("s")[i]["scale"] * float(model.scale[i]) + float(model.mean[i])
+        for i in range(len(features))])
     rescaled = rows.drop("p_attack").join(stored, "client_id").withColumn("x", mapped)
     return benign_log_loss(scored(rescaled, model, features))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from nightwarden import fixed_values as fv
@@ -55,14 +55,10 @@ def without_skip_ports(rows: DataFrame) -> DataFrame:
     return rows.filter(~port.isin(*[float(p) for p in fv.SKIP_PORTS]))
 
 
-def _says_something(value, features: tuple[str, ...]) -> Column:
-    signal = [value(f) for f in features if f not in ("DestinationPort", "Protocol")]
-    return F.exists(F.array(*signal), lambda x: x != 0)
-
-
 def with_signal(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATURES) -> DataFrame:
     """Drop rows in which nothing but the port (or protocol) says anything."""
-    return rows.filter(_says_something(F.col, features))
+    signal = [F.col(f) for f in features if f not in ("DestinationPort", "Protocol")]
+    return rows.filter(F.exists(F.array(*signal), lambda x: x != 0))
 
 
 def batch_of(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS) -> DataFrame:
@@ -73,15 +69,21 @@ def batch_of(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS) -> DataFr
 
 def scoring_rows(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS,
                  features: tuple[str, ...] = fv.MODEL_FEATURES) -> DataFrame:
-    """Rows worth scoring with their prepared features in ``x``; raw columns stay as read."""
+    """Rows worth scoring with the prepared feature vector ``x``; raw columns stay as read."""
     rows = trimmed_names(rows)
     absent = [f for f in features if f not in rows.columns]
     complete = rows.withColumns({f: F.lit(None).cast("double") for f in absent}) if absent else rows
-    prepared = F.struct(*[finite_or_zero(F.col(f)).alias(f) for f in features])
-    # Exploding the kept struct instead of filtering on 37 derived columns: the optimizer
+    prepared = F.array(*[finite_or_zero(F.col(f)) for f in features])
+    silent = F.array(*[F.lit(f in ("DestinationPort", "Protocol")) for f in features])
+    says = lambda x: F.exists(F.arrays_zip(x.alias("v"), silent.alias("s")), lambda e: ~e["s"] & (e["v"] != 0))
+    if features[0] == "DestinationPort" and "Protocol" not in features:
+        says = lambda x: F.exists(F.slice(x, 2, len(features) - 1), lambda v: v != 0)
+    # Exploding the kept vector instead of filtering on 37 derived columns: the optimizer
     # infers constraints from filters, and their number doubles with every such column.
-    kept = F.filter(F.array(prepared), lambda x: _says_something(lambda f: x[f], features))
-    return batch_of(without_skip_ports(complete).select("*", F.explode(kept).alias("x")), seconds)
+    # One array keeps the row narrow enough for generated code, too.
+    vectors = without_skip_ports(complete).withColumn("_x", prepared)
+    kept = F.filter(F.array("_x"), says)
+    return batch_of(vectors.select(*complete.columns, F.explode(kept).alias("x")), seconds)
 
 
 # --- model ------------------------------------------------------------------------
@@ -122,19 +124,16 @@ def standardised(rows: DataFrame, mean: list[float], scale: list[float],
     })
 
 
-def struct_of(features: tuple[str, ...]) -> str:
-    return f"struct<{','.join(f'{f}: double' for f in features)}>"
-
-
 def scored(rows: DataFrame, model: Model, features: tuple[str, ...] = fv.MODEL_FEATURES) -> DataFrame:
-    """Add ``p_attack``. Scoring is a matrix product per Arrow batch."""
+    """Add ``p_attack``. Scoring is a matrix product per Arrow batch of vectors ``x``."""
     model = model.validated(features)
+    width = len(features)
 
-    @F.pandas_udf("double")
-    def probability(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.attack_probability(x.to_numpy(dtype=np.float64)))
+    @F.arrow_udf("double")
+    def probability(x: pa.Array) -> pa.Array:
+        return pa.array(model.attack_probability(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)))
 
-    return rows.withColumn("p_attack", probability(F.col("x").cast(struct_of(features))))
+    return rows.withColumn("p_attack", probability("x"))
 
 
 # --- labels and metadata ----------------------------------------------------------
@@ -187,10 +186,14 @@ def evidence() -> Column:
     return F.to_json(F.struct(*[F.round(F.col(f), 4).alias(f) for f in fv.EVIDENCE_FEATURES]))
 
 
-def batch_times(rows: DataFrame) -> DataFrame:
-    """Alert time of each batch: its latest flow start, NULL when there is none above 0."""
+def batch_time() -> Column:
+    """Alert time of a batch: its latest flow start, NULL when there is none above 0."""
     latest = F.max("FlowStartTime")
-    return rows.groupBy(*BATCH).agg(F.when(latest > 0, latest).alias("batch_time"))
+    return F.when(latest > 0, latest).alias("batch_time")
+
+
+def batch_times(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*BATCH).agg(batch_time())
 
 
 # --- alerts -----------------------------------------------------------------------
@@ -206,8 +209,14 @@ def flagged(rows: DataFrame, threshold: float = fv.ALERT_THRESHOLD) -> DataFrame
     return rows.filter(F.col("p_attack") >= threshold).withColumn("attack_type", attack_type())
 
 
-def _flagged_counts(flags: DataFrame) -> DataFrame:
-    return flags.groupBy(*BATCH).agg(F.count("*").alias("flow_count"))
+def flagged_figures(rows: DataFrame, threshold: float = fv.ALERT_THRESHOLD) -> DataFrame:
+    """Batches with flagged flows: their number, confidence, span, and the batch time."""
+    hit = F.col("p_attack") >= threshold
+    confidence, start = F.when(hit, F.col("p_attack")), F.when(hit, F.col("FlowStartTime"))
+    return rows.groupBy(*BATCH).agg(
+        F.count_if(hit).alias("flow_count"), F.avg(confidence).alias("mean_conf"), F.max(confidence).alias("max_conf"),
+        F.min(start).alias("first_start"), F.max(start).alias("last_start"), batch_time(),
+    ).filter("flow_count > 0")
 
 
 def _same_batch(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -219,9 +228,8 @@ def _same_batch(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFr
 
 def flow_alerts(rows: DataFrame, flow_id: str = "flow_no", threshold: float = fv.ALERT_THRESHOLD) -> DataFrame:
     """One alert per flagged flow in batches of at most ``BURST_MIN_FLOWS`` flagged flows."""
-    flags = flagged(rows, threshold)
-    quiet = _flagged_counts(flags).filter(F.col("flow_count") <= fv.BURST_MIN_FLOWS)
-    timed = _same_batch(_same_batch(flags, quiet), batch_times(rows))
+    quiet = flagged_figures(rows, threshold).filter(F.col("flow_count") <= fv.BURST_MIN_FLOWS)
+    timed = _same_batch(flagged(rows, threshold), quiet)
     stamp = clock.iso_seconds(F.col("batch_time"))
     return with_metadata(timed).withColumns({
         "alert_id": F.sha2(F.concat_ws("|", F.lit("flow"), "client_id", F.col(flow_id).cast("string")), 256),
@@ -254,10 +262,7 @@ def dominant_types(flags: DataFrame, order: str = "flow_no", sample: int = fv.DO
 def burst_summaries(rows: DataFrame, order: str = "flow_no", threshold: float = fv.ALERT_THRESHOLD) -> DataFrame:
     """One row per batch with more flagged flows than a burst allows."""
     flags = flagged(rows, threshold)
-    totals = flags.groupBy(*BATCH).agg(
-        F.count("*").alias("flow_count"), F.avg("p_attack").alias("mean_conf"), F.max("p_attack").alias("max_conf"),
-        F.min("FlowStartTime").alias("first_start"), F.max("FlowStartTime").alias("last_start"),
-    ).filter(F.col("flow_count") > fv.BURST_MIN_FLOWS)
+    totals = flagged_figures(rows, threshold).filter(F.col("flow_count") > fv.BURST_MIN_FLOWS)
     ports = top_ports(flags).groupBy(*BATCH).agg(F.map_from_entries(F.transform(
         F.array_sort(F.collect_list(F.struct("place", "port", "flows"))),
         lambda p: F.struct(p["port"], p["flows"]))).alias("top_ports"))
@@ -265,9 +270,8 @@ def burst_summaries(rows: DataFrame, order: str = "flow_no", threshold: float =
 
 
 def burst_alerts(rows: DataFrame, order: str = "flow_no", threshold: float = fv.ALERT_THRESHOLD) -> DataFrame:
-    summaries = _same_batch(burst_summaries(rows, order, threshold), batch_times(rows))
     stamp = clock.iso_seconds(F.col("batch_time"))
-    return with_metadata(summaries).withColumns({
+    return with_metadata(burst_summaries(rows, order, threshold)).withColumns({
         "alert_id": F.sha2(F.concat_ws("|", F.lit("burst"), "client_id", F.col("batch_start").cast("string")), 256),
         "timestamp": stamp,
         "window_start": F.coalesce(clock.iso_seconds(F.col("first_start")), stamp),
@@ -301,7 +305,7 @@ def batch_rule_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*BATCH).agg(
         F.count_if(scan_like()).alias("scan_flows"),
         F.count_distinct(F.when(scan_like(), F.col("DestinationPort"))).alias("scan_ports"),
-        F.count_if(flood_like()).alias("flood_flows"),
+        F.count_if(flood_like()).alias("flood_flows"), batch_time(),
     )
 
 
@@ -318,13 +322,13 @@ def batch_rule_hits(rows: DataFrame, scan_flows: int = fv.PORTSCAN_MIN_FLOWS,
         F.format_string("%d one-directional no-TCP-flag flows (UDP flood signature)",
                         c("flood_flows")).alias("summary")))
     hits = F.filter(F.array(scan, flood), lambda h: h.isNotNull())
-    return batch_rule_counts(rows).select(*BATCH, F.explode(hits).alias("h")).select(*BATCH, "h.*")
+    return batch_rule_counts(rows).select(*BATCH, "batch_time", F.explode(hits).alias("h")).select(
+        *BATCH, "batch_time", "h.*")
 
 
 def batch_rule_alerts(rows: DataFrame, **limits: int) -> DataFrame:
-    hits = _same_batch(batch_rule_hits(rows, **limits), batch_times(rows))
     stamp = clock.iso_seconds(F.col("batch_time"))
-    return with_metadata(hits).withColumns({
+    return with_metadata(batch_rule_hits(rows, **limits)).withColumns({
         "alert_id": F.sha2(F.concat_ws("|", F.lit("batch"), "rule_id", "client_id",
                                        F.col("batch_start").cast("string")), 256),
         "timestamp": stamp, "window_start": stamp, "window_end": stamp,
@@ -335,7 +339,11 @@ def batch_rule_alerts(rows: DataFrame, **limits: int) -> DataFrame:
 
 
 def network_alerts(rows: DataFrame, order: str = "flow_no") -> DataFrame:
-    """All alerts of scored rows: single flows, bursts, batch rules."""
+    """All alerts of scored rows: single flows, bursts, batch rules.
+
+    The rows are read several times, so score once and hand in the written (or, per
+    micro-batch, persisted) result rather than the scoring plan itself.
+    """
     return flow_alerts(rows, order).unionByName(burst_alerts(rows, order)).unionByName(batch_rule_alerts(rows))
 
 

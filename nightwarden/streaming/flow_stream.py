@@ -109,9 +109,6 @@ def model_rows(batch: DataFrame) -> DataFrame:
     return flows.model_rows(flows.flow_features(batch), "client_id", F.col("anchor_order").alias("flow_no"))
 
 
-def scored_alerts(model: network_detection.Model):
-    """Per micro-batch: score the finished flows and build their alerts."""
-    def run(batch: DataFrame) -> DataFrame:
-        return network_detection.network_alerts(
-            network_detection.scored(network_detection.scoring_rows(model_rows(batch)), model))
-    return run
+def scored_rows(model: network_detection.Model):
+    """Per micro-batch: finished flows to scored rows; ``network_alerts`` follows on these."""
+    return lambda batch: network_detection.scored(network_detection.scoring_rows(model_rows(batch)), model)

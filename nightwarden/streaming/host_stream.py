@@ -105,11 +105,19 @@ def threshold_fires(
         GroupStateTimeout.EventTimeTimeout)
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, transform=None, trigger: dict | None = None):
-    """Write every micro-batch to its own folder; a replayed batch replaces itself."""
+def write_batches(stream: DataFrame, path: str, checkpoint: str, transform=None, prepare=None,
+                  trigger: dict | None = None):
+    """Write every micro-batch to its own folder; a replayed batch replaces itself.
+
+    ``prepare`` runs once per batch and its result is kept while ``transform`` reads it.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        result = transform(batch) if transform else batch
-        result.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        prepared = (prepare(batch) if prepare else batch).persist()
+        try:
+            result = transform(prepared) if transform else prepared
+            result.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            prepared.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

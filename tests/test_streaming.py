@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from checks import views
-from nightwarden.plans import alert_store, flows, host_detection
+from checks import network, views
+from nightwarden.plans import alert_store, flows, host_detection, network_detection
 from nightwarden.sources.indicators import default_indicators
 from nightwarden.streaming import alert_stream, flow_stream, host_stream
 
@@ -73,8 +73,24 @@ def test_lists_are_read_anew_per_batch(spark, sf_dir, tmp_path):
 
     stream = replay(spark, events, "log_id", tmp_path, parts=2)
     query = host_stream.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck"),
-                                      host_stream.batch_detections(lists), {"availableNow": True})
+                                      host_stream.batch_detections(lists), trigger={"availableNow": True})
     query.awaitTermination(240)
     assert query.exception() is None and len(reads) == 2
     got = spark.read.parquet(str(tmp_path / "out")).count()
     assert got == host_detection.indicator_detections(events, default_indicators(spark), "ioc_domain_match").count()
+
+
+def test_packets_to_network_alerts(spark, sf_dir, tmp_path):
+    packets = views.packets(spark, sf_dir)
+    last = packets.orderBy(F.desc("seq")).limit(1).withColumns({
+        "ts_us": F.col("ts_us") + 10**12, "src_ip": F.lit("9.9.9.9"), "client_id": F.lit("end")})
+    done = flow_stream.finished_flows(replay(spark, packets, "seq", tmp_path, parts=1, end=last))
+    query = host_stream.write_batches(
+        done, str(tmp_path / "out"), str(tmp_path / "ck"), network_detection.network_alerts,
+        flow_stream.scored_rows(network.model()), {"availableNow": True})
+    query.awaitTermination(240)
+    assert query.exception() is None
+    got = {r.alert_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assigned = flows.assign_flows(flows.ip_packets(packets), flush_idle=True)
+    rows = flow_stream.scored_rows(network.model())(assigned)
+    assert got == {r.alert_id for r in network_detection.network_alerts(rows).collect()}
