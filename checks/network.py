@@ -87,7 +87,7 @@ _ODD = {
 
 @query("feature_preparation", """
 SELECT l_orderkey * 10 + l_linenumber AS flow_no, CASE WHEN l_orderkey % 5 = 4 THEN l_quantity ELSE 0.0 END AS FlowBytesPerSec,
-  CASE WHEN l_orderkey % 4 > 1 THEN l_extendedprice ELSE 0.0 END AS BwdIATMax, 0.0 AS FwdIATStd,
+  CASE WHEN l_orderkey % 4 > 1 THEN l_extendedprice ELSE 0.0 END AS BwdIATMax, CAST(0 AS DOUBLE) AS FwdIATStd,
   CASE l_linenumber % 4 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 0 END AS Protocol FROM lineitem""")
 def feature_preparation(spark, sf_dir):
     odd = views.project(views.read(spark, sf_dir, "lineitem"), _ODD)

@@ -296,16 +296,18 @@ def fine_tune(
     places = large.select("client_id", "shard").distinct()
     state = places.select("client_id").distinct().select(
         "client_id", F.lit(None).cast("array<double>").alias("weights"))
-    for number in range(epochs):
-        held = _held(places.join(state, "client_id"))
-
-        def one_epoch(left: pd.DataFrame, right: pd.DataFrame, number=number) -> pd.DataFrame:
+    def one_epoch(number: int):
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             flat = right["weights"].iloc[0]
             start = model if flat is None else with_weights(model, np.asarray(flat))
             return tuned(left, start, 1, number)
+        return run
+
+    for number in range(epochs):
+        held = _held(places.join(state, "client_id"))
 
         trained = large.groupBy("client_id", "shard").cogroup(held.groupBy("held_client", "held_shard")).applyInPandas(
-            one_epoch, STATE)
+            one_epoch(number), STATE)
         state = checkpointed(_average_flat(trained))
     return result.unionByName(state.select("client_id", "n", "weights"))
 
