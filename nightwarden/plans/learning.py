@@ -296,6 +296,7 @@ def fine_tune(
     places = large.select("client_id", "shard").distinct()
     state = places.select("client_id").distinct().select(
         "client_id", F.lit(None).cast("array<double>").alias("weights"))
+
     def one_epoch(number: int):
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             flat = right["weights"].iloc[0]
@@ -305,7 +306,6 @@ def fine_tune(
 
     for number in range(epochs):
         held = _held(places.join(state, "client_id"))
-
         trained = large.groupBy("client_id", "shard").cogroup(held.groupBy("held_client", "held_shard")).applyInPandas(
             one_epoch(number), STATE)
         state = checkpointed(_average_flat(trained))
