@@ -7,6 +7,8 @@ partial aggregation; only flagged flows are ever ranked.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -138,30 +140,25 @@ def scored(rows: DataFrame, model: Model, features: tuple[str, ...] = fv.MODEL_F
 
 # --- labels and metadata ----------------------------------------------------------
 
+def _holds(feature: str, comparison: str, bound) -> Column:
+    """One condition on a flow feature; NULL counts as 0 and NaN meets no comparison."""
+    value = number_or_zero(F.col(feature))
+    if comparison == "in":
+        return value.isin(*[float(b) for b in bound])
+    if comparison in ("<", "<="):  # false for NaN as it is, Spark orders NaN last
+        return value < bound if comparison == "<" else value <= bound
+    if comparison == ">=":
+        return ordered(value, lambda v: v >= bound)
+    above = ordered(value, lambda v: v > bound)
+    return ~above if comparison.startswith("not") else above
+
+
 def attack_type() -> Column:
     """Attack category of a flagged flow, most specific first."""
-    v = lambda name: number_or_zero(F.col(name))
-    above = lambda name, limit: ordered(v(name), lambda x: x > limit)
-    at_least = lambda name, limit: ordered(v(name), lambda x: x >= limit)
-    below = lambda name, limit: v(name) < limit  # noqa: E731  (false for NaN)
-    port = v("DestinationPort")
-    answered = above("BwdPacketsPerSec", 0)
-    few_packets = below("TotalFwdPackets", 20) & below("AveragePacketSize", 300)
-    return (
-        F.when(above("FlowBytesPerSec", 500_000) & below("AveragePacketSize", 100), "DDoS / Volumetric Flood")
-        .when(above("FlowPacketsPerSec", 1_000) & ~answered & below("AveragePacketSize", 100), "UDP Flood")
-        .when(below("FlowDurationMs", 500_000) & (v("TotalFwdPackets") <= 3) & ~answered
-              & below("MinPacketLength", 100), "Port Scan")
-        .when((port == 22) & few_packets, "SSH Brute Force")
-        .when((port == 21) & few_packets, "FTP Brute Force")
-        .when(port.isin(80.0, 443.0, 8080.0, 8443.0, 8000.0) & above("FlowBytesPerSec", 2_000_000) & answered,
-              "DoS – HTTP Flood")
-        .when(port.isin(80.0, 8080.0, 8000.0) & at_least("InitWinBytesFwd", 65535)
-              & above("TotalFwdPackets", 3) & above("FlowBytesPerSec", 10_000), "Web Attack")
-        .when(above("FlowDurationMs", 1_000_000) & below("AveragePacketSize", 200) & below("FwdIATStd", 50_000)
-              & below("BwdIATMax", 2_000_000) & answered, "Botnet C2 Beaconing")
-        .otherwise(fv.GENERIC_ATTACK)
-    )
+    chain = F
+    for attack, conditions in fv.ATTACK_CONDITIONS:
+        chain = chain.when(reduce(and_, (_holds(*c) for c in conditions)), attack)
+    return chain.otherwise(fv.GENERIC_ATTACK)
 
 
 def metadata(spark: SparkSession) -> DataFrame:
@@ -280,7 +277,7 @@ def burst_alerts(rows: DataFrame, order: str = "flow_no", threshold: float = fv.
         "severity": severity(F.col("mean_conf")), "event_count": F.col("flow_count").cast("int"),
         "evidence": F.to_json(F.struct(
             "flow_count", F.round("mean_conf", 4).alias("mean_conf"), F.round("max_conf", 4).alias("max_conf"),
-            "top_ports", F.lit("MLP-burst").alias("method"))),
+            "top_ports", F.lit(fv.METHOD_BURST).alias("method"))),
     }).select(*ALERT_FIELDS)
 
 
@@ -315,12 +312,10 @@ def batch_rule_hits(rows: DataFrame, scan_flows: int = fv.PORTSCAN_MIN_FLOWS,
     c = F.col
     scan = F.when((c("scan_flows") >= scan_flows) & (c("scan_ports") >= scan_ports), F.struct(
         F.lit("Port Scan").alias("attack_type"), c("scan_flows").alias("flow_count"),
-        F.format_string("%d zero-payload RST flows across %d distinct ports", c("scan_flows"),
-                        c("scan_ports")).alias("summary")))
+        F.format_string(fv.SCAN_SUMMARY, c("scan_flows"), c("scan_ports")).alias("summary")))
     flood = F.when(c("flood_flows") >= flood_flows, F.struct(
         F.lit("UDP Flood").alias("attack_type"), c("flood_flows").alias("flow_count"),
-        F.format_string("%d one-directional no-TCP-flag flows (UDP flood signature)",
-                        c("flood_flows")).alias("summary")))
+        F.format_string(fv.FLOOD_SUMMARY, c("flood_flows")).alias("summary")))
     hits = F.filter(F.array(scan, flood), lambda h: h.isNotNull())
     return batch_rule_counts(rows).select(*BATCH, "batch_time", F.explode(hits).alias("h")).select(
         *BATCH, "batch_time", "h.*")
@@ -334,7 +329,7 @@ def batch_rule_alerts(rows: DataFrame, **limits: int) -> DataFrame:
         "timestamp": stamp, "window_start": stamp, "window_end": stamp,
         "track": F.lit(fv.TRACK_NETWORK), "confidence": F.lit(fv.BATCH_RULE_CONFIDENCE),
         "severity": F.lit(fv.SEVERITY_HIGH), "event_count": F.col("flow_count").cast("int"),
-        "evidence": F.to_json(F.struct("summary", F.lit("rule-based").alias("method"), "flow_count")),
+        "evidence": F.to_json(F.struct("summary", F.lit(fv.METHOD_RULE).alias("method"), "flow_count")),
     }).select(*ALERT_FIELDS)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nightwarden import fixed_values as fv
 from nightwarden.schemas import MODEL_FLOWS
+from nightwarden.sources.text_lines import numbered_lines
 
 
 def write_flows84(flows84: DataFrame, path: str) -> None:
@@ -77,15 +77,7 @@ def export_alerts(alerts: DataFrame, path: str) -> None:
 
 def read_truth_log(spark: SparkSession, path: str, client_id: str) -> DataFrame:
     """Ground-truth log of a client in file order; a missing file is an empty log."""
-    empty = "line_no BIGINT, unix_us STRING, event STRING, attack_type STRING, detail STRING, client_id STRING"
-    try:
-        whole = spark.read.text(path, wholetext=True)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], empty)
-    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line_no", "line"))
     columns = "unix_us STRING, event STRING, attack_type STRING, detail STRING"
-    return lines.filter("line_no > 0 and line != ''").select(
-        F.col("line_no").cast("bigint").alias("line_no"), F.from_csv("line", columns).alias("r")
+    return numbered_lines(spark, path).filter("line_no > 1 and value != ''").select(
+        "line_no", F.from_csv("value", columns).alias("r")
     ).select("line_no", "r.*", F.lit(client_id).alias("client_id"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nightwarden import fixed_ioc_lists
 from nightwarden.functions import network
+from nightwarden.sources.text_lines import numbered_lines
 
 LIST_FILES = {
     "domains": "ioc_domains.txt",
@@ -128,16 +129,7 @@ def default_indicators(spark: SparkSession) -> Indicators:
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one list file with their position; a missing file is an empty list."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        files = spark.read.text(path, wholetext=True)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "line_no BIGINT, value STRING")
-    return files.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).select(
-        F.col("line_no").cast("bigint").alias("line_no"), "value")
+    return numbered_lines(spark, path).select("line_no", "value")
 
 
 def read_indicators(spark: SparkSession, directory: str) -> Indicators:
