@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from checks.compare import TABLES, normal
 
 SOME = ("event_xml_normalise", "rule_net_portscan", "ioc_address_join", "flow_features_84", "network_alerts",
@@ -13,7 +14,8 @@ SOME = ("event_xml_normalise", "rule_net_portscan", "ioc_address_join", "flow_fe
 def test_names():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 100
-    assert set(queries) - set(oracles) == {"client_fine_tune"}
+    assert set(registry.queries()) <= set(queries)
+    assert set(registry.queries()) - set(registry.oracles()) == {"client_fine_tune"}
 
 
 def test_entry(spark):
