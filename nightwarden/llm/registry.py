@@ -57,3 +57,35 @@ def op10_quality_rules(spark, sf_dir):
     return rules.ledger(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~rules.passes(rules.BASE)).alias("base_failed"), rules.passes(rules.PRODUCTION).alias("kept"))
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    """Every document with its lines of earlier or near occurrences taken out."""
+    from nightwarden.llm import line_dedup
+
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query
+def op9_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    from nightwarden.llm import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def vocabulary() -> str:
+    """The file of the vocabulary that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    """Every piece of every document with its sequence of at most 2048 tokens."""
+    from nightwarden.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
