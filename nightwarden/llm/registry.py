@@ -89,3 +89,67 @@ def op2_best_fit_packing(spark, sf_dir):
     from nightwarden.llm import packing
 
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
+
+
+OP1_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size
+  FROM documents),
+total AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM sized GROUP BY source),
+room AS (
+  SELECT *, 2 * source_size AS cap, 2 * source_size / weight AS room, 1.5::DOUBLE * (SELECT sum(size)::BIGINT FROM sized) AS goal FROM total),
+level AS (
+  SELECT *, (goal - coalesce(sum(cap) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+         / (sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level
+  FROM room),
+common AS (
+  SELECT *, first_value(CASE WHEN room > level THEN level END IGNORE NULLS) OVER (
+    ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS common FROM level),
+target AS (
+  SELECT source, source_size, CASE WHEN common IS NULL THEN cap::DOUBLE ELSE common * weight END AS target FROM common),
+parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM target),
+rest AS (
+  SELECT *, target - copies * source_size AS rest,
+         CASE WHEN source_size > 0 THEN (target - copies * source_size) / source_size ELSE 0 END AS fraction FROM parts),
+drawn AS (
+  SELECT doc_id, size, source_size, target, copies, rest, fraction, rest.source,
+         (('0x' || substr(md5('1:' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM sized JOIN rest ON sized.source IS NOT DISTINCT FROM rest.source),
+placed AS (
+  SELECT *, (u / (1 - u)) * (1 - fraction) AS odds FROM drawn),
+ordered AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (odds + fraction), doc_id)::BIGINT AS upto FROM placed)
+SELECT doc_id, size, source_size, target,
+       (size * (copies + CASE WHEN fraction > 0 AND (2 * upto - size)::DOUBLE <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ordered
+"""
+
+
+@query(sql=OP1_SQL)
+def op1_mix_sources(spark, sf_dir):
+    """What the mix of all sources takes of every document."""
+    from nightwarden.llm import mixing
+
+    return mixing.mix(mixing.sizes(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_wavelet_shards(spark, sf_dir):
+    """Every document's stretch of the token files, read back from them."""
+    from nightwarden.llm import wavelet
+    from nightwarden.session import checkpoint_dir
+
+    files = wavelet.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+    return wavelet.read(files, checkpoint_dir(spark))
+
+
+@query
+def op4_hash_prefix_forest(spark, sf_dir):
+    """The 20 nearest found for every twentieth vector."""
+    from nightwarden.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
