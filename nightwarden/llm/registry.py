@@ -153,3 +153,27 @@ def op4_hash_prefix_forest(spark, sf_dir):
     from nightwarden.llm import ann
 
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op6_personal_data(spark, sf_dir):
+    """Personal data in every document."""
+    from nightwarden.llm import pii
+
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    """Secrets in every document."""
+    from nightwarden.llm import secrets
+
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_weak_label_quality(spark, sf_dir):
+    """Posterior of the votes, score and verdict for every document."""
+    from nightwarden.llm import weak_labels
+
+    return weak_labels.classified(table(spark, sf_dir, "documents"))
