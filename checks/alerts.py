@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import host, network, views
+from checks.register import registrar
 from nightwarden import fixed_values as fv
 from nightwarden.plans import alert_store as store, host_detection, learning
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-    return add
+QUERIES, ORACLES, query = registrar()
 
 
 A = f"al AS ({views.select_sql(views.ALERTS, 'events')})"
@@ -55,6 +47,29 @@ def alert_batch_flatten(spark, sf_dir):
     return store.flatten_batches(batches).select("client_id", "alert_id", "severity", "confidence")
 
 
+NO_ID = "arrival % 9 = 4"
+
+
+@query("alert_ids", f"""WITH {A}, sent AS (SELECT * REPLACE (CASE WHEN {NO_ID} THEN CASE WHEN arrival % 2 = 0 THEN '' END ELSE alert_id END AS alert_id) FROM al),
+kept AS (SELECT * FROM sent WHERE coalesce(alert_id, '') = '' UNION ALL (SELECT * FROM sent WHERE alert_id <> '' QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY received_at, arrival) = 1))
+SELECT arrival, received_at, client_id, coalesce(alert_id, '') = '' AS derived FROM kept""")
+def alert_ids(spark, sf_dir):
+    """Alerts sent with an empty or no id are all kept, each under an id of its own."""
+    sent = raw(spark, sf_dir).withColumn("alert_id", F.when(F.expr(NO_ID), F.when(F.expr("arrival % 2 = 0"), F.lit(""))).otherwise(F.col("alert_id")))
+    return store.unique_alerts(sent).select("arrival", "received_at", "client_id", (F.length("alert_id") == 64).alias("derived"))
+
+
+@query("alert_merge_into_store", f"WITH {STORE} SELECT {', '.join(MERGED_COLUMNS)} FROM mer")
+def alert_merge_into_store(spark, sf_dir):
+    """Half of the alerts ingested, the other half merged in as a batch: the same as all at once."""
+    sent = raw(spark, sf_dir)
+    cut = sent.agg(F.avg("received_at")).scalar()
+    earlier, batch = sent.filter(F.col("received_at") < cut), sent.filter(F.col("received_at") >= cut)
+    first = store.ingest(earlier)
+    changed = store.merge_into_store(first, batch, seen=earlier.select("alert_id")).select(*MERGED_COLUMNS)
+    return first.join(changed, "alert_id", "left_anti").select(*MERGED_COLUMNS).unionByName(changed)
+
+
 @query("alert_dedupe", f"WITH {A}, {UNIQUE} SELECT alert_id, arrival, received_at, client_id, severity FROM un")
 def alert_dedupe(spark, sf_dir):
     return store.unique_alerts(raw(spark, sf_dir)).select("alert_id", "arrival", "received_at", "client_id", "severity")
@@ -148,9 +163,9 @@ def client_liveness(spark, sf_dir):
     return store.liveness(clients(spark, sf_dir), SEEN_AT).select("client_id", "last_seen", "online", "last_seen_ago")
 
 
-@query("clients_by_last_seen", f"WITH {BEATS} SELECT client_id, last_seen FROM cl ORDER BY last_seen DESC, client_id LIMIT 50")
+@query("clients_by_last_seen", f"WITH {BEATS} SELECT client_id, last_seen FROM cl ORDER BY last_seen DESC, client_id")
 def clients_by_last_seen(spark, sf_dir):
-    return store.liveness(clients(spark, sf_dir), SEEN_AT).select("client_id", "last_seen").limit(50)
+    return store.liveness(clients(spark, sf_dir), SEEN_AT).select("client_id", "last_seen")
 
 
 @query("status_rollup", f"""WITH {STORE}, {BEATS}, up AS ({views.select_sql(views.UPDATES, 'embeddings')}),
@@ -167,15 +182,15 @@ def status_rollup(spark, sf_dir):
     return store.status(stored(spark, sf_dir), clients(spark, sf_dir), models, updates, SEEN_AT)
 
 
-@query("alert_union", f"""WITH {host.H}, found AS ({' UNION ALL '.join(host.row_sql(r, f'h WHERE {host.RULE_SQL[r][0]}', *host.RULE_SQL[r][1:]) for r in host.RULE_SQL)}),
-{network.SCORED}, {network.META}
-SELECT track, attack_type, severity, count(*) AS alerts FROM (SELECT 1 AS track, attack_type, severity FROM found
- UNION ALL SELECT track, attack_type, severity FROM ({network.FLOW_ALERTS})) GROUP BY 1, 2, 3""")
+@query("alert_union", f"""{host.every_rule_sql()}, {network.SCORED}, {network.META}, {network.BURST.replace("dom AS", "main_type AS")}, {network.RULES}, {network.rule_hits_sql()},
+net_alerts AS ({network.FLOW_ALERTS} UNION ALL {network.BURST_ALERTS.replace("JOIN dom ", "JOIN main_type ")} UNION ALL {network.RULE_ALERTS})
+SELECT track, attack_type, severity, count(*) AS alerts, CAST(sum(event_count) AS BIGINT) AS events FROM (SELECT 1 AS track, attack_type, severity, event_count FROM found
+ UNION ALL SELECT track, attack_type, severity, event_count FROM net_alerts) GROUP BY 1, 2, 3""")
 def alert_union(spark, sf_dir):
-    found = host_detection.event_detections(views.host_events(spark, sf_dir))
-    host_alerts = host_detection.alerts(found, F.lit("2024-01-02T00:00:00Z"))
-    network_alerts = network.net.flow_alerts(network.scored(spark, sf_dir))
-    return store.union_tracks(host_alerts, network_alerts).groupBy("track", "attack_type", "severity").agg(F.count("*").alias("alerts"))
+    host_alerts = host_detection.alerts(host.all_detections(spark, sf_dir), F.lit("2024-01-02T00:00:00Z"))
+    network_alerts = network.net.network_alerts(network.scored(spark, sf_dir))
+    return store.union_tracks(host_alerts, network_alerts).groupBy("track", "attack_type", "severity").agg(
+        F.count("*").alias("alerts"), F.sum("event_count").alias("events"))
 
 
 SECONDS = lambda c: f"TRY_CAST({c} AS DOUBLE)"

@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import learn, network, views
+from checks.register import registrar
 from nightwarden import fixed_values as fv
 from nightwarden.plans import learning, network_detection as net
 from nightwarden.sources import event_xml, flow_files
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-    return add
+QUERIES, ORACLES, query = registrar()
 
 
 @query("flow_csv_parse", f"""WITH {network.FLOW_SQL} SELECT client_id, count(*) AS lines, count_if(flow_no % 17 = 0) AS bad_numbers,

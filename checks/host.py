@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.register import registrar
 from nightwarden import fixed_ioc_lists, fixed_values as fv
 from nightwarden.functions import clock, numbers, text
 from nightwarden.operators import matching, sliding
@@ -12,19 +13,10 @@ from nightwarden.plans import host_detection, host_rules
 from nightwarden.sources import event_xml, indicators
 from nightwarden.session import configure
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = registrar()
 H = f"h AS ({views.host_sql()})"
 
 
-def query(name: str, oracle: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-    return add
-
-
 def f(name: str) -> str:
     return f"coalesce(\"{name}\", '')"
 
@@ -376,13 +368,11 @@ def engine_counters(spark, sf_dir):
     return host_detection.counters(all_detections(spark, sf_dir))
 
 
-@query("alert_envelope", f"""WITH {H}, found AS ({' UNION ALL '.join(row_sql(r, f'h WHERE {RULE_SQL[r][0]}', *RULE_SQL[r][1:]) for r in RULE_SQL)})
-SELECT sha256(rule_id || '|' || computer || '|' || CAST(log_id AS VARCHAR)) AS alert_id, computer AS client_id, 1 AS track, attack_type, severity, confidence,
+@query("alert_envelope", every_rule_sql() + """SELECT sha256(rule_id || '|' || computer || '|' || CAST(log_id AS VARCHAR)) AS alert_id, computer AS client_id, 1 AS track, attack_type, severity, confidence,
   event_count, evidence, rule_id, mitre_id, mitre_tactic,
   (SELECT strftime(make_timestamp(at_ms * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') FROM h WHERE h.log_id = found.log_id) AS window_start FROM found""")
 def alert_envelope(spark, sf_dir):
-    found = host_detection.event_detections(views.host_events(spark, sf_dir))
-    return host_detection.alerts(found, F.lit("2024-01-02T00:00:00Z")).select(
+    return host_detection.alerts(all_detections(spark, sf_dir), F.lit("2024-01-02T00:00:00Z")).select(
         "alert_id", "client_id", "track", "attack_type", "severity", "confidence", "event_count", "evidence",
         "rule_id", "mitre_id", "mitre_tactic", "window_start")
 

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import alerts, network, views
+from checks.register import registrar
 from nightwarden import fixed_values as fv
 from nightwarden.plans import learning, network_detection as net
+from nightwarden.session import checkpointed
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-    return add
+QUERIES, ORACLES, query = registrar()
 
 
 TRUTH = f"""tl AS ({views.select_sql(views.TRUTH_LOG, 'events')}),
@@ -67,13 +60,16 @@ def flow_window_join(spark, sf_dir):
     return learning.windows_hit(views.flows(spark, sf_dir), windows(spark, sf_dir)).select("flow_no", "in_attack", "in_benign")
 
 
+# Windows of every client, spread over the hours so that they leave minutes free.
+SPREAD = "lo + (lo - {0}) * 40".format(views.BASE)
 
 
-@query("minute_burst_filter", f"""WITH {network.FLOW_SQL}, {WINDOWS.replace('win AS', 'every AS')}, win AS (SELECT client_id, lo, lo + 0.5 AS hi, label FROM every WHERE client_id = 'c0'), {bursts_sql(GRACE, 1.02)}
+@query("minute_burst_filter", f"""WITH {network.FLOW_SQL}, {WINDOWS.replace('win AS', 'every AS')}, win AS (SELECT client_id, {SPREAD} AS lo, {SPREAD} + (hi - lo) AS hi, label FROM every), {bursts_sql(GRACE, 1.02)}
 SELECT client_id, minute_bin, flows, round(mean_flows, 6) AS mean_flows FROM amb""")
 def minute_burst_filter(spark, sf_dir):
-    few = windows(spark, sf_dir).filter("client_id = 'c0'").withColumn("window_end", F.col("window_start") + 0.5)
-    return learning.ambiguous_bins(views.flows(spark, sf_dir), few, GRACE, 1.02).withColumn("mean_flows", F.round("mean_flows", 6))
+    start = F.col("window_start") + (F.col("window_start") - views.BASE) * 40
+    spread = windows(spark, sf_dir).select("client_id", start.alias("window_start"), (start + F.col("window_end") - F.col("window_start")).alias("window_end"), "label")
+    return learning.ambiguous_bins(views.flows(spark, sf_dir), spread, GRACE, 1.02).withColumn("mean_flows", F.round("mean_flows", 6))
 
 
 LABELS = f"""{network.FLOW_SQL}, {WINDOWS}, {HITS.format(GRACE)}, {bursts_sql(GRACE, 1.02)},
@@ -140,15 +136,28 @@ def improvement_gate(spark, sf_dir):
     return learning.improved(before, after).select("client_id", "adopt")
 
 
-@query("client_fine_tune")
+HELD = "substr(md5('0:' || CAST(flow_no AS VARCHAR)), 1, 8) < '" + format(int(fv.HOLDOUT_FRACTION * 16**8), "08x") + "'"
+
+
+@query("client_fine_tune", f"""WITH {network.SCORED}, lab AS (SELECT *, {Y} AS y, {HELD} AS held FROM sc),
+cls AS (SELECT client_id, y, count(*) AS n FROM lab WHERE NOT held GROUP BY 1, 2),
+trained AS (SELECT client_id, 2 * least(min(n), {fv.MAX_ROWS_PER_CLASS}) AS trained_rows FROM cls GROUP BY 1 HAVING count(*) = 2),
+before AS (SELECT client_id, avg(CASE WHEN y = 0 THEN CAST(p_attack >= 0.5 AS INT) END) AS recall, avg(CASE WHEN y = 1 THEN CAST(p_attack >= 0.5 AS INT) END) AS fp,
+  count_if(y = 0) AS n_attack, count_if(y = 1) AS n_benign FROM lab WHERE held GROUP BY 1)
+SELECT client_id, trained_rows, n_attack, n_benign, round(recall, 6) AS recall_before, round(fp, 6) AS fp_before FROM trained JOIN before USING (client_id)""")
 def client_fine_tune(spark, sf_dir):
-    """Train every client on its balanced sample and compare on its hold-out."""
+    """Train every client on its balanced sample; its sizes, and the metrics before, on the hold-out.
+
+    What training itself does is compared with a replay in the tests.
+    """
     rows = learning.with_holdout(network.kept(spark, sf_dir).withColumn("y", F.expr(Y)), "flow_no")
-    trained = learning.fine_tune(learning.balanced(rows.filter("not is_holdout"), "flow_no"), network.model(), "flow_no", epochs=3)
+    trained = checkpointed(learning.fine_tune(learning.balanced(rows.filter("not is_holdout"), "flow_no"), network.model(), "flow_no"))
     holdout = rows.filter("is_holdout")
     before = evaluated(net.scored(holdout, network.model()))
     after = evaluated(learning.scored_by_client(holdout, trained, network.model(), "flow_no"))
-    return learning.improved(before, after)
+    sizes = trained.select("client_id", F.col("n").alias("trained_rows"))
+    return sizes.join(before, "client_id").join(after.select("client_id", "n_attack", "n_benign"), ["client_id", "n_attack", "n_benign"]).select(
+        "client_id", "trained_rows", "n_attack", "n_benign", F.round("recall", 6).alias("recall_before"), F.round("fp_rate", 6).alias("fp_before"))
 
 
 UP = f"up AS (SELECT *, embedding FROM ({views.select_sql({**views.UPDATES, 'embedding': 'embedding'}, 'embeddings')}))"

@@ -6,20 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.register import registrar
 from nightwarden import fixed_values as fv
 from nightwarden.functions import numbers
 from nightwarden.plans import network_detection as net
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-    return add
+QUERIES, ORACLES, query = registrar()
 
 
 # A small stand-in network; trained weights are site data.
@@ -160,7 +152,7 @@ FROM flag f JOIN flag_n n ON {SAME('f', 'n')} AND flow_count <= {fv.BURST_MIN_FL
 BURST = f"""burst AS (SELECT client_id, batch_start, count(*) AS flow_count, avg(p_attack) AS mean_conf, max(p_attack) AS max_conf, min(FlowStartTime) AS lo, max(FlowStartTime) AS hi
   FROM flag GROUP BY 1, 2 HAVING count(*) > {fv.BURST_MIN_FLOWS}),
 placed AS (SELECT *, row_number() OVER (PARTITION BY client_id, batch_start ORDER BY FlowStartTime NULLS FIRST, flow_no) AS place FROM flag),
-types AS (SELECT client_id, batch_start, attack_type, count(*) AS n, min(place) AS seen FROM placed WHERE place <= {fv.DOMINANT_TYPE_SAMPLE} GROUP BY 1, 2, 3),
+types AS (SELECT client_id, batch_start, attack_type, count(*) AS n, min(place) AS seen FROM placed GROUP BY 1, 2, 3),
 dom AS (SELECT client_id, batch_start, attack_type FROM types QUALIFY row_number() OVER (PARTITION BY client_id, batch_start ORDER BY n DESC, seen) = 1),
 ports AS (SELECT client_id, batch_start, CAST(DestinationPort AS INT) AS port, count(*) AS flows FROM flag GROUP BY 1, 2, 3),
 top AS (SELECT *, row_number() OVER (PARTITION BY client_id, batch_start ORDER BY flows DESC, port) AS place FROM ports QUALIFY place <= {fv.TOP_PORTS}),
@@ -178,9 +170,9 @@ RULES = f"""figures AS (SELECT client_id, batch_start, count_if(scan) AS scan_fl
 
 def rule_hits_sql(scan_flows=fv.PORTSCAN_MIN_FLOWS, scan_ports=fv.PORTSCAN_MIN_PORTS, flood_flows=fv.FLOOD_MIN_FLOWS) -> str:
     return f"""rule_hits AS (SELECT client_id, batch_start, 'Port Scan' AS attack_type, scan_flows AS flow_count,
-  CAST(scan_flows AS VARCHAR) || ' zero-payload RST flows across ' || CAST(scan_ports AS VARCHAR) || ' distinct ports' AS summary
+  scan_ports AS port_count
   FROM figures WHERE scan_flows >= {scan_flows} AND scan_ports >= {scan_ports}
- UNION ALL SELECT client_id, batch_start, 'UDP Flood', flood_flows, CAST(flood_flows AS VARCHAR) || ' one-directional no-TCP-flag flows (UDP flood signature)'
+ UNION ALL SELECT client_id, batch_start, 'UDP Flood', flood_flows, NULL
   FROM figures WHERE flood_flows >= {flood_flows})"""
 
 
@@ -236,6 +228,15 @@ def batch_rule_hits(spark, sf_dir):
     return net.batch_rule_hits(kept(spark, sf_dir), **LOW).drop("batch_time")
 
 
+DAYS = SCORED.replace("/ 30) AS BIGINT) * 30", "/ 864000) AS BIGINT) * 864000")
+
+
+@query("batch_rules_by_default", f"WITH {DAYS}, {RULES}, {rule_hits_sql()} SELECT * FROM rule_hits")
+def batch_rules_by_default(spark, sf_dir):
+    """Both batch rules at their own limits, over batches long enough to reach them."""
+    return net.batch_rule_hits(net.scoring_rows(views.flows(spark, sf_dir), seconds=864000)).drop("batch_time")
+
+
 @query("batch_rule_alerts", f"WITH {SCORED}, {META}, {RULES}, {rule_hits_sql(**LOW)} {RULE_ALERTS}")
 def batch_rule_alerts(spark, sf_dir):
     return shown(net.batch_rule_alerts(kept(spark, sf_dir), **LOW))

@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.register import registrar
 from nightwarden import fixed_values as fv
 from nightwarden.functions import network, numbers
 from nightwarden.plans import flows, learning
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-    return add
+QUERIES, ORACLES, query = registrar()
 
 
 def packets(spark, sf_dir):

@@ -1,8 +1,8 @@
 """Streaming forms over the given tables, checked against the same SQL as the batch forms.
 
-Each query reads its table as a stream until everything present is processed, writes to
-the checkpoint folder and returns what was written. What the watermark has not passed at
-the end of the input stays in the state, so both sides stop a little before the end.
+Each query reads its table as a stream of several files, one per micro-batch, so that state
+lives across them. A last file with one row far in the future moves the watermark past all
+others; that row stays in the state and never comes out.
 """
 
 from __future__ import annotations
@@ -12,25 +12,26 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import alerts, host, network_flows, views
+from checks.register import registrar
 from nightwarden import fixed_values as fv
-from nightwarden.plans import flows
+from nightwarden.plans import flows, host_detection
 from nightwarden.session import checkpoint_dir
 from nightwarden.streaming import alert_stream, flow_stream, host_stream
 
-QUERIES, ORACLES = {}, {}
-LAST_MS = f"(SELECT max({views.CLOCK_MS}) FROM events)"
-
-
-def query(name: str, oracle: str):
-    def add(function):
-        QUERIES[name], ORACLES[name] = function, oracle
-        return function
-    return add
+QUERIES, ORACLES, query = registrar()
+PARTS, AHEAD = 4, 1_000_000
 
 
 def stream(spark, sf_dir):
-    schema = views.read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = views.read(spark, sf_dir, "events")
+    folder = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = (last - first) // PARTS + 1
+    for low in range(first, last + 1, step):
+        events.filter(F.col("event_id").between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(folder)
+    ahead = events.filter(F.col("event_id") == last).withColumn("event_id", F.lit(last + AHEAD).cast(events.schema["event_id"].dataType))
+    ahead.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def settled(spark, df):
@@ -51,26 +52,34 @@ for _i, _rule in enumerate(_WATCHED):
         _chain = re.sub(rf"\b{_name}\b", f"{_name}{_i}", _chain)
     _CTES.append(_chain)
     _PARTS.append(f"SELECT '{_rule}' AS rule, computer, source, log_id, total AS window_total, uniq AS window_distinct FROM hits{_i} "
-                  f"WHERE log_id IN (SELECT log_id FROM fired{_i}) AND at_ms < {LAST_MS} - 1000")
+                  f"WHERE log_id IN (SELECT log_id FROM fired{_i})")
 
 
 @query("stream_threshold_fires", f"WITH RECURSIVE {host.H}, " + ", ".join(_CTES) + " " + " UNION ALL ".join(_PARTS))
 def stream_threshold_fires(spark, sf_dir):
     events = views.host_events_of(stream(spark, sf_dir))
     fires = settled(spark, host_stream.threshold_fires(events, delay="0 seconds"))
-    last = views.read(spark, sf_dir, "events").selectExpr(f"max({views.CLOCK_MS}) AS last_ms").scalar()
-    return fires.filter(F.col("at_us") < (last - 1000) * 1000).select(
+    return fires.select(
         "rule", "computer", "source", "log_id", "window_total", "window_distinct")
 
 
+@query("stream_host_alerts", host.every_rule_sql() + """SELECT sha256(rule_id || '|' || computer || '|' || CAST(log_id AS VARCHAR)) AS alert_id, computer AS client_id,
+  attack_type, severity, confidence, event_count, evidence, rule_id, mitre_id FROM found WHERE rule_id IN ('brute_force_logon', 'password_spray', 'net_portscan')""")
+def stream_host_alerts(spark, sf_dir):
+    """The alerts of the counting rules as a stream gives them."""
+    events = views.host_events_of(stream(spark, sf_dir))
+    found = settled(spark, host_stream.threshold_detections(events, delay="0 seconds"))
+    return host_detection.alerts(found, F.lit("2024-01-02T00:00:00Z")).select(
+        "alert_id", "client_id", "attack_type", "severity", "confidence", "event_count", "evidence", "rule_id", "mitre_id")
+
+
 @query("stream_flow_assembly", f"""WITH RECURSIVE {network_flows.flow_ctes(flush_idle=True)}
 SELECT flow_seq, any_value(flow_src) AS flow_src_ip, count(*) AS packets, count_if(fwd) AS fwd_packets, max(ts_us) - min(ts_us) AS duration_us
-FROM p GROUP BY flow_seq HAVING min(ts_us) < {LAST_MS} * 1000 - 40000000""")
+FROM p GROUP BY flow_seq""")
 def stream_flow_assembly(spark, sf_dir):
     packets = views.project(stream(spark, sf_dir), views.PACKETS)
     done = settled(spark, flow_stream.finished_flows(packets, delay="0 seconds"))
-    last = views.read(spark, sf_dir, "events").selectExpr(f"max({views.CLOCK_MS}) AS last_ms").scalar()
-    return done.filter(F.col("anchor_us") < last * 1000 - 40_000_000).groupBy(*flows.FLOW_KEY).agg(
+    return done.groupBy(*flows.FLOW_KEY).agg(
         F.min("flow_src_ip").alias("flow_src_ip"), F.count("*").alias("packets"), F.count_if("is_fwd").alias("fwd_packets"),
         (F.max("ts_us") - F.min("ts_us")).alias("duration_us"),
     ).withColumnRenamed("anchor_order", "flow_seq").drop("client_id", "conversation", "anchor_us")
@@ -79,9 +88,8 @@ def stream_flow_assembly(spark, sf_dir):
 _STREAMED = ("client_id", "attack_type", "track", "alert_id", "event_count", "confidence", "rule_id", "mitre_id", "received_at")
 
 
-@query("stream_burst_merge", f"WITH {alerts.STORE} SELECT {', '.join(_STREAMED)} FROM mer WHERE received_at < {LAST_MS} / 1000 - 70")
+@query("stream_burst_merge", f"WITH {alerts.STORE} SELECT {', '.join(_STREAMED)} FROM mer")
 def stream_burst_merge(spark, sf_dir):
     sent = views.project(stream(spark, sf_dir), views.ALERTS)
     merged = settled(spark, alert_stream.merged_bursts(sent, gap_seconds=fv.MERGE_SECONDS, delay="0 seconds"))
-    last = views.read(spark, sf_dir, "events").selectExpr(f"max({views.CLOCK_MS}) AS last_ms").scalar()
-    return merged.filter(F.col("received_at") < last / 1000 - 70).select(*_STREAMED)
+    return merged.select(*_STREAMED)

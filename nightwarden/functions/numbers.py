@@ -28,8 +28,13 @@ def finite_or_zero(column: Column) -> Column:
 
 
 def number_or_zero(column: Column) -> Column:
-    """NULL counts as 0; NaN stays NaN."""
-    return F.coalesce(column.cast("double"), F.lit(0.0))
+    """NULL and text that is no number count as 0; NaN stays NaN."""
+    return F.coalesce(column.try_cast("double"), F.lit(0.0))
+
+
+def no_number(column: Column) -> Column:
+    """True for a value that is there but is no number."""
+    return column.isNotNull() & column.try_cast("double").isNull()
 
 
 def ordered(column: Column, compare) -> Column:

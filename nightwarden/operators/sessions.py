@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def session_partials(
     rows: DataFrame, keys: list[str], seconds: str, order: str, gap: float,
-    aggregates: list[Column], chunk_seconds: float = 3600.0,
+    aggregates: list[Column], chunk_seconds: float = 300.0,
 ) -> DataFrame:
     """One row per (key, chunk, session inside the chunk) with ``_start`` and ``_end``."""
     chunk = F.floor(F.col(seconds) / F.lit(chunk_seconds)).cast("bigint")

@@ -18,20 +18,29 @@ def flatten_batches(batches: DataFrame, alerts: str = "alerts") -> DataFrame:
     return batches.select(*rest, F.explode(alerts).alias("_alert")).select(*rest, "_alert.*")
 
 
+def identified(alerts: DataFrame, order: str = "arrival") -> DataFrame:
+    """Alerts sent without an id get one from what they are, so that a rerun agrees."""
+    derived = F.sha2(F.concat_ws("|", F.lit("sent"), "client_id", F.col("track").cast("string"), "attack_type",
+                                 F.col("received_at").cast("string"), F.col(order).cast("string")), 256)
+    return alerts.withColumn("alert_id", F.coalesce(F.nullif("alert_id", F.lit("")), derived))
+
+
 def unique_alerts(alerts: DataFrame, order: str = "arrival") -> DataFrame:
-    """First arrival of every alert id."""
+    """First arrival of every alert id; alerts without an id are never each other's copies."""
+    alerts = identified(alerts, order)
     first = F.min_by(F.struct(*alerts.columns), F.struct("received_at", order)).alias("a")
     return alerts.groupBy("alert_id").agg(first).select("a.*")
 
 
 def merge_bursts(
     alerts: DataFrame, order: str = "arrival", gap_seconds: float = fv.MERGE_SECONDS,
-    chunk_seconds: float = 3600.0,
+    chunk_seconds: float = 300.0, fresh: str | None = None,
 ) -> DataFrame:
     """Alerts of one client, type and track that follow within the gap become one row.
 
     Counts add up, the highest confidence and the last arrival win, empty rule metadata is
-    filled by the first alert that has it; everything else stays as first received.
+    filled by the first alert that has it; everything else stays as first received. With
+    ``fresh``, a Boolean column of the input, the result says whether any alert had it set.
     """
     kept = [c for c in FROM_FIRST if c in alerts.columns]
     fill = [c for c in FILLABLE if c in alerts.columns]
@@ -42,21 +51,42 @@ def merge_bursts(
         F.min_by(F.struct(*kept), place).alias("_kept"),
         F.sum(F.greatest(F.coalesce("event_count", F.lit(0)), F.lit(1)).cast("bigint")).alias("event_count"),
         F.max("confidence").alias("confidence"),
+        *([F.bool_or(fresh).alias("_fresh")] if fresh else []),
         *[filled(c).alias(f"_{c}") for c in fill],
     ], chunk_seconds)
     merged = sessions.join_partials(partial, MERGE_KEYS, gap_seconds, [
         F.min_by("_kept", "_first").alias("_kept"),
         F.sum("event_count").alias("event_count"), F.max("confidence").alias("confidence"),
         F.max("_end").alias("received_at"),
+        *([F.bool_or("_fresh").alias(fresh)] if fresh else []),
         *[F.min(f"_{c}").alias(f"_{c}") for c in fill],
     ])
     return merged.select(
         *MERGE_KEYS, "_kept.*", "received_at", "event_count", "confidence",
         *[F.coalesce(F.col(f"_{c}.value"), F.lit("")).alias(c) for c in fill],
-        F.lit("open").alias("status"),
+        F.lit("open").alias("status"), *([fresh] if fresh else []),
     )
 
 
+def merge_into_store(stored: DataFrame, batch: DataFrame, seen: DataFrame | None = None, order: str = "arrival",
+                     gap_seconds: float = fv.MERGE_SECONDS) -> DataFrame:
+    """What a batch of arrivals changes: new rows, and stored rows that grew, under their old id.
+
+    Only open rows young enough to be joined are read from the store; everything older stays as
+    it is. ``seen`` has the ids of all earlier arrivals, those merged into other rows included.
+    """
+    new = unique_alerts(batch, order)
+    known = seen if seen is not None else stored
+    new = new.join(known.select("alert_id").distinct(), "alert_id", "left_anti")
+    oldest = F.coalesce(batch.agg(F.min("received_at")).scalar(), F.lit(float("inf")))
+    young = stored.filter((F.col("status") == "open") & (F.col("received_at") >= oldest - gap_seconds))
+    columns = [c for c in stored.columns if c in new.columns and c != order]
+    # A stored row comes before any arrival of the same time.
+    rows = young.select(*columns, F.lit(-1).cast("bigint").alias(order), F.lit(False).alias("is_new")).unionByName(
+        new.select(*columns, F.col(order).cast("bigint").alias(order), F.lit(True).alias("is_new")))
+    return merge_bursts(rows, order, gap_seconds, fresh="is_new").filter("is_new").drop("is_new")
+
+
 def ingest(alerts: DataFrame, order: str = "arrival") -> DataFrame:
     return merge_bursts(unique_alerts(alerts, order), order)
 

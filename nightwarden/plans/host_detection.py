@@ -8,6 +8,7 @@ from nightwarden import fixed_values as fv
 from nightwarden.functions import clock, numbers, text
 from nightwarden.operators import anchors, matching, sliding
 from nightwarden.plans import host_rules
+from nightwarden.session import checkpointed, if_small
 from nightwarden.sources.indicators import Indicators
 
 DETECTION_FIELDS = (
@@ -110,7 +111,9 @@ def threshold_detections(
     """Detections of the counting rules.
 
     Counting and cool-down carry a slim record; the raw text of the few events that fire
-    is fetched afterwards by (computer, log_id), which identifies an event.
+    is fetched afterwards by (computer, log_id), which identifies an event. The fired events
+    are written and counted: if few, they are sent to where the texts are, and only their
+    texts are moved.
     """
     rules = _selected(host_rules.threshold_rules(**limits), only)
     record = [f for f in EVENT_FIELDS if f != "raw_xml"]
@@ -124,7 +127,9 @@ def threshold_detections(
     found = fired.select(*record, described.alias("d")).select(*record, "d.*")
     ids = sorted({i for rule in rules for i in rule.event_ids})
     raw = events.filter(F.col("event_id").isin(*ids)).select("computer", "log_id", "raw_xml")
-    return found.join(raw, ["computer", "log_id"], "left").select(*EVENT_FIELDS, *DETECTION_FIELDS)
+    found = checkpointed(found)
+    texts = raw.join(if_small(found.select("computer", "log_id").distinct()), ["computer", "log_id"], "left_semi").dropDuplicates(["computer", "log_id"])
+    return found.join(texts, ["computer", "log_id"], "left").select(*EVENT_FIELDS, *DETECTION_FIELDS)
 
 
 def detections(events: DataFrame, indicators: Indicators, **limits: int) -> DataFrame:

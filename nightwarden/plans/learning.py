@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nightwarden import fixed_values as fv
@@ -11,7 +12,6 @@ from nightwarden.functions import clock
 from nightwarden.functions.numbers import or_nan
 from nightwarden.operators.sequence import previous_row
 from nightwarden.plans.network_detection import Model, scored
-from nightwarden.session import checkpointed
 
 ATTACK, BENIGN = "ATTACK", "BENIGN"
 
@@ -19,11 +19,15 @@ ATTACK, BENIGN = "ATTACK", "BENIGN"
 # --- label windows ----------------------------------------------------------------
 
 def truth_windows(log: DataFrame, offset: float = 0.0, order: str = "line_no") -> DataFrame:
-    """Pair each phase end with the phase start right before it, per client and attack."""
+    """Pair each phase end with the phase start right before it, per client and attack.
+
+    Logs read from several files are paired file by file.
+    """
+    keys = [*(["file"] if "file" in log.columns else []), "client_id", "attack_type"]
     seconds = F.col("unix_us").try_cast("bigint") / float(clock.MICROS) + offset
     phases = log.withColumn("at", seconds).filter(
         F.col("at").isNotNull() & F.col("event").isin("PHASE_START", "PHASE_END"))
-    paired = previous_row(phases, ["client_id", "attack_type"], order, F.struct("event", "at"), "before")
+    paired = previous_row(phases, keys, order, F.struct("event", "at"), "before")
     return paired.filter("event = 'PHASE_END' and before.event = 'PHASE_START'").select(
         "client_id", F.col("before.at").alias("window_start"), F.col("at").alias("window_end"),
         F.lit(ATTACK).alias("label"))
@@ -53,17 +57,34 @@ def _bin(seconds: Column, width: float) -> Column:
     return F.floor(seconds / F.lit(float(width))).cast("bigint")
 
 
-def window_cover(windows: DataFrame, grace: float, width: float) -> DataFrame:
-    """What the widened windows cover of each time bin, one row per (client, bin).
+DAY = 86_400.0
+
+
+def _widened(windows: DataFrame, grace: float) -> DataFrame:
+    return windows.withColumns({
+        "_lo": F.col("window_start") - grace, "_hi": F.col("window_end") + grace,
+    }).filter("_lo <= _hi")
+
+
+def _disjoint(widened: DataFrame) -> DataFrame:
+    """Overlapping windows of a client and label joined, among those that begin on the same day."""
+    place = ["client_id", "label", "_day"]
+    dated = widened.withColumn("_day", _bin(F.col("_lo"), DAY))
+    before = F.max("_hi").over(Window.partitionBy(*place).orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(before.isNull() | (F.col("_lo") > before), 1).otherwise(0)
+    run = F.sum("_opened").over(Window.partitionBy(*place).orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dated.withColumn("_opened", opened).withColumn("_run", run).groupBy(*place, "_run").agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).select("client_id", "label", "_lo", "_hi")
+
+
+def window_cover(windows: DataFrame, width: float) -> DataFrame:
+    """What disjoint windows cover of each time bin, one row per (client, bin).
 
     A window at least as long as a bin either fills a bin, reaches from some point to its
     end or from its begin to some point, so three figures per label describe the union of
     any number of windows. Only shorter ones need to be listed.
     """
-    widened = windows.withColumns({
-        "_lo": F.col("window_start") - grace, "_hi": F.col("window_end") + grace,
-    }).filter("_lo <= _hi")
-    binned = widened.withColumn(
+    binned = windows.withColumn(
         "_bin", F.explode(F.sequence(_bin(F.col("_lo"), width), _bin(F.col("_hi"), width))))
     begin, end = F.col("_bin") * width, (F.col("_bin") + 1) * width
     open_left, open_right = F.col("_lo") <= begin, F.col("_hi") >= end
@@ -80,21 +101,28 @@ def window_cover(windows: DataFrame, grace: float, width: float) -> DataFrame:
 
 
 def windows_hit(flows: DataFrame, windows: DataFrame, grace: float = fv.LABEL_GRACE_SECONDS) -> DataFrame:
-    """Flows with a start, and whether it lies in an attack or a benign window."""
-    width = 2 * grace if grace > 0 else fv.DENSITY_BIN_SECONDS
+    """Flows with a start, and whether it lies in an attack or a benign window.
+
+    Windows up to a day are spread over fine bins, longer ones over days, so a window of years
+    is a few thousand rows.
+    """
+    fine = 2 * grace if grace > 0 else fv.DENSITY_BIN_SECONDS
     t = F.col("FlowStartTime")
     hit = lambda label: F.coalesce(
         F.col(f"{label}_full") | F.coalesce(t >= F.col(f"{label}_from"), F.lit(False))
         | F.coalesce(t <= F.col(f"{label}_to"), F.lit(False))
         | F.exists(f"{label}_inside", lambda w: (t >= w["_lo"]) & (t <= w["_hi"])),
         F.lit(False))
-    return (
-        flows.filter(t.isNotNull() & ~F.isnan(t))
-        .withColumn("_bin", _bin(t, width))
-        .join(window_cover(windows, grace, width), ["client_id", "_bin"], "left")
-        .withColumns({"in_attack": hit(ATTACK), "in_benign": hit(BENIGN)})
-        .select(*flows.columns, "in_attack", "in_benign")
-    )
+    disjoint = _disjoint(_widened(windows, grace))
+    found = flows.filter(t.isNotNull() & ~F.isnan(t)).withColumns({"in_attack": F.lit(False), "in_benign": F.lit(False)})
+    long = F.col("_hi") - F.col("_lo") >= DAY
+    for width, part in ((fine, disjoint.filter(~long)), (DAY, disjoint.filter(long))):
+        found = (
+            found.withColumn("_bin", _bin(t, width)).join(window_cover(part, width), ["client_id", "_bin"], "left")
+            .withColumns({"in_attack": F.col("in_attack") | hit(ATTACK), "in_benign": F.col("in_benign") | hit(BENIGN)})
+            .select(*flows.columns, "in_attack", "in_benign")
+        )
+    return found
 
 
 def ambiguous_bins(flows: DataFrame, windows: DataFrame, grace: float = fv.LABEL_GRACE_SECONDS,
@@ -106,11 +134,17 @@ def ambiguous_bins(flows: DataFrame, windows: DataFrame, grace: float = fv.LABEL
     means = counts.groupBy("client_id").agg(F.avg("flows").alias("mean_flows"))
     first = _bin(F.col("window_start") - grace, width)
     steps = F.ceil((F.col("window_end") - F.col("window_start") + 2 * grace) / width).cast("bigint")
+    per_day = int(DAY / width)
+    day = lambda c: F.floor(c / F.lit(float(per_day))).cast("bigint")
+    # A window is one row per day, however long it is; the minutes are compared in the join.
     safe = windows.filter(steps > 0).select(
-        "client_id", F.explode(F.sequence(first, first + steps - 1)).alias("minute_bin")).distinct()
+        F.col("client_id").alias("_client"), first.alias("_first"), (first + steps - 1).alias("_last")).select(
+        "_client", "_first", "_last", F.explode(F.sequence(day(F.col("_first")), day(F.col("_last")))).alias("_day")).distinct()
+    explained = (F.col("client_id") == F.col("_client")) & (day(F.col("minute_bin")) == F.col("_day")) & F.col("minute_bin").between(
+        F.col("_first"), F.col("_last"))
     return (
         counts.join(means, "client_id").filter(F.col("flows") >= factor * F.col("mean_flows"))
-        .join(safe, ["client_id", "minute_bin"], "left_anti")
+        .join(safe, explained, "left_anti")
     )
 
 
@@ -149,25 +183,28 @@ def with_holdout(rows: DataFrame, row_id: str, fraction: float = fv.HOLDOUT_FRAC
     return rows.withColumn("is_holdout", F.substring(draw(row_id, seed), 1, 8) < limit)
 
 
-def balanced(rows: DataFrame, row_id: str, seed: int = 1) -> DataFrame:
+def balanced(rows: DataFrame, row_id: str, seed: int = 1, max_rows_per_class: int = fv.MAX_ROWS_PER_CLASS) -> DataFrame:
     """As many rows of each class as the client's rarer class has, drawn at random.
 
-    The k lowest draws are found by counting per draw prefix; only the one prefix the limit
-    falls into is ranked, so no client is ever sorted as a whole.
+    ``max_rows_per_class`` bounds a client's training sample. The k lowest draws are found by
+    counting per draw prefix; only the one prefix the limit falls into is ranked, so no client
+    is ever sorted as a whole.
     """
     drawn = rows.withColumn("_draw", draw(row_id, seed)).withColumn("_prefix", F.substring("_draw", 1, 4))
     counts = drawn.groupBy("client_id", "y", "_prefix").agg(F.count("*").alias("_n"))
-    sizes = drawn.groupBy("client_id").agg(F.least(
-        F.count_if(F.col("y") == fv.LABEL_ATTACK), F.count_if(F.col("y") == fv.LABEL_BENIGN)).alias("_k"))
+    of = lambda label: F.sum(F.when(F.col("y") == label, F.col("_n")).otherwise(0))
+    sizes = counts.groupBy("client_id").agg(
+        F.least(of(fv.LABEL_ATTACK), of(fv.LABEL_BENIGN), F.lit(max_rows_per_class)).alias("_k"))
     upto = Window.partitionBy("client_id", "y").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     limits = counts.withColumn("_below", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(sizes, "client_id").select(
         "client_id", "y", "_prefix", (F.col("_k") - F.col("_below")).alias("_room"), "_n"
     ).filter("_room > 0")
     placed = drawn.join(limits, ["client_id", "y", "_prefix"])
-    rank = F.row_number().over(Window.partitionBy("client_id", "y", "_prefix").orderBy("_draw", row_id))
-    whole = placed.filter("_n <= _room").select(*rows.columns)
-    cut = placed.filter("_n > _room").withColumn("_rank", rank).filter("_rank <= _room").select(*rows.columns)
-    return whole.unionByName(cut)
+    # Prefixes below the limit count as ranked first: their rows are spread by draw, not gathered.
+    spread = F.when(F.col("_n") <= F.col("_room"), F.col("_draw"))
+    rank = F.row_number().over(Window.partitionBy("client_id", "y", "_prefix", spread).orderBy("_draw", row_id))
+    kept = (F.col("_n") <= F.col("_room")) | (F.col("_rank") <= F.col("_room"))
+    return placed.withColumn("_rank", rank).filter(kept).select(*rows.columns)
 
 
 # --- evaluation -------------------------------------------------------------------
@@ -206,7 +243,6 @@ def improved(before: DataFrame, after: DataFrame, fp_tolerance: float = 0.0,
 LAYER_TYPE = "array<struct<values: array<double>, rows: int, cols: int>>"
 STATE = "client_id string, n bigint, weights array<double>"
 LEARNING_RATE, BATCH_ROWS = 0.001, 200
-SHARD_ROWS = 50_000
 
 
 def flat_weights(model: Model) -> np.ndarray:
@@ -252,92 +288,44 @@ def _train(model: Model, x: np.ndarray, y: np.ndarray, epochs: int, rng: np.rand
     return Model(weights[:k], weights[k:], model.mean, model.scale, model.activation, model.classes)
 
 
-def _shards(rows: DataFrame, row_id: str, shard_rows: int) -> DataFrame:
-    """Spread each client's rows over shards of about ``shard_rows``."""
-    parts = rows.groupBy("client_id").agg(
-        F.ceil(F.count("*") / F.lit(float(shard_rows))).cast("int").alias("shards"))
-    number = F.conv(F.substring(draw(row_id, 2), 1, 12), 16, 10).cast("bigint")
-    return rows.join(parts, "client_id").withColumn("shard", F.pmod(number, F.col("shards")).cast("int"))
-
-
-def _held(states: DataFrame) -> DataFrame:
-    """Weights per shard under names of their own, as the co-grouping needs."""
-    return states.select(
-        F.col("client_id").alias("held_client"), F.col("shard").alias("held_shard"), F.col("weights").alias("weights"))
-
-
 def fine_tune(
     sample: DataFrame, model: Model, row_id: str, epochs: int = fv.FINE_TUNE_EPOCHS,
-    features: tuple[str, ...] = fv.MODEL_FEATURES, shard_rows: int = SHARD_ROWS, seed: int = 0,
+    features: tuple[str, ...] = fv.MODEL_FEATURES, seed: int = 0,
 ) -> DataFrame:
     """One model per client, warm-started, the scaler left as it is.
 
-    A client that fits one shard trains in a single task. A larger one trains its shards side
-    by side and averages them by rows after every epoch, so no task holds a whole client.
-    ``sample`` has the prepared features in ``x``. Returns client, rows and flat weights.
+    Every client trains in one task on its whole sample; ``max_rows_per_class`` of ``balanced``
+    bounds that. ``sample`` has the prepared features in ``x``. Returns client, rows and flat weights.
     """
     model = model.validated(features)
-    sharded = _shards(sample, row_id, shard_rows).select("client_id", "shards", "shard", row_id, "y", "x")
-    single = sharded.filter("shards = 1")
 
-    def tuned(pdf: pd.DataFrame, start: Model, rounds: int, number: int) -> pd.DataFrame:
+    def tuned(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row_id)
-        rng = np.random.default_rng([seed, number, int(pdf["shard"].iloc[0])])
-        after = _train(start, np.stack(pdf["x"]), pdf["y"].to_numpy(float), rounds, rng)
-        return pd.DataFrame({"client_id": [pdf["client_id"].iloc[0]], "n": [len(pdf)],
-                             "weights": [flat_weights(after)]})
-
-    result = single.groupBy("client_id").applyInPandas(lambda pdf: tuned(pdf, model, epochs, 0), STATE)
-    large = sharded.filter("shards > 1")
-    if large.isEmpty():
-        return result
-    # Read once per epoch, so it is written out first; the state follows the same way.
-    large = checkpointed(large)
-    places = large.select("client_id", "shard").distinct()
-    state = places.select("client_id").distinct().select(
-        "client_id", F.lit(None).cast("array<double>").alias("weights"))
-
-    def one_epoch(number: int):
-        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            flat = right["weights"].iloc[0]
-            start = model if flat is None else with_weights(model, np.asarray(flat))
-            return tuned(left, start, 1, number)
-        return run
-
-    for number in range(epochs):
-        held = _held(places.join(state, "client_id"))
-        trained = large.groupBy("client_id", "shard").cogroup(held.groupBy("held_client", "held_shard")).applyInPandas(
-            one_epoch(number), STATE)
-        state = checkpointed(_average_flat(trained))
-    return result.unionByName(state.select("client_id", "n", "weights"))
-
-
-def _average_flat(states: DataFrame) -> DataFrame:
-    at = states.select("client_id", "n", F.posexplode("weights").alias("at", "w"))
-    mean = at.groupBy("client_id", "at").agg(
-        (F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), F.sum("n").alias("n"))
-    return mean.groupBy("client_id").agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda s: s["w"]).alias("weights"))
-
-
-def scored_by_client(rows: DataFrame, models: DataFrame, model: Model, row_id: str,
-                     shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Score each client's rows with its own weights: client, row id, ``y``, ``p_attack``."""
-    sharded = _shards(rows, row_id, shard_rows).select("client_id", "shard", row_id, "y", "x")
-    places = sharded.select("client_id", "shard").distinct()
-    held = _held(places.join(models, "client_id"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return left[["client_id", row_id, "y"]].assign(p_attack=np.nan).head(0)
-        own = with_weights(model, np.asarray(right["weights"].iloc[0]))
-        return left[["client_id", row_id, "y"]].assign(
-            p_attack=own.attack_probability(np.stack(left["x"])))
-
-    id_type = dict(rows.dtypes)[row_id]
-    return sharded.groupBy("client_id", "shard").cogroup(held.groupBy("held_client", "held_shard")).applyInPandas(
-        score, f"client_id string, {row_id} {id_type}, y int, p_attack double")
+        after = _train(model, np.stack(pdf["x"]), pdf["y"].to_numpy(float), epochs, np.random.default_rng(seed))
+        return pd.DataFrame({"client_id": [pdf["client_id"].iloc[0]], "n": [len(pdf)], "weights": [flat_weights(after)]})
+
+    return sample.select("client_id", row_id, "y", "x").groupBy("client_id").applyInPandas(tuned, STATE)
+
+
+def scored_by_client(rows: DataFrame, models: DataFrame, model: Model, row_id: str) -> DataFrame:
+    """Score each client's rows with its own weights: client, row id, ``y``, ``p_attack``.
+
+    The weights come along as one array per row of a batch; batches of rows, not clients, are held.
+    """
+    width = len(model.mean)
+
+    @F.arrow_udf("double")
+    def probability(client: pa.Array, x: pa.Array, weights: pa.Array) -> pa.Array:
+        vectors = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        names = client.to_numpy(zero_copy_only=False)
+        out = np.empty(len(names))
+        for name in set(names):
+            at = np.flatnonzero(names == name)
+            out[at] = with_weights(model, np.asarray(weights[int(at[0])].as_py())).attack_probability(vectors[at])
+        return pa.array(out)
+
+    own = rows.select("client_id", row_id, "y", "x").join(models.select("client_id", "weights"), "client_id")
+    return own.select("client_id", row_id, "y", probability("client_id", "x", "weights").alias("p_attack"))
 
 
 # --- federated round --------------------------------------------------------------

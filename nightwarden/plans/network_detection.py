@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import NumericType
 
 from nightwarden import fixed_values as fv
 from nightwarden.functions import clock
-from nightwarden.functions.numbers import finite_or_zero, number_or_zero, ordered, protocol_number, severity
+from nightwarden.functions.numbers import finite_or_zero, no_number, number_or_zero, ordered, protocol_number, severity
+from nightwarden.session import checkpointed
 
 BATCH = ["client_id", "batch_start"]
 
@@ -53,8 +55,10 @@ def prepare_features(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATU
 
 def without_skip_ports(rows: DataFrame) -> DataFrame:
     """Drop flows to ports whose normal traffic looks like an attack; no port is kept."""
-    port = finite_or_zero(F.col("DestinationPort"))
-    return rows.filter(~port.isin(*[float(p) for p in fv.SKIP_PORTS]))
+    ports, column = [float(p) for p in fv.SKIP_PORTS], F.col("DestinationPort")
+    if isinstance(rows.schema["DestinationPort"].dataType, NumericType):  # plain, so that the scan sees it
+        return rows.filter(column.isNull() | ~column.isin(*ports))
+    return rows.filter(~finite_or_zero(column).isin(*ports))
 
 
 def with_signal(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATURES) -> DataFrame:
@@ -63,14 +67,18 @@ def with_signal(rows: DataFrame, features: tuple[str, ...] = fv.MODEL_FEATURES)
     return rows.filter(F.exists(F.array(*signal), lambda x: x != 0))
 
 
-def batch_of(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS) -> DataFrame:
-    """Add the start of the scoring batch; flows without a start share the batch NULL."""
-    slice_ = F.floor(F.col("FlowStartTime") / F.lit(float(seconds))).cast("bigint")
-    return rows.withColumn("batch_start", slice_ * seconds)
+def batch_of(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS, as_of: float | None = None) -> DataFrame:
+    """Add the start of the scoring batch and ``as_of``, the time of ingest.
+
+    Flows without a start belong to the batch of their ingest; without that, to the batch NULL.
+    """
+    ingest = F.lit(None if as_of is None else float(as_of)).cast("double")
+    slice_ = F.floor(F.coalesce(F.col("FlowStartTime"), ingest) / F.lit(float(seconds))).cast("bigint")
+    return rows.withColumns({"batch_start": slice_ * seconds, "as_of": ingest})
 
 
 def scoring_rows(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS,
-                 features: tuple[str, ...] = fv.MODEL_FEATURES) -> DataFrame:
+                 features: tuple[str, ...] = fv.MODEL_FEATURES, as_of: float | None = None) -> DataFrame:
     """Rows worth scoring with the prepared feature vector ``x``; raw columns stay as read."""
     rows = trimmed_names(rows)
     absent = [f for f in features if f not in rows.columns]
@@ -85,7 +93,7 @@ def scoring_rows(rows: DataFrame, seconds: int = fv.SCORING_BATCH_SECONDS,
     # One array keeps the row narrow enough for generated code, too.
     vectors = without_skip_ports(complete).withColumn("_x", prepared)
     kept = F.filter(F.array("_x"), says)
-    return batch_of(vectors.select(*complete.columns, F.explode(kept).alias("x")), seconds)
+    return batch_of(vectors.select(*complete.columns, F.explode(kept).alias("x")), seconds, as_of)
 
 
 # --- model ------------------------------------------------------------------------
@@ -140,25 +148,34 @@ def scored(rows: DataFrame, model: Model, features: tuple[str, ...] = fv.MODEL_F
 
 # --- labels and metadata ----------------------------------------------------------
 
-def _holds(feature: str, comparison: str, bound) -> Column:
-    """One condition on a flow feature; NULL counts as 0 and NaN meets no comparison."""
-    value = number_or_zero(F.col(feature))
-    if comparison == "in":
-        return value.isin(*[float(b) for b in bound])
-    if comparison in ("<", "<="):  # false for NaN as it is, Spark orders NaN last
-        return value < bound if comparison == "<" else value <= bound
-    if comparison == ">=":
-        return ordered(value, lambda v: v >= bound)
-    above = ordered(value, lambda v: v > bound)
-    return ~above if comparison.startswith("not") else above
-
-
 def attack_type() -> Column:
-    """Attack category of a flagged flow, most specific first."""
-    chain = F
-    for attack, conditions in fv.ATTACK_CONDITIONS:
-        chain = chain.when(reduce(and_, (_holds(*c) for c in conditions)), attack)
-    return chain.otherwise(fv.GENERIC_ATTACK)
+    """Attack category of a flagged flow, most specific first.
+
+    NULL counts as 0 and NaN meets no limit; a flow with text for a figure gets the generic type.
+    """
+    value = lambda name: number_or_zero(F.col(name))
+    above = lambda name, limit: ordered(value(name), lambda v: v > limit)
+    below = lambda name, limit: value(name) < limit  # noqa: E731  false for NaN, which Spark orders last
+    port = lambda *ports: value("DestinationPort").isin(*[float(p) for p in ports])
+    answered = above("BwdPacketsPerSec", 0)
+    logon = below("AveragePacketSize", fv.LOGON_PACKET) & below("TotalFwdPackets", fv.LOGON_PACKETS)
+    used = ("FlowBytesPerSec", "AveragePacketSize", "FlowPacketsPerSec", "BwdPacketsPerSec", "FlowDurationMs", "TotalFwdPackets",
+            "MinPacketLength", "DestinationPort", "InitWinBytesFwd", "FwdIATStd", "BwdIATMax")
+    return (
+        F.when(reduce(or_, (no_number(F.col(name)) for name in used)), fv.GENERIC_ATTACK)
+        .when(above("FlowBytesPerSec", fv.VOLUME_BYTES_PER_SEC) & below("AveragePacketSize", fv.SMALL_PACKET), "DDoS / Volumetric Flood")
+        .when(above("FlowPacketsPerSec", fv.FLOOD_PACKETS_PER_SEC) & ~answered & below("AveragePacketSize", fv.SMALL_PACKET), "UDP Flood")
+        .when(below("FlowDurationMs", fv.SCAN_DURATION_US) & (value("TotalFwdPackets") <= fv.SCAN_MAX_PACKETS) & ~answered
+              & below("MinPacketLength", fv.SMALL_PACKET), "Port Scan")
+        .when(port(fv.SSH_PORT) & logon, "SSH Brute Force")
+        .when(port(fv.FTP_PORT) & logon, "FTP Brute Force")
+        .when(port(*fv.HTTP_PORTS) & above("FlowBytesPerSec", fv.HTTP_BYTES_PER_SEC) & answered, "DoS – HTTP Flood")
+        .when(port(*fv.WEB_PORTS) & ordered(value("InitWinBytesFwd"), lambda v: v >= fv.WEB_WINDOW)
+              & above("TotalFwdPackets", fv.WEB_MIN_PACKETS) & above("FlowBytesPerSec", fv.WEB_BYTES_PER_SEC), "Web Attack")
+        .when(above("FlowDurationMs", fv.BEACON_DURATION_US) & below("AveragePacketSize", fv.BEACON_PACKET)
+              & below("FwdIATStd", fv.BEACON_FWD_SPREAD) & below("BwdIATMax", fv.BEACON_BWD_GAP) & answered, "Botnet C2 Beaconing")
+        .otherwise(fv.GENERIC_ATTACK)
+    )
 
 
 def metadata(spark: SparkSession) -> DataFrame:
@@ -183,14 +200,15 @@ def evidence() -> Column:
     return F.to_json(F.struct(*[F.round(F.col(f), 4).alias(f) for f in fv.EVIDENCE_FEATURES]))
 
 
-def batch_time() -> Column:
-    """Alert time of a batch: its latest flow start, NULL when there is none above 0."""
+def batch_time(rows: DataFrame) -> Column:
+    """Alert time of a batch: its latest flow start above 0, else the time of ingest."""
     latest = F.max("FlowStartTime")
-    return F.when(latest > 0, latest).alias("batch_time")
+    ingest = F.max("as_of") if "as_of" in rows.columns else F.lit(None).cast("double")
+    return F.when(latest > 0, latest).otherwise(ingest).alias("batch_time")
 
 
 def batch_times(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*BATCH).agg(batch_time())
+    return rows.groupBy(*BATCH).agg(batch_time(rows))
 
 
 # --- alerts -----------------------------------------------------------------------
@@ -212,7 +230,7 @@ def flagged_figures(rows: DataFrame, threshold: float = fv.ALERT_THRESHOLD) -> D
     confidence, start = F.when(hit, F.col("p_attack")), F.when(hit, F.col("FlowStartTime"))
     return rows.groupBy(*BATCH).agg(
         F.count_if(hit).alias("flow_count"), F.avg(confidence).alias("mean_conf"), F.max(confidence).alias("max_conf"),
-        F.min(start).alias("first_start"), F.max(start).alias("last_start"), batch_time(),
+        F.min(start).alias("first_start"), F.max(start).alias("last_start"), batch_time(rows),
     ).filter("flow_count > 0")
 
 
@@ -237,27 +255,38 @@ def flow_alerts(rows: DataFrame, flow_id: str = "flow_no", threshold: float = fv
 
 
 def top_ports(flags: DataFrame, keep: int = fv.TOP_PORTS) -> DataFrame:
-    """Most frequent destination ports per batch, the lower port first on ties."""
-    port = F.col("DestinationPort").cast("int")
+    """Most frequent destination ports per batch, the lower port first on ties; no port is no row."""
+    number = F.col("DestinationPort").try_cast("double")
+    port = F.when(~F.isnan(number), number.try_cast("int"))
     counts = flags.filter(port.isNotNull()).groupBy(*BATCH, port.alias("port")).agg(F.count("*").alias("flows"))
     rank = F.row_number().over(Window.partitionBy(*BATCH).orderBy(F.desc("flows"), "port"))
     return counts.withColumn("place", rank).filter(F.col("place") <= keep)
 
 
-def dominant_types(flags: DataFrame, order: str = "flow_no", sample: int = fv.DOMINANT_TYPE_SAMPLE) -> DataFrame:
-    """Most frequent attack type among the first flagged flows; the first seen wins ties."""
-    place = F.row_number().over(Window.partitionBy(*BATCH).orderBy("FlowStartTime", order))
-    counts = (
-        flags.select(*BATCH, "FlowStartTime", order, "attack_type")
-        .withColumn("place", place).filter(F.col("place") <= sample)
-        .groupBy(*BATCH, "attack_type").agg(F.count("*").alias("n"), F.min("place").alias("seen"))
-    )
-    return counts.groupBy(*BATCH).agg(
-        F.max_by("attack_type", F.struct(F.col("n"), -F.col("seen"))).alias("attack_type"))
+def dominant_types(flags: DataFrame, order: str = "flow_no") -> DataFrame:
+    """Most frequent attack type among all flagged flows; the first seen wins ties."""
+    counts = flags.groupBy(*BATCH, "attack_type").agg(
+        F.count("*").alias("n"), F.min(F.struct("FlowStartTime", order)).alias("seen"))
+    return counts.groupBy(*BATCH).agg(F.min_by("attack_type", F.struct(-F.col("n"), F.col("seen"))).alias("attack_type"))
+
+
+#: What alerts read of scored rows beside the order column.
+READ = tuple(dict.fromkeys((
+    *BATCH, "as_of", "FlowStartTime", "p_attack", *fv.EVIDENCE_FEATURES, "FlowPacketsPerSec", "BwdPacketsPerSec", "FlowDurationMs",
+    "TotalFwdPackets", "MinPacketLength", "InitWinBytesFwd", "FwdIATStd", "FINFlagCount", "PSHFlagCount", "ACKFlagCount")))
+
+
+def _once(rows: DataFrame, order: str) -> DataFrame:
+    """The scored rows, written: scoring runs once however many figures follow."""
+    return checkpointed(rows.select(*[c for c in dict.fromkeys((*READ, order)) if c in rows.columns]))
 
 
 def burst_summaries(rows: DataFrame, order: str = "flow_no", threshold: float = fv.ALERT_THRESHOLD) -> DataFrame:
     """One row per batch with more flagged flows than a burst allows."""
+    return _burst_summaries(_once(rows, order), order, threshold)
+
+
+def _burst_summaries(rows: DataFrame, order: str, threshold: float) -> DataFrame:
     flags = flagged(rows, threshold)
     totals = flagged_figures(rows, threshold).filter(F.col("flow_count") > fv.BURST_MIN_FLOWS)
     ports = top_ports(flags).groupBy(*BATCH).agg(F.map_from_entries(F.transform(
@@ -267,8 +296,12 @@ def burst_summaries(rows: DataFrame, order: str = "flow_no", threshold: float =
 
 
 def burst_alerts(rows: DataFrame, order: str = "flow_no", threshold: float = fv.ALERT_THRESHOLD) -> DataFrame:
+    return _burst_alerts(_once(rows, order), order, threshold)
+
+
+def _burst_alerts(rows: DataFrame, order: str, threshold: float) -> DataFrame:
     stamp = clock.iso_seconds(F.col("batch_time"))
-    return with_metadata(burst_summaries(rows, order, threshold)).withColumns({
+    return with_metadata(_burst_summaries(rows, order, threshold)).withColumns({
         "alert_id": F.sha2(F.concat_ws("|", F.lit("burst"), "client_id", F.col("batch_start").cast("string")), 256),
         "timestamp": stamp,
         "window_start": F.coalesce(clock.iso_seconds(F.col("first_start")), stamp),
@@ -302,20 +335,20 @@ def batch_rule_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*BATCH).agg(
         F.count_if(scan_like()).alias("scan_flows"),
         F.count_distinct(F.when(scan_like(), F.col("DestinationPort"))).alias("scan_ports"),
-        F.count_if(flood_like()).alias("flood_flows"), batch_time(),
+        F.count_if(flood_like()).alias("flood_flows"), batch_time(rows),
     )
 
 
 def batch_rule_hits(rows: DataFrame, scan_flows: int = fv.PORTSCAN_MIN_FLOWS,
                     scan_ports: int = fv.PORTSCAN_MIN_PORTS, flood_flows: int = fv.FLOOD_MIN_FLOWS) -> DataFrame:
-    """Batches that meet a rule: attack type, flow count and a one-line summary."""
+    """Batches that meet a rule: attack type, flow count and, for a scan, distinct ports."""
     c = F.col
     scan = F.when((c("scan_flows") >= scan_flows) & (c("scan_ports") >= scan_ports), F.struct(
         F.lit("Port Scan").alias("attack_type"), c("scan_flows").alias("flow_count"),
-        F.format_string(fv.SCAN_SUMMARY, c("scan_flows"), c("scan_ports")).alias("summary")))
+        c("scan_ports").alias("port_count")))
     flood = F.when(c("flood_flows") >= flood_flows, F.struct(
         F.lit("UDP Flood").alias("attack_type"), c("flood_flows").alias("flow_count"),
-        F.format_string(fv.FLOOD_SUMMARY, c("flood_flows")).alias("summary")))
+        F.lit(None).cast("bigint").alias("port_count")))
     hits = F.filter(F.array(scan, flood), lambda h: h.isNotNull())
     return batch_rule_counts(rows).select(*BATCH, "batch_time", F.explode(hits).alias("h")).select(
         *BATCH, "batch_time", "h.*")
@@ -329,17 +362,15 @@ def batch_rule_alerts(rows: DataFrame, **limits: int) -> DataFrame:
         "timestamp": stamp, "window_start": stamp, "window_end": stamp,
         "track": F.lit(fv.TRACK_NETWORK), "confidence": F.lit(fv.BATCH_RULE_CONFIDENCE),
         "severity": F.lit(fv.SEVERITY_HIGH), "event_count": F.col("flow_count").cast("int"),
-        "evidence": F.to_json(F.struct("summary", F.lit(fv.METHOD_RULE).alias("method"), "flow_count")),
+        "evidence": F.to_json(F.struct(F.lit(fv.METHOD_RULE).alias("method"), "flow_count", "port_count")),
     }).select(*ALERT_FIELDS)
 
 
 def network_alerts(rows: DataFrame, order: str = "flow_no") -> DataFrame:
-    """All alerts of scored rows: single flows, bursts, batch rules.
-
-    The rows are read several times, so score once and hand in the written (or, per
-    micro-batch, persisted) result rather than the scoring plan itself.
-    """
-    return flow_alerts(rows, order).unionByName(burst_alerts(rows, order)).unionByName(batch_rule_alerts(rows))
+    """All alerts of scored rows: single flows, bursts, batch rules."""
+    rows = _once(rows, order)
+    bursts = _burst_alerts(rows, order, fv.ALERT_THRESHOLD)
+    return flow_alerts(rows, order).unionByName(bursts).unionByName(batch_rule_alerts(rows))
 
 
 def batch_counters(rows: DataFrame, threshold: float = fv.ALERT_THRESHOLD, **limits: int) -> DataFrame:

@@ -15,31 +15,11 @@ PACKETS = (
     "flag_cwe BOOLEAN, flag_ece BOOLEAN"
 )
 MODEL_FLOWS = ", ".join(f"{name} DOUBLE" for name in (*fv.MODEL_FEATURES, "FlowStartTime"))
-ALERTS = (
-    "alert_id STRING, received_at DOUBLE, client_id STRING, client_ip STRING, timestamp STRING, "
-    "track INT, attack_type STRING, severity INT, confidence DOUBLE, window_start STRING, "
-    "window_end STRING, event_count INT, evidence STRING, rule_id STRING, mitre_id STRING, "
-    "mitre_tactic STRING, suggestion STRING, risk_note STRING, raw_log STRING, "
-    "predictions ARRAY<STRUCT<label: STRING, confidence: DOUBLE>>"
-)
-HEARTBEATS = (
-    "client_id STRING, client_ip STRING, agent_version STRING, host_model_hash STRING, "
-    "net_model_hash STRING, last_seen DOUBLE, uptime_seconds INT, host_track_ok BOOLEAN, "
-    "net_track_ok BOOLEAN, host_alerts_total INT, net_alerts_total INT, ioc_matches_total INT, "
-    "rule_hits_total INT"
-)
 LAYER = "STRUCT<values: ARRAY<DOUBLE>, rows: INT, cols: INT>"
 WEIGHTS = (
     f"coefs ARRAY<{LAYER}>, intercepts ARRAY<{LAYER}>, scaler_mean ARRAY<DOUBLE>, "
     "scaler_scale ARRAY<DOUBLE>"
 )
-FL_UPDATES = (
-    "received_at DOUBLE, client_id STRING, track INT, sample_count INT, base_round INT, "
-    f"local_loss DOUBLE, {WEIGHTS}"
-)
 MODELS = (
     f"track INT, round INT, version STRING, client_count INT, updated_at DOUBLE, {WEIGHTS}"
 )
-LABEL_WINDOWS = (
-    "client_id STRING, window_start DOUBLE, window_end DOUBLE, label STRING"
-)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     # Event clocks are compared with epoch values, so the zone is pinned.
@@ -50,6 +50,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, broadcast in a join if it has at most ``rows``; else as it is."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def local_session(cpus: int | str = "*", **extra: str) -> SparkSession:
     """Session for tests and the benchmark; a cluster supplies its own."""
     builder = (

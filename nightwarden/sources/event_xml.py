@@ -11,42 +11,45 @@ XML_SCHEMA = (
     "Computer: STRING, TimeCreated: STRUCT<_SystemTime: STRING>>, "
     "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>, UserData STRING"
 )
-# Leaves of free-form user data the rules read; the first value of a name wins.
-USER_DATA_FIELDS = ("Namespace", "Query", "Name", "Consumer", "SubjectUserName")
+LEAF = r"<([\w.-]+)(?:\s[^<>]*)?>([^<]*)</\1\s*>"
 
 
-def _event_data(data: Column) -> Column:
-    """Named values under their name and its lower case, others as ``data_<position>``."""
-    entries = F.transform(
+def _entries(data: Column) -> Column:
+    """Name and value as written; a value without a name is ``data_<position>``."""
+    return F.transform(
         F.coalesce(data, F.array()),
         lambda d, i: F.struct(
             F.coalesce(F.nullif(d["_Name"], F.lit("")), F.concat(F.lit("data_"), i.cast("string"))).alias("key"),
             F.trim(F.coalesce(d["_VALUE"], F.lit(""))).alias("value"),
         ),
     )
-    # Interleaved so that a later repetition overwrites both spellings.
-    both = F.flatten(F.transform(
-        entries, lambda e: F.array(e, F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    ))
-    return F.map_from_entries(both)
+
+
+def _both_spellings(entries: Column) -> Column:
+    """Every entry under its name and its lower case; a later repetition overwrites both."""
+    return F.map_from_entries(F.flatten(F.transform(
+        entries, lambda e: F.array(e, F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))))
+
+
+def _decoded(value: Column) -> Column:
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(sign))
+    return F.trim(value)
 
 
 def _user_data(xml: Column) -> Column:
-    # Prefixes and namespace declarations are dropped so that plain paths find the leaves.
-    plain = F.concat(F.lit("<u>"), F.regexp_replace(
-        F.regexp_replace(xml, r"\sxmlns(:\w+)?=('[^']*'|\"[^\"]*\")", ""), r"(</?)\w+:", "$1"), F.lit("</u>"))
-    pairs = []
-    for name in USER_DATA_FIELDS:
-        value = F.trim(F.xpath_string(plain, F.lit(f"//{name}")))
-        pairs += [F.struct(F.lit(name).alias("key"), value.alias("value")),
-                  F.struct(F.lit(name.lower()).alias("key"), value.alias("value"))]
-    found = F.filter(F.array(*pairs), lambda p: p["value"] != "")
-    return F.when(xml.isNotNull() & F.contains(xml, F.lit("<")), F.map_from_entries(found)).otherwise(
+    """All leaves of free-form user data that hold a value; the first value of a name wins."""
+    plain = F.regexp_replace(xml, r"(</?)[\w.-]+:", "$1")  # no prefixes
+    leaves = F.arrays_zip(F.regexp_extract_all(plain, F.lit(LEAF), F.lit(1)).alias("key"),
+                          F.regexp_extract_all(plain, F.lit(LEAF), F.lit(2)).alias("value"))
+    entries = F.transform(leaves, lambda e: F.struct(e["key"].alias("key"), _decoded(e["value"]).alias("value")))
+    found = F.reverse(F.filter(entries, lambda e: e["value"] != ""))  # the last entry of a name is kept
+    return F.when(xml.isNotNull() & F.contains(xml, F.lit("<")), _both_spellings(found)).otherwise(
         F.create_map().cast("map<string,string>"))
 
 
-def parse_events(raw: DataFrame, xml: str = "raw_xml", log_id: str = "log_id") -> DataFrame:
-    """Host events from raw XML; text that is no event XML is dropped."""
+def _parsed(raw: DataFrame, xml: str, log_id: str) -> DataFrame:
+    """System fields and the parsed record ``x``; text that is no event XML is dropped."""
     parse = F.from_xml(F.col("raw_xml"), XML_SCHEMA, {"mode": "PERMISSIVE"})
     # Exploding the kept record parses once; a plain filter on it would parse twice.
     kept = F.filter(F.array(parse), lambda x: x["System"].isNotNull())
@@ -62,17 +65,22 @@ def parse_events(raw: DataFrame, xml: str = "raw_xml", log_id: str = "log_id") -
         system("Channel").alias("channel"),
         system("Computer").alias("computer"),
         F.try_to_timestamp(F.col("x.System.TimeCreated._SystemTime")).alias("event_time"),
-        # Event data wins over user data of the same name.
-        F.map_concat(_user_data(F.col("x.UserData")), _event_data(F.col("x.EventData.Data"))).alias("data"),
-        "raw_xml",
+        "x", "raw_xml",
     )
 
 
+def parse_events(raw: DataFrame, xml: str = "raw_xml", log_id: str = "log_id") -> DataFrame:
+    """Host events from raw XML; event data wins over user data of the same name."""
+    data = F.map_concat(_user_data(F.col("x.UserData")), _both_spellings(_entries(F.col("x.EventData.Data"))))
+    return _parsed(raw, xml, log_id).select(
+        "log_id", "provider", "event_id", "event_code", "level", "channel", "computer", "event_time", data.alias("data"), "raw_xml")
+
+
 def nested_view(raw: DataFrame, xml: str = "raw_xml", log_id: str = "log_id") -> DataFrame:
     """Display form: system fields plus the event data as written, one nested map."""
-    return parse_events(raw, xml, log_id).select(
+    return _parsed(raw, xml, log_id).select(
         "log_id", "event_code", "channel", "computer", "provider", "level", "event_time",
-        F.to_json(F.map_filter("data", lambda k, v: F.lower(k) != k)).alias("data_json"),
+        F.to_json(F.map_from_entries(_entries(F.col("x.EventData.Data")))).alias("data_json"),
     )
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nightwarden import fixed_values as fv
 from nightwarden.schemas import MODEL_FLOWS
-from nightwarden.sources.text_lines import numbered_lines
+from nightwarden.sources.text_lines import numbered_lines, text_lines
 
 
 def write_flows84(flows84: DataFrame, path: str) -> None:
@@ -27,24 +27,50 @@ def write_model_rows(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 
+def _named(header: Column, value: Column, width: int) -> Column:
+    """Cells of a CSV line by the trimmed names of its file's header."""
+    cells = lambda line: F.from_csv(line, ", ".join(f"c{i} STRING" for i in range(width)))
+    trimmed = lambda line: F.transform(F.array(*[cells(line)[f"c{i}"] for i in range(width)]), lambda c: F.trim(c))
+    pairs = F.filter(F.arrays_zip(trimmed(header).alias("key"), trimmed(value).alias("value")), lambda p: p["key"] != "")
+    return F.map_from_entries(pairs)
+
+
+def _model_rows(cells: DataFrame, names: list[str], rest: list[str]) -> DataFrame:
+    number = lambda c: F.col("cells")[c].try_cast("double").alias(c)
+    return cells.select(*[F.col("cells")[c].alias(c) for c in rest], *[number(c) for c in names])
+
+
 def read_model_csv(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
-    """Model rows from CSV; columns are matched by header, values that are no number are NULL."""
+    """Model rows from CSV files; each file's columns are matched by its own header.
+
+    Files may have their columns in any order, or lack some. Values that are no number are
+    NULL; columns no model knows come along as text. Lines equal to the header are headers.
+    """
     names = [c.split()[0] for c in f"{MODEL_FLOWS}{extra}".split(", ")]
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option(
-        "ignoreTrailingWhiteSpace", True).csv(path)
-    trimmed = raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns])
-    number = lambda c: (F.col(c) if c in trimmed.columns else F.lit(None)).try_cast("double").alias(c)
-    rest = [c for c in trimmed.columns if c not in names]
-    return trimmed.select(*rest, *[number(c) for c in names])
+    lines = text_lines(spark, path)
+    headers = lines.groupBy("file").agg(F.min_by("value", F.struct("_split", "_read")).alias("header"))
+    columns = headers.select(F.explode(F.split("header", ",")).alias("c")).select(F.trim("c").alias("c")).distinct()
+    rest = sorted({r.c for r in columns.collect()} - set(names) - {""})  # as many as there are column names
+    width = headers.agg(F.coalesce(F.max(F.size(F.split("header", ","))), F.lit(1))).first()[0]
+    body = lines.join(headers, "file").filter((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    return _model_rows(body.select(_named(F.col("header"), F.col("value"), width).alias("cells")), names, rest)
 
 
-def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS, files_per_trigger: int = 1000) -> DataFrame:
-    """New files since the last trigger. The checkpoint remembers what was read, so a restart
-    goes on where it stopped; producers add files instead of appending lines."""
-    return (
-        spark.readStream.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        .option("maxFilesPerTrigger", files_per_trigger).csv(path)
-    )
+def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS, files_per_trigger: int = 1000,
+                     width: int = 128) -> DataFrame:
+    """New files since the last trigger, each by its own header.
+
+    The checkpoint remembers what was read, so a restart goes on where it stopped; producers
+    add files instead of appending lines. A file is read whole and cut into lines.
+    """
+    files = spark.readStream.schema("value STRING").format("text").option("wholetext", True).option(
+        "maxFilesPerTrigger", files_per_trigger).load(path)
+    lines = F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n")
+    body = files.select(F.get(lines, F.lit(0)).alias("header"), F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("value"))
+    kinds = [c.split() for c in schema.split(", ")]
+    cells = body.filter((F.col("value") != F.col("header")) & (F.trim("value") != "")).select(
+        _named(F.col("header"), F.col("value"), width).alias("cells"))
+    return cells.select(*[F.col("cells")[name].try_cast(kind).alias(name) for name, kind in kinds])
 
 
 def read_days(spark: SparkSession, path: str, first: dt.date, last: dt.date | None = None) -> DataFrame:
@@ -75,9 +101,20 @@ def export_alerts(alerts: DataFrame, path: str) -> None:
     alerts.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def read_truth_log(spark: SparkSession, path: str, client_id: str) -> DataFrame:
-    """Ground-truth log of a client in file order; a missing file is an empty log."""
-    columns = "unix_us STRING, event STRING, attack_type STRING, detail STRING"
+TRUTH_COLUMNS = "unix_us STRING, event STRING, attack_type STRING, detail STRING"
+
+
+def read_truth_logs(spark: SparkSession, path: str, client_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """Ground-truth logs of many clients, each file in its own order; a missing path is an empty log.
+
+    ``client_pattern`` finds the client in a file's path; by default it is the file's folder.
+    """
+    client = F.regexp_extract("file", client_pattern, 1)
     return numbered_lines(spark, path).filter("line_no > 1 and value != ''").select(
-        "line_no", F.from_csv("value", columns).alias("r")
-    ).select("line_no", "r.*", F.lit(client_id).alias("client_id"))
+        "file", "line_no", F.from_csv("value", TRUTH_COLUMNS).alias("r"), client.alias("client_id")
+    ).select("file", "line_no", "r.*", "client_id")
+
+
+def read_truth_log(spark: SparkSession, path: str, client_id: str) -> DataFrame:
+    """Ground-truth log of one client."""
+    return read_truth_logs(spark, path).withColumn("client_id", F.lit(client_id))

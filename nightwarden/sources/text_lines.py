@@ -6,20 +6,25 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` grows with the position in the file; it is 1 for the first line.
-
-    It is the offset of the line's split plus its number within the split. A split has no
-    more lines than bytes, so numbers of different splits never meet. A missing file has no
-    lines.
-    """
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``_split``, ``_read`` (order inside a split) and ``value``; a missing path has no lines."""
     try:
         text = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "line_no BIGINT, value STRING")
-    placed = text.select(
-        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_read"), "value")
-    inside = F.row_number().over(Window.partitionBy("_split").orderBy("_read"))
-    return placed.select((F.col("_split") + inside).alias("line_no"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        return spark.createDataFrame([], "file STRING, _split BIGINT, _read BIGINT, value STRING")
+    return text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_read"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line_no`` and ``value``; the number grows with the position in the file, from 1.
+
+    It is the offset of the line's split plus its number within the split. A split has no
+    more lines than bytes, so numbers of different splits never meet. Files of a folder are
+    numbered each by itself.
+    """
+    inside = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_read"))
+    return text_lines(spark, path).select("file", (F.col("_split") + inside).alias("line_no"), "value")

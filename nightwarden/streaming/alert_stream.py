@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nightwarden import fixed_values as fv
-from nightwarden.plans.alert_store import FILLABLE, FROM_FIRST, MERGE_KEYS
+from nightwarden.plans.alert_store import FILLABLE, FROM_FIRST, MERGE_KEYS, identified
 
 
 def merged_bursts(alerts: DataFrame, order: str = "arrival", gap_seconds: int = fv.MERGE_SECONDS,
@@ -15,7 +15,7 @@ def merged_bursts(alerts: DataFrame, order: str = "arrival", gap_seconds: int =
     fill = [c for c in FILLABLE if c in alerts.columns]
     place = F.struct("received_at", order)
     unique = (
-        alerts.withColumn("event_time", F.timestamp_micros(F.round(F.col("received_at") * 1e6).cast("bigint")))
+        identified(alerts, order).withColumn("event_time", F.timestamp_micros(F.round(F.col("received_at") * 1e6).cast("bigint")))
         .withWatermark("event_time", delay)
         .dropDuplicatesWithinWatermark(["alert_id"])
     )

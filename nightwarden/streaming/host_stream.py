@@ -21,8 +21,10 @@ from nightwarden.plans import host_detection, host_rules
 from nightwarden.sources.indicators import Indicators
 
 KEYS = host_detection.COUNTER_KEYS
-_STATE = "at array<bigint>, value array<string>, log_id array<bigint>, open int, last_fired bigint"
-_COUNTED = "log_id bigint, at_us bigint, window_total bigint, window_distinct bigint"
+RECORD = host_detection.EVENT_FIELDS
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_STATE = "at array<bigint>, value array<string>, log_id array<bigint>, record array<string>, open int, last_fired bigint"
+_COUNTED = "log_id bigint, at_us bigint, window_total bigint, window_distinct bigint, record string"
 
 
 def single_event_detections(events: DataFrame) -> DataFrame:
@@ -41,8 +43,14 @@ def batch_detections(read_lists: Callable[[], Indicators]) -> Callable[[DataFram
 def threshold_fires(
     events: DataFrame, delay: str = "2 minutes", window_seconds: int = fv.WINDOW_SECONDS, **limits: int
 ) -> DataFrame:
-    """Firing events of the counting rules: key, log id, time and counts."""
+    """Firing events of the counting rules: key, log id, time, counts and the event as JSON.
+
+    An event's text waits in the state until the event is judged; what stays to fill the window
+    is its time and value.
+    """
     rules = host_rules.threshold_rules(**limits)
+    needed = sorted({f for r in rules for f in r.fields})
+    record = F.to_json(F.struct(*RECORD, F.map_filter("data", lambda k, _: k.isin(*needed)).alias("data")), MICROS)
     minimum = {r.rule_id: (r.min_total, r.min_distinct) for r in rules}
     window_us = window_seconds * clock.MICROS
     ids = sorted({i for r in rules for i in r.event_ids})
@@ -50,29 +58,29 @@ def threshold_fires(
     rows = (
         events.withWatermark("event_time", delay)
         .filter(F.col("event_id").isin(*ids))
-        .select("event_time", "computer", "log_id", F.explode(watched).alias("w"))
-        .select("event_time", "computer", "log_id", "w.*", clock.to_micros(F.col("event_time")).alias("at_us"))
+        .select("event_time", "computer", "log_id", record.alias("record"), F.explode(watched).alias("w"))
+        .select("event_time", "computer", "log_id", "record", "w.*", clock.to_micros(F.col("event_time")).alias("at_us"))
     )
 
     def judge(key, batches, state: GroupState):
-        at, value, log_id, seen, last_fired = state.get if state.exists else ([], [], [], 0, -1)
+        at, value, log_id, record, seen, last_fired = state.get if state.exists else ([], [], [], [], 0, -1)
         # The first `seen` entries were judged before and only fill the window.
-        judged = list(zip(at, log_id, value))[:seen]
-        waiting = list(zip(at, log_id, value))[seen:]
+        judged = list(zip(at, log_id, value, record))[:seen]
+        waiting = list(zip(at, log_id, value, record))[seen:]
         for pdf in batches:
-            waiting += list(zip(pdf["at_us"].tolist(), pdf["log_id"].tolist(), pdf["value"].fillna("").tolist()))
+            waiting += list(zip(pdf["at_us"].tolist(), pdf["log_id"].tolist(), pdf["value"].fillna("").tolist(), pdf["record"].tolist()))
         waiting.sort()
         watermark_us = state.getCurrentWatermarkMs() * 1000
         min_total, min_distinct = minimum[key[0]]
         window = deque(judged)
-        present = Counter(v for _, _, v in judged if v)
+        present = Counter(v for _, _, v, _ in judged if v)
         out = []
         done = 0
-        for now, log, v in waiting:
+        for now, log, v, text in waiting:
             if now >= watermark_us:
                 break
             done += 1
-            window.append((now, log, v))
+            window.append((now, log, v, ""))
             if v:
                 present[v] += 1
             while window[0][0] < now - window_us:
@@ -84,27 +92,38 @@ def threshold_fires(
             reached = len(window) >= min_total and len(present) >= min_distinct
             if reached and (last_fired < 0 or now - last_fired >= window_us):
                 last_fired = now
-                out.append((log, now, len(window), len(present)))
+                out.append((log, now, len(window), len(present), text))
         waiting = waiting[done:]
         if not waiting and (not window or window[-1][0] + 2 * window_us < watermark_us):
             state.remove()
         else:
             kept = list(window) + waiting
-            columns = [list(c) for c in zip(*kept)] if kept else [[], [], []]
-            state.update((columns[0], columns[2], columns[1], len(window), last_fired))
+            columns = [list(c) for c in zip(*kept)] if kept else [[], [], [], []]
+            state.update((columns[0], columns[2], columns[1], columns[3], len(window), last_fired))
             wake = waiting[0][0] // 1000 + 1 if waiting else (window[-1][0] + 2 * window_us) // 1000 + 1
             state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
         if out:
-            result = pd.DataFrame(out, columns=["log_id", "at_us", "window_total", "window_distinct"])
+            result = pd.DataFrame(out, columns=["log_id", "at_us", "window_total", "window_distinct", "record"])
             for name, part in zip(KEYS, key):
                 result[name] = part
-            yield result[[*KEYS, "log_id", "at_us", "window_total", "window_distinct"]]
+            yield result[[*KEYS, "log_id", "at_us", "window_total", "window_distinct", "record"]]
 
     return rows.groupBy(*KEYS).applyInPandasWithState(
         judge, ", ".join(f"{k} string" for k in KEYS) + ", " + _COUNTED, _STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
+def threshold_detections(events: DataFrame, **settings) -> DataFrame:
+    """Detections of the counting rules on a stream, in the form of the batch plan."""
+    rules = host_rules.threshold_rules(**{k: v for k, v in settings.items() if k not in ("delay", "window_seconds")})
+    fires = threshold_fires(events, **settings)
+    kinds = ", ".join(f"{name} {kind}" for name, kind in events.dtypes if name in RECORD)
+    fired = fires.withColumn("r", F.from_json("record", f"{kinds}, data MAP<STRING, STRING>", MICROS)).select(
+        *[F.col(f"r.{name}").alias(name) for name in (*RECORD, "data")], *[k for k in KEYS if k != "computer"], "window_total", "window_distinct")
+    described = F.coalesce(*[F.when(F.col("rule") == r.rule_id, r.detection()) for r in rules])
+    return fired.select(*RECORD, described.alias("d")).select(*RECORD, "d.*")
+
+
 def write_batches(stream: DataFrame, path: str, checkpoint: str, transform=None, prepare=None,
                   trigger: dict | None = None):
     """Write every micro-batch to its own folder; a replayed batch replaces itself.

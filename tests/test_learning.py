@@ -53,21 +53,19 @@ def training_rows(spark, n=1200):
     return spark.createDataFrame(data, "row_no long, client_id string, y int, x array<double>")
 
 
-@pytest.mark.parametrize("shard_rows", [50_000, 150])
-def test_fine_tune_learns(spark, shard_rows):
+def test_fine_tune_learns(spark):
     features = ("f", "g")
     rows = learning.with_holdout(training_rows(spark), "row_no")
     sample = learning.balanced(rows.filter("not is_holdout"), "row_no")
     sizes = {(r.client_id, r.y): r["count"] for r in sample.groupBy("client_id", "y").count().collect()}
     assert sizes["a", 0] == sizes["a", 1] and sizes["b", 0] == sizes["b", 1]
-    epochs = 4 if shard_rows < 1000 else 25
-    trained = learning.fine_tune(sample, small_model(), "row_no", epochs, features, shard_rows).cache()
+    trained = learning.fine_tune(sample, small_model(), "row_no", 25, features).cache()
     assert {(r.client_id, r.n) for r in trained.collect()} == {("a", 2 * sizes["a", 0]), ("b", 2 * sizes["b", 0])}
     holdout = rows.filter("is_holdout")
     start = spark.createDataFrame([(c, 1, learning.flat_weights(small_model()).tolist()) for c in "ab"], learning.STATE)
 
     def loss(models):
-        scored = learning.scored_by_client(holdout, models, small_model(), "row_no", shard_rows)
+        scored = learning.scored_by_client(holdout, models, small_model(), "row_no")
         right = F.when(F.col("y") == fv.LABEL_ATTACK, F.col("p_attack")).otherwise(1 - F.col("p_attack"))
         return {r.client_id: r.l for r in scored.groupBy("client_id").agg(F.avg(-F.log(right)).alias("l")).collect()}
 
@@ -75,6 +73,27 @@ def test_fine_tune_learns(spark, shard_rows):
     assert all(after[c] < before[c] for c in "ab")
 
 
+def test_window_of_ten_years(spark):
+    windows = spark.createDataFrame([("a", 0.0, 3.2e8, "ATTACK"), ("a", 100.0, 130.0, "BENIGN"), ("b", 5.0, 6.0, "ATTACK")],
+                                    "client_id string, window_start double, window_end double, label string")
+    flows = spark.createDataFrame([("a", 110.0), ("a", 3.1e8), ("a", 3.3e8), ("b", 1e8), ("b", 5.5)], "client_id string, FlowStartTime double")
+    for grace in (0, 30):
+        hits = {(r.client_id, r.FlowStartTime): (r.in_attack, r.in_benign) for r in learning.windows_hit(flows, windows, grace).collect()}
+        assert hits == {("a", 110.0): (True, True), ("a", 3.1e8): (True, False), ("a", 3.3e8): (False, False), ("b", 1e8): (False, False),
+                        ("b", 5.5): (True, False)}
+    dense = spark.createDataFrame([("a", 3.1e8 + i / 10) for i in range(30)] + [("a", 4e8 + i / 10) for i in range(30)] + [("a", 5e8 + 60 * i) for i in range(40)],
+                                  "client_id string, FlowStartTime double")
+    assert [r.minute_bin for r in learning.ambiguous_bins(dense, windows, 30).collect()] == [int(4e8 // 60)]
+
+
+def test_balanced_bound(spark):
+    rows = training_rows(spark)
+    bounded = learning.balanced(rows, "row_no", max_rows_per_class=7)
+    assert {r["count"] for r in bounded.groupBy("client_id", "y").count().collect()} == {7}
+    everything = {r.row_no for r in learning.balanced(rows, "row_no").collect()}
+    assert {r.row_no for r in bounded.collect()} < everything
+
+
 def test_gate(spark):
     schema = "client_id string, recall double, fp_rate double"
     before = spark.createDataFrame([(c, 0.9, 0.1) for c in "abcd"], schema)
