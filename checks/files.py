@@ -2,30 +2,80 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from checks import learn, network, views
+from checks import alerts, learn, network, streams, views
 from checks.register import registrar
 from nightwarden import fixed_values as fv
 from nightwarden.plans import learning, network_detection as net
+from nightwarden.schemas import MODEL_FLOWS
+from nightwarden.session import checkpoint_dir
 from nightwarden.sources import event_xml, flow_files
 
 QUERIES, ORACLES, query = registrar()
 
 
-@query("flow_csv_parse", f"""WITH {network.FLOW_SQL} SELECT client_id, count(*) AS lines, count_if(flow_no % 17 = 0) AS bad_numbers,
- sum(CASE WHEN flow_no % 17 = 0 THEN 0 ELSE TotalFwdPackets END) AS fwd_packets, max(AveragePacketSize) AS largest FROM fl GROUP BY 1""")
-def flow_csv_parse(spark, sf_dir):
-    """Model rows written as CSV lines, some damaged, and parsed by the flow schema."""
-    from nightwarden.schemas import MODEL_FLOWS
+def folder(spark, name: str) -> str:
+    """A new folder where the cluster keeps its checkpoints."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+PARSED = f"""WITH {network.FLOW_SQL} SELECT client_id, count(*) AS lines, count_if(flow_no % 17 = 0) AS bad_numbers,
+ sum(CASE WHEN flow_no % 17 = 0 THEN 0 ELSE TotalFwdPackets END) AS fwd_packets, max(AveragePacketSize) AS largest, max(FlowStartTime) AS latest FROM fl GROUP BY 1"""
+
+
+def written_csv(spark, sf_dir) -> str:
+    """Model rows as CSV files with two column orders and padded names, some cells damaged."""
     rows = views.flows(spark, sf_dir)
-    text = [F.when((F.col("flow_no") % 17 == 0) & F.lit(n == "TotalFwdPackets"), F.lit("CORRUPT")).otherwise(F.col(n).cast("string"))
-            for n in fv.MODEL_FEATURES]
-    lines = rows.select("client_id", F.concat_ws(",", *text, F.coalesce(F.col("FlowStartTime").cast("string"), F.lit(""))).alias("line"))
-    parsed = lines.select("client_id", F.from_csv("line", MODEL_FLOWS, {"mode": "PERMISSIVE"}).alias("r")).select("client_id", "r.*")
-    return parsed.groupBy("client_id").agg(
+    names = ["client_id", *fv.MODEL_FEATURES, "FlowStartTime"]
+    bad = (F.col("flow_no") % 17 == 0)
+    text = rows.select("flow_no", *[F.when(bad & F.lit(n == "TotalFwdPackets"), F.lit("CORRUPT")).otherwise(F.col(n).cast("string")).alias(n) for n in names])
+    where = folder(spark, "csv")
+    for part, order in (("a", names), ("b", names[::-1])):
+        half = text.filter(F.col("flow_no") % 2 == int(part == "b"))
+        half.select(*[F.col(n).alias(f" {n}" if part == "b" else n) for n in order]).write.option("header", True).csv(f"{where}/{part}")
+    return f"{where}/*"
+
+
+def parsed(rows):
+    return rows.groupBy("client_id").agg(
         F.count("*").alias("lines"), F.count_if(F.col("TotalFwdPackets").isNull()).alias("bad_numbers"),
-        F.sum(F.coalesce("TotalFwdPackets", F.lit(0.0))).alias("fwd_packets"), F.max("AveragePacketSize").alias("largest"))
+        F.sum(F.coalesce("TotalFwdPackets", F.lit(0.0))).alias("fwd_packets"), F.max("AveragePacketSize").alias("largest"),
+        F.max("FlowStartTime").alias("latest"))
+
+
+@query("flow_csv_scan", PARSED)
+def flow_csv_scan(spark, sf_dir):
+    """CSV files whose columns stand in different orders, each read by its own header."""
+    return parsed(flow_files.read_model_csv(spark, written_csv(spark, sf_dir)))
+
+
+@query("flow_csv_stream", PARSED)
+def flow_csv_stream(spark, sf_dir):
+    """The same files as a stream, a few per micro-batch."""
+    rows = flow_files.stream_model_csv(spark, written_csv(spark, sf_dir), f"{MODEL_FLOWS}, client_id STRING", files_per_trigger=3)
+    return parsed(streams.settled(spark, rows))
+
+
+@query("truth_log_scan", f"WITH {learn.TRUTH} SELECT client_id, round(lo, 6) AS window_start, round(hi, 6) AS window_end, label FROM tw")
+def truth_log_scan(spark, sf_dir):
+    """Ground-truth logs of many clients, a file each, read in one go."""
+    where = folder(spark, "truth")
+    log = views.truth_log(spark, sf_dir).select("client_id", "line_no", "unix_us", "event", "attack_type", F.lit("-").alias("detail"))
+    log.repartition("client_id").sortWithinPartitions("client_id", "line_no").drop("line_no").write.option("header", True).partitionBy("client_id").csv(where)
+    logs = flow_files.read_truth_logs(spark, f"{where}/*", r"client_id=([^/]+)/")
+    return learning.truth_windows(logs).withColumns({c: F.round(c, 6) for c in ("window_start", "window_end")})
+
+
+@query("alert_export", f"WITH {alerts.STORE} SELECT alert_id, client_id, severity, rule_id FROM mer WHERE severity >= 3")
+def alert_export(spark, sf_dir):
+    """Filtered alerts written as CSV and read back."""
+    where = folder(spark, "export")
+    flow_files.export_alerts(alerts.store.search(alerts.stored(spark, sf_dir), min_severity=3), where)
+    back = spark.read.option("header", True).option("escape", '"').csv(where)
+    return back.select("alert_id", "client_id", F.col("severity").cast("int").alias("severity"), F.coalesce("rule_id", F.lit("")).alias("rule_id"))
 
 
 _DAYS = "FlowStartTime + flow_no % 12 * 86400"
@@ -42,15 +92,42 @@ def flow_retention(spark, sf_dir):
     return kept.groupBy(day.alias("day_no")).agg(F.count("*").alias("flows"))
 
 
-@query("event_display", f"""SELECT event_id AS log_id, '4625' AS event_code, 'pc' AS computer, 'User ' || CAST(user_id AS VARCHAR) AS shown_user FROM events""")
+@query("flow_archive", f"""WITH {network.FLOW_SQL}, d AS (SELECT *, CAST(floor(({_DAYS} - {views.BASE}) / 86400) AS INT) AS day_no FROM fl WHERE FlowStartTime IS NOT NULL)
+SELECT day_no, count(*) AS flows, day_no < 11 - {fv.RETAIN_DAYS} AS archived FROM d GROUP BY 1""")
+def flow_archive(spark, sf_dir):
+    """Day folders past the retention copied to the archive; the others stay."""
+    import datetime as dt
+    where, archive = folder(spark, "days"), folder(spark, "archive")
+    rows = views.flows(spark, sf_dir).filter("FlowStartTime is not null").withColumn("FlowStartTime", F.expr(_DAYS))
+    flow_files.write_model_rows(rows, where)
+    kept = flow_files.archive_old(spark, where, archive, dt.date(2024, 1, 12))
+    day = F.datediff("flow_date", F.lit(dt.date(2024, 1, 1))).alias("day_no")
+    counted = lambda rows, flag: rows.groupBy(day).agg(F.count("*").alias("flows")).withColumn("archived", F.lit(flag))
+    return counted(spark.read.parquet(archive), True).unionByName(counted(kept, False))
+
+
+@query("event_display", """SELECT event_id AS log_id, '4625' AS event_code, 'pc' AS computer,
+ '{"Shown":"User ' || CAST(user_id AS VARCHAR) || '","param1":"' || event_type || '","data_2":"x"}' AS shown FROM events""")
 def event_display(spark, sf_dir):
-    events = views.read(spark, sf_dir, "events")
+    """The event data as written, names in lower case included, user data left out."""
+    xml = F.format_string(
+        "<Event><System><Provider Name='P'/><EventID>4625</EventID><Computer>pc</Computer></System><EventData><Data Name='Shown'>User %d</Data>"
+        "<Data Name='param1'>%s</Data><Data>x</Data></EventData><UserData><E><Hidden>1</Hidden></E></UserData></Event>", F.col("user_id"), F.col("event_type"))
+    raw = views.read(spark, sf_dir, "events").select(F.col("event_id").alias("log_id"), xml.alias("raw_xml"))
+    return event_xml.nested_view(raw).select("log_id", "event_code", "computer", F.col("data_json").alias("shown"))
+
+
+@query("event_user_data", """SELECT event_id AS log_id, 'u' || CAST(user_id AS VARCHAR) AS subject, 'a<b & ' || event_type AS cause, 'first' AS twice, 'first' AS twice_lower FROM events""")
+def event_user_data(spark, sf_dir):
+    """Every leaf of user data, whatever its name; the first value of a name wins."""
     xml = F.format_string(
-        "<Event><System><Provider Name='P'/><EventID>4625</EventID><Computer>pc</Computer></System>"
-        "<EventData><Data Name='Shown'>User %d</Data></EventData></Event>", F.col("user_id"))
-    raw = events.select(F.col("event_id").alias("log_id"), xml.alias("raw_xml"))
-    return event_xml.nested_view(raw).select(
-        "log_id", "event_code", "computer", F.get_json_object("data_json", "$.Shown").alias("shown_user"))
+        "<Event><System><EventID>1102</EventID></System><UserData><l:Log xmlns:l='urn:l'><l:SubjectUserName>u%d</l:SubjectUserName>"
+        "<PossibleCause kind='x'> a&lt;b &amp; %s</PossibleCause><Twice>first</Twice><Twice>second</Twice><Empty></Empty></l:Log></UserData></Event>",
+        F.col("user_id"), F.col("event_type"))
+    raw = views.read(spark, sf_dir, "events").select(F.col("event_id").alias("log_id"), xml.alias("raw_xml"))
+    return event_xml.parse_events(raw).filter(F.map_contains_key("data", F.lit("Empty")) == F.lit(False)).select(
+        "log_id", F.col("data")["SubjectUserName"].alias("subject"), F.col("data")["possiblecause"].alias("cause"),
+        F.col("data")["Twice"].alias("twice"), F.col("data")["twice"].alias("twice_lower"))
 
 
 @query("trimmed_flow_columns", f"WITH {network.FLOW_SQL} SELECT count(*) AS n, sum(DestinationPort) AS ports FROM fl")

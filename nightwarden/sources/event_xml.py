@@ -9,7 +9,7 @@ from nightwarden import fixed_values as fv
 XML_SCHEMA = (
     "System STRUCT<Provider: STRUCT<_Name: STRING>, EventID: STRING, Level: STRING, Channel: STRING, "
     "Computer: STRING, TimeCreated: STRUCT<_SystemTime: STRING>>, "
-    "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>, UserData STRING"
+    "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>"
 )
 LEAF = r"<([\w.-]+)(?:\s[^<>]*)?>([^<]*)</\1\s*>"
 
@@ -71,7 +71,9 @@ def _parsed(raw: DataFrame, xml: str, log_id: str) -> DataFrame:
 
 def parse_events(raw: DataFrame, xml: str = "raw_xml", log_id: str = "log_id") -> DataFrame:
     """Host events from raw XML; event data wins over user data of the same name."""
-    data = F.map_concat(_user_data(F.col("x.UserData")), _both_spellings(_entries(F.col("x.EventData.Data"))))
+    # Taken from the text itself: the parsed record would mix markup with decoded signs.
+    user = F.regexp_extract("raw_xml", r"(?s)<UserData[^<>]*>(.*)</UserData>", 1)
+    data = F.map_concat(_user_data(user), _both_spellings(_entries(F.col("x.EventData.Data"))))
     return _parsed(raw, xml, log_id).select(
         "log_id", "provider", "event_id", "event_code", "level", "channel", "computer", "event_time", data.alias("data"), "raw_xml")
 

@@ -27,12 +27,16 @@ def write_model_rows(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 
-def _named(header: Column, value: Column, width: int) -> Column:
-    """Cells of a CSV line by the trimmed names of its file's header."""
-    cells = lambda line: F.from_csv(line, ", ".join(f"c{i} STRING" for i in range(width)))
-    trimmed = lambda line: F.transform(F.array(*[cells(line)[f"c{i}"] for i in range(width)]), lambda c: F.trim(c))
-    pairs = F.filter(F.arrays_zip(trimmed(header).alias("key"), trimmed(value).alias("value")), lambda p: p["key"] != "")
-    return F.map_from_entries(pairs)
+COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # not inside quotes
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """Cells of CSV lines (header, value) by the trimmed names of their file's header, as one map."""
+    cells = lambda line: F.transform(F.split(line, COMMA), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    pairs = F.arrays_zip(cells(F.col("header")).alias("key"), cells(F.col("value")).alias("value"))
+    named = F.map_from_entries(F.filter(pairs, lambda p: p["key"].isNotNull() & (p["key"] != "")))
+    # Exploded, so that the columns taken from it do not each parse the line again.
+    return lines.select(F.explode(F.array(named)).alias("cells"))
 
 
 def _model_rows(cells: DataFrame, names: list[str], rest: list[str]) -> DataFrame:
@@ -51,13 +55,11 @@ def read_model_csv(spark: SparkSession, path: str, extra: str = "") -> DataFrame
     headers = lines.groupBy("file").agg(F.min_by("value", F.struct("_split", "_read")).alias("header"))
     columns = headers.select(F.explode(F.split("header", ",")).alias("c")).select(F.trim("c").alias("c")).distinct()
     rest = sorted({r.c for r in columns.collect()} - set(names) - {""})  # as many as there are column names
-    width = headers.agg(F.coalesce(F.max(F.size(F.split("header", ","))), F.lit(1))).first()[0]
     body = lines.join(headers, "file").filter((F.col("value") != F.col("header")) & (F.trim("value") != ""))
-    return _model_rows(body.select(_named(F.col("header"), F.col("value"), width).alias("cells")), names, rest)
+    return _model_rows(_named(body), names, rest)
 
 
-def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS, files_per_trigger: int = 1000,
-                     width: int = 128) -> DataFrame:
+def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS, files_per_trigger: int = 1000) -> DataFrame:
     """New files since the last trigger, each by its own header.
 
     The checkpoint remembers what was read, so a restart goes on where it stopped; producers
@@ -66,10 +68,12 @@ def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS,
     files = spark.readStream.schema("value STRING").format("text").option("wholetext", True).option(
         "maxFilesPerTrigger", files_per_trigger).load(path)
     lines = F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n")
-    body = files.select(F.get(lines, F.lit(0)).alias("header"), F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("value"))
+    # Header and line leave the file together, so that the file is cut once and not per line.
+    pairs = F.transform(F.array(lines), lambda ls: F.transform(
+        F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), lambda v: F.struct(F.get(ls, F.lit(0)).alias("header"), v.alias("value"))))
+    body = files.select(F.explode(F.flatten(pairs)).alias("l")).select("l.header", "l.value")
     kinds = [c.split() for c in schema.split(", ")]
-    cells = body.filter((F.col("value") != F.col("header")) & (F.trim("value") != "")).select(
-        _named(F.col("header"), F.col("value"), width).alias("cells"))
+    cells = _named(body.filter((F.col("value") != F.col("header")) & (F.trim("value") != "")))
     return cells.select(*[F.col("cells")[name].try_cast(kind).alias(name) for name, kind in kinds])
 
 

@@ -37,6 +37,24 @@ def test_resent_alert_counts_once(spark):
     assert row.event_count == 2 and row.received_at == 20.0
 
 
+def test_alerts_without_an_id_are_all_kept(spark):
+    sent = alerts(spark, [(0, {"alert_id": ""}), (0, {"alert_id": None, "client_id": "d"}), (1, {"alert_id": "", "attack_type": "u"}), (2, {}), (3, {"alert_id": "a9"})])
+    kept = store.unique_alerts(sent).collect()
+    assert len(kept) == 5 and len({r.alert_id for r in kept}) == 5 and all(r.alert_id for r in kept)
+    assert {r.alert_id for r in kept} == {r.alert_id for r in store.unique_alerts(sent.repartition(3)).collect()}
+
+
+def test_merge_into_store(spark):
+    """A batch extends young open rows, repeats nothing, and leaves the rest alone."""
+    first = store.ingest(alerts(spark, [(0, {}), (10, {}), (500, {"client_id": "d"})]))
+    late = [(60, {"alert_id": "b0", "rule_id": "r"}), (110, {"alert_id": "b1"}), (500, {"alert_id": "a2", "client_id": "d"}), (700, {"alert_id": "b3", "client_id": "d"})]
+    changed = {r.alert_id: (r.event_count, r.received_at, r.rule_id) for r in store.merge_into_store(first, alerts(spark, late)).collect()}
+    assert changed == {"a0": (4, 110.0, "r"), "b3": (1, 700.0, "")}
+    closed = first.withColumn("status", F.lit("resolved"))
+    assert {r.alert_id for r in store.merge_into_store(closed, alerts(spark, late[:1])).collect()} == {"b0"}
+    assert store.merge_into_store(first, alerts(spark, late).filter("false")).count() == 0
+
+
 def test_status_and_search(spark):
     rows = alerts(spark, [(i, {"client_id": c}) for i, c in enumerate(["PC-1", "pc-2", "other"])])
     changes = spark.createDataFrame(

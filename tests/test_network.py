@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nightwarden import fixed_values as fv
 from nightwarden.plans import network_detection as net
@@ -42,6 +43,32 @@ def test_classifier_branches(spark):
     assert [r.t for r in got] == [t for _, t in cases]
 
 
+def test_text_for_a_figure_is_generic(spark):
+    one = rows(spark, {"FlowBytesPerSec": 500_001}, {}).withColumn("FlowBytesPerSec", F.when(F.col("flow_no") == 0, "much").otherwise("600000"))
+    assert [r.t for r in one.orderBy("flow_no").select(net.attack_type().alias("t")).collect()] == [fv.GENERIC_ATTACK, "DDoS / Volumetric Flood"]
+
+
+def test_ports_that_are_no_number(spark):
+    flags = batches(spark, {"DestinationPort": NAN}, {"DestinationPort": 22}, {"DestinationPort": float("inf")}, p_attack=0.9).withColumn("attack_type", F.lit("x"))
+    assert [(r.port, r.flows) for r in net.top_ports(flags).collect()] == [(22, 1)]
+    assert net.network_alerts(batches(spark, *[{"p_attack": 0.7, "DestinationPort": NAN}] * 30)).first().event_count == 30
+
+
+def test_dominant_type_counts_all(spark):
+    """The type of the first 200 flows is not the type of most."""
+    many = [{"p_attack": 0.9, "FlowStartTime": i / 100, **({"FlowPacketsPerSec": 2000} if i >= 210 else {})} for i in range(500)]
+    assert net.dominant_types(net.flagged(batches(spark, *many))).first().attack_type == "UDP Flood"
+    even = [{"p_attack": 0.9, "FlowStartTime": i / 100, **({"FlowPacketsPerSec": 2000} if i % 2 else {})} for i in range(10)]
+    assert net.dominant_types(net.flagged(batches(spark, *even))).first().attack_type == "Port Scan"
+
+
+def test_flows_without_a_start_take_the_ingest_time(spark):
+    lost = rows(spark, *[{"p_attack": 0.7, "DestinationPort": 22}] * 2).withColumn("FlowStartTime", F.lit(None).cast("double"))
+    early, late = (net.network_alerts(net.batch_of(lost, as_of=at)).collect() for at in (1000.0, 2000.0))
+    assert {r.batch_start for r in early} == {990} and {r.batch_start for r in late} == {1980}
+    assert {r.timestamp for r in early} == {"1970-01-01T00:16:40+00:00"}
+
+
 def test_burst_limit(spark):
     many = batches(spark, *[{"p_attack": 0.65 + i / 1000, "DestinationPort": 22 + i % 2} for i in range(20)], *[{"p_attack": 0.6499}] * 3)
     assert net.flow_alerts(many).count() == 20 and net.burst_summaries(many).count() == 0

@@ -1,6 +1,7 @@
 """Readers and writers."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -34,6 +35,40 @@ def test_event_xml_cases(spark):
     assert got[6].data["Name"] == "mine"
 
 
+def test_all_user_data_and_the_display_form(spark):
+    body = ("<EventData><Data Name='param1'>v</Data><Data Name='Up'>w</Data></EventData><UserData><l:Log xmlns:l='urn:l'><l:SubjectUserName>eve</l:SubjectUserName>"
+            "<l:SubjectDomainName x='1'>dom</l:SubjectDomainName><PossibleCause>a &amp;&lt; b</PossibleCause><Deep><Inner>1</Inner><Inner>2</Inner></Deep></l:Log></UserData>")
+    raw = spark.createDataFrame([(1, XML.format(id="1102", body=body))], "log_id long, raw_xml string")
+    data = event_xml.parse_events(raw).first().data
+    assert {k: v for k, v in data.items() if k[0].isupper()} == {
+        "Up": "w", "SubjectUserName": "eve", "SubjectDomainName": "dom", "PossibleCause": "a &< b", "Inner": "1"}
+    assert json.loads(event_xml.nested_view(raw).first().data_json) == {"param1": "v", "Up": "w"}
+
+
+def test_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("DestinationPort,FlowStartTime,note\n443,3.0,\"x, y\"\n")
+    (tmp_path / "in" / "b.csv").write_text("FlowStartTime, DestinationPort\n4.5,80\nFlowStartTime, DestinationPort\n5.5,oops\n")
+    rows = flow_files.read_model_csv(spark, str(tmp_path / "in"))
+    want = [(443.0, 3.0), (80.0, 4.5), (None, 5.5)]
+    assert sorted(((r.DestinationPort, r.FlowStartTime) for r in rows.collect()), key=lambda p: p[1]) == want
+    assert {r.note for r in rows.collect()} == {"x, y", None}
+    query = (flow_files.stream_model_csv(spark, str(tmp_path / "in"), files_per_trigger=1).writeStream.format("parquet")
+             .option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start())
+    query.awaitTermination(120)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r.DestinationPort, r.FlowStartTime) for r in back), key=lambda p: p[1]) == want
+
+
+def test_truth_logs_of_a_folder(spark, tmp_path):
+    for client, base in (("c1", 1), ("c2", 50)):
+        (tmp_path / client).mkdir()
+        (tmp_path / client / "log.csv").write_text(f"unix_us,event,attack_type,detail\n{base}000000,PHASE_START,a,x\n{base + 1}000000,PHASE_END,a,x\n")
+    (tmp_path / "c2" / "more.csv").write_text("unix_us,event,attack_type,detail\n70000000,PHASE_END,a,x\n80000000,PHASE_START,a,x\n")
+    windows = learning.truth_windows(flow_files.read_truth_logs(spark, str(tmp_path / "*"))).collect()
+    assert sorted((r.client_id, r.window_start, r.window_end) for r in windows) == [("c1", 1.0, 2.0), ("c2", 50.0, 51.0)]
+
+
 def test_list_files_and_reload(spark, tmp_path):
     (tmp_path / "ioc_domains.txt").write_text("# head\n*.Evil.net # why\nbad.org\n\n  *.evil.net\n")
     (tmp_path / "ioc_ips.txt").write_text("10.1.2.3/8\n300.1.1.1\n9.9.9.9\n9.9.9.9\n::1\n1.2.3.4/33\n10.0.0.9/255.255.0.0\n")
@@ -88,7 +123,7 @@ def test_incremental_csv(spark, tmp_path):
     rows = drain()  # a restart reads the new file only
     assert rows.count() == 3 and rows.filter("DestinationPort is null").count() == 1
     (tmp_path / "odd.csv").write_text(" DestinationPort,FlowStartTime , note\n80,1.5,x\nzz,2,y\n")
-    odd = flow_files.read_model_csv(spark, str(tmp_path / "odd.csv")).collect()
+    odd = flow_files.read_model_csv(spark, str(tmp_path / "odd.csv")).orderBy("FlowStartTime").collect()
     assert [(r.DestinationPort, r.FlowStartTime, r.note, r.FINFlagCount) for r in odd] == [(80, 1.5, "x", None), (None, 2, "y", None)]
 
 
