@@ -151,8 +151,8 @@ FLOW_ALERTS = f"""SELECT sha256('flow|' || f.client_id || '|' || CAST(flow_no AS
 FROM flag f JOIN flag_n n ON {SAME('f', 'n')} AND flow_count <= {fv.BURST_MIN_FLOWS} JOIN times t ON {SAME('f', 't')} JOIN meta ON meta.name = attack_type"""
 BURST = f"""burst AS (SELECT client_id, batch_start, count(*) AS flow_count, avg(p_attack) AS mean_conf, max(p_attack) AS max_conf, min(FlowStartTime) AS lo, max(FlowStartTime) AS hi
   FROM flag GROUP BY 1, 2 HAVING count(*) > {fv.BURST_MIN_FLOWS}),
-placed AS (SELECT *, row_number() OVER (PARTITION BY client_id, batch_start ORDER BY FlowStartTime NULLS FIRST, flow_no) AS place FROM flag),
-types AS (SELECT client_id, batch_start, attack_type, count(*) AS n, min(place) AS seen FROM placed GROUP BY 1, 2, 3),
+flag_placed AS (SELECT *, row_number() OVER (PARTITION BY client_id, batch_start ORDER BY FlowStartTime NULLS FIRST, flow_no) AS place FROM flag),
+types AS (SELECT client_id, batch_start, attack_type, count(*) AS n, min(place) AS seen FROM flag_placed GROUP BY 1, 2, 3),
 dom AS (SELECT client_id, batch_start, attack_type FROM types QUALIFY row_number() OVER (PARTITION BY client_id, batch_start ORDER BY n DESC, seen) = 1),
 ports AS (SELECT client_id, batch_start, CAST(DestinationPort AS INT) AS port, count(*) AS flows FROM flag GROUP BY 1, 2, 3),
 top AS (SELECT *, row_number() OVER (PARTITION BY client_id, batch_start ORDER BY flows DESC, port) AS place FROM ports QUALIFY place <= {fv.TOP_PORTS}),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import alerts, files, host, learn, network, network_flows, streams
+from checks import alerts, files, host, journeys, learn, network, network_flows, streams
 
-MODULES = (host, network_flows, network, alerts, learn, files, streams)
+MODULES = (host, network_flows, network, alerts, learn, files, streams, journeys)
 
 
 def queries() -> dict:
