@@ -89,6 +89,8 @@ def documents():
     rows += [(100 + i, rows[i][1], "b") for i in range(5)]
     rows += [(110, "junk " * 60, "a"), (111, "#$% &*& |x| " * 20, "a"), (112, None, "a"), (113, "", "b"), (114, "too few words", "c")]
     rows += [(115, " ".join(draw.choices("abcdefghij", k=3)[0] + str(draw.random())[2:6] + "q" for _ in range(4000)), "c")]
+    short = "alpha beta gamma delta\nepsilon zeta eta theta\niota kappa lambda mu\nnu xi omicron pi"  # lines that line dedup leaves alone
+    rows += [(116, short, "b"), (117, short, "a"), (118, short.upper(), "c")]
     return rows
 
 
