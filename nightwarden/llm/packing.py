@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from nightwarden.llm.tokens import Encoder
+from nightwarden.llm.tokens import encoder
 from nightwarden.session import checkpointed
 
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"]
@@ -39,12 +39,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
     """Pieces of every document, with the task they come from and their number there by length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(vocabulary), defaultdict(int)
+        tokens, seen = encoder(vocabulary), defaultdict(int)
         end, task = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
                 rows, out = batch.slice(k, TEXTS), []
-                for row, ids in enumerate(encoder.ids(rows.column(1).to_pylist())):
+                for row, ids in enumerate(tokens.ids(rows.column(1).to_pylist())):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * at:4 * (at + capacity)]

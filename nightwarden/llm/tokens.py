@@ -1,9 +1,10 @@
 """Token ids of whole texts with a cache of words.
 
-Some vocabularies normalise and split a text into short units that are encoded one by one.
-For those the ids of a text are those of its units, so each unit is encoded once per task.
-Any other vocabulary, and any text with characters the short cut does not cover, is encoded
-whole. Both ways give the same ids.
+Some vocabularies normalise a text, split it into short units at white space and between
+letters, digits and signs, and encode each unit by itself. For those the ids of a text are
+those of its words, so a word is split and encoded once per worker. Any other vocabulary, and
+any text with characters the short cut does not cover, is encoded whole. Both ways give the
+same ids.
 """
 
 from __future__ import annotations
@@ -12,19 +13,28 @@ import json
 import os
 import re
 from collections.abc import Sequence
+from functools import cache
+from struct import pack
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: The word pattern and normaliser of the vocabularies that the cache covers.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
-#: Texts below this code point: no combining marks, and one letter has one lower case.
-SIMPLE = re.compile("[^\x00-ɏ]")
-_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾", " \t-\r\x85\xa0"
-_UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-CACHED_UNITS, CACHED_CHARS = 400_000, 40
+#: What the short cut leaves alone: combining marks and letters with several lower cases, and
+#: the separators that Python takes for white space and the vocabulary does not.
+OTHER = re.compile("[^\x00-\x1b\x20-ɏ]")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
+_UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+CACHED, CACHED_CHARS = 500_000, 40
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the rest from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class Encoder:
@@ -36,34 +46,55 @@ class Encoder:
         parts = json.loads(self.tokenizer.to_str())
         splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normal = (parts.get("normalizer") or {}).get("normalizers")
-        self.by_units = splits[0].get("pattern") == {"Regex": WORD_PATTERN} and splits[0].get("invert") and normal == NORMALIZERS
+        bytes_only = splits[1:] and splits[1].get("type") == "ByteLevel" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        self.by_words = (splits[0].get("pattern") == {"Regex": WORD_PATTERN} and splits[0].get("invert") and bool(bytes_only)
+                         and normal == NORMALIZERS and len(splits) == 2)
         self.special = [t["content"] for t in parts.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+    def _unit(self, unit: str) -> bytes:
+        letters = unit if unit.isascii() and unit.isprintable() else "".join(map(self.letters.__getitem__, unit.encode()))
+        ids = [t.id for t in self.model.tokenize(letters)]
+        found = pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= CACHED_CHARS:
+            self.units[unit] = found
+        return found
 
     def _simple(self, text: str) -> bool:
-        return self.by_units and not SIMPLE.search(text) and not any(s in text for s in self.special)
+        return self.by_words and not OTHER.search(text) and not any(s in text for s in self.special)
 
     def ids(self, texts: Sequence[str | None]) -> list[bytes]:
         """NULL texts are empty. Every text is encoded whole."""
-        texts = ["" if t is None else t for t in texts]
-        out: list[bytes] = []
+        out = []
         for text in texts:
+            if not text:
+                out.append(b"")
+                continue
             if not self._simple(text):
-                out += self._encode([text])
+                out.append(self._whole(text))
                 continue
-            units = _UNITS.findall(text.lower())
-            missing = set(units).difference(self.cache)
-            if missing:
-                if len(self.cache) > CACHED_UNITS:
-                    self.cache.clear()
-                    missing = set(units)
-                missing = list(missing)
-                self.cache.update(zip(missing, self._encode(missing)))
-            out.append(b"".join(map(self.cache.__getitem__, units)))
-            for unit in missing:
-                if len(unit) > CACHED_CHARS:
-                    del self.cache[unit]
+            if len(self.words) > CACHED or len(self.units) > CACHED:
+                self.words.clear()
+                self.units.clear()
+            words = text.lower().split()
+            missing = set(words).difference(self.words)
+            known = self.units.get
+            for word in missing:
+                self.words[word] = b"".join([known(u) or self._unit(u) for u in _UNITS.findall(word)])
+            out.append(b"".join(map(self.words.__getitem__, words)))
+            for word in missing:
+                if len(word) > CACHED_CHARS:
+                    del self.words[word]
         return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per Python worker, so that later tasks find the units of earlier ones."""
+    return Encoder(path)

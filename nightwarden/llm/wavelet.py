@@ -25,6 +25,7 @@ gives no file.
 from __future__ import annotations
 
 import io
+import os
 import struct
 import uuid
 import zlib
@@ -37,13 +38,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from nightwarden.llm.tokens import Encoder
+from nightwarden.llm.tokens import encoder
 from nightwarden.session import checkpoint_dir, checkpointed
 
 MAGIC, STEP = b"WMX1", 512
 TEXTS = 256
 #: Ids after which a task closes a file; a document is never divided.
 SHARD_TOKENS = 1 << 20
+MAX_TASKS = 20_000
 
 
 class WaveletMatrix:
@@ -175,7 +177,10 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
 
 
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    """File system and path of a folder given as a URI or as a local path."""
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
 
 
 FILES = "task int, number int, path string, n_docs long, n_tokens long"
@@ -187,7 +192,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = SHA
     folder = folder or f"{checkpoint_dir(docs.sparkSession)}/wavelet-{uuid.uuid4().hex}"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        tokens, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         task, number = TaskContext.get().partitionId(), 0
         ids, lengths, doc_ids, held = [], [], [], 0
 
@@ -205,7 +210,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = SHA
             for k in range(0, batch.num_rows, TEXTS):
                 rows = batch.slice(k, TEXTS)
                 numbers = rows.column(0).fill_null(NO_ID).to_pylist()
-                for doc_id, found in zip(numbers, encoder.ids(rows.column(1).to_pylist())):
+                for doc_id, found in zip(numbers, tokens.ids(rows.column(1).to_pylist())):
                     ids.append(found + end)
                     lengths.append(len(found) // 4 + 1)
                     doc_ids.append(doc_id)
@@ -248,5 +253,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                     pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(begin + row["start"]),
                     pa.array(lengths.astype(np.int64)), pa.array(np.array(crc, np.int64))], names=names)
 
-    one_each = starts(files).select("path", "start").repartition("path")
-    return one_each.mapInArrow(digests, ", ".join(f"{n} long" for n in names))
+    # Rows are tiny and work is not, so the number of tasks is set from the number of files.
+    tasks = max(1, min(MAX_TASKS, -(-files.count() // 4)))
+    spread = starts(files).select("path", "start").repartition(tasks, "path")
+    return spread.mapInArrow(digests, ", ".join(f"{n} long" for n in names))
