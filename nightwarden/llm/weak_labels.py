@@ -165,7 +165,7 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, margin))))
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, rate: float = 1.0, l2: float = 1e-7) -> Scorer:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300, rate: float = 1.0, l2: float = 1e-7) -> Scorer:
     """AdaGrad over (features, mean counts, soft label) rows."""
     weights, bias = np.zeros(FEATURES), 0.0
     if rows:
@@ -221,8 +221,8 @@ def classified(docs: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRA
     chosen = voted.select("hash", "pattern").distinct().orderBy("hash", "pattern").limit(max_train).collect()
     patterns = {r["hash"]: r["pattern"] for r in chosen}
     sample = rows.filter(F.col("hash") <= max(patterns, default=-(1 << 63))).select("hash", "text").mapInArrow(
-        _count, "hash long, features array<long>, counts array<double>").dropDuplicates(["hash"]).orderBy("hash").collect()
-    scorer = fit_scorer([(r["features"], r["counts"], labels.posterior[patterns[r["hash"]]]) for r in sample if r["hash"] in patterns])
+        _count, "hash long, features array<long>, counts array<double>").dropDuplicates(["hash"]).orderBy("hash").toPandas()
+    scorer = fit_scorer([(r.features, r.counts, labels.posterior[patterns[r.hash]]) for r in sample.itertuples() if r.hash in patterns])
     posterior = labels.posterior
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
