@@ -22,9 +22,10 @@ from tokenizers import Tokenizer
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
-#: What the short cut leaves alone: combining marks and letters with several lower cases, and
-#: the separators that Python takes for white space and the vocabulary does not.
-OTHER = re.compile("[^\x00-\x1b\x20-ɏ]")
+LAST = 0x24F
+#: What the short cut leaves alone: characters beyond LAST, those whose lower case lies beyond it,
+#: and the separators that Python takes for white space and the vocabulary does not.
+OTHER = re.compile(f"[^\x00-\x1b\x20-{chr(LAST)}]|[{''.join(c for c in map(chr, range(LAST + 1)) if max(c.lower()) > chr(LAST))}]")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 _UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 CACHED, CACHED_CHARS = 500_000, 40

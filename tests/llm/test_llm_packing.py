@@ -28,6 +28,17 @@ def test_cached_units_give_whole_encoding(plain):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_every_character_of_the_short_cut(plain):
+    """Each character it admits, at the start, inside and at the end of a word, alone and beside signs."""
+    encoder = Encoder(vocabulary())
+    admitted = [c for c in map(chr, range(0x3000)) if encoder._simple(c)]
+    assert {"a", "é", "ǆ", "\u024f"} <= set(admitted)
+    texts = [t for c in admitted for t in (c, f"{c}li", f"Fo{c}en", f"de{c}", f"({c}li)", f"7{c}'s x")]
+    texts += ["Əli", "Ɛwe", "FƆN", "Ɖe", "(Əli)", "Ⱥ Ⱦa aɄ Ɂ"]
+    for text, ids in zip(texts, encoder.ids(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pieces_and_places(odd, empty, plain):
     capacity = 64
     rows = [r.asDict() for r in packing.packed(odd, vocabulary(), capacity, 0).collect()]
