@@ -151,7 +151,8 @@ def client_fine_tune(spark, sf_dir):
     What training itself does is compared with a replay in the tests.
     """
     rows = learning.with_holdout(network.kept(spark, sf_dir).withColumn("y", F.expr(Y)), "flow_no")
-    trained = checkpointed(learning.fine_tune(learning.balanced(rows.filter("not is_holdout"), "flow_no"), network.model(), "flow_no"))
+    trained = checkpointed(learning.fine_tune(learning.balanced(
+        rows.filter("not is_holdout"), "flow_no", max_rows_per_class=fv.MAX_ROWS_PER_CLASS), network.model(), "flow_no"))
     holdout = rows.filter("is_holdout")
     before = evaluated(net.scored(holdout, network.model()))
     after = evaluated(learning.scored_by_client(holdout, trained, network.model(), "flow_no"))

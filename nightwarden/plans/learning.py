@@ -183,18 +183,19 @@ def with_holdout(rows: DataFrame, row_id: str, fraction: float = fv.HOLDOUT_FRAC
     return rows.withColumn("is_holdout", F.substring(draw(row_id, seed), 1, 8) < limit)
 
 
-def balanced(rows: DataFrame, row_id: str, seed: int = 1, max_rows_per_class: int = fv.MAX_ROWS_PER_CLASS) -> DataFrame:
+def balanced(rows: DataFrame, row_id: str, seed: int = 1, max_rows_per_class: int | None = None) -> DataFrame:
     """As many rows of each class as the client's rarer class has, drawn at random.
 
-    ``max_rows_per_class`` bounds a client's training sample. The k lowest draws are found by
+    ``max_rows_per_class`` bounds a training sample; without it no row of the sample is left
+    out. The k lowest draws are found by
     counting per draw prefix; only the one prefix the limit falls into is ranked, so no client
     is ever sorted as a whole.
     """
     drawn = rows.withColumn("_draw", draw(row_id, seed)).withColumn("_prefix", F.substring("_draw", 1, 4))
     counts = drawn.groupBy("client_id", "y", "_prefix").agg(F.count("*").alias("_n"))
     of = lambda label: F.sum(F.when(F.col("y") == label, F.col("_n")).otherwise(0))
-    sizes = counts.groupBy("client_id").agg(
-        F.least(of(fv.LABEL_ATTACK), of(fv.LABEL_BENIGN), F.lit(max_rows_per_class)).alias("_k"))
+    bound = [] if max_rows_per_class is None else [F.lit(max_rows_per_class)]
+    sizes = counts.groupBy("client_id").agg(F.least(of(fv.LABEL_ATTACK), of(fv.LABEL_BENIGN), *bound).alias("_k"))
     upto = Window.partitionBy("client_id", "y").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     limits = counts.withColumn("_below", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(sizes, "client_id").select(
         "client_id", "y", "_prefix", (F.col("_k") - F.col("_below")).alias("_room"), "_n"

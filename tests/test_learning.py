@@ -94,6 +94,14 @@ def test_balanced_bound(spark):
     assert {r.row_no for r in bounded.collect()} < everything
 
 
+def test_balanced_takes_all_of_the_rarer_class(spark):
+    n = fv.MAX_ROWS_PER_CLASS + 10_000
+    rows = spark.range(2 * n + 500).select(
+        F.col("id").alias("row_no"), F.lit("a").alias("client_id"), F.when(F.col("id") < n, 0).otherwise(1).alias("y"))
+    sizes = {r.y: r["count"] for r in learning.balanced(rows, "row_no").groupBy("y").count().collect()}
+    assert sizes == {0: n, 1: n}
+
+
 def test_gate(spark):
     schema = "client_id string, recall double, fp_rate double"
     before = spark.createDataFrame([(c, 0.9, 0.1) for c in "abcd"], schema)
