@@ -2,10 +2,12 @@
 
 The patterns find assigned passwords and keys, access key ids and long hexadecimal runs. A
 candidate beyond them is a long token of letters and digits with a sensitive word shortly
-before it. It is compressed with zstandard, primed with a dictionary of identifiers and the
-text around it; the bytes that it adds to an empty frame, per byte of its own, are its
-novelty. Names, paths and repeated tokens are found in the dictionary and add little; random
-strings add nearly all of themselves and are reported.
+before or after it. It is compressed with zstandard, primed with a dictionary of identifiers
+and the text around it; the bytes that it adds to an empty frame, per byte that its symbols
+must cost, are its novelty. They cost their number, or less if they are few and about equally
+frequent, as in hexadecimal and base32: then what they take in random order, compressed
+without a dictionary. Names, paths and repeated tokens are found in the dictionary and add
+little; random strings of any alphabet add nearly all of themselves and are reported.
 
 Defined cases: NULL and empty texts have no spans; every row of the input gives one row,
 repeated rows and NULL ids included; offsets are code points, ends exclusive; other columns
@@ -16,8 +18,11 @@ bounded, texts are read whole, and every pattern is linear in the text.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -33,8 +38,10 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _SENSITIVE = re.compile(r"secret|token|passw|passphrase|credential|api.?key|private.?key|access.?key|signing|auth|bearer", re.IGNORECASE)
-#: Characters before a candidate that may hold the sensitive word; characters on each side that prime.
+#: Characters on each side of a candidate that may hold the sensitive word, and that prime.
 NEAR, AROUND, NOVELTY = 64, 2048, 0.72
+#: Entropy, of the most that as many symbols allow, from which they count as equally frequent; bytes of the shortest candidate that is reported.
+EVEN, LEAST = 0.93, 16
 
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 configuration_directory getElementById application "
@@ -58,13 +65,23 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def symbol_cost(candidate: str) -> int:
+    """Bytes that a random string of the candidate's symbols takes."""
+    n, counts = len(candidate), Counter(candidate)
+    entropy = log2(n) - sum(c * log2(c) for c in counts.values()) / n
+    if entropy < EVEN * log2(len(counts)):
+        return n
+    plain = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=False)
+    mixed = "".join(random.Random(n).sample(candidate, n)).encode()
+    return max(LEAST, min(n, len(plain.compress(mixed)) - len(plain.compress(b""))))
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Marginal compressed bytes per byte, given identifiers and the text on both sides."""
+    """Marginal compressed bytes, given identifiers and the text on both sides, per byte that its symbols must cost."""
     context = IDENTIFIERS + f" {after} {before}".encode("utf-8", "surrogatepass")
     primed = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(context, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                                       write_checksum=False, write_content_size=False, write_dict_id=False)
-    own = candidate.encode()
-    return (len(primed.compress(own)) - len(primed.compress(b""))) / len(own)
+    return (len(primed.compress(candidate.encode())) - len(primed.compress(b""))) / symbol_cost(candidate)
 
 
 def novel_spans(text: str, base: list[Span], least: float = NOVELTY) -> list[Span]:
@@ -74,7 +91,7 @@ def novel_spans(text: str, base: list[Span], least: float = NOVELTY) -> list[Spa
         a, b = m.span()
         if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
             continue
-        if not _SENSITIVE.search(text, max(0, a - NEAR), a):
+        if not (_SENSITIVE.search(text, max(0, a - NEAR), a) or _SENSITIVE.search(text, b, b + NEAR)):
             continue
         while at < len(base) and base[at][2] <= a:
             at += 1

@@ -147,6 +147,22 @@ def test_novelty():
         assert secrets.novel_spans(text, secrets.base_spans(text)) == []
 
 
+def test_novelty_of_small_alphabets():
+    """Random strings are reported whatever their alphabet, on either side of the sensitive word; repeats and slugs are not."""
+    draw = random.Random(4)
+    for alphabet, sizes in (("0123456789ABCDEF", (32, 96, 128, 512)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (64, 512, 2048))):
+        for size in sizes:
+            key = "A7" + "".join(draw.choices(alphabet, k=size))
+            for text in (f"the signing key is {key} as agreed", f"the private key {key} was sent", f"use {key} as the signing key"):
+                a = text.index(key)
+                assert secrets.novel_spans(text, secrets.base_spans(text)) == [("novel", a, a + len(key))], text
+            known = f"{key} was rotated, the old signing key is {key} as said"
+            assert secrets.novel_spans(known, secrets.base_spans(known)) == []
+    for name in ("A1" * 100, "0123456789ABCDEF" * 20, "AAAAAAAAAAAAAAAA1", "default_timeout_seconds-maximum_retry_count-request_handler-transaction_manager-2"):
+        text = f"the signing key lies in {name} here"
+        assert secrets.novel_spans(text, secrets.base_spans(text)) == [], name
+
+
 def test_label_model_recovers_accuracies():
     """Drawn votes: the faulty class is found although each fault is rare."""
     rng = np.random.default_rng(5)
