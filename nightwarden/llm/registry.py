@@ -62,9 +62,9 @@ def op10_quality_rules(spark, sf_dir):
 @query
 def op3_line_dedup(spark, sf_dir):
     """Every document with its lines of earlier or near occurrences taken out."""
-    from nightwarden.llm import line_dedup
+    from nightwarden.llm import near_lines
 
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return near_lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query
