@@ -177,3 +177,52 @@ def op8_weak_label_quality(spark, sf_dir):
     from nightwarden.llm import weak_labels
 
     return weak_labels.classified(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH judged AS (
+  SELECT d.doc_id, coalesce(d.source, '') AS part, coalesce(d.text, '') AS t,
+         list_filter(string_split_regex(coalesce(d.text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents d),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM judged GROUP BY t),
+known AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(judged.doc_id > first_id, false) AS e
+  FROM judged JOIN firsts USING (t) LEFT JOIN known ON known.doc_id = judged.doc_id),
+cells AS (
+  SELECT part, (a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT) AS mask, count(*) AS n,
+         count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM flags GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT p.f || q.f || r.f || s.f || u.f AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters u
+  WHERE len(list_distinct([p.f, q.f, r.f, s.f, u.f])) = 5),
+steps AS (
+  SELECT filter_order, step, (1 << (ascii(filter_order[step]) - 65)) AS bit, filter_order[step] AS f,
+         list_sum(list_transform(range(1, step), lambda i: (1 << (ascii(filter_order[i]) - 65))))::INT AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+counted AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (WHERE (mask & (bit | coalesce(earlier, 0))) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE (mask & bit) <> 0 AND (mask & coalesce(earlier, 0)) = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE (mask & bit) <> 0 AND (mask & coalesce(earlier, 0)) <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE (mask & bit) <> 0 AND (mask & coalesce(earlier, 0)) = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE (mask & bit) <> 0 AND (mask & coalesce(earlier, 0)) = 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+
+@query(sql=OP11_SQL)
+def op11_filter_audit(spark, sf_dir):
+    """What five filters remove from every source, in all 120 orders."""
+    from nightwarden.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

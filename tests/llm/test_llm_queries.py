@@ -10,7 +10,7 @@ from nightwarden.llm import registry
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
 
