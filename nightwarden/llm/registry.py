@@ -226,3 +226,11 @@ def op11_filter_audit(spark, sf_dir):
     from nightwarden.llm import filter_audit
 
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations."""
+    from nightwarden.llm import prefix_trie
+
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
