@@ -228,7 +228,42 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc_table AS (
+  SELECT list(v ORDER BY n) AS crcs
+  FROM (SELECT n, list_reduce(list_prepend(n, [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]),
+                              lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) AS v
+        FROM (SELECT unnest(range(256)) AS n))),
+shared AS (
+  SELECT conv_id, own, xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, x: xor(c // 256, crcs[1 + xor(c % 256, x)]))) % 9 AS h
+  FROM turns, crc_table),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(d.own, [])[1:s.h], s.own[s.h + 1:]) AS seq
+  FROM shared s LEFT JOIN turns d ON d.conv_id = s.conv_id - s.conv_id % 5),
+steps AS (SELECT conv_id, seq[1:d] AS node, d, len(seq) AS n FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256,
+         (count(*) - 1) * coalesce(strlen(node[d].text), 0) AS saved
+  FROM steps GROUP BY node, d),
+children AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+held AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)),
+above AS (
+  SELECT node[1:k] AS node, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM held) GROUP BY 1)
+SELECT h.conv_id, h.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, h.n_convs, h.n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, h.ends_sha256
+FROM held h JOIN above USING (node) LEFT JOIN nodes p ON h.depth > 0 AND p.node = h.node[1:h.depth - 1]
+"""
+
+
+@query(sql=OP12_SQL)
 def op12_prefix_trie(spark, sf_dir):
     """Every node of the trie of rebuilt conversations."""
     from nightwarden.llm import prefix_trie
