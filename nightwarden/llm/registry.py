@@ -269,3 +269,11 @@ def op12_prefix_trie(spark, sf_dir):
     from nightwarden.llm import prefix_trie
 
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_page_text(spark, sf_dir):
+    """Main text of every page."""
+    from nightwarden.llm import page_text
+
+    return page_text.main_text(table(spark, sf_dir, "pages"))
