@@ -11,7 +11,9 @@ task. Instead the timeline of a key is cut into chunks:
    enters each chunk;
 3. every chunk marks its own rows, again independently.
 
-Rows are handled in Arrow batches with numpy, many keys at a time.
+Rows are handled with numpy in slices of sorted Arrow batches, many keys at a time. A group may
+be far larger than a slice: the open span, the lead of its chain and a pending close are carried
+from slice to slice, and a summary holds one step per answer that can still differ.
 """
 
 from __future__ import annotations
@@ -44,41 +46,41 @@ def _changes(table: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray
     return changed
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
-    """Regroup sorted batches so that no group is split between two tables."""
-    pending: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        changed = _changes(batch, columns)
-        if pending:
-            seam = pa.Table.from_batches([pending[-1].slice(pending[-1].num_rows - 1), batch.slice(0, 1)])
-            changed[0] = _changes(seam, columns)[1]
-        cuts = np.flatnonzero(changed)
-        if len(cuts) == 0 or (cuts[-1] == 0 and not pending):
-            pending.append(batch)
-            continue
-        cut = int(cuts[-1])
-        head = pending + ([batch.slice(0, cut)] if cut else [])
-        if head:
-            yield pa.Table.from_batches(head)
-        pending = [batch.slice(cut)]
-    if pending:
-        yield pa.Table.from_batches(pending)
-
-
 SUMMARY_SCALARS = ["first_at", "last_at", "first_lead"]
 SUMMARY_LISTS = ["until", "leaves", "leaves_order", "leads"]
 
+#: Rows handled at once; what is carried from one slice to the next is a few numbers per open span.
+SLICE_ROWS = 1 << 16
 
-class _Chunks:
-    """Numpy view of a table of whole (key, chunk) groups sorted by time."""
 
-    def __init__(self, table: pa.Table, keys: list[str], micros: str, order: str,
-                 closes: str | None, hold: int, chunk_us: int, lead: str | None, idle_us: int | None):
+def _slices(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Sorted batches in slices of bounded size, each with whether its first group began before it."""
+    last = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            if last is None:
+                goes_on = False
+            else:
+                seam = pa.Table.from_batches([last, part.select(columns).slice(0, 1)])
+                goes_on = not _changes(seam, columns)[1]
+            last = part.select(columns).slice(part.num_rows - 1)
+            yield part, goes_on
+
+
+class _Slice:
+    """Numpy view of sorted rows: pieces of (key, chunk) groups and the spans that start in them.
+
+    A state is (end, order, lead) of arrays: the open span ends at `end` (NOTHING_OPEN: a closing
+    row ended it), began at the row `order`, and its chain began with `lead` (NO_LEAD: unknown
+    here, as it began before).
+    """
+
+    def __init__(self, table: pa.RecordBatch, keys: list[str], micros: str, order: str, closes: str | None,
+                 hold: int, chunk_us: int, lead: str | None, idle_us: int | None, seen: int | None):
         n = table.num_rows
-        numbers = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-        self.hold = hold
+        numbers = lambda name: table.column(name).to_numpy(zero_copy_only=False)
+        self.n, self.hold = n, hold
         self.at = numbers(micros).astype(np.int64)
         self.order = numbers(order).astype(np.int64)
         self.first = np.flatnonzero(_changes(table, keys + ["_chunk"]))
@@ -88,11 +90,10 @@ class _Chunks:
         self.row_end = np.repeat(self.end, sizes)
         self.stride = chunk_us + hold + 2
         self.origin = numbers("_chunk").astype(np.int64)[self.first] * chunk_us
-        self.relative = self.at - self.origin[self.group]
-        self.position = self.group * self.stride + self.relative
-        closing = np.flatnonzero(numbers(closes).astype(bool)) if closes else np.empty(0, dtype=np.int64)
-        after = np.searchsorted(closing, np.arange(n + 1))
-        self.next_close = np.append(closing, n)[after]  # first closing row at or after i
+        self.position = self.group * self.stride + (self.at - self.origin[self.group])
+        self.closing = numbers(closes).astype(bool) if closes else np.zeros(n, dtype=bool)
+        closing = np.flatnonzero(self.closing)
+        self.next_close = np.append(closing, n)[np.searchsorted(closing, np.arange(n + 1))]  # first closing row at or after i
 
         # Where the span opened by row i ends: at a closing row, or at the first row past it.
         i = np.arange(n)
@@ -106,14 +107,108 @@ class _Chunks:
         self.idle = np.zeros(n + 1, dtype=bool)
         if idle_us is not None and n:
             self.idle[1:n] = (self.at[1:] - self.at[:-1] > idle_us) & (self.group[1:] == self.group[:-1])
+            self.idle[0] = seen is not None and self.at[0] - seen > idle_us
         self.renews = self.closed | self.idle[self.following]
 
-    def entry(self, opens_until: np.ndarray) -> np.ndarray:
-        """First start in each group when the span that enters it ends at the given time."""
-        reach = np.clip(opens_until - self.origin, 0, self.stride - 1)
+    def entry(self, opens_until: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """First start in the groups when the span that enters them ends at the given times."""
+        reach = np.clip(opens_until - self.origin[group], 0, self.stride - 1)
         reach = np.where(opens_until == NOTHING_OPEN, 0, reach)
-        past = np.searchsorted(self.position, np.arange(len(self.first)) * self.stride + reach)
-        return np.minimum(past, self.next_close[self.first] + 1)
+        past = np.searchsorted(self.position, group * self.stride + reach)
+        past = np.maximum(past, self.first[group])
+        return np.where(opens_until == NOTHING_OPEN, past, np.minimum(past, self.next_close[self.first[group]] + 1))
+
+    def chains(self) -> tuple[np.ndarray, np.ndarray]:
+        """Last start reached from a start at each row, and the lead of the chain it then belongs to."""
+        index = np.arange(self.n)
+        goes_on = self.following < self.row_end
+        last = np.where(goes_on, self.following, index)
+        leads = np.where(goes_on & self.renews, self.lead[last], NO_LEAD)
+        while True:  # pointer jumping
+            further = last[last]
+            if np.array_equal(further, last):
+                return last, leads
+            leads = np.where(leads[last] != NO_LEAD, leads[last], leads)
+            last = further
+
+    def left_by(self, start: np.ndarray, lead: np.ndarray, chains) -> list[np.ndarray]:
+        """States after the slice when the spans that start at the rows `start` carry `lead`."""
+        last, leads = chains[0][start], chains[1][start]
+        ends = np.where(self.closed[last], NOTHING_OPEN, self.at[last] + self.hold)
+        return [ends, self.order[last], np.where(leads != NO_LEAD, leads, lead)]
+
+    def passed(self, state: list[np.ndarray], group: np.ndarray, chains) -> list[np.ndarray]:
+        """States after the slice for states that enter the groups."""
+        ends, order, lead = state
+        at = self.entry(ends, group)
+        inside = at < self.end[group]
+        start = np.where(inside, at, self.first[group])
+        close = self.next_close[self.first[group]]
+        cut = (ends != NOTHING_OPEN) & (close < self.end[group]) & (at == close + 1)
+        renews = (ends == NOTHING_OPEN) | cut | self.idle[start]
+        after = self.left_by(start, np.where(renews, self.lead[start], lead), chains)
+        through = [np.where(cut, NOTHING_OPEN, ends), order, lead]
+        return [np.where(inside, a, t) for a, t in zip(after, through)]
+
+
+class _Steps:
+    """Step functions of groups: a span that is open until x <= `until` leaves a group as `state`.
+
+    `group` is sorted and `until` rises in a group. `open` says per group whether a longer span
+    might still enter: no row yet is late enough, nor a closing one.
+    """
+
+    def __init__(self, group: np.ndarray, until: np.ndarray, state: list[np.ndarray], open_: np.ndarray):
+        self.group, self.until, self.state, self.open = group, until, state, open_
+
+    @classmethod
+    def of(cls, rows: _Slice, chains) -> _Steps:
+        """The steps of every group, from its rows in the slice alone."""
+        index, groups = np.arange(rows.n), np.arange(len(rows.first))
+        reach = np.searchsorted(rows.position, groups * rows.stride + rows.hold - 1)
+        close = rows.next_close[rows.first]
+        stop = np.minimum(np.minimum(reach, close), rows.end - 1)
+        # Of rows at one time, the first is where a span that ends then lets go.
+        changed = np.append(True, rows.position[1:] != rows.position[:-1])[:rows.n]
+        start = np.flatnonzero((index <= stop[rows.group]) & changed)
+        state = rows.left_by(start, np.where(rows.idle[start], rows.lead[start], NO_LEAD), chains)
+        # A span that is still open at a closing row ends there; what follows begins anew.
+        ending = np.flatnonzero((close < rows.end) & (close <= reach))
+        resumes = close[ending] + 1
+        inside = resumes < rows.end[ending]
+        begin = np.where(inside, resumes, 0)
+        resumed = rows.left_by(begin, rows.lead[begin], chains)
+        nothing = (NOTHING_OPEN, 0, NO_LEAD)
+        resumed = [np.where(inside, r, v) for r, v in zip(resumed, nothing)]
+        group = np.concatenate([rows.group[start], ending])
+        arrange = np.argsort(group, kind="stable")
+        return cls(group[arrange], np.concatenate([rows.at[start], np.full(len(ending), ANY)])[arrange],
+                   [np.concatenate([s, r])[arrange] for s, r in zip(state, resumed)], (reach >= rows.end) & (close >= rows.end)).collapsed()
+
+    def collapsed(self) -> _Steps:
+        """Neighbouring steps with the same answer are one."""
+        ends, order, lead = self.state
+        order, lead = np.where(ends == NOTHING_OPEN, 0, order), np.where(ends == NOTHING_OPEN, NO_LEAD, lead)
+        state = [ends, order, lead]
+        differs = np.ones(len(ends), dtype=bool)
+        differs[:-1] = self.group[1:] != self.group[:-1]
+        for column in state:
+            differs[:-1] |= column[1:] != column[:-1]
+        return _Steps(self.group[differs], self.until[differs], [c[differs] for c in state], self.open)
+
+    def part(self, low: int, high: int) -> _Steps:
+        """The groups in [low, high), renumbered from 0."""
+        at = slice(*np.searchsorted(self.group, [low, high]))
+        return _Steps(self.group[at] - low, self.until[at], [c[at] for c in self.state], self.open[low:high])
+
+    def then(self, rows: _Slice, fresh: _Steps, chains) -> _Steps:
+        """One group's steps after the slice's first group, whose own steps are `fresh`."""
+        state = rows.passed(self.state, np.zeros(len(self.until), dtype=np.int64), chains)
+        if not self.open[0]:
+            return _Steps(self.group, self.until, state, self.open).collapsed()
+        new = fresh.until > (self.until[-1] if len(self.until) else NOTHING_OPEN)
+        return _Steps(np.append(self.group, fresh.group[new]), np.append(self.until, fresh.until[new]),
+                      [np.append(c, f[new]) for c, f in zip(state, fresh.state)], fresh.open).collapsed()
 
 
 def anchor_rows(
@@ -129,6 +224,7 @@ def anchor_rows(
     lead: str | None = None,
     idle_us: int | None = None,
     costly_input: bool = False,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Append ``anchor_us``, ``anchor_order`` and ``is_anchor`` to every row.
 
@@ -156,56 +252,36 @@ def anchor_rows(
     chunk_field = T.StructField("_chunk", T.LongType())
 
     def summarise(batches):
-        for table in _whole_groups(batches, group):
-            c = _Chunks(table, keys, micros, order, closes, hold, chunk_us, lead, idle_us)
-            n, index = table.num_rows, np.arange(table.num_rows)
-            goes_on = c.following < c.row_end
-            last = np.where(goes_on, c.following, index)
-            leads = np.where(goes_on & c.renews, c.lead[last], NO_LEAD)
-            while True:  # pointer jumping: last start of the chunk reached from row i
-                further = last[last]
-                if np.array_equal(further, last):
-                    break
-                leads = np.where(leads[last] != NO_LEAD, leads[last], leads)
-                last = further
-            leaves = np.where(c.closed[last], NOTHING_OPEN, c.at[last] + hold)
-            leaves_order = c.order[last]
-
-            first_close = c.next_close[c.first]
-            resumes = first_close + 1  # any longer span is cut short by the closing row
-            reach = np.searchsorted(c.position, np.arange(len(c.first)) * c.stride + hold - 1)
-            stop = np.minimum(np.minimum(reach, resumes), c.end - 1)
-            step = index <= stop[c.group]
-            after_close = index == resumes[c.group]
-            until = np.where(after_close, ANY, c.at)
-            begins = (after_close | c.idle[:n]) & (leads == NO_LEAD)
-            leads = np.where(begins, c.lead, leads)
-            same_as_next = np.zeros(n, dtype=bool)
-            same_as_next[:-1] = (
-                step[:-1] & step[1:] & (c.group[:-1] == c.group[1:])
-                & (leaves[:-1] == leaves[1:])
-                & ((leaves[:-1] == NOTHING_OPEN) | (leaves_order[:-1] == leaves_order[1:]))
-                & (leads[:-1] == leads[1:])
-            )
-            keep = np.flatnonzero(step & ~same_as_next)
-            # The chunk's last row is its first closing row: a long span ends there.
-            tail = np.flatnonzero((resumes == c.end) & (first_close <= reach))
-            groups = np.concatenate([c.group[keep], tail])
-            values = [
-                np.concatenate([until[keep], np.full(len(tail), ANY)]),
-                np.concatenate([leaves[keep], np.full(len(tail), NOTHING_OPEN)]),
-                np.concatenate([leaves_order[keep], np.zeros(len(tail), dtype=np.int64)]),
-                np.concatenate([leads[keep], np.full(len(tail), NO_LEAD)]),
-            ]
-            arrange = np.argsort(groups, kind="stable")
-            offsets = np.searchsorted(groups[arrange], np.arange(len(c.first) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[arrange])) for v in values]
-            heads = table.select(group).take(pa.array(c.first)).combine_chunks()
-            columns = [heads.column(k).combine_chunks() for k in group]
-            yield pa.RecordBatch.from_arrays(
-                columns + [pa.array(x) for x in (c.at[c.first], c.at[c.end - 1], c.lead[c.first])] + lists,
-                names=group + SUMMARY_SCALARS + SUMMARY_LISTS,
-            )
+        held = None  # (key row, first time, first lead, steps) of the group that the slice before left unfinished
+        seen = None
+
+        def told(heads, first_at, last_at, first_lead, steps):
+            sizes = np.searchsorted(steps.group, np.arange(heads.num_rows + 1)).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [*heads.columns, *(pa.array(np.asarray(x, np.int64)) for x in (first_at, last_at, first_lead)),
+                 *(pa.ListArray.from_arrays(pa.array(sizes), pa.array(v)) for v in (steps.until, *steps.state))],
+                names=group + SUMMARY_SCALARS + SUMMARY_LISTS)
+
+        for table, goes_on in _slices(batches, group, slice_rows):
+            c = _Slice(table, keys, micros, order, closes, hold, chunk_us, lead, idle_us, seen if goes_on else None)
+            chains = c.chains()
+            fresh = _Steps.of(c, chains)
+            heads, last = table.select(group).take(pa.array(c.first)), len(c.first) - 1
+            if goes_on:
+                head, first_at, first_lead, steps = held
+                held = head, first_at, first_lead, steps.then(c, fresh.part(0, 1), chains)
+                seen = c.at[c.end[0] - 1]
+            if held and (not goes_on or last):
+                yield told(held[0], [held[1]], [seen], [held[2]], held[3])
+            if last or not goes_on:
+                low = int(goes_on)
+                if low < last:
+                    first = c.first[low:last]
+                    yield told(heads.slice(low, last - low), c.at[first], c.at[c.end[low:last] - 1], c.lead[first], fresh.part(low, last))
+                held = heads.slice(last), c.at[c.first[last]], c.lead[c.first[last]], fresh.part(last, last + 1)
+            seen = c.at[-1]
+        if held:
+            yield told(held[0], [held[1]], [seen], [held[2]], held[3])
 
     def walk(batches):
         before = None  # the summary row before this one, with its resolved exit
@@ -276,14 +352,17 @@ def anchor_rows(
     )
 
     def mark(batches):
-        for table in _whole_groups(batches, group):
-            c = _Chunks(table, keys, micros, order, closes, hold, chunk_us, lead, idle_us)
-            n, index = table.num_rows, np.arange(table.num_rows)
+        carried, seen = None, None  # the state and time the slice before left in its last group
+        for table, goes_on in _slices(batches, group, slice_rows):
+            c = _Slice(table, keys, micros, order, closes, hold, chunk_us, lead, idle_us, seen if goes_on else None)
+            index = np.arange(c.n)
             enters, enters_order, enters_lead = (
-                pc.fill_null(table.column(name), unset).combine_chunks().to_numpy()[c.first]
+                pc.fill_null(table.column(name), unset).to_numpy(zero_copy_only=False)[c.first].copy()
                 for name, unset in (("enters", NOTHING_OPEN), ("enters_order", 0), ("enters_lead", NO_LEAD)))
-            is_anchor = np.zeros(n, dtype=bool)
-            at = c.entry(enters)
+            if goes_on:
+                enters[0], enters_order[0], enters_lead[0] = carried
+            is_anchor = np.zeros(c.n, dtype=bool)
+            at = c.entry(enters, np.arange(len(c.first)))
             at = at[at < c.end]
             while len(at):  # one start of every group per step
                 is_anchor[at] = True
@@ -295,22 +374,27 @@ def anchor_rows(
                 return own, np.where(own, found, 0)
 
             own, anchor = latest(is_anchor)
+            # Whether the span a row belongs to has been ended by that row.
+            shut = c.closing & ~is_anchor
             added = {
                 "anchor_us": np.where(own, c.at[anchor], enters[c.group] - hold),
                 "anchor_order": np.where(own, c.order[anchor], enters_order[c.group]),
                 "is_anchor": is_anchor,
             }
+            chain = np.full(c.n, NO_LEAD)
             if lead:
-                closing = table.column(closes).combine_chunks().to_numpy(zero_copy_only=False) if closes else is_anchor
-                renewed = c.idle[:n].copy()
-                renewed[1:] |= (closing & ~is_anchor)[:-1]
-                renewed[c.first] = enters_lead == NO_LEAD
+                renewed = c.idle[:c.n].copy()
+                renewed[1:] |= shut[:-1]
+                renewed[c.first] |= enters_lead == NO_LEAD
                 own, begin = latest(is_anchor & renewed)
-                added["lead_value"] = np.where(own, c.lead[begin], enters_lead[c.group])
+                chain = added["lead_value"] = np.where(own, c.lead[begin], enters_lead[c.group])
+            end = NOTHING_OPEN if shut[-1] else added["anchor_us"][-1] + hold
+            carried = end, added["anchor_order"][-1], NO_LEAD if shut[-1] else chain[-1]
+            seen = c.at[-1]
             out = table.drop_columns(["_chunk", "enters", "enters_order", "enters_lead"])
             for name, values in added.items():
                 out = out.append_column(name, pa.array(values))
-            yield from out.combine_chunks().to_batches()
+            yield out
 
     added_fields = [T.StructField("anchor_us", T.LongType()), T.StructField("anchor_order", T.LongType()),
                     T.StructField("is_anchor", T.BooleanType())]

@@ -29,8 +29,8 @@ def fold(rows, span, bound_included, use_close, idle):
 
 @pytest.mark.parametrize("bound_included", [True, False])
 @pytest.mark.parametrize("use_close", [True, False])
-@pytest.mark.parametrize("density,idle", [(3, None), (40, 20)])
-def test_matches_fold(spark, bound_included, use_close, density, idle):
+@pytest.mark.parametrize("density,idle,slice_rows", [(3, None, 1 << 16), (40, 20, 1 << 16), (3, None, 7), (40, 20, 1)])
+def test_matches_fold(spark, bound_included, use_close, density, idle, slice_rows):
     rng = random.Random(density * 4 + bound_included * 2 + use_close)
     rows, order = [], 0
     for key in range(12):
@@ -43,6 +43,24 @@ def test_matches_fold(spark, bound_included, use_close, density, idle):
     got = {
         (r.key, r.ord): (r.anchor_us, r.anchor_order, r.is_anchor, r.lead_value)
         for r in anchor_rows(df, ["key"], "at", "ord", 20, bound_included=bound_included,
-                             closes="fin" if use_close else None, chunk_us=25, lead="ord", idle_us=idle).collect()
+                             closes="fin" if use_close else None, chunk_us=25, lead="ord", idle_us=idle,
+                             slice_rows=slice_rows).collect()
     }
     assert got == fold(rows, 20, bound_included, use_close, idle)
+
+
+@pytest.mark.parametrize("step", [0, 3, 40])
+@pytest.mark.parametrize("use_close,idle", [(True, None), (True, 20), (False, None)])
+def test_one_key_holds_all_rows(spark, step, use_close, idle):
+    """Slices of 1,000 rows of a key whose chunks hold up to all 30,000."""
+    rng, rows, at = random.Random(step), [], 5
+    for order in range(30_000):
+        at += rng.randrange(step + 1) if step else int(order % 6000 == 5999) * 15
+        rows.append(("k", at, order, rng.random() < 0.002))
+    df = spark.createDataFrame(rows, "key string, at long, ord long, fin boolean").repartition(5)
+    got = {
+        (r.key, r.ord): (r.anchor_us, r.anchor_order, r.is_anchor, r.lead_value)
+        for r in anchor_rows(df, ["key"], "at", "ord", 20, bound_included=True, closes="fin" if use_close else None,
+                             chunk_us=100_000, lead="ord", idle_us=idle, slice_rows=1000).collect()
+    }
+    assert got == fold(rows, 20, True, use_close, idle)
