@@ -22,6 +22,6 @@ FROM_PACKETS = (f"{network_flows.ALL_FLOW_CTES}, fl AS (SELECT flow_seq AS flow_
                             f"{network.FLOW_ALERTS} UNION ALL {network.BURST_ALERTS} UNION ALL {network.RULE_ALERTS}")
 def packets_to_alerts(spark, sf_dir):
     """Packets to flows to features to scores to alerts, all in one."""
-    assigned = network_flows.assigned(spark, sf_dir)
-    rows = flows.model_rows(flows.flow_features(assigned), "client_id", F.col("anchor_order").alias("flow_no"))
+    features = flows.packet_features(network_flows.packets(spark, sf_dir))
+    rows = flows.model_rows(features, "client_id", F.col("anchor_order").alias("flow_no"))
     return network.shown(net.network_alerts(net.scored(net.scoring_rows(rows), network.model())))

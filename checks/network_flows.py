@@ -210,12 +210,12 @@ def shown(flows84, two_way: bool = True):
 
 @query("flow_features_84", f"{ALL_FLOW_CTES}\nSELECT {show_sql()} FROM flows84")
 def flow_features_84(spark, sf_dir):
-    return shown(flows.flow_features(assigned(spark, sf_dir)))
+    return shown(flows.packet_features(packets(spark, sf_dir)))
 
 
 @query("flow_features_unidirectional", f"{UNI_FLOW_CTES}\nSELECT {show_sql(False)} FROM flows84")
 def flow_features_unidirectional(spark, sf_dir):
-    return shown(flows.flow_features(assigned(spark, sf_dir, bidirectional=False), bidirectional=False), False)
+    return shown(flows.packet_features(packets(spark, sf_dir), bidirectional=False), False)
 
 
 _FINITE = lambda n: f'CASE WHEN isfinite(CAST("{n}" AS DOUBLE)) THEN round(CAST("{n}" AS DOUBLE), 4) ELSE 0.0 END'
@@ -225,7 +225,7 @@ _FINITE = lambda n: f'CASE WHEN isfinite(CAST("{n}" AS DOUBLE)) THEN round(CAST(
        + ", ".join(f"{_FINITE(s)} AS {m}" for m, s in fv.MODEL_FEATURE_SOURCES.items())
        + ", round(start_us / 1000000.0, 6) AS FlowStartTime FROM flows84")
 def model_projection(spark, sf_dir):
-    rows = flows.model_rows(flows.flow_features(assigned(spark, sf_dir)), "anchor_order")
+    rows = flows.model_rows(flows.packet_features(packets(spark, sf_dir)), "anchor_order")
     return rows.select(F.col("anchor_order").alias("flow_seq"),
                        *[F.round(m, 4).alias(m) for m in fv.MODEL_FEATURE_SOURCES], "FlowStartTime")
 
@@ -239,7 +239,7 @@ SELECT f.flow_seq, EXISTS (SELECT 1 FROM win WHERE win.client_id = pk.client_id
 FROM flows84 f JOIN pk ON pk.seq = f.flow_seq""")
 def flow_labels_from_truth(spark, sf_dir):
     """Label column of the flow file: is the flow inside a ground-truth window?"""
-    rows = flows.model_rows(flows.flow_features(assigned(spark, sf_dir)), "client_id", "anchor_order")
+    rows = flows.model_rows(flows.packet_features(packets(spark, sf_dir)), "client_id", "anchor_order")
     windows = learning.truth_windows(views.truth_log(spark, sf_dir))
     return learning.windows_hit(rows, windows).select(F.col("anchor_order").alias("flow_seq"), "in_attack")
 

@@ -30,7 +30,7 @@ NO_LEAD = -1
 ANY = np.iinfo(np.int64).max
 
 
-def _changes(table: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
+def changes(table: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
     """True where a row differs from the one before it in any of the columns."""
     changed = np.zeros(table.num_rows, dtype=bool)
     if table.num_rows:
@@ -63,7 +63,7 @@ def _slices(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int) ->
                 goes_on = False
             else:
                 seam = pa.Table.from_batches([last, part.select(columns).slice(0, 1)])
-                goes_on = not _changes(seam, columns)[1]
+                goes_on = not changes(seam, columns)[1]
             last = part.select(columns).slice(part.num_rows - 1)
             yield part, goes_on
 
@@ -83,7 +83,7 @@ class _Slice:
         self.n, self.hold = n, hold
         self.at = numbers(micros).astype(np.int64)
         self.order = numbers(order).astype(np.int64)
-        self.first = np.flatnonzero(_changes(table, keys + ["_chunk"]))
+        self.first = np.flatnonzero(changes(table, keys + ["_chunk"]))
         self.end = np.append(self.first[1:], n)
         sizes = self.end - self.first
         self.group = np.repeat(np.arange(len(self.first)), sizes)
@@ -289,10 +289,10 @@ def anchor_rows(
             if batch.num_rows == 0:
                 continue
             n = batch.num_rows
-            new_key = _changes(batch, keys)
+            new_key = changes(batch, keys)
             if before is not None:
                 seam = pa.Table.from_batches([before["keys"], batch.select(keys).slice(0, 1)])
-                new_key[0] = _changes(seam, keys)[1]
+                new_key[0] = changes(seam, keys)[1]
             chunk, first_at, last_at, first_lead = (
                 batch.column(k).to_numpy() for k in ["_chunk"] + SUMMARY_SCALARS)
             lists = [batch.column(k) for k in SUMMARY_LISTS]

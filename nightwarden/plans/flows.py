@@ -1,22 +1,30 @@
 """Packets to bidirectional flows with 84 columns.
 
 Packets are ordered by (time, capture order) inside a conversation, i.e. both directions of
-one 5-tuple seen by one client. A flow lasts at most the timeout from its first packet, so
-grouping by flow keeps every task small no matter how long a conversation goes on.
+one 5-tuple seen by one client. A flow lasts at most the timeout from its first packet.
+`packet_features` folds flows into mergeable states (`operators/flow_state`) where they are
+marked; the per-packet plans (`inter_arrival`, `active_idle`, `payload_runs`) are windows by flow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from nightwarden import fixed_values as fv
 from nightwarden.functions import clock, network
 from nightwarden.functions.numbers import INF, finite_or_zero, or_nan
-from nightwarden.operators.anchors import anchor_rows
+from nightwarden.operators import flow_state
+from nightwarden.operators.anchors import anchor_rows, changes
+from nightwarden.session import checkpointed
 
 CONVERSATION = ["client_id", "conversation"]
 FLOW_KEY = [*CONVERSATION, "anchor_us", "anchor_order"]
-FLAGS = ("fin", "syn", "rst", "psh", "ack", "urg", "cwe", "ece")
+FLAGS = flow_state.FLAGS
+CHUNK_TIMEOUTS = 40
 
 
 def ip_packets(packets: DataFrame) -> DataFrame:
@@ -48,6 +56,7 @@ def assign_flows(
     anchored = anchor_rows(
         keyed, CONVERSATION, "ts_us", "seq", timeout_us, bound_included=True, closes="closes",
         lead="side", idle_us=timeout_us if flush_idle else None, chunk_us=chunk_us,
+        costly_input=True,
     )
     same_side = F.col("side") == F.col("lead_value")
     sided = anchored.withColumns({
@@ -134,59 +143,101 @@ def payload_runs(assigned: DataFrame) -> DataFrame:
     )
 
 
-def _payload_run_shares(packets: DataFrame) -> DataFrame:
-    """What each packet adds to the run totals of its flow: the fourth packet of a run brings
-    the first four, each later one itself."""
-    place = F.col("_loaded") - F.col("_run.n")
-    fourth, later = place == fv.PAYLOAD_RUN_MIN_PACKETS, place > fv.PAYLOAD_RUN_MIN_PACKETS
-    return _payload_marks(packets).withColumns({
-        "run_states": F.when(fourth, 1),
-        "run_packets": F.when(fourth, fv.PAYLOAD_RUN_MIN_PACKETS).when(later, 1),
-        "run_bytes": F.when(fourth, F.col("_bytes") - F.col("_run.bytes")).when(later, F.col("payload_bytes")),
-        "run_us": F.when(fourth, F.col("ts_us") - F.col("_run.ts")).when(later, F.col("ts_us") - F.col("_seen")),
-    }).drop("_seen", "_opens", "_loaded", "_bytes", "_run")
-
-
-def _spread(name: str, value: Column) -> list[Column]:
-    return [
-        F.sum(value).cast("double").alias(f"{name}_sum"), F.avg(value).alias(f"{name}_mean"),
-        F.stddev_samp(value).alias(f"{name}_std"), F.max(value).cast("double").alias(f"{name}_max"),
-        F.min(value).cast("double").alias(f"{name}_min"),
-    ]
+HEAD = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_src_ip", "flow_src_port",
+        "flow_dst_ip", "flow_dst_port", "payload_bytes", "tcp_window", "is_fwd", "flag_psh", "flag_urg")
 
 
-def flow_features(assigned: DataFrame, bidirectional: bool = True, label: str = "No Label") -> DataFrame:
-    """The 84 columns per flow of more than one packet, preceded by the flow key."""
-    marked = _payload_run_shares(active_idle(inter_arrival(assigned, bidirectional)))
-    fwd, first = F.col("is_fwd"), F.col("packet_no") == 1
-    payload = F.col("payload_bytes").cast("bigint")
-    head = F.struct(
-        "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_src_ip", "flow_src_port",
-        "flow_dst_ip", "flow_dst_port", "payload_bytes", "tcp_window", "is_fwd", "flag_psh", "flag_urg")
-    totals = marked.groupBy(*FLOW_KEY).agg(
-        F.first(F.when(first, head), ignorenulls=True).alias("head"),
-        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
-        F.count_if(fwd).alias("fwd_n"), F.count_if(~fwd).alias("bwd_n"),
-        *_spread("fwd_len", F.when(fwd, payload)), *_spread("bwd_len", F.when(~fwd, payload)),
-        *_spread("iat", F.col("flow_iat")), *_spread("fwd_iat", F.col("fwd_iat")),
-        *_spread("bwd_iat", F.col("bwd_iat")),
-        *_spread("active", F.col("active_us")), *_spread("idle", F.col("idle_us")),
-        F.sum(F.when(fwd, F.col("header_bytes")).otherwise(0)).alias("fwd_header"),
-        F.sum(F.when(~fwd, F.col("header_bytes")).otherwise(0)).alias("bwd_header"),
-        F.count("*").alias("packets"), F.sum(payload).cast("double").alias("len_sum"),
-        F.avg(payload).alias("len_mean"), F.var_pop(payload).alias("len_var"),
-        F.max(payload).cast("double").alias("len_max"), F.min(payload).cast("double").alias("len_min"),
-        *[F.count_if(F.col(f"flag_{flag}")).alias(f"{flag}_n") for flag in FLAGS],
-        F.max_by(F.when(~fwd, F.col("tcp_window")), F.when(~fwd, F.col("packet_no"))).alias("bwd_window"),
-        F.count_if(fwd & ~first & (payload >= 1)).alias("fwd_data"),
-        F.min(F.when(fwd, F.col("header_bytes"))).alias("fwd_header_min"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("run_states", "run_packets", "run_bytes", "run_us")],
-    )
+def _state_schema(packets: DataFrame) -> T.StructType:
+    first = [f for name in (*FLOW_KEY, *HEAD) for f in packets.schema.fields if f.name == name]
+    return T.StructType([
+        *first, T.StructField("crosses", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in flow_state.INTEGERS),
+        *(T.StructField(n, T.DoubleType()) for n in flow_state.FLOATS)])
+
+
+def _as_rows(heads: pa.RecordBatch, crosses: np.ndarray, state: flow_state.State) -> pa.RecordBatch:
+    names = [*FLOW_KEY, *HEAD]
+    return pa.RecordBatch.from_arrays(
+        [*heads.select(names).columns, pa.array(crosses), *flow_state.columns(state)], [*names, "crosses", *flow_state.FIELDS])
+
+
+def _finish(heads: pa.RecordBatch, state: flow_state.State, bidirectional: bool) -> flow_state.State:
+    first = lambda name: heads.column(name).to_numpy(zero_copy_only=False)
+    return flow_state.finished(state, first("is_fwd").astype(bool), first("payload_bytes"), bidirectional)
+
+
+def _states(ordered: DataFrame, bidirectional: bool, chunk_us: int | None, timeout_us: int) -> DataFrame:
+    """One row per flow and chunk from packets in order; flows that stay in their chunk are finished."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for heads, state in flow_state.rows_of_runs(batches, FLOW_KEY, changes, flow_state.packet_states):
+            start = heads.column("anchor_us").to_numpy()
+            crosses = np.zeros(len(start), bool) if chunk_us is None else start // chunk_us != (start + timeout_us) // chunk_us
+            done = _finish(heads, state, bidirectional)
+            state = {name: np.where(crosses, state[name], done[name]) for name in flow_state.FIELDS}
+            yield _as_rows(heads, crosses, state)
+
+    needed = dict.fromkeys([*FLOW_KEY, *HEAD, *flow_state.NEEDED])
+    return ordered.select(*needed).mapInArrow(run, _state_schema(ordered))
+
+
+def _met(crossing: DataFrame, bidirectional: bool) -> DataFrame:
+    """Stretches of flows that reach into the next chunk, combined and finished."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def states(batch, runs):
+            return flow_state.reduced(flow_state.read(batch), runs)[0]
+        for heads, state in flow_state.rows_of_runs(batches, FLOW_KEY, changes, states):
+            yield _as_rows(heads, np.zeros(heads.num_rows, bool), _finish(heads, state, bidirectional))
+
+    return crossing.repartition(*FLOW_KEY).sortWithinPartitions(*FLOW_KEY, "first_us").mapInArrow(run, crossing.schema)
+
+
+def _totals(states: DataFrame) -> DataFrame:
+    """Figures of a flow under the names that the columns are made from."""
+    c = F.col
+
+    def spread(name: str) -> list[Column]:
+        n, some = c(f"{name}_n"), c(f"{name}_n") > 0
+        return [F.when(some, c(f"{name}_{m}")).alias(f"{name}_{m}") for m in ("sum", "mean", "max", "min")] + [
+            F.when(n > 1, F.sqrt(c(f"{name}_m2") / (n - 1))).alias(f"{name}_std")]
+
+    return states.select(
+        *FLOW_KEY, F.struct(*HEAD).alias("head"), c("first_us").alias("start_us"), c("last_us").alias("end_us"),
+        c("fwd_len_n").cast("bigint").alias("fwd_n"), c("bwd_len_n").cast("bigint").alias("bwd_n"),
+        *[column for name in flow_state.SPREADS for column in spread(name)], (c("len_m2") / c("len_n")).alias("len_var"),
+        c("len_n").cast("bigint").alias("packets"), F.when(c("fwd_len_n") > 0, c("fwd_header_min")).alias("fwd_header_min"),
+        F.when(c("bwd_window") >= 0, c("bwd_window")).cast("int").alias("bwd_window"), *flow_state.SUMS)
+
+
+def state_features(states: DataFrame, bidirectional: bool = True, label: str = "No Label") -> DataFrame:
+    """The 84 columns per flow of more than one packet from finished states, preceded by the flow key."""
     counted = F.col("packets") if bidirectional else F.col("fwd_n")
-    return totals.withColumn("counted", counted).filter("counted > 1").select(
+    return _totals(states).withColumn("counted", counted).filter("counted > 1").select(
         *FLOW_KEY, "start_us", *_columns(label))
 
 
+def packet_features(
+    packets: DataFrame, timeout_us: int = fv.FLOW_TIMEOUT_US, bidirectional: bool = True, flush_idle: bool = False,
+    chunk_us: int | None = None, label: str = "No Label",
+) -> DataFrame:
+    """Packets to the 84 columns with one exchange of packets.
+
+    The pass that marks flows also folds them into states, slice by slice. Only stretches of
+    flows that start less than a timeout before the end of a chunk meet again, as one row each.
+    """
+    chunk_us = chunk_us or CHUNK_TIMEOUTS * timeout_us
+    assigned = assign_flows(packets, timeout_us, bidirectional, flush_idle, chunk_us)
+    states = checkpointed(_states(assigned, bidirectional, chunk_us, timeout_us))
+    whole = states.filter(~F.col("crosses")).unionByName(_met(states.filter("crosses"), bidirectional))
+    return state_features(whole, bidirectional, label)
+
+
+def flow_features(assigned: DataFrame, bidirectional: bool = True, label: str = "No Label") -> DataFrame:
+    """The 84 columns from packets that have their flow already, in any layout."""
+    ordered = assigned.repartition(*FLOW_KEY).sortWithinPartitions(*FLOW_KEY, "ts_us", "seq")
+    return state_features(_states(ordered, bidirectional, None, fv.FLOW_TIMEOUT_US), bidirectional, label)
+
+
 def _columns(label: str) -> list[Column]:
     c, head = F.col, lambda name: F.col(f"head.{name}")
     duration = c("end_us") - c("start_us")

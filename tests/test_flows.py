@@ -20,9 +20,7 @@ def packet(seq, src, dst, sport, dport, at, payload, header=20, window=0, proto=
 
 def features(spark, rows, **kw):
     df = spark.createDataFrame(rows, PACKETS)
-    assign = {k: v for k, v in kw.items() if k in ("bidirectional", "flush_idle", "chunk_us")}
-    return [r.asDict() for r in flows.flow_features(
-        flows.assign_flows(flows.ip_packets(df), **assign), kw.get("bidirectional", True)).collect()]
+    return [r.asDict() for r in flows.packet_features(flows.ip_packets(df), **kw).collect()]
 
 
 def test_three_packets_give_one_flow_of_84_columns(spark):
@@ -142,3 +140,21 @@ def test_matches_replay(spark, bidirectional):
          f["Idle Max"], f["Bwd Pkts/b Avg"], f["Bwd Blk Rate Avg"])
         for f in features(spark, rows, bidirectional=bidirectional, chunk_us=16_000_000))
     assert got == brute_force(rows, bidirectional)
+
+
+def test_states_do_not_depend_on_slices(spark):
+    """One conversation in slices of three rows and chunks of a flow's length, against one slice."""
+    rng, rows, now = random.Random(11), [], 0
+    for seq in range(600):
+        now += rng.choice([50, 900, 400_000, 1_100_000, 5_200_000 if rng.random() < 0.3 else 30])
+        src, dst, sport, dport = ("1.1.1.1", "2.2.2.2", 5, 6) if rng.random() < 0.6 else ("2.2.2.2", "1.1.1.1", 6, 5)
+        rows.append(packet(seq, src, dst, sport, dport, now, rng.choice([0, 0, 10, 700]), header=rng.choice([20, 32]),
+                           window=rng.randrange(9), flags=(rng.choice(flows.FLAGS), "rst" if rng.random() < 0.01 else "ack")))
+    shown = lambda fs: sorted(repr([round(v, 3) if isinstance(v, float) else v for v in f.values()]) for f in fs)
+    for bidirectional in (True, False):
+        whole = shown(features(spark, rows, bidirectional=bidirectional))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        try:
+            assert whole and shown(features(spark, rows, bidirectional=bidirectional, chunk_us=15_000_002)) == whole
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
