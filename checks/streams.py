@@ -1,8 +1,9 @@
 """Streaming forms over the given tables, checked against the same SQL as the batch forms.
 
-Each query reads its table as a stream of several files, one per micro-batch, so that state
-lives across them. A last file with one row far in the future moves the watermark past all
-others; that row stays in the state and never comes out.
+Each query reads its table as a stream that is given four parts, one after the other, and starts
+anew from its checkpoint for each, so that state lives across micro-batches and restarts. A last
+part with rows far in the future, far apart, moves the watermark past all others; alone, none of
+them fires, and the last stays in the state.
 """
 
 from __future__ import annotations
@@ -22,25 +23,30 @@ QUERIES, ORACLES, query = registrar()
 PARTS, AHEAD = 4, 1_000_000
 
 
-def stream(spark, sf_dir):
-    events = views.read(spark, sf_dir, "events")
-    folder = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
-    first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
-    step = (last - first) // PARTS + 1
-    for low in range(first, last + 1, step):
-        events.filter(F.col("event_id").between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(folder)
-    ahead = events.filter(F.col("event_id") == last).withColumn("event_id", F.lit(last + AHEAD).cast(events.schema["event_id"].dataType))
-    ahead.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def settled(spark, df):
-    """Run the stream over all present input; the result as a table."""
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    running = (df.writeStream.format("parquet").option("path", f"{folder}/out")
-               .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    running.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+class Feed:
+    """The events as a stream that gets a part of them at a time, in order of their ids."""
+
+    def __init__(self, spark, sf_dir, ahead: int = 1):
+        events = views.read(spark, sf_dir, "events")
+        self.folder = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+        first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
+        step = (last - first) // PARTS + 1
+        # Filters sink below the watermark, so among the rows ahead there must be one that passes them.
+        far = F.col("event_id") + AHEAD * (1 + last - F.col("event_id"))
+        far_rows = events.filter(F.col("event_id") > last - ahead).withColumn("event_id", far.cast(events.schema["event_id"].dataType))
+        self.parts = [events.filter(F.col("event_id").between(low, low + step - 1)) for low in range(first, last + 1, step)] + [far_rows]
+        events.limit(0).write.parquet(self.folder)
+        self.frame = spark.readStream.schema(events.schema).parquet(self.folder)
+
+    def settled(self, df):
+        """Give the stream part after part, each after a restart from the checkpoint; the result as a table."""
+        spark, folder = df.sparkSession, f"{self.folder}-out"
+        for part in self.parts:
+            part.write.mode("append").parquet(self.folder)
+            running = (df.writeStream.format("parquet").option("path", f"{folder}/out")
+                       .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+            running.awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 _WATCHED = {r: host.WATCHED[r] for r in host.WATCHED}
@@ -57,8 +63,9 @@ for _i, _rule in enumerate(_WATCHED):
 
 @query("stream_threshold_fires", f"WITH RECURSIVE {host.H}, " + ", ".join(_CTES) + " " + " UNION ALL ".join(_PARTS))
 def stream_threshold_fires(spark, sf_dir):
-    events = views.host_events_of(stream(spark, sf_dir))
-    fires = settled(spark, host_stream.threshold_fires(events, delay="0 seconds"))
+    feed = Feed(spark, sf_dir, ahead=200)
+    events = views.host_events_of(feed.frame)
+    fires = feed.settled(host_stream.threshold_fires(events, delay="0 seconds"))
     return fires.select(
         "rule", "computer", "source", "log_id", "window_total", "window_distinct")
 
@@ -67,8 +74,9 @@ def stream_threshold_fires(spark, sf_dir):
   attack_type, severity, confidence, event_count, evidence, rule_id, mitre_id FROM found WHERE rule_id IN ('brute_force_logon', 'password_spray', 'net_portscan')""")
 def stream_host_alerts(spark, sf_dir):
     """The alerts of the counting rules as a stream gives them."""
-    events = views.host_events_of(stream(spark, sf_dir))
-    found = settled(spark, host_stream.threshold_detections(events, delay="0 seconds"))
+    feed = Feed(spark, sf_dir, ahead=200)
+    events = views.host_events_of(feed.frame)
+    found = feed.settled(host_stream.threshold_detections(events, delay="0 seconds"))
     return host_detection.alerts(found, F.lit("2024-01-02T00:00:00Z")).select(
         "alert_id", "client_id", "attack_type", "severity", "confidence", "event_count", "evidence", "rule_id", "mitre_id")
 
@@ -77,12 +85,25 @@ def stream_host_alerts(spark, sf_dir):
 SELECT flow_seq, any_value(flow_src) AS flow_src_ip, count(*) AS packets, count_if(fwd) AS fwd_packets, max(ts_us) - min(ts_us) AS duration_us
 FROM p GROUP BY flow_seq""")
 def stream_flow_assembly(spark, sf_dir):
-    packets = views.project(stream(spark, sf_dir), views.PACKETS)
-    done = settled(spark, flow_stream.finished_flows(packets, delay="0 seconds"))
-    return done.groupBy(*flows.FLOW_KEY).agg(
-        F.min("flow_src_ip").alias("flow_src_ip"), F.count("*").alias("packets"), F.count_if("is_fwd").alias("fwd_packets"),
-        (F.max("ts_us") - F.min("ts_us")).alias("duration_us"),
-    ).withColumnRenamed("anchor_order", "flow_seq").drop("client_id", "conversation", "anchor_us")
+    feed = Feed(spark, sf_dir)
+    packets = views.project(feed.frame, views.PACKETS)
+    done = feed.settled(flow_stream.finished_flows(packets, delay="0 seconds"))
+    return done.select(
+        F.col("anchor_order").alias("flow_seq"), "flow_src_ip", F.col("len_n").cast("bigint").alias("packets"),
+        F.col("fwd_len_n").cast("bigint").alias("fwd_packets"), (F.col("last_us") - F.col("first_us")).alias("duration_us"))
+
+
+FLUSHED = (f"WITH RECURSIVE {network_flows.flow_ctes(flush_idle=True)}, {network_flows.IAT}, {network_flows.ACTIVE}, "
+           f"{network_flows.RUNS},\n{network_flows.features_sql()}")
+
+
+@query("stream_flow_features", f"{FLUSHED}\nSELECT {network_flows.show_sql()} FROM flows84")
+def stream_flow_features(spark, sf_dir):
+    """The 84 columns of flows that a stream folds packet by packet."""
+    feed = Feed(spark, sf_dir)
+    packets = views.project(feed.frame, views.PACKETS)
+    done = feed.settled(flow_stream.finished_flows(packets, delay="0 seconds"))
+    return network_flows.shown(flows.state_features(done))
 
 
 _STREAMED = ("client_id", "attack_type", "track", "alert_id", "event_count", "confidence", "rule_id", "mitre_id", "received_at")
@@ -90,6 +111,7 @@ _STREAMED = ("client_id", "attack_type", "track", "alert_id", "event_count", "co
 
 @query("stream_burst_merge", f"WITH {alerts.STORE} SELECT {', '.join(_STREAMED)} FROM mer")
 def stream_burst_merge(spark, sf_dir):
-    sent = views.project(stream(spark, sf_dir), views.ALERTS)
-    merged = settled(spark, alert_stream.merged_bursts(sent, gap_seconds=fv.MERGE_SECONDS, delay="0 seconds"))
+    feed = Feed(spark, sf_dir)
+    sent = views.project(feed.frame, views.ALERTS)
+    merged = feed.settled(alert_stream.merged_bursts(sent, gap_seconds=fv.MERGE_SECONDS))
     return merged.select(*_STREAMED)

@@ -19,6 +19,8 @@ SETTINGS = {
     # HotSpot never compiles methods above 8000 bytes; wide rows then run far faster as
     # separate projections than as one generated method that stays interpreted.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # State on disk, changed entry by entry; arbitrary state needs it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

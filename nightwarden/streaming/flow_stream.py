@@ -1,112 +1,156 @@
 """Flows from a packet stream.
 
-State per conversation holds the packets of the open flow and those the watermark has not
-passed. A flow leaves the state as a whole (FIN or RST, timeout, or silence), so the batch
-feature plan can run on each micro-batch of finished flows.
+Packets wait in time slices until the watermark passes them. The open flow of a conversation is
+one mergeable state (`operators/flow_state`): its packets are folded in and forgotten, so an open
+flow costs the same whether it has two packets or a million. A flow leaves the state finished
+(FIN or RST, timeout, or silence), ready for the 84 columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from nightwarden import fixed_values as fv
 from nightwarden.functions import clock, network
+from nightwarden.operators import flow_state
 from nightwarden.plans import flows, network_detection
 from nightwarden.schemas import PACKETS
+from nightwarden.streaming.waiting import Waiting
+
+SLICE_US = 5_000_000
+_PACKET = dict(c.split() for c in PACKETS.split(", "))
+_HELD = {n: "string" if t == "STRING" else "bigint" for n, t in _PACKET.items() if n != "client_id"}
+_TYPES = _PACKET | {"anchor_us": "BIGINT", "anchor_order": "BIGINT", "flow_src_ip": "STRING", "flow_src_port": "INT",
+                    "flow_dst_ip": "STRING", "flow_dst_port": "INT", "is_fwd": "BOOLEAN"}
+_FIRST = [n for n in ("anchor_us", "anchor_order", *flows.HEAD)]
+_NUMBERS = [(n, "BIGINT") for n in flow_state.INTEGERS] + [(n, "DOUBLE") for n in flow_state.FLOATS]
+_OUT = "client_id STRING, conversation STRING, " + ", ".join(
+    f"{n} {t}" for n, t in [*((n, _TYPES[n]) for n in _FIRST), *_NUMBERS])
+_OPEN = ", ".join(f"{n} {t}" for n, t in [*((n, _TYPES[n]) for n in _FIRST), ("source", "STRING"), ("port", "BIGINT"), *_NUMBERS])
+
+
+class Assembly(StatefulProcessor):
+    """Flows of one conversation."""
+
+    def __init__(self, timeout_us: int):
+        self.timeout_us = timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = Waiting(handle, _HELD, "ts_us", SLICE_US)
+        self.open = handle.getValueState("open", _OPEN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.waiting.add([pdf[list(_HELD)] for pdf in rows])
+        return iter(())
+
+    def _load(self):
+        """(first packet's fields, (source, port), state) of the open flow, or nothing."""
+        if not self.open.exists():
+            return None
+        values = self.open.get()
+        first = dict(zip(_FIRST, values))
+        numbers = values[len(_FIRST) + 2:]
+        state = {n: np.array([v], np.int64 if t == "BIGINT" else np.float64) for (n, t), v in zip(_NUMBERS, numbers)}
+        return first, tuple(values[len(_FIRST):len(_FIRST) + 2]), state
+
+    def _save(self, flow) -> None:
+        first, (source, port), state = flow
+        self.open.update(tuple(first[n] for n in _FIRST) + (source, int(port)) + tuple(state[n][0].item() for n, _ in _NUMBERS))
 
-_PACKET = [c.split()[0] for c in PACKETS.split(", ")]
-_NUMBERS = [c for c in _PACKET if c.endswith(("seq", "port", "protocol", "_us", "bytes", "window")) or c.startswith("flag_")]
-_STATE = ", ".join(f"{c} array<bigint>" for c in _NUMBERS) + ", src_ip array<string>, dst_ip array<string>, open int, flow_src string, flow_sport bigint"
-_OUT = PACKETS + (
-    ", conversation STRING, anchor_us BIGINT, anchor_order BIGINT, is_anchor BOOLEAN, flow_src_ip STRING, "
-    "flow_src_port INT, flow_dst_ip STRING, flow_dst_port INT, is_fwd BOOLEAN"
-)
+    def _row(self, key, flow) -> dict:
+        first, _, state = flow
+        done = flow_state.finished(state, np.array([first["is_fwd"]]), np.array([first["payload_bytes"]]), True)
+        return {"client_id": key[0], "conversation": key[1], **first, **{n: done[n][0].item() for n, _ in _NUMBERS}}
+
+    def _folded(self, key, packets: pd.DataFrame, flow, out: list[dict]):
+        """Fold packets in order into the open flow, and into those after it."""
+        packets = packets.sort_values(["ts_us", "seq"], ignore_index=True)
+        ts = packets["ts_us"].to_numpy(np.int64)
+        closing = np.flatnonzero(packets["flag_fin"].to_numpy(bool) | packets["flag_rst"].to_numpy(bool))
+        sources, at = packets["src_ip"].to_numpy(), 0
+        ends = None  # endpoints that a flow inherits from one that ran out
+        while at < len(ts):
+            if flow and ts[at] - flow[0]["anchor_us"] > self.timeout_us:
+                ends = None if ts[at] - flow[2]["last_us"][0] > self.timeout_us else flow[1]
+                out.append(self._row(key, flow))
+                flow = None
+            fresh = flow is None
+            start = int(ts[at]) if fresh else flow[0]["anchor_us"]
+            stop = int(np.searchsorted(ts, start + self.timeout_us, "right"))
+            later = closing[np.searchsorted(closing, at + 1 if fresh else at):]
+            closed = len(later) > 0 and later[0] < stop
+            stop = int(later[0]) + 1 if closed else stop
+            part = packets.iloc[at:stop]
+            if fresh:
+                p = part.iloc[0]
+                ends = ends or (p["src_ip"], int(p["src_port"]))
+                same = (p["src_ip"], int(p["src_port"])) == ends
+                (s_ip, s_port), (d_ip, d_port) = [(p[f"{a}_ip"], int(p[f"{a}_port"])) for a in (("src", "dst") if same else ("dst", "src"))]
+                first = {n: bool(p[n]) if _TYPES[n] == "BOOLEAN" else p[n] if _TYPES[n] == "STRING" else int(p[n]) for n in flows.HEAD if n in p.index}
+                first |= {"anchor_us": start, "anchor_order": int(p["seq"]), "flow_src_ip": s_ip, "flow_src_port": s_port,
+                          "flow_dst_ip": d_ip, "flow_dst_port": d_port, "is_fwd": bool(p["src_ip"] == ends[0])}
+                flow = first, ends, None
+            table = pa.RecordBatch.from_pydict({"is_fwd": sources[at:stop] == flow[1][0], **{
+                n: part[n].to_numpy(np.int64) for n in flow_state.NEEDED if n != "is_fwd"}})
+            state = flow_state.packet_states(table, np.zeros(stop - at, np.int64))
+            flow = flow[0], flow[1], state if fresh else flow_state.combined(flow[2], state)
+            if closed:
+                out.append(self._row(key, flow))
+                flow, ends = None, None
+            at = stop
+        return flow
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        flow, out = self._load(), []
+        packets = self.waiting.passed(watermark_ms)
+        if packets is not None:
+            flow = self._folded(key, packets, flow, out)
+        if flow:
+            silent_us = int(flow[2]["last_us"][0]) + self.timeout_us
+            silent_ms = silent_us // 1000 + 1
+            if silent_ms <= watermark_ms and self.waiting.empty_until(silent_us):
+                out.append(self._row(key, flow))
+                flow = None
+            elif packets is not None:
+                self.handle.registerTimer(max(silent_ms, watermark_ms + 1))
+        if flow:
+            if packets is not None:
+                self._save(flow)
+        else:
+            self.open.clear()
+        if out:
+            frame = pd.DataFrame(out)
+            for name, kind in _TYPES.items():
+                if name in frame and kind in ("INT", "BIGINT"):
+                    frame[name] = frame[name].astype("int32" if kind == "INT" else "int64")
+            yield frame[[c.split()[0] for c in _OUT.split(", ")]]
+
+    def close(self) -> None:
+        pass
 
 
 def finished_flows(packets: DataFrame, delay: str = "10 seconds", timeout_us: int = fv.FLOW_TIMEOUT_US) -> DataFrame:
-    """Packets of finished flows, laid out as the batch assignment does (idle flows flushed)."""
+    """Finished flows as states for `flows.state_features`; idle flows are flushed."""
     rows = (
         flows.ip_packets(packets).withColumn("event_time", clock.from_micros(F.col("ts_us")))
         .withWatermark("event_time", delay)
         .withColumn("conversation", network.conversation_key())
     )
-    held = _NUMBERS + ["src_ip", "dst_ip"]
-    types = {name: kind for name, kind in (c.split() for c in PACKETS.split(", "))}
-
-    def assemble(key, batches, state: GroupState):
-        if state.exists:
-            values = state.get
-            frame = pd.DataFrame({name: list(values[i]) for i, name in enumerate(held)})
-            n_open, source, port = values[len(held):]
-        else:
-            frame, n_open, source, port = pd.DataFrame({name: [] for name in held}), 0, None, None
-        current = frame.iloc[:n_open].to_dict("records")
-        waiting = [frame.iloc[n_open:]] + [pdf[held] for pdf in batches]
-        waiting = pd.concat([w for w in waiting if len(w)] or [frame.iloc[:0]]).sort_values(["ts_us", "seq"])
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        ready = waiting[waiting["ts_us"] < watermark_us].to_dict("records")
-        later = waiting[waiting["ts_us"] >= watermark_us]
-        out = []
-
-        def emit(flow):
-            first = flow[0]
-            for p in flow:
-                same = (p["src_ip"], p["src_port"]) == (source, port)
-                ends = (p["src_ip"], p["src_port"]), (p["dst_ip"], p["dst_port"])
-                (s_ip, s_port), (d_ip, d_port) = ends if same else ends[::-1]
-                out.append({**p, "anchor_us": first["ts_us"], "anchor_order": first["seq"], "is_anchor": p is first,
-                            "flow_src_ip": s_ip, "flow_src_port": s_port, "flow_dst_ip": d_ip, "flow_dst_port": d_port,
-                            "is_fwd": p["src_ip"] == source})
-
-        for p in ready:
-            if current and p["ts_us"] - current[0]["ts_us"] > timeout_us:
-                silent = p["ts_us"] - current[-1]["ts_us"] > timeout_us
-                emit(current)
-                current = []
-                if silent:
-                    source = None
-            if not current:
-                if source is None:
-                    source, port = p["src_ip"], p["src_port"]
-                current = [p]
-            else:
-                current.append(p)
-                if p["flag_fin"] or p["flag_rst"]:
-                    emit(current)
-                    current, source = [], None
-        if current and watermark_us - current[-1]["ts_us"] > timeout_us:
-            emit(current)
-            current, source = [], None
-        left = pd.concat([f for f in (pd.DataFrame(current), later) if len(f)]) if current or len(later) else None
-        if left is None:
-            state.remove()
-        else:
-            state.update(tuple(
-                [[int(v) for v in left[n]] for n in _NUMBERS]
-                + [left["src_ip"].tolist(), left["dst_ip"].tolist(), len(current), source, None if port is None else int(port)]))
-            wakes = [int(later["ts_us"].iloc[0]) // 1000 + 1] if len(later) else []
-            if current:
-                wakes.append((int(current[-1]["ts_us"]) + timeout_us) // 1000 + 2)
-            state.setTimeoutTimestamp(max(min(wakes), state.getCurrentWatermarkMs() + 1))
-        if out:
-            result = pd.DataFrame(out)
-            result["client_id"], result["conversation"] = key
-            for name in _PACKET:
-                if types[name] == "BOOLEAN":
-                    result[name] = result[name].astype(bool)
-                elif types[name] in ("INT", "BIGINT"):
-                    result[name] = result[name].astype("int32" if types[name] == "INT" else "int64")
-            yield result[[c.split()[0] for c in _OUT.split(", ")]]
-
-    return rows.groupBy("client_id", "conversation").applyInPandasWithState(
-        assemble, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("client_id", "conversation").transformWithStateInPandas(
+        Assembly(timeout_us), _OUT, "append", "eventTime")
 
 
 def model_rows(batch: DataFrame) -> DataFrame:
     """Micro-batch of finished flows to model rows."""
-    return flows.model_rows(flows.flow_features(batch), "client_id", F.col("anchor_order").alias("flow_no"))
+    return flows.model_rows(flows.state_features(batch), "client_id", F.col("anchor_order").alias("flow_no"))
 
 
 def scored_rows(model: network_detection.Model):

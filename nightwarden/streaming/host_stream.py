@@ -8,22 +8,23 @@ stream fires exactly where the batch plan does.
 
 from __future__ import annotations
 
-from collections import Counter, deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from nightwarden import fixed_values as fv
 from nightwarden.functions import clock
 from nightwarden.plans import host_detection, host_rules
 from nightwarden.sources.indicators import Indicators
+from nightwarden.streaming.waiting import Waiting
 
 KEYS = host_detection.COUNTER_KEYS
 RECORD = host_detection.EVENT_FIELDS
 MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-_STATE = "at array<bigint>, value array<string>, log_id array<bigint>, record array<string>, open int, last_fired bigint"
+SLICE_US = 10_000_000
+_WAITS = {"at_us": "bigint", "log_id": "bigint", "value": "string", "record": "string"}
 _COUNTED = "log_id bigint, at_us bigint, window_total bigint, window_distinct bigint, record string"
 
 
@@ -40,13 +41,110 @@ def batch_detections(read_lists: Callable[[], Indicators]) -> Callable[[DataFram
     return run
 
 
+class Judge(StatefulProcessor):
+    """One key of a counting rule.
+
+    Judged events lie in the state by time slice. A trigger reads the slices that enter the window
+    and those that leave it, and the counts of their values; the slices between stay untouched.
+    """
+
+    def __init__(self, minimum: dict[str, tuple[int, int]], window_us: int):
+        self.minimum, self.window_us = minimum, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = Waiting(handle, _WAITS, "at_us", SLICE_US)
+        # Judged events; an entry is a slice and the trigger that added to it.
+        self.judged = handle.getMapState("judged", "slice bigint, part bigint", "at array<bigint>, value array<string>")
+        self.present = handle.getMapState("present", "value string", "n bigint")
+        # Entries in the window in order, how many events of the first are out again, events and values in the window.
+        self.figures = handle.getValueState(
+            "figures", "slices array<bigint>, parts array<bigint>, gone bigint, total bigint, uniq bigint, last_at bigint, last_fired bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.waiting.add([pdf[list(_WAITS)].assign(value=pdf["value"].fillna("")) for pdf in rows])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        events = self.waiting.passed(watermark_ms)
+        if events is None:
+            self._forget(watermark_ms)
+            return
+        slices, parts, gone, total, uniq, last_at, last_fired = self.figures.get() if self.figures.exists() else ([], [], 0, 0, 0, 0, -1)
+        entries, counts, changed = list(zip(slices, parts)), {}, set()
+
+        def count(value: str, by: int) -> int:
+            if value not in counts:
+                counts[value] = self.present.getValue((value,))[0] if self.present.containsKey((value,)) else 0
+            counts[value] += by
+            changed.add(value)
+            return counts[value]
+
+        events = events.sort_values(["at_us", "log_id"], ignore_index=True)
+        fresh: dict[tuple[int, int], tuple[list[int], list[str]]] = {}
+        first: tuple[list[int], list[str]] | None = None  # the entry that leaves the window
+        min_total, min_distinct = self.minimum[key[0]]
+        out = []
+        for now, log, value, record in zip(*(events[c].tolist() for c in ("at_us", "log_id", "value", "record"))):
+            at = now // SLICE_US
+            if not entries or entries[-1] not in fresh or entries[-1][0] != at:
+                entries.append((at, entries[-1][1] + 1 if entries and entries[-1][0] == at else 0))
+                fresh[entries[-1]] = ([], [])
+            fresh[entries[-1]][0].append(now)
+            fresh[entries[-1]][1].append(value)
+            total += 1
+            uniq += bool(value) and count(value, 1) == 1
+            while True:
+                if first is None:
+                    first = fresh.get(entries[0]) or self.judged.getValue(entries[0])
+                if gone == len(first[0]):
+                    if fresh.pop(entries[0], None) is None:
+                        self.judged.removeKey(entries[0])
+                    entries.pop(0)
+                    first, gone = None, 0
+                elif first[0][gone] < now - self.window_us:
+                    old = first[1][gone]
+                    gone, total = gone + 1, total - 1
+                    uniq -= bool(old) and count(old, -1) == 0
+                else:
+                    break
+            last_at = now
+            if total >= min_total and uniq >= min_distinct and (last_fired < 0 or now - last_fired >= self.window_us):
+                last_fired = now
+                out.append((log, now, total, uniq, record))
+        for entry, held in fresh.items():
+            self.judged.updateValue(entry, held)
+        for value in changed:
+            if counts[value]:
+                self.present.updateValue((value,), (counts[value],))
+            elif self.present.containsKey((value,)):
+                self.present.removeKey((value,))
+        self.figures.update(([e[0] for e in entries], [e[1] for e in entries], gone, total, uniq, last_at, last_fired))
+        self.handle.registerTimer(max((last_at + 2 * self.window_us) // 1000 + 1, watermark_ms + 1))
+        if out:
+            result = pd.DataFrame(out, columns=["log_id", "at_us", "window_total", "window_distinct", "record"])
+            for name, part in zip(KEYS, key):
+                result[name] = part
+            yield result[[*KEYS, "log_id", "at_us", "window_total", "window_distinct", "record"]]
+
+    def _forget(self, watermark_ms: int) -> None:
+        """A key that has been silent for two windows leaves nothing behind."""
+        if self.figures.exists() and self.figures.get()[5] + 2 * self.window_us < watermark_ms * 1000:
+            for state in (self.figures, self.judged, self.present):
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def threshold_fires(
     events: DataFrame, delay: str = "2 minutes", window_seconds: int = fv.WINDOW_SECONDS, **limits: int
 ) -> DataFrame:
     """Firing events of the counting rules: key, log id, time, counts and the event as JSON.
 
     An event's text waits in the state until the event is judged; what stays to fill the window
-    is its time and value.
+    is its time and value, by time slice, and a count for each value in the window.
     """
     rules = host_rules.threshold_rules(**limits)
     needed = sorted({f for r in rules for f in r.fields})
@@ -62,55 +160,8 @@ def threshold_fires(
         .select("event_time", "computer", "log_id", "record", "w.*", clock.to_micros(F.col("event_time")).alias("at_us"))
     )
 
-    def judge(key, batches, state: GroupState):
-        at, value, log_id, record, seen, last_fired = state.get if state.exists else ([], [], [], [], 0, -1)
-        # The first `seen` entries were judged before and only fill the window.
-        judged = list(zip(at, log_id, value, record))[:seen]
-        waiting = list(zip(at, log_id, value, record))[seen:]
-        for pdf in batches:
-            waiting += list(zip(pdf["at_us"].tolist(), pdf["log_id"].tolist(), pdf["value"].fillna("").tolist(), pdf["record"].tolist()))
-        waiting.sort()
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        min_total, min_distinct = minimum[key[0]]
-        window = deque(judged)
-        present = Counter(v for _, _, v, _ in judged if v)
-        out = []
-        done = 0
-        for now, log, v, text in waiting:
-            if now >= watermark_us:
-                break
-            done += 1
-            window.append((now, log, v, ""))
-            if v:
-                present[v] += 1
-            while window[0][0] < now - window_us:
-                gone = window.popleft()[2]
-                if gone:
-                    present[gone] -= 1
-                    if not present[gone]:
-                        del present[gone]
-            reached = len(window) >= min_total and len(present) >= min_distinct
-            if reached and (last_fired < 0 or now - last_fired >= window_us):
-                last_fired = now
-                out.append((log, now, len(window), len(present), text))
-        waiting = waiting[done:]
-        if not waiting and (not window or window[-1][0] + 2 * window_us < watermark_us):
-            state.remove()
-        else:
-            kept = list(window) + waiting
-            columns = [list(c) for c in zip(*kept)] if kept else [[], [], [], []]
-            state.update((columns[0], columns[2], columns[1], columns[3], len(window), last_fired))
-            wake = waiting[0][0] // 1000 + 1 if waiting else (window[-1][0] + 2 * window_us) // 1000 + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        if out:
-            result = pd.DataFrame(out, columns=["log_id", "at_us", "window_total", "window_distinct", "record"])
-            for name, part in zip(KEYS, key):
-                result[name] = part
-            yield result[[*KEYS, "log_id", "at_us", "window_total", "window_distinct", "record"]]
-
-    return rows.groupBy(*KEYS).applyInPandasWithState(
-        judge, ", ".join(f"{k} string" for k in KEYS) + ", " + _COUNTED, _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    out = ", ".join(f"{k} string" for k in KEYS) + ", " + _COUNTED
+    return rows.groupBy(*KEYS).transformWithStateInPandas(Judge(minimum, window_us), out, "append", "eventTime")
 
 
 def threshold_detections(events: DataFrame, **settings) -> DataFrame:

@@ -47,7 +47,7 @@ def test_flows(spark, sf_dir, tmp_path):
     stream = replay(spark, packets, "seq", tmp_path, parts=2, end=far)
     done = finish(flow_stream.finished_flows(stream), spark, tmp_path, "flows")
     columns = ["anchor_order", "Src IP", "Tot Fwd Pkts", "Tot Bwd Pkts", "Flow Duration", "Idle Max"]
-    got = sorted(tuple(r) for r in flows.flow_features(done).select(*columns).collect())
+    got = sorted(tuple(r) for r in flows.state_features(done).select(*columns).collect())
     batch = flows.flow_features(flows.assign_flows(flows.ip_packets(packets), flush_idle=True)).select(*columns)
     assert got and got == sorted(tuple(r) for r in batch.collect())
 
@@ -91,6 +91,52 @@ def test_packets_to_network_alerts(spark, sf_dir, tmp_path):
     query.awaitTermination(240)
     assert query.exception() is None
     got = {r.alert_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assigned = flows.assign_flows(flows.ip_packets(packets), flush_idle=True)
-    rows = flow_stream.scored_rows(network.model())(assigned)
+    features = flows.packet_features(flows.ip_packets(packets), flush_idle=True)
+    rows = flows.model_rows(features, "client_id", F.col("anchor_order").alias("flow_no"))
+    rows = network_detection.scored(network_detection.scoring_rows(rows), network.model())
     assert got == {r.alert_id for r in network_detection.network_alerts(rows).collect()}
+
+
+def updates_per_run(spark, parts, build, tmp_path):
+    """State rows that each run writes when the parts arrive one after the other."""
+    folder, updated = str(tmp_path / "in"), []
+    parts[0].limit(0).write.parquet(folder)
+    stream = build(spark.readStream.schema(parts[0].schema).parquet(folder))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        query = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+        query.awaitTermination(240)
+        updated.append(sum(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators))
+    return updated
+
+
+def test_a_trigger_does_not_rewrite_the_open_window(spark, sf_dir, tmp_path):
+    one = views.host_events(spark, sf_dir).filter("event_id = 4625").limit(1)
+    data = F.map_concat(F.map_filter("data", lambda k, _: ~k.isin("IpAddress", "TargetUserName")),
+                        F.create_map(F.lit("IpAddress"), F.lit("1.1.1.1"), F.lit("TargetUserName"), F.concat(F.lit("u"), F.col("i").cast("string"))))
+
+    def events(first, n, gap_ms):
+        ids = spark.range(first, first + n).withColumnRenamed("id", "i")
+        return ids.crossJoin(one).withColumns({
+            "log_id": F.col("i"), "data": data, "event_time": F.timestamp_millis(F.lit(1_704_100_000_000) + F.col("i") * gap_ms)}).drop("i")
+
+    # 20,000 events in a second; then five at a time, 2.5 s apart, in the same window.
+    parts = [events(0, 20_000, 0)] + [events(k * 5, 5, 500).withColumn("log_id", F.col("log_id") + 100_000) for k in range(4, 20)]
+    updated = updates_per_run(spark, parts, lambda s: host_stream.threshold_fires(s, delay="0 seconds"), tmp_path)
+    assert max(updated[1:]) > 15_000 and sorted(updated[1:])[-2] < 200
+
+
+def test_an_open_flow_costs_the_same_with_many_packets(spark, sf_dir, tmp_path):
+    one = views.packets(spark, sf_dir).limit(1).withColumns({"flag_fin": F.lit(False), "flag_rst": F.lit(False)})
+
+    def packets(first, n, gap_us):
+        ids = spark.range(first, first + n).withColumnRenamed("id", "i")
+        return ids.crossJoin(one).withColumns({"seq": F.col("i"), "ts_us": F.lit(1_704_100_000_000_000) + F.col("i") * gap_us}).drop("i")
+
+    parts = [packets(0, 20_000, 10)] + [packets(k, 1, 1_000_000).withColumn("seq", F.col("seq") + 100_000) for k in range(1, 14)]
+    parts.append(packets(100, 1, 1_000_000))
+    updated = updates_per_run(spark, parts, lambda s: flow_stream.finished_flows(s, delay="0 seconds"), tmp_path)
+    assert max(updated) < 50
+    (flow,) = flows.state_features(spark.read.parquet(str(tmp_path / "out"))).collect()
+    assert flow["Tot Fwd Pkts"] + flow["Tot Bwd Pkts"] == 20_013
