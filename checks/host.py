@@ -221,15 +221,25 @@ RULE_SQL = {
 
 # Indicator lists as SQL rows.
 _list = lambda t: t.strip().splitlines()
-DOMAIN_ROWS = "dom(entry, is_suffix) AS (VALUES " + ", ".join(
-    f"({quoted(d[2:] if d.startswith('*.') else d)}, {str(d.startswith('*.')).lower()})" for d in _list(fixed_ioc_lists.DOMAINS)) + ")"
 NUM = lambda e: f"(CAST(split_part({e}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({e}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({e}, '.', 3) AS BIGINT) * 256 + CAST(split_part({e}, '.', 4) AS BIGINT))"
-ADDRESS_ROWS = "adr(line_no, entry) AS (VALUES " + ", ".join(f"({i}, {quoted(a)})" for i, a in enumerate(_list(fixed_ioc_lists.ADDRESSES))) + """),
+
+
+def list_rows(every: int = 1) -> dict[str, str]:
+    """The four lists, or every n-th entry of each, as SQL rows."""
+    entries = lambda t: list(enumerate(_list(t)))[::every]
+    domains = ", ".join(f"({quoted(d[2:] if d.startswith('*.') else d)}, {str(d.startswith('*.')).lower()})" for _, d in entries(fixed_ioc_lists.DOMAINS))
+    chains = ", ".join("({}, {})".format(*[quoted(x.strip()) for x in c.split("->")]) for _, c in entries(fixed_ioc_lists.PROCESS_CHAINS))
+    return {
+        "ioc_domain_match": f"dom(entry, is_suffix) AS (VALUES {domains})",
+        "ioc_ip_connection": "adr(line_no, entry) AS (VALUES " + ", ".join(f"({i}, {quoted(a)})" for i, a in entries(fixed_ioc_lists.ADDRESSES)) + """),
 net AS (SELECT line_no, entry, """ + NUM("split_part(entry, '/', 1)") + """ AS lo, CAST(pow(2, 32 - CAST(split_part(entry, '/', 2) AS INT)) AS BIGINT) AS span
- FROM adr WHERE contains(entry, '/'))"""
-NAME_ROWS = "nam(name) AS (VALUES " + ", ".join(f"({quoted(n)})" for n in _list(fixed_ioc_lists.PROCESS_NAMES)) + ")"
-CHAIN_ROWS = "chn(parent, child) AS (VALUES " + ", ".join(
-    "({}, {})".format(*[quoted(x.strip()) for x in c.split("->")]) for c in _list(fixed_ioc_lists.PROCESS_CHAINS)) + ")"
+ FROM adr WHERE contains(entry, '/'))""",
+        "ioc_process_name": "nam(name) AS (VALUES " + ", ".join(f"({quoted(n)})" for _, n in entries(fixed_ioc_lists.PROCESS_NAMES)) + ")",
+        "ioc_process_chain": f"chn(parent, child) AS (VALUES {chains})",
+    }
+
+
+DOMAIN_ROWS, ADDRESS_ROWS, NAME_ROWS, CHAIN_ROWS = list_rows().values()
 
 DOMAIN_HIT = """(SELECT CASE WHEN d.is_suffix THEN '*.' || d.entry ELSE d.entry END FROM dom d
  WHERE (NOT d.is_suffix AND d.entry = q) OR (d.is_suffix AND (q = d.entry OR suffix(q, '.' || d.entry)))

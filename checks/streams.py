@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from checks import alerts, host, network_flows, views
 from checks.register import registrar
-from nightwarden import fixed_values as fv
+from nightwarden import fixed_ioc_lists, fixed_values as fv
 from nightwarden.plans import flows, host_detection
 from nightwarden.session import checkpoint_dir
+from nightwarden.sources import indicators
 from nightwarden.streaming import alert_stream, flow_stream, host_stream
 
 QUERIES, ORACLES, query = registrar()
@@ -38,15 +39,28 @@ class Feed:
         events.limit(0).write.parquet(self.folder)
         self.frame = spark.readStream.schema(events.schema).parquet(self.folder)
 
-    def settled(self, df):
-        """Give the stream part after part, each after a restart from the checkpoint; the result as a table."""
-        spark, folder = df.sparkSession, f"{self.folder}-out"
-        for part in self.parts:
+    def given(self, run, before=lambda n: None):
+        """Give the stream part after part and run it on each, restarted from its checkpoint."""
+        for n, part in enumerate(self.parts):
+            before(n)
             part.write.mode("append").parquet(self.folder)
-            running = (df.writeStream.format("parquet").option("path", f"{folder}/out")
-                       .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-            running.awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{folder}/out")
+            run().awaitTermination()
+
+    def settled(self, df):
+        """The result of a stream over all parts, as a table."""
+        folder = f"{self.folder}-out"
+        self.given(lambda: df.writeStream.format("parquet").option("path", f"{folder}/out")
+                   .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def settled(spark, df):
+    """Run a stream over all present input; the result as a table."""
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    running = (df.writeStream.format("parquet").option("path", f"{folder}/out")
+               .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    running.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 _WATCHED = {r: host.WATCHED[r] for r in host.WATCHED}
@@ -115,3 +129,36 @@ def stream_burst_merge(spark, sf_dir):
     sent = views.project(feed.frame, views.ALERTS)
     merged = feed.settled(alert_stream.merged_bursts(sent, gap_seconds=fv.MERGE_SECONDS))
     return merged.select(*_STREAMED)
+
+
+def _listed(every: int, events: str) -> str:
+    """Hits of the indicator rules with every n-th list entry, over some events."""
+    rows = host.list_rows(every)
+    return " UNION ALL ".join(
+        f"SELECT * FROM (WITH {host.H}, {rows[rule]} SELECT log_id, '{rule}' AS rule_id, hit FROM ({match})) WHERE {events}"
+        for rule, (_, match) in host.IOC_CTES.items())
+
+
+_FIRST_PART = f"(SELECT min(event_id) + (max(event_id) - min(event_id)) // {PARTS} + 1 FROM events)"
+
+
+@query("stream_ioc_reload", f"""SELECT log_id, rule_id, 1 AS lists_version, count(*) AS n FROM ({_listed(1, f"log_id < {_FIRST_PART}")}) GROUP BY ALL
+UNION ALL SELECT log_id, rule_id, 2, count(*) FROM ({_listed(2, f"log_id >= {_FIRST_PART}")}) GROUP BY ALL""")
+def stream_ioc_reload(spark, sf_dir):
+    """Lists that change between two micro-batches: each event is judged by the version of its batch."""
+    feed, whole = Feed(spark, sf_dir), indicators.default_indicators(spark)
+    lists, out = f"{feed.folder}-lists", f"{feed.folder}-found"
+
+    def publish(part):
+        if part == 0:
+            indicators.publish(whole, lists, 1)
+        elif part == 1:  # every second entry is gone
+            halves = (indicators.read_text(spark, "\n".join(host._list(t)[::2])) for t in (
+                fixed_ioc_lists.DOMAINS, fixed_ioc_lists.ADDRESSES, fixed_ioc_lists.PROCESS_NAMES, fixed_ioc_lists.PROCESS_CHAINS))
+            indicators.publish(indicators.from_lines(*halves), lists, 2)
+
+    judge = host_stream.published_detections(spark, lists)
+    feed.parts.pop()  # no state, no watermark
+    feed.given(lambda: host_stream.write_batches(views.host_events_of(feed.frame), out, f"{out}-state", judge, trigger={"availableNow": True}), publish)
+    found = spark.read.parquet(out)
+    return found.groupBy("log_id", "rule_id", "lists_version").agg(F.count("*").alias("n"))

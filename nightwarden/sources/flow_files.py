@@ -20,6 +20,13 @@ def with_flow_date(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flow_date", F.to_date(F.timestamp_seconds(F.floor("FlowStartTime"))))
 
 
+def read_flows84(spark: SparkSession, path: str) -> DataFrame:
+    """Flow files of the 84 columns, each by its own header; figures as DOUBLE, the rest as text."""
+    texts = ("Flow ID", "Src IP", "Dst IP", "Timestamp", "Label")
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*[F.col(f"`{c}`") if c in texts else F.col(f"`{c}`").try_cast("double").alias(c) for c in fv.FLOW_COLUMNS])
+
+
 def write_model_rows(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Model rows in one folder per day."""
     columns = [*[c for c in ("client_id", "flow_no") if c in rows.columns], *fv.MODEL_FEATURES, "FlowStartTime"]
@@ -39,6 +46,12 @@ def _named(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(F.array(named)).alias("cells"))
 
 
+def typed_cells(lines: DataFrame, schema: str) -> DataFrame:
+    """Columns of a schema from CSV lines (header, value); what is no such value is NULL."""
+    kinds = [c.split() for c in schema.split(", ")]
+    return _named(lines).select(*[F.col("cells")[name].try_cast(kind).alias(name) for name, kind in kinds])
+
+
 def _model_rows(cells: DataFrame, names: list[str], rest: list[str]) -> DataFrame:
     number = lambda c: F.col("cells")[c].try_cast("double").alias(c)
     return cells.select(*[F.col("cells")[c].alias(c) for c in rest], *[number(c) for c in names])
@@ -63,7 +76,8 @@ def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS,
     """New files since the last trigger, each by its own header.
 
     The checkpoint remembers what was read, so a restart goes on where it stopped; producers
-    add files instead of appending lines. A file is read whole and cut into lines.
+    add files instead of appending lines (`flow_tail` follows files that grow). A file is read
+    whole and cut into lines.
     """
     files = spark.readStream.schema("value STRING").format("text").option("wholetext", True).option(
         "maxFilesPerTrigger", files_per_trigger).load(path)
@@ -72,9 +86,7 @@ def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS,
     pairs = F.transform(F.array(lines), lambda ls: F.transform(
         F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), lambda v: F.struct(F.get(ls, F.lit(0)).alias("header"), v.alias("value"))))
     body = files.select(F.explode(F.flatten(pairs)).alias("l")).select("l.header", "l.value")
-    kinds = [c.split() for c in schema.split(", ")]
-    cells = _named(body.filter((F.col("value") != F.col("header")) & (F.trim("value") != "")))
-    return cells.select(*[F.col("cells")[name].try_cast(kind).alias(name) for name, kind in kinds])
+    return typed_cells(body.filter((F.col("value") != F.col("header")) & (F.trim("value") != "")), schema)
 
 
 def read_days(spark: SparkSession, path: str, first: dt.date, last: dt.date | None = None) -> DataFrame:

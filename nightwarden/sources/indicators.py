@@ -116,15 +116,15 @@ def from_lines(domain_lines: DataFrame, address_lines: DataFrame, name_lines: Da
                       process_names(name_lines), process_chains(chain_lines))
 
 
-def default_indicators(spark: SparkSession) -> Indicators:
-    def lines(text: str) -> DataFrame:
-        entries = F.posexplode(F.split(F.lit(text.strip()), "\n")).alias("line_no", "value")
-        return spark.range(1).select(entries).withColumn("line_no", F.col("line_no").cast("bigint"))
+def read_text(spark: SparkSession, text: str) -> DataFrame:
+    """Lines of a text with their number."""
+    entries = F.posexplode(F.split(F.lit(text.strip()), "\n")).alias("line_no", "value")
+    return spark.range(1).select(entries).withColumn("line_no", F.col("line_no").cast("bigint"))
 
-    return from_lines(
-        lines(fixed_ioc_lists.DOMAINS), lines(fixed_ioc_lists.ADDRESSES),
-        lines(fixed_ioc_lists.PROCESS_NAMES), lines(fixed_ioc_lists.PROCESS_CHAINS),
-    )
+
+def default_indicators(spark: SparkSession) -> Indicators:
+    return from_lines(*(read_text(spark, text) for text in (
+        fixed_ioc_lists.DOMAINS, fixed_ioc_lists.ADDRESSES, fixed_ioc_lists.PROCESS_NAMES, fixed_ioc_lists.PROCESS_CHAINS)))
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -137,3 +137,40 @@ def read_indicators(spark: SparkSession, directory: str) -> Indicators:
     lines = {name: read_list(spark, f"{directory}/{file}") for name, file in LIST_FILES.items()}
     return from_lines(lines["domains"], lines["addresses"], lines["process_names"],
                       lines["process_chains"])
+
+
+ENTRY = ("list STRING, entry STRING, is_suffix BOOLEAN, lo BIGINT, hi BIGINT, prefix INT, line_no BIGINT, "
+         "parent STRING, child STRING, reason STRING")
+
+
+def publish(lists: Indicators, path: str, version: int) -> None:
+    """Write the four lists as one version of an indicator table, then the row that points to it.
+
+    Readers follow the pointer, so they see a version with all its lists or not at all. Writing a
+    version again replaces it.
+    """
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+    parts = [
+        lists.domains.select(F.lit("domains").alias("list"), "entry", "is_suffix"),
+        lists.addresses.select(F.lit("addresses").alias("list"), F.col("label").alias("entry"), "lo", "hi", "prefix", "line_no"),
+        lists.process_names.select(F.lit("process_names").alias("list"), F.col("name").alias("entry")),
+        lists.process_chains.select(F.lit("process_chains").alias("list"), "parent", "child", "reason"),
+    ]
+    empty = lists.domains.sparkSession.createDataFrame([], ENTRY)
+    for part in parts:
+        empty = empty.unionByName(part, allowMissingColumns=True)
+    empty.select(*names).write.mode("overwrite").parquet(f"{path}/entries/version={version}")
+    pointer = lists.domains.sparkSession.range(1).select(F.lit(version).cast("bigint").alias("version"))
+    pointer.write.mode("append").parquet(f"{path}/pointer")
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, Indicators]:
+    """The version that is pointed to now, and its lists; all four are of that version."""
+    version = spark.read.schema("version BIGINT").parquet(f"{path}/pointer").agg(F.max("version")).first()[0]
+    entries = spark.read.schema(ENTRY).parquet(f"{path}/entries/version={version}")
+    part = lambda name: entries.filter(F.col("list") == name)
+    return version, Indicators(
+        part("domains").select("entry", "is_suffix"),
+        part("addresses").select(F.col("entry").alias("label"), "lo", "hi", "prefix", "line_no"),
+        part("process_names").select(F.col("entry").alias("name")),
+        part("process_chains").select("parent", "child", "reason"))

@@ -19,9 +19,9 @@ def to_row(spark: SparkSession, model: Model, track: int, round_: int, version:
         list(map(float, model.mean)), list(map(float, model.scale)))], MODELS)
 
 
-def load(models: DataFrame, track: int = fv.TRACK_NETWORK, features: tuple[str, ...] = fv.MODEL_FEATURES,
-         activation: str = "relu", classes: tuple[int, ...] = (fv.LABEL_ATTACK, fv.LABEL_BENIGN)) -> Model:
-    """Newest valid model of a track: one row, a few thousand numbers.
+def load_round(models: DataFrame, track: int = fv.TRACK_NETWORK, features: tuple[str, ...] = fv.MODEL_FEATURES,
+               activation: str = "relu", classes: tuple[int, ...] = (fv.LABEL_ATTACK, fv.LABEL_BENIGN)) -> tuple[Model, int]:
+    """Newest valid model of a track and its round: one row, a few thousand numbers.
 
     A round whose input width does not fit the feature list is passed over in favour of the
     last one that does.
@@ -34,4 +34,9 @@ def load(models: DataFrame, track: int = fv.TRACK_NETWORK, features: tuple[str,
     matrix = lambda w: np.array(w["values"]).reshape(w["rows"], max(w["cols"], 1))
     return Model(
         [matrix(w) for w in row["coefs"]], [np.array(w["values"]) for w in row["intercepts"]],
-        np.array(row["scaler_mean"]), np.array(row["scaler_scale"]), activation, tuple(classes)).validated(features)
+        np.array(row["scaler_mean"]), np.array(row["scaler_scale"]), activation, tuple(classes)).validated(features), row["round"]
+
+
+def load(models: DataFrame, *args, **settings) -> Model:
+    """Newest valid model of a track, as `load_round` finds it."""
+    return load_round(models, *args, **settings)[0]

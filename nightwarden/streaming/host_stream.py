@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from nightwarden import fixed_values as fv
 from nightwarden.functions import clock
 from nightwarden.plans import host_detection, host_rules
+from nightwarden.sources import indicators
 from nightwarden.sources.indicators import Indicators
 from nightwarden.streaming.waiting import Waiting
 
@@ -138,6 +139,14 @@ class Judge(StatefulProcessor):
         pass
 
 
+def published_detections(spark: SparkSession, path: str) -> Callable[[DataFrame], DataFrame]:
+    """Per micro-batch: indicator rules with the lists published at its start, and their version."""
+    def run(batch: DataFrame) -> DataFrame:
+        version, lists = indicators.current(spark, path)
+        return host_detection.indicator_detections(batch, lists).withColumn("lists_version", F.lit(version))
+    return run
+
+
 def threshold_fires(
     events: DataFrame, delay: str = "2 minutes", window_seconds: int = fv.WINDOW_SECONDS, **limits: int
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import network, views
 from nightwarden import fixed_values as fv
 from nightwarden.plans import flows, learning
-from nightwarden.sources import event_xml, flow_files, indicators, models
+from nightwarden.sources import event_xml, flow_files, flow_tail, indicators, models
 
 XML = ("<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Provider Name='P'/>"
        "<EventID>{id}</EventID><Level>4</Level><Channel>Security</Channel><Computer> pc </Computer>"
@@ -152,3 +152,49 @@ def test_model_table(spark):
         models.load(narrow)
     with pytest.raises(ValueError, match="class order"):
         models.load(first, classes=(1, 0))
+
+
+def test_tail_reads_what_was_appended(tmp_path):
+    reader, path = flow_tail.TailReader(str(tmp_path), 7), tmp_path / "a" / "x.csv"
+    path.parent.mkdir()
+
+    def read(start):
+        end = reader.latestOffset()
+        rows = [(r["header"], r["at"], r["value"]) for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+        return end, rows
+
+    path.write_bytes("﻿h,é\r\n".encode() + b"1,a\nlonger than a piece, by far,bb\n\nhalf")
+    end, rows = read({})
+    assert [r[2] for r in rows] == ["1,a", "longer than a piece, by far,bb", ""] and {r[0] for r in rows} == {"h,é"}
+    assert read(end)[1] == []
+    with path.open("ab") as f:
+        f.write(b" line\n3\n")
+    again, rows = read(end)
+    assert [r[2] for r in rows] == ["half line", "3"]
+    assert read(end) == (again, rows)  # a replayed micro-batch
+    path.write_bytes(b"k\nnew\n")  # shorter
+    cut, rows = read(again)
+    assert [(r[0], r[2]) for r in rows] == [("k", "new")]
+    path.write_bytes(b"k\nNEW\n")  # as long, but other bytes
+    same, rows = read(cut)
+    assert [r[2] for r in rows] == ["NEW"]
+    (tmp_path / "b.csv").write_bytes(b"no end")
+    (tmp_path / "c.txt").write_bytes(b"x\ny\n")
+    assert read(same)[1] == [] and flow_tail.TailReader(str(tmp_path / "none"), 7).latestOffset() == {}
+    many = b"h\n" + b"".join(b"%d\n" % i for i in range(30_000))
+    (tmp_path / "b.csv").write_bytes(many)
+    wide = flow_tail.TailReader(str(tmp_path), 100_003)
+    pieces = wide.partitions(same, wide.latestOffset())
+    assert len(pieces) == 2 and [r["value"] for p in pieces for b in wide.read(p) for r in b.to_pylist()] == [str(i) for i in range(30_000)]
+
+
+def test_published_lists_are_of_one_version(spark, tmp_path):
+    lists = indicators.default_indicators(spark)
+    indicators.publish(lists, str(tmp_path), 1)
+    half = indicators.Indicators(lists.domains.limit(0), lists.addresses, lists.process_names, lists.process_chains)
+    half.domains.select(F.lit("domains").alias("list"), "entry", "is_suffix").write.parquet(str(tmp_path / "entries/version=2"))
+    version, now = indicators.current(spark, str(tmp_path))  # not pointed to yet
+    assert version == 1 and {r.list: r.entries for r in now.sizes().collect()} == {r.list: r.entries for r in lists.sizes().collect()}
+    indicators.publish(half, str(tmp_path), 2)
+    version, now = indicators.current(spark, str(tmp_path))
+    assert version == 2 and now.domains.count() == 0 and now.addresses.count() == lists.addresses.count()
