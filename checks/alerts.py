@@ -59,14 +59,19 @@ def alert_ids(spark, sf_dir):
     return store.unique_alerts(sent).select("arrival", "received_at", "client_id", (F.length("alert_id") == 64).alias("derived"))
 
 
-@query("alert_merge_into_store", f"WITH {STORE} SELECT {', '.join(MERGED_COLUMNS)} FROM mer")
+JUDGED = "severity = 2"
+
+
+@query("alert_merge_into_store", f"""WITH {STORE}, began AS (SELECT alert_id, min(received_at) AS first_at FROM un GROUP BY 1)
+SELECT {', '.join(f'mer.{c}' for c in MERGED_COLUMNS[:-1])}, CASE WHEN {JUDGED} AND first_at < (SELECT avg(received_at) FROM al) THEN 'resolved' ELSE 'open' END AS status
+FROM mer JOIN began USING (alert_id)""")
 def alert_merge_into_store(spark, sf_dir):
-    """Half of the alerts ingested, the other half merged in as a batch: the same as all at once."""
+    """Half of the alerts ingested and partly judged, the other half merged in as a batch."""
     sent = raw(spark, sf_dir)
     cut = sent.agg(F.avg("received_at")).scalar()
     earlier, batch = sent.filter(F.col("received_at") < cut), sent.filter(F.col("received_at") >= cut)
-    first = store.ingest(earlier)
-    changed = store.merge_into_store(first, batch, seen=earlier.select("alert_id")).select(*MERGED_COLUMNS)
+    first = store.ingest(earlier).withColumn("status", F.when(F.expr(JUDGED), "resolved").otherwise("open"))
+    changed = store.merge_into_store(first, batch, earlier.select("alert_id")).select(*MERGED_COLUMNS)
     return first.join(changed, "alert_id", "left_anti").select(*MERGED_COLUMNS).unionByName(changed)
 
 

@@ -102,6 +102,19 @@ def attack_classifier(spark, sf_dir):
     return views.flows(spark, sf_dir).select("flow_no", net.attack_type().alias("attack_type"))
 
 
+_CELLS = {"FwdIATStd": "flow_no % 7 = 0", "MaxPacketLength": "flow_no % 11 = 0"}
+
+
+@query("attack_classifier_cells", f"""WITH {FLOW_SQL}, cells AS (SELECT * REPLACE (CASE WHEN {_CELLS['FwdIATStd']} THEN 0 ELSE FwdIATStd END AS FwdIATStd) FROM fl)
+SELECT flow_no, CASE WHEN {_CELLS['MaxPacketLength']} THEN 'Network Attack Detected' ELSE {ATTACK} END AS attack_type FROM cells""")
+def attack_classifier_cells(spark, sf_dir):
+    """Flows read as text: some lack a figure, some have a word for one."""
+    texts = views.flows(spark, sf_dir).withColumns({
+        "FwdIATStd": F.expr(f"CASE WHEN {_CELLS['FwdIATStd']} THEN '' ELSE CAST(FwdIATStd AS STRING) END"),
+        "MaxPacketLength": F.expr(f"CASE WHEN {_CELLS['MaxPacketLength']} THEN 'n/a' ELSE CAST(MaxPacketLength AS STRING) END")})
+    return texts.select("flow_no", net.attack_type().alias("attack_type"))
+
+
 @query("attack_metadata", f"""WITH {FLOW_SQL}, {META}, t AS (SELECT flow_no, CASE WHEN flow_no % 7 = 0 THEN 'Unheard of' ELSE {ATTACK} END AS attack_type FROM fl)
 SELECT flow_no, attack_type, coalesce(m.rule_id, 'net_mlp_detection') AS rule_id, coalesce(m.mitre_id, '') AS mitre_id, coalesce(m.mitre_tactic, '') AS mitre_tactic
 FROM t LEFT JOIN meta m ON m.name = t.attack_type""")

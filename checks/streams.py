@@ -18,7 +18,7 @@ from nightwarden import fixed_ioc_lists, fixed_values as fv
 from nightwarden.plans import flows, host_detection
 from nightwarden.session import checkpoint_dir
 from nightwarden.sources import indicators
-from nightwarden.streaming import alert_stream, flow_stream, host_stream
+from nightwarden.streaming import alert_ids, alert_stream, flow_stream, host_stream
 
 QUERIES, ORACLES, query = registrar()
 PARTS, AHEAD = 4, 1_000_000
@@ -162,3 +162,24 @@ def stream_ioc_reload(spark, sf_dir):
     feed.given(lambda: host_stream.write_batches(views.host_events_of(feed.frame), out, f"{out}-state", judge, trigger={"availableNow": True}), publish)
     found = spark.read.parquet(out)
     return found.groupBy("log_id", "rule_id", "lists_version").agg(F.count("*").alias("n"))
+
+
+# Alerts of the second half that are sent under the id of one of the first half, long after it.
+
+
+@query("stream_alert_ids", f"""WITH {alerts.A}, span AS (SELECT (max(event_id) - min(event_id)) // 2 + 1 AS half, min(event_id) AS min_id FROM events),
+sent AS (SELECT al.* REPLACE (CASE WHEN arrival % 50 = 7 AND arrival - min_id >= half THEN 'a' || CAST(arrival - half AS VARCHAR) ELSE alert_id END AS alert_id) FROM al, span)
+SELECT alert_id, arrival, received_at, client_id FROM sent QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY received_at, arrival) = 1""")
+def stream_alert_ids(spark, sf_dir):
+    """Ids sent again hours after any watermark count as known."""
+    feed = Feed(spark, sf_dir)
+    feed.parts.pop()  # no watermark
+    first, last = views.read(spark, sf_dir, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    half = (last - first) // 2 + 1
+    again = (F.col("arrival") % 50 == 7) & (F.col("arrival") - first >= half)
+    sent = views.project(feed.frame, views.ALERTS).withColumn(
+        "alert_id", F.when(again, F.concat(F.lit("a"), (F.col("arrival") - half).cast("string"))).otherwise(F.col("alert_id")))
+    ids, out = alert_ids.AlertIds(spark, f"{feed.folder}-ids", blocks=1 << 12), f"{feed.folder}-new"
+    keep = alert_ids.first_arrivals(ids)
+    feed.given(lambda: host_stream.write_batches(sent, out, f"{out}-state", keep, trigger={"availableNow": True}))
+    return spark.read.parquet(out).select("alert_id", "arrival", "received_at", "client_id")

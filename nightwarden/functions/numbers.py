@@ -33,8 +33,8 @@ def number_or_zero(column: Column) -> Column:
 
 
 def no_number(column: Column) -> Column:
-    """True for a value that is there but is no number."""
-    return column.isNotNull() & column.try_cast("double").isNull()
+    """True for text that is no number; an empty cell is none at all."""
+    return (column.cast("string") != "") & column.try_cast("double").isNull()
 
 
 def ordered(column: Column, compare) -> Column:

@@ -68,23 +68,25 @@ def merge_bursts(
     )
 
 
-def merge_into_store(stored: DataFrame, batch: DataFrame, seen: DataFrame | None = None, order: str = "arrival",
+def merge_into_store(stored: DataFrame, batch: DataFrame, seen: DataFrame, order: str = "arrival",
                      gap_seconds: float = fv.MERGE_SECONDS) -> DataFrame:
     """What a batch of arrivals changes: new rows, and stored rows that grew, under their old id.
 
-    Only open rows young enough to be joined are read from the store; everything older stays as
-    it is. ``seen`` has the ids of all earlier arrivals, those merged into other rows included.
+    Only rows young enough to be joined are read from the store; a row an analyst has judged grows
+    like any other and keeps its status. ``seen`` has the ids of all earlier arrivals, those merged
+    into other rows included: without them a resend of a merged alert would count twice.
     """
     new = unique_alerts(batch, order)
-    known = seen if seen is not None else stored
-    new = new.join(known.select("alert_id").distinct(), "alert_id", "left_anti")
+    new = new.join(seen.select("alert_id").distinct(), "alert_id", "left_anti")
     oldest = F.coalesce(batch.agg(F.min("received_at")).scalar(), F.lit(float("inf")))
-    young = stored.filter((F.col("status") == "open") & (F.col("received_at") >= oldest - gap_seconds))
+    young = stored.filter(F.col("received_at") >= oldest - gap_seconds)
     columns = [c for c in stored.columns if c in new.columns and c != order]
     # A stored row comes before any arrival of the same time.
     rows = young.select(*columns, F.lit(-1).cast("bigint").alias(order), F.lit(False).alias("is_new")).unionByName(
         new.select(*columns, F.col(order).cast("bigint").alias(order), F.lit(True).alias("is_new")))
-    return merge_bursts(rows, order, gap_seconds, fresh="is_new").filter("is_new").drop("is_new")
+    grown = merge_bursts(rows, order, gap_seconds, fresh="is_new").filter("is_new").drop("is_new")
+    judged = young.select("alert_id", F.col("status").alias("_status"))
+    return grown.join(judged, "alert_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
 
 
 def ingest(alerts: DataFrame, order: str = "arrival") -> DataFrame:

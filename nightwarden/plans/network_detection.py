@@ -151,7 +151,8 @@ def scored(rows: DataFrame, model: Model, features: tuple[str, ...] = fv.MODEL_F
 def attack_type() -> Column:
     """Attack category of a flagged flow, most specific first.
 
-    NULL counts as 0 and NaN meets no limit; a flow with text for a figure gets the generic type.
+    NULL and empty cells count as 0 and NaN meets no limit; a flow with other text for a figure gets
+    the generic type.
     """
     value = lambda name: number_or_zero(F.col(name))
     above = lambda name, limit: ordered(value(name), lambda v: v > limit)
@@ -160,7 +161,7 @@ def attack_type() -> Column:
     answered = above("BwdPacketsPerSec", 0)
     logon = below("AveragePacketSize", fv.LOGON_PACKET) & below("TotalFwdPackets", fv.LOGON_PACKETS)
     used = ("FlowBytesPerSec", "AveragePacketSize", "FlowPacketsPerSec", "BwdPacketsPerSec", "FlowDurationMs", "TotalFwdPackets",
-            "MinPacketLength", "DestinationPort", "InitWinBytesFwd", "FwdIATStd", "BwdIATMax")
+            "MinPacketLength", "MaxPacketLength", "DestinationPort", "InitWinBytesFwd", "FwdIATStd", "BwdIATMax")
     return (
         F.when(reduce(or_, (no_number(F.col(name)) for name in used)), fv.GENERIC_ATTACK)
         .when(above("FlowBytesPerSec", fv.VOLUME_BYTES_PER_SEC) & below("AveragePacketSize", fv.SMALL_PACKET), "DDoS / Volumetric Flood")
@@ -273,7 +274,7 @@ def dominant_types(flags: DataFrame, order: str = "flow_no") -> DataFrame:
 #: What alerts read of scored rows beside the order column.
 READ = tuple(dict.fromkeys((
     *BATCH, "as_of", "FlowStartTime", "p_attack", *fv.EVIDENCE_FEATURES, "FlowPacketsPerSec", "BwdPacketsPerSec", "FlowDurationMs",
-    "TotalFwdPackets", "MinPacketLength", "InitWinBytesFwd", "FwdIATStd", "FINFlagCount", "PSHFlagCount", "ACKFlagCount")))
+    "TotalFwdPackets", "MinPacketLength", "MaxPacketLength", "InitWinBytesFwd", "FwdIATStd", "FINFlagCount", "PSHFlagCount", "ACKFlagCount")))
 
 
 def _once(rows: DataFrame, order: str) -> DataFrame:

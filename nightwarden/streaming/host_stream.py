@@ -8,6 +8,7 @@ stream fires exactly where the batch plan does.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -188,12 +189,15 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, transform=None,
                   trigger: dict | None = None):
     """Write every micro-batch to its own folder; a replayed batch replaces itself.
 
-    ``prepare`` runs once per batch and its result is kept while ``transform`` reads it.
+    ``prepare`` runs once per batch and its result is kept while ``transform`` reads it. A
+    ``transform`` of two arguments also gets the number of the batch.
     """
+    numbered = transform is not None and len(inspect.signature(transform).parameters) > 1
+
     def write(batch: DataFrame, batch_id: int) -> None:
         prepared = (prepare(batch) if prepare else batch).persist()
         try:
-            result = transform(prepared) if transform else prepared
+            result = transform(prepared, *([batch_id] if numbered else [])) if transform else prepared
             result.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         finally:
             prepared.unpersist()

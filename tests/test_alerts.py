@@ -45,14 +45,17 @@ def test_alerts_without_an_id_are_all_kept(spark):
 
 
 def test_merge_into_store(spark):
-    """A batch extends young open rows, repeats nothing, and leaves the rest alone."""
-    first = store.ingest(alerts(spark, [(0, {}), (10, {}), (500, {"client_id": "d"})]))
-    late = [(60, {"alert_id": "b0", "rule_id": "r"}), (110, {"alert_id": "b1"}), (500, {"alert_id": "a2", "client_id": "d"}), (700, {"alert_id": "b3", "client_id": "d"})]
-    changed = {r.alert_id: (r.event_count, r.received_at, r.rule_id) for r in store.merge_into_store(first, alerts(spark, late)).collect()}
+    """A batch extends young rows whatever their status, repeats nothing, and leaves the rest alone."""
+    sent = alerts(spark, [(0, {}), (10, {}), (500, {"client_id": "d"})])
+    first = store.ingest(sent)
+    late = [(60, {"alert_id": "b0", "rule_id": "r"}), (110, {"alert_id": "b1"}), (500, {"alert_id": "a2", "client_id": "d"}), (700, {"alert_id": "b3", "client_id": "d"}),
+            (20, {"alert_id": "a1"})]
+    changed = {r.alert_id: (r.event_count, r.received_at, r.rule_id) for r in store.merge_into_store(first, alerts(spark, late), sent).collect()}
     assert changed == {"a0": (4, 110.0, "r"), "b3": (1, 700.0, "")}
     closed = first.withColumn("status", F.lit("resolved"))
-    assert {r.alert_id for r in store.merge_into_store(closed, alerts(spark, late[:1])).collect()} == {"b0"}
-    assert store.merge_into_store(first, alerts(spark, late).filter("false")).count() == 0
+    (grown,) = store.merge_into_store(closed, alerts(spark, late[:1]), sent).collect()
+    assert (grown.alert_id, grown.event_count, grown.status) == ("a0", 3, "resolved")
+    assert store.merge_into_store(first, alerts(spark, late).filter("false"), sent).count() == 0
 
 
 def test_status_and_search(spark):
@@ -81,3 +84,25 @@ def test_liveness_limit(spark):
 def test_flatten(spark):
     batch = spark.range(2).select(F.col("id").alias("batch"), F.array(F.struct(F.lit("x").alias("alert_id")), F.struct(F.lit("y").alias("alert_id"))).alias("alerts"))
     assert store.flatten_batches(batch).count() == 4
+
+
+def test_ids_of_the_whole_store(spark, tmp_path):
+    """Replayed batches agree, resends of other days are found, a merged day answers as its batches do."""
+    import datetime as dt
+
+    from nightwarden.streaming import alert_ids
+
+    day = 86_400
+    sent = [(f"a{i}", float(i * 3600), "c", i) for i in range(100)]
+    frame = lambda rows: spark.createDataFrame(rows, "alert_id string, received_at double, client_id string, arrival long").withColumns(
+        {"track": F.lit(1), "attack_type": F.lit("t")})
+    ids = alert_ids.AlertIds(spark, str(tmp_path), blocks=64)
+    run = alert_ids.first_arrivals(ids)
+    new = lambda rows, n: sorted(r.alert_id for r in run(frame(rows), n).collect())
+    assert new(sent[:60], 0) == sorted(r[0] for r in sent[:60])
+    late = sent[50:] + [("a3", 9.0 * day, "c", 200), ("b", 9.0 * day, "c", 201), ("b", 9.0 * day, "c", 202)]
+    expected = sorted([r[0] for r in sent[60:]] + ["b"])
+    assert new(late, 1) == expected and new(late, 1) == expected
+    ids.merge_day(dt.date(1970, 1, 1))
+    ids.merge_day(dt.date(1970, 1, 1))
+    assert new(late, 2) == [] and new([("c", 1.0, "c", 300)], 3) == ["c"]
