@@ -126,3 +126,35 @@ def test_federated_round(spark):
     assert got[2].coefs[0]["values"] == pytest.approx([4.0, 5.0]) and got[2].intercepts[0]["values"] == pytest.approx([2.5])
     assert got[2].scaler_mean == [4.0] and got[2].scaler_scale == [] and got[1].round == 1
     assert learning.federated_round(updates, models, 1.0, min_clients=3).count() == 0
+
+
+def test_steps_match_a_replay(spark):
+    """Blocks of a few rows, clients of very different sizes, three steps, against plain numpy."""
+    from nightwarden.plans import training
+
+    rng, model = np.random.default_rng(2), network.model()
+    rows = [(f"c{i % 7 % 3}", i, rng.normal(size=38).tolist(), int(rng.integers(2))) for i in range(400)] + [("one", 999, [0.5] * 38, 1)]
+    df = spark.createDataFrame(rows, "client_id string, flow_no long, x array<double>, y int")
+    held = training.blocks(df, "flow_no", rows=16)
+    assert held.count() > 20
+    state = training.first_weights(held, model)
+    for _ in range(3):
+        state = training.fine_tune_step(held, state, model, rate=0.2).cache()
+    got = {r.client_id: (r.n, r.loss, np.array(r.weights)) for r in state.collect()}
+    for client in ("c0", "c1", "c2", "one"):
+        x = np.array([r[2] for r in rows if r[0] == client])
+        y = np.array([r[3] for r in rows if r[0] == client], float)
+        own = model
+        for _ in range(3):
+            step, loss = training.gradient(own, x, y)
+            own = learning.with_weights(own, learning.flat_weights(own) - 0.2 * step / len(y))
+        assert got[client][0] == len(y) and np.isclose(got[client][1], loss / len(y)) and np.allclose(got[client][2], learning.flat_weights(own))
+    # The gradient itself, by differences.
+    x, y, flat = x[:1], y[:1], learning.flat_weights(model)
+    exact = training.gradient(model, x, y)[0]
+    for at in (0, 7, 150, 304, 311, 312, 320):
+        up, down = flat.copy(), flat.copy()
+        up[at], down[at] = up[at] + 1e-6, down[at] - 1e-6
+        slope = (training.gradient(learning.with_weights(model, up), x, y)[1] - training.gradient(learning.with_weights(model, down), x, y)[1]) / 2e-6
+        assert abs(slope - exact[at]) < 1e-4
+    assert training.blocks(df.limit(0), "flow_no").count() == 0
