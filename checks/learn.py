@@ -200,8 +200,8 @@ def _after(weights: str) -> str:
 RATES = lambda p: f"avg(CASE WHEN y = 0 THEN CAST({p} >= 0.5 AS INT) END) AS recall, avg(CASE WHEN y = 1 THEN CAST({p} >= 0.5 AS INT) END) AS fp"
 # The stand-in labels say little about the flows, so one step moves both rates up; the tolerance lets some clients through.
 FP_TOLERANCE = 0.11
-LEARNING_ROUND = f"""{LABELS.replace(network.FLOW_SQL, network.SCORED)},
-ready AS (SELECT sc.*, lab.y, {HELD.replace('flow_no', 'sc.flow_no')} AS held FROM sc JOIN lab ON lab.flow_no = sc.flow_no),
+LEARNING_ROUND = f"""{LABELS},
+ready AS (SELECT *, {network.p_attack_sql()} AS p_attack, {HELD} AS held FROM lab WHERE DestinationPort NOT IN ({network.SKIP}) AND ({network.SIGNAL})),
 gate AS (SELECT client_id FROM ready GROUP BY 1 HAVING count_if(y = 0) >= {fv.MIN_TRAINING_ROWS} AND count_if(y = 1) >= {fv.MIN_TRAINING_ROWS}),
 pool AS (SELECT * FROM ready WHERE NOT held AND client_id IN (SELECT client_id FROM gate)),
 size AS (SELECT client_id, least(count_if(y = 0), count_if(y = 1)) AS k FROM pool GROUP BY 1),

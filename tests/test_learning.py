@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import network
 from nightwarden import fixed_values as fv
 from nightwarden.plans import learning
 from nightwarden.plans.network_detection import Model
