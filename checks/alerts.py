@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import host, network, views
 from checks.register import registrar
 from nightwarden import fixed_values as fv
-from nightwarden.plans import alert_store as store, host_detection, learning
+from nightwarden.plans import alert_search, alert_store as store, host_detection, learning
+from nightwarden.session import checkpoint_dir, checkpointed
 
 QUERIES, ORACLES, query = registrar()
 
@@ -101,6 +104,35 @@ for _name, (_kw, _where) in _FILTERS.items():
         lambda spark, sf_dir, kw=_kw: store.search(raw(spark, sf_dir), **kw).select("arrival", "alert_id", "client_id", "severity", "track", "rule_id"))
 
 
+def indexed_store(spark, alerts) -> str:
+    where = f"{checkpoint_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    alert_search.write_store(alerts, where)
+    return where
+
+
+# Alerts on forty days.
+SPREAD = {**views.ALERTS, "received_at": f"CAST({views.CLOCK_MS} AS DOUBLE) / 1000 + event_id % 40 * 86400"}
+for _name, (_kw, _where) in _FILTERS.items():
+    query(f"{_name}_indexed", f"WITH al AS ({views.select_sql(SPREAD, 'events')}) SELECT arrival, alert_id, client_id, severity, track, rule_id FROM al WHERE {_where}")(
+        lambda spark, sf_dir, kw=_kw: alert_search.search(spark, indexed_store(spark, views.project(views.read(spark, sf_dir, "events"), SPREAD)), **kw).select(
+            "arrival", "alert_id", "client_id", "severity", "track", "rule_id"))
+
+
+@query("paged_alerts_keyset", f"""WITH al AS ({views.select_sql(SPREAD, 'events')}), un AS (SELECT alert_id, min(received_at) AS received_at, min_by(severity, received_at) AS severity FROM al GROUP BY 1)
+SELECT alert_id, received_at FROM un WHERE severity >= 2 ORDER BY received_at DESC, alert_id LIMIT 400 OFFSET 800""")
+def paged_alerts_keyset(spark, sf_dir):
+    """The third page by key: each page starts after the last alert of the one before."""
+    alerts = views.project(views.read(spark, sf_dir, "events"), SPREAD)
+    where, after = indexed_store(spark, store.unique_alerts(alerts)), None
+    for _ in range(3):
+        page = checkpointed(alert_search.page_after(spark, where, after, 400, F.col("severity") >= 2))
+        last = page.orderBy("received_at", F.desc("alert_id")).select("received_at", "alert_id").first()
+        if last is None:
+            break
+        after = tuple(last)
+    return page.select("alert_id", "received_at")
+
+
 @query("paged_alerts", f"WITH {STORE} SELECT alert_id, received_at FROM mer WHERE severity >= 2 ORDER BY received_at DESC, alert_id LIMIT 25 OFFSET 50")
 def paged_alerts(spark, sf_dir):
     found = store.search(stored(spark, sf_dir), min_severity=2)

@@ -18,18 +18,18 @@ from nightwarden import fixed_ioc_lists, fixed_values as fv
 from nightwarden.plans import flows, host_detection
 from nightwarden.session import checkpoint_dir
 from nightwarden.sources import indicators
-from nightwarden.streaming import alert_ids, alert_stream, flow_stream, host_stream
+from nightwarden.streaming import alert_ids, alert_stream, flow_stream, host_stream, latest_table
 
 QUERIES, ORACLES, query = registrar()
 PARTS, AHEAD = 4, 1_000_000
 
 
 class Feed:
-    """The events as a stream that gets a part of them at a time, in order of their ids."""
+    """A table as a stream that gets a part of it at a time, in order of its ids."""
 
-    def __init__(self, spark, sf_dir, ahead: int = 1):
-        events = views.read(spark, sf_dir, "events")
-        self.folder = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    def __init__(self, spark, sf_dir, ahead: int = 1, table: str = "events", number: str = "event_id"):
+        events = views.read(spark, sf_dir, table).withColumnRenamed(number, "event_id")
+        self.folder = f"{checkpoint_dir(spark)}/{table}-{uuid.uuid4().hex}"
         first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
         step = (last - first) // PARTS + 1
         # Filters sink below the watermark, so among the rows ahead there must be one that passes them.
@@ -37,7 +37,7 @@ class Feed:
         far_rows = events.filter(F.col("event_id") > last - ahead).withColumn("event_id", far.cast(events.schema["event_id"].dataType))
         self.parts = [events.filter(F.col("event_id").between(low, low + step - 1)) for low in range(first, last + 1, step)] + [far_rows]
         events.limit(0).write.parquet(self.folder)
-        self.frame = spark.readStream.schema(events.schema).parquet(self.folder)
+        self.frame = spark.readStream.schema(events.schema).parquet(self.folder).withColumnRenamed("event_id", number)
 
     def given(self, run, before=lambda n: None):
         """Give the stream part after part and run it on each, restarted from its checkpoint."""
@@ -183,3 +183,23 @@ def stream_alert_ids(spark, sf_dir):
     keep = alert_ids.first_arrivals(ids)
     feed.given(lambda: host_stream.write_batches(sent, out, f"{out}-state", keep, trigger={"availableNow": True}))
     return spark.read.parquet(out).select("alert_id", "arrival", "received_at", "client_id")
+
+
+@query("stream_latest_heartbeat", f"""WITH beats AS ({views.select_sql(views.HEARTBEATS, 'orders')})
+SELECT client_id, beat, last_seen, uptime_seconds, host_track_ok FROM beats QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY last_seen DESC, beat DESC) = 1""")
+def stream_latest_heartbeat(spark, sf_dir):
+    """The newest heartbeat of every client; one batch comes twice, and batches are folded on the way."""
+    feed = Feed(spark, sf_dir, table="orders", number="o_orderkey")
+    feed.parts.pop()  # no watermark
+    beats = views.project(feed.frame, views.HEARTBEATS)
+    schema = ", ".join(f"{name} {kind}" for name, kind in beats.dtypes)
+    table = latest_table.LatestTable(spark, f"{feed.folder}-latest", schema, "client_id", ["last_seen", "beat"])
+
+    def twice(batch, batch_id):
+        table.upsert(batch, batch_id)
+        if batch_id == 1:
+            table.compact(0)
+            table.upsert(batch, batch_id)
+
+    feed.given(lambda: beats.writeStream.foreachBatch(twice).option("checkpointLocation", f"{feed.folder}-state").trigger(availableNow=True).start())
+    return table.read().select("client_id", "beat", "last_seen", "uptime_seconds", "host_track_ok")

@@ -106,3 +106,34 @@ def test_ids_of_the_whole_store(spark, tmp_path):
     ids.merge_day(dt.date(1970, 1, 1))
     ids.merge_day(dt.date(1970, 1, 1))
     assert new(late, 2) == [] and new([("c", 1.0, "c", 300)], 3) == ["c"]
+
+
+def test_indexed_search_and_pages(spark, tmp_path):
+    from nightwarden.plans import alert_search
+
+    rows = [(f"a{i:03}", float(i % 7 * 86_400 + i % 3), ["PC-1", "pc-22", "Ünit", None][i % 4], ["", "net_scan", None][i % 3], ["Port Scan", "x%y_z", "ab"][i % 3], i % 3, i % 5)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "alert_id string, received_at double, client_id string, rule_id string, attack_type string, track int, severity int")
+    path = str(tmp_path / "s")
+    alert_search.write_store(df, path)
+    alert_search.write_store(df, path)
+    ids = lambda found: sorted(r.alert_id for r in found.collect())
+    for kw in ({"rule_id": "SCAN"}, {"rule_id": "p"}, {"rule_id": "x%y"}, {"rule_id": "ort_sc"}, {"client_id": "ÜNI"}, {"client_id": "nobody"},
+               {"rule_id": "scan", "client_id": "pc", "track": 1, "min_severity": 2}, {}):
+        assert ids(alert_search.search(spark, path, **kw)) == ids(store.search(df, **kw)), kw
+    plan = alert_search.search(spark, path, rule_id="scan")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [received_day" in plan
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got, after = [], None
+    while True:
+        page = [tuple(r) for r in alert_search.page_after(spark, path, after, 25).select(*df.columns).collect()]
+        got += page
+        if not page:
+            break
+        after = (page[-1][1], page[-1][0])
+    assert got == want
+    last = alert_search.page_after(spark, path, None, 5)._jdf.queryExecution().toString()
+    assert last.count("received_day") >= 1
+    only = alert_search.page_after(spark, path, None, 50, F.col("severity") == 4)
+    assert [r.alert_id for r in only.collect()] == [r[0] for r in want if r[6] == 4]
+    alert_search.write_store(df.limit(0), str(tmp_path / "e"))
