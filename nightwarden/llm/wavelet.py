@@ -61,11 +61,11 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros = [], []
         for bit in range(width - 1, -1, -1):
-            ones = (ids >> bit & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones))
-            low = ids[~ones]
+            low = ids.take(np.flatnonzero(~ones))  # several times faster than a mask
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[ones]])
+            ids = np.concatenate([low, ids.take(np.flatnonzero(ones))])
         return cls(len(ids), planes, zeros)
 
     def _bits(self, plane: int) -> np.ndarray:
@@ -144,8 +144,8 @@ class WaveletMatrix:
         for plane in range(len(self.planes) - 1, -1, -1):
             ones, below = self._bits(plane), values
             values = np.empty_like(below)
-            values[~ones] = below[: self.zeros[plane]]
-            values[ones] = below[self.zeros[plane]:] | values.dtype.type(1 << (len(self.planes) - 1 - plane))
+            values[np.flatnonzero(~ones)] = below[: self.zeros[plane]]
+            values[np.flatnonzero(ones)] = below[self.zeros[plane]:] | values.dtype.type(1 << (len(self.planes) - 1 - plane))
         return values.astype(np.uint32)
 
 
