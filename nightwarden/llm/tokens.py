@@ -38,24 +38,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-#: The only characters of ASCII that OTHER matches.
-ASCII_OTHER = "\x1c\x1d\x1e\x1f"
-
-
-class Words(dict):
-    """Ids of words, made when first asked for; very long words are made anew each time."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.make(word)
-        if len(word) <= CACHED_CHARS:
-            self[word] = found
-        return found
-
-
 class Encoder:
     """ids(texts): for each text the little-endian unsigned 32-bit ids, as bytes."""
 
@@ -70,7 +52,8 @@ class Encoder:
                          and normal == NORMALIZERS and len(splits) == 2)
         self.special = [t["content"] for t in parts.get("added_tokens", [])]
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.words, self.units = Words(self._word), Words(self._unit)
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -79,14 +62,13 @@ class Encoder:
     def _unit(self, unit: str) -> bytes:
         letters = unit if unit.isascii() and unit.isprintable() else "".join(map(self.letters.__getitem__, unit.encode()))
         ids = [t.id for t in self.model.tokenize(letters)]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.units.__getitem__, _UNITS.findall(word)))
+        found = pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= CACHED_CHARS:
+            self.units[unit] = found
+        return found
 
     def _simple(self, text: str) -> bool:
-        other = any(c in text for c in ASCII_OTHER) if text.isascii() else OTHER.search(text)
-        return self.by_words and not other and not any(s in text for s in self.special)
+        return self.by_words and not OTHER.search(text) and not any(s in text for s in self.special)
 
     def ids(self, texts: Sequence[str | None]) -> list[bytes]:
         """NULL texts are empty. Every text is encoded whole."""
@@ -94,13 +76,22 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif self._simple(text):
-                if len(self.words) > CACHED or len(self.units) > CACHED:
-                    self.words.clear()
-                    self.units.clear()
-                out.append(b"".join(map(self.words.__getitem__, text.lower().split())))
-            else:
+                continue
+            if not self._simple(text):
                 out.append(self._whole(text))
+                continue
+            if len(self.words) > CACHED or len(self.units) > CACHED:
+                self.words.clear()
+                self.units.clear()
+            words = text.lower().split()
+            missing = set(words).difference(self.words)
+            known = self.units.get
+            for word in missing:
+                self.words[word] = b"".join([known(u) or self._unit(u) for u in _UNITS.findall(word)])
+            out.append(b"".join(map(self.words.__getitem__, words)))
+            for word in missing:
+                if len(word) > CACHED_CHARS:
+                    del self.words[word]
         return out
 
 
