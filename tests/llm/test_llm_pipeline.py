@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from nightwarden.llm.registry import vocabulary
 from test_llm_lines import corpus, plain_drops
 from test_llm_packing import water
 from test_llm_rules import measured
-from test_llm_simhash import plain_components, plain_fingerprint
+from tests_llm_plain import groups_of
 
 
 def plain_rules(rows):
@@ -34,13 +35,16 @@ def plain_lines(rows):
     return out
 
 
+def shingle_set(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def plain_near(rows):
-    prints = [plain_fingerprint(t) for _, t, _ in rows]
-    groups = plain_components([(a, b) for a in prints for b in prints if (a ^ b).bit_count() <= 3])
-    first = {}
-    for (i, _, _), fp in zip(rows, prints):
-        first[groups[fp]] = min(first.get(groups[fp], i), i)
-    return [r for r, fp in zip(rows, prints) if r[0] == first[groups[fp]]]
+    sets = [shingle_set(t) for _, t, _ in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    keep = {min(rows[i][0] for i in group) for group in groups_of(range(len(rows)), near)}
+    return [r for r in rows if r[0] in keep]
 
 
 def plain_mix(rows):
@@ -90,6 +94,13 @@ def documents():
     rows += [(110, "junk " * 60, "a"), (111, "#$% &*& |x| " * 20, "a"), (112, None, "a"), (113, "", "b"), (114, "too few words", "c")]
     rows += [(115, " ".join(draw.choices("abcdefghij", k=3)[0] + str(draw.random())[2:6] + "q" for _ in range(4000)), "c")]
     short = "alpha beta gamma delta\nepsilon zeta eta theta\niota kappa lambda mu\nnu xi omicron pi"  # lines that line dedup leaves alone
+    words = [f"word{draw.randrange(3000)}" for _ in range(400)]
+    for i in range(40):  # near copies, each with a few words of its own
+        near = list(words)
+        for at in draw.sample(range(400), 4):
+            near[at] = f"other{draw.randrange(10 ** 6)}"
+        rows.append((200 + i, " ".join(near), "b"))
+    rows.append((250, " ".join(w if i % 9 else f"far{i}" for i, w in enumerate(words)), "a"))  # too far
     rows += [(116, short, "b"), (117, short, "a"), (118, short.upper(), "c")]
     return rows
 
