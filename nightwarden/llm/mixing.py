@@ -4,9 +4,10 @@ Sources in code-point order, NULL last, weigh `weights`, repeating. Together the
 `share` times all words; a source gives `repeats` times its own words at most, and what that
 cuts off goes to the others by weight. A source's documents are first taken whole as often as
 its target holds them all. What is left is a fraction f of the source: each document draws u
-from a hash of its id, its odds u/(1-u) are divided by its inclusion odds (f/(1-f), times its
-weight if there is one), and documents are taken in rising order until the words are nearest
-to the target. Reruns agree, as the draw is a hash.
+from a hash of its id, its odds u/(1-u) are divided by its inclusion odds, and documents are taken
+in rising order until the words are nearest to the target. Inclusion odds are f/(1-f) times a weight
+by size (`size_weight`): half under 50 words, twice from 500 on, so that a mix leans to whole
+articles. Reruns agree, as the draw is a hash.
 
 The cut in that order is found with counts: two rounds of 1024 cells per source, each a
 partially aggregated sum, then the few documents of one cell in order. So a source that holds
@@ -14,7 +15,7 @@ a third of all rows is never sorted or gathered. What the cut needs is one row p
 broadcast only if Spark finds the written table small.
 
 Defined cases: a NULL or empty text has no words and takes none; a NULL source is a source of
-its own; rows that share a doc_id draw alike; a NULL id draws as a fixed value; sources
+its own; rows that share a doc_id draw alike; a row with a NULL id draws by its text; sources
 without words have target 0; other columns pass through `mixed` whatever their names are; an
 empty table gives an empty one.
 """
@@ -31,8 +32,17 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words per document."""
-    return docs.select("doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"))
+    """(doc_id, source, size, draw): words per document, and what its draw is a hash of."""
+    return docs.select("doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"), draw().alias("draw"))
+
+
+def draw() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(whole("text")))
+
+
+def size_weight() -> Column:
+    """Weight of a document's inclusion odds."""
+    return F.when(F.col("size") < 50, 0.5).when(F.col("size") < 500, 1.0).otherwise(2.0)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -62,9 +72,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def place(seed: int, weight: Column | None = None) -> Column:
-    """q / (1 + q) for the Pareto rank q of a document whose row carries `fraction`; 1 where it is 0."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double")
-    u = (draw + 0.5) / float(1 << 48)
+    """q / (1 + q) for the Pareto rank q of a document whose row carries `draw` and `fraction`; 1 where that is 0."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw"))), 1, 12), 16, 10).cast("double")
+    u = (drawn + 0.5) / float(1 << 48)
     odds = (u / (1 - u)) * (1 - F.col("fraction"))
     inclusion = F.col("fraction") * (weight if weight is not None else F.lit(1.0))
     return odds / (odds + inclusion)
@@ -111,17 +121,18 @@ def extra(seed: int, weight: Column | None = None) -> Column:
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 1) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of sizes()."""
     sized = checkpointed(sized)
-    plan = cuts(sized, checkpointed(targets(sized, weights, share, repeats)), seed)
+    plan = cuts(sized, checkpointed(targets(sized, weights, share, repeats)), seed, size_weight())
     rows = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    taken = F.col("size") * (F.col("copies") + F.when(extra(seed), 1).otherwise(0))
+    taken = F.col("size") * (F.col("copies") + F.when(extra(seed, size_weight()), 1).otherwise(0))
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 1) -> DataFrame:
     """The documents of the mix with all their columns, repeated as often as they are taken."""
     sized = checkpointed(sizes(docs))
-    plan = cuts(sized, checkpointed(targets(sized, weights, share, repeats)), seed)
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "doc_id", "source")
+    plan = cuts(sized, checkpointed(targets(sized, weights, share, repeats)), seed, size_weight())
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "doc_id", "source",
+                       F.size(words(whole("text"))).alias("size"), draw().alias("draw"))
     rows = held.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    times = F.col("copies") + F.when(extra(seed), 1).otherwise(0)
+    times = F.col("copies") + F.when(extra(seed, size_weight()), 1).otherwise(0)
     return rows.filter(times > 0).select("doc", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("doc.*")

@@ -93,7 +93,8 @@ def op2_best_fit_packing(spark, sf_dir):
 
 OP1_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS draw
   FROM documents),
 total AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -117,12 +118,13 @@ rest AS (
          CASE WHEN source_size > 0 THEN (target - copies * source_size) / source_size ELSE 0 END AS fraction FROM parts),
 drawn AS (
   SELECT doc_id, size, source_size, target, copies, rest, fraction, rest.source,
-         (('0x' || substr(md5('1:' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+         CASE WHEN size < 50 THEN 0.5::DOUBLE WHEN size < 500 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+         (('0x' || substr(md5('1:' || draw), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM sized JOIN rest ON sized.source IS NOT DISTINCT FROM rest.source),
 placed AS (
   SELECT *, (u / (1 - u)) * (1 - fraction) AS odds FROM drawn),
 ordered AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (odds + fraction), doc_id)::BIGINT AS upto FROM placed)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (odds + fraction * weight), doc_id)::BIGINT AS upto FROM placed)
 SELECT doc_id, size, source_size, target,
        (size * (copies + CASE WHEN fraction > 0 AND (2 * upto - size)::DOUBLE <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ordered

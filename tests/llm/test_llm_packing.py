@@ -143,7 +143,15 @@ def test_mix(frame, odd, empty):
 def test_place_prefers_weight(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0.3).alias("fraction"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("w"))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("draw"), F.lit(0.3).alias("fraction"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("w"))
     drawn = rows.withColumn("place", mixing.place(1, F.col("w"))).orderBy("place").limit(6000).groupBy("w").count().collect()
     share = {r["w"]: r["count"] for r in drawn}
     assert 1.3 < share[3.0] / share[1.0] < 2.6
+
+
+def test_rows_without_ids_draw_by_text_and_long_ones_more_often(frame):
+    rows = [(None, f"word{i} " * (20 if i % 2 else 600), "a") for i in range(400)] + [(i, "w " * 2000, "b") for i in range(30)]
+    mix = [r for r in mixing.mix(mixing.sizes(frame(rows))).collect() if r.doc_id is None]
+    assert abs(sum(r.taken for r in mix) - mix[0].target) <= 300 and mix[0].target % mix[0].source_size
+    extra = {n: sum(r.taken > r.size * (mix[0].target // mix[0].source_size) for r in mix if r.size == n) for n in (20, 600)}
+    assert extra[600] > 1.3 * extra[20] > 0

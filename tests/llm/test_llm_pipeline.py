@@ -61,14 +61,15 @@ def plain_mix(rows):
         left = target[s] - copies * total[s]
         fraction = left / total[s] if total[s] else 0
 
-        def place(i):
+        def place(r):
+            i, n = r[0], size(r[1])
             u = (int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
             odds = u / (1 - u) * (1 - fraction)
-            return odds / (odds + fraction)
+            return odds / (odds + fraction * (0.5 if n < 50 else 1.0 if n < 500 else 2.0))
 
         before = 0
         extra = set()
-        for r in sorted(mine, key=lambda r: (place(r[0]), r[0])) if fraction > 1e-12 else []:
+        for r in sorted(mine, key=lambda r: (place(r), r[0])) if fraction > 1e-12 else []:
             if 2 * before + size(r[1]) <= 2 * left:
                 extra.add(r[0])
             before += size(r[1])
