@@ -68,8 +68,38 @@ def test_recall_in_many_blocks(spark):
 
 
 def test_equal_hashes_are_split():
-    cuts = ann._cuts(np.zeros((1000, 2), np.int64), np.arange(1000), 4)
-    assert all((starts == 0).all() and list(ties) == [250, 500, 750] for starts, ties in cuts)
+    """Into equal parts, and into others in every tree."""
+    ties = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 1000)
+    cuts = ann._cuts(np.zeros((1000, 2), np.int64), ties, 4)
+    parts = []
+    for tree, (starts, seconds) in enumerate(cuts):
+        assert (starts == 0).all()
+        parts.append(np.searchsorted(seconds, ann._second(ties, tree), "right"))
+        assert np.bincount(parts[-1]).tolist() == [250] * 4
+    assert (parts[0] == parts[1]).mean() < 0.4
+
+
+def recall(spark, x, step, **settings):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hit, asked = found(ann.search(df, F.col("vec_id") % step == 0, **settings)), 0, range(0, len(x), step)
+    for i in asked:
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hit += len({j for j, _ in got[i]} & set(np.argsort(-scores)[:20].tolist()))
+    return hit / (20 * len(asked))
+
+
+def test_one_very_long_vector(spark):
+    x = np.random.default_rng(2).normal(size=(4000, 16))
+    x[17] *= 1000
+    assert recall(spark, x, 80, block=600, width=300) > 0.9
+
+
+def test_norms_of_every_size(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 8)) * np.exp2(rng.integers(-8, 8, (2000, 1)))
+    x[:3] = [[1e-200] * 8, [1e200] * 8, [5e-324, *[0.0] * 7]]
+    assert recall(spark, x, 100, block=300, width=150) > 0.9
 
 
 def test_recall_on_table(spark, sf_dir):
