@@ -170,7 +170,7 @@ def op7_secret_scan(spark, sf_dir):
     """Secrets in every document."""
     from nightwarden.llm import secrets
 
-    return secrets.secrets(table(spark, sf_dir, "documents"))
+    return secrets.secrets(table(spark, sf_dir, "documents"), vocabulary=vocabulary())
 
 
 @query

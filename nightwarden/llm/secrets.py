@@ -6,8 +6,13 @@ before or after it. It is compressed with zstandard, primed with a dictionary of
 and the text around it; the bytes that it adds to an empty frame, per byte that its symbols
 must cost, are its novelty. They cost their number, or less if they are few and about equally
 frequent, as in hexadecimal and base32: then what they take in random order, compressed
-without a dictionary. Names, paths and repeated tokens are found in the dictionary and add
-little; random strings of any alphabet add nearly all of themselves and are reported.
+without a dictionary. Repeated tokens and known identifiers add little; random strings of any
+alphabet add nearly all of themselves and are reported.
+
+File names, paths and names in code need more words than a compressor's dictionary holds. With a
+tokenizer's vocabulary a candidate is cut at case, digits and signs, and one whose letters lie for
+the most part in whole words of the vocabulary is a name, not a secret. So passphrases of words
+are not reported.
 
 Defined cases: NULL and empty texts have no spans; every row of the input gives one row,
 repeated rows and NULL ids included; offsets are code points, ends exclusive; other columns
@@ -22,11 +27,13 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from math import log2
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 KINDS = ("assign", "access", "hex", "novel")
 Span = tuple[str, int, int]
@@ -54,6 +61,25 @@ IDENTIFIERS = (
 ).encode()
 
 
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Letters of a word that counts, and the share of a candidate's letters that makes it a name.
+WORD_LETTERS, NAMED = 4, 0.6
+
+
+@cache
+def vocabulary_words(path: str | None) -> frozenset[str]:
+    """Whole words of a tokenizer's vocabulary, one set per worker; none without a path."""
+    if path is None:
+        return frozenset()
+    ends = (token.removesuffix("</w>") for token in Tokenizer.from_file(path).get_vocab() if token.endswith("</w>"))
+    return frozenset(w.lower() for w in ends if len(w) >= WORD_LETTERS and w.isascii() and w.isalpha())
+
+
+def is_name(candidate: str, words: frozenset[str]) -> bool:
+    parts = _PARTS.findall(candidate)
+    return sum(len(p) for p in parts if p.lower() in words) >= NAMED * max(1, sum(map(len, parts)))
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns by start, then kind."""
     spans, low = [], text.lower()
@@ -84,8 +110,8 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(primed.compress(candidate.encode())) - len(primed.compress(b""))) / symbol_cost(candidate)
 
 
-def novel_spans(text: str, base: list[Span], least: float = NOVELTY) -> list[Span]:
-    """Candidates in a sensitive context that the context does not explain, outside the patterns' spans."""
+def novel_spans(text: str, base: list[Span], least: float = NOVELTY, words: frozenset[str] = frozenset()) -> list[Span]:
+    """Candidates in a sensitive context that neither it nor words explain, outside the patterns' spans."""
     out, at = [], 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
@@ -97,6 +123,8 @@ def novel_spans(text: str, base: list[Span], least: float = NOVELTY) -> list[Spa
             at += 1
         if any(x < b and y > a for _, x, y in base[max(0, at - 2):at + 3]):
             continue
+        if words and is_name(m[0], words):
+            continue
         if novelty(m[0], text[max(0, a - AROUND):a], text[b:b + AROUND]) >= least:
             out.append(("novel", a, b))
     return out
@@ -110,20 +138,26 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 TEXTS = 256
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, TEXTS):
-            rows = batch.slice(k, TEXTS)
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            base = [base_spans(t) for t in texts]
-            spans = [sorted(b + novel_spans(t, b), key=lambda s: (s[1], KINDS.index(s[0]))) for t, b in zip(texts, base)]
-            counts = [pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64()) for kind in KINDS[:3]]
-            digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
-            yield pa.RecordBatch.from_arrays([rows.column(0), *counts, digests, pa.array(map(joined, spans), pa.string())],
-                                             names=[c.split()[0] for c in SCHEMA.split(", ")])
+def _found(vocabulary: str | None):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary_words(vocabulary)
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXTS):
+                rows = batch.slice(k, TEXTS)
+                texts = [t or "" for t in rows.column(1).to_pylist()]
+                base = [base_spans(t) for t in texts]
+                spans = [sorted(b + novel_spans(t, b, words=words), key=lambda s: (s[1], KINDS.index(s[0]))) for t, b in zip(texts, base)]
+                counts = [pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64()) for kind in KINDS[:3]]
+                digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column(0), *counts, digests, pa.array(map(joined, spans), pa.string())],
+                                                 names=[c.split()[0] for c in SCHEMA.split(", ")])
+    return found
+
 
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """Counts of the patterns' spans per kind, their digest, and all spans, per document.
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the patterns' spans per kind, their digest, and all spans, per document."""
+    `vocabulary` is the file of a tokenizer whose words tell names from secrets.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(_found, SCHEMA)
+    return rows.mapInArrow(_found(vocabulary), SCHEMA)

@@ -197,3 +197,23 @@ def test_quality_odd(odd, empty):
     assert weak_labels.classified(empty).count() == 0
     a, b = (weak_labels.classified(odd.repartition(n)).orderBy("doc_id").select("doc_id", F.round("score", 9)).collect() for n in (1, 5))
     assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+HARMLESS = ("v2_release_candidate_2019_final", "docs/reference/v3/authentication-guide2", "example/products/2021/winter-jackets-sale",
+            "id_rsa_backup_2021_server01", "HttpRequestHandlerFactory2", "customer_invoice_2023_december", "assets/images/header-background-4x")
+
+
+def test_names_are_no_secrets_and_random_keys_are():
+    """Names from outside the dictionary, and keys without a fixed first letter, each near a sensitive word."""
+    from nightwarden.llm.registry import vocabulary
+
+    draw, words = random.Random(12), secrets.vocabulary_words(vocabulary())
+    reported = lambda t: [t[a:b] for _, a, b in secrets.novel_spans(t, secrets.base_spans(t), words=words)]
+    assert sum(bool(reported(f"the auth module reads {name} first")) for name in HARMLESS) <= 1
+    found = 0
+    for n in range(200):
+        size = draw.choice((20, 24, 32, 40))
+        key = "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=size))
+        found += reported(f"our signing key is {key} for now") == [key]
+    assert found >= 190
+    assert secrets.vocabulary_words(None) == frozenset()
