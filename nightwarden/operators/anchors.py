@@ -384,7 +384,7 @@ def anchor_rows(
             chain = np.full(c.n, NO_LEAD)
             if lead:
                 renewed = c.idle[:c.n].copy()
-                renewed[1:] |= shut[:-1]
+                renewed[1:] |= shut[:-1] & (c.group[1:] == c.group[:-1])  # another key's end renews nothing
                 renewed[c.first] |= enters_lead == NO_LEAD
                 own, begin = latest(is_anchor & renewed)
                 chain = added["lead_value"] = np.where(own, c.lead[begin], enters_lead[c.group])

@@ -64,3 +64,21 @@ def test_one_key_holds_all_rows(spark, step, use_close, idle):
                              chunk_us=100_000, lead="ord", idle_us=idle, slice_rows=1000).collect()
     }
     assert got == fold(rows, 20, True, use_close, idle)
+
+
+def test_an_end_renews_no_chain_of_another_key(spark):
+    """Even keys end with a closing row; odd ones go on in the next chunk, many of them right after an even one."""
+    rows = []
+    for key in range(60):
+        late = 1 if key % 2 == 0 else 30
+        rows += [(f"k{key:02}", 0, 2 * key, False), (f"k{key:02}", late, 2 * key + 1, key % 2 == 0)]
+    df = spark.createDataFrame(rows, "key string, at long, ord long, fin boolean").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # chunks of a key apart
+    try:
+        got = {
+            (r.key, r.ord): (r.anchor_us, r.anchor_order, r.is_anchor, r.lead_value)
+            for r in anchor_rows(df, ["key"], "at", "ord", 20, bound_included=True, closes="fin", chunk_us=25, lead="ord").collect()
+        }
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == fold(rows, 20, True, True, None)
