@@ -198,7 +198,9 @@ def _totals(states: DataFrame) -> DataFrame:
 
     def spread(name: str) -> list[Column]:
         n, some = c(f"{name}_n"), c(f"{name}_n") > 0
-        return [F.when(some, c(f"{name}_{m}")).alias(f"{name}_{m}") for m in ("sum", "mean", "max", "min")] + [
+        # Sums of whole numbers are exact in any order; means met pairwise are not.
+        return [F.when(some, c(f"{name}_{m}")).alias(f"{name}_{m}") for m in ("sum", "max", "min")] + [
+            F.when(some, c(f"{name}_sum") / n).alias(f"{name}_mean"),
             F.when(n > 1, F.sqrt(c(f"{name}_m2") / (n - 1))).alias(f"{name}_std")]
 
     return states.select(

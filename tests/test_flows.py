@@ -158,3 +158,17 @@ def test_states_do_not_depend_on_slices(spark):
             assert whole and shown(features(spark, rows, bidirectional=bidirectional, chunk_us=15_000_002)) == whole
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_means_are_exact(spark):
+    """Sums of whole numbers over their count, however the packets were folded."""
+    rng, rows, expected = random.Random(3), [], {}
+    for flow in range(40):
+        at, times, payloads = 0, [], []
+        for i in range(33):
+            at += rng.randrange(1, 400_000) if i else 0
+            times.append(at)
+            payloads.append(rng.randrange(1500))
+            rows.append(packet(flow * 100 + i, f"1.1.1.{flow}", "2.2.2.2", 1, 2, at, payloads[-1]))
+        expected[f"1.1.1.{flow}"] = (times[-1] / 32, sum(payloads) / 33)
+    assert {f["Src IP"]: (f["Flow IAT Mean"], f["Fwd Pkt Len Mean"]) for f in features(spark, rows)} == expected
