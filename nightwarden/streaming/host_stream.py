@@ -190,9 +190,10 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, transform=None,
     """Write every micro-batch to its own folder; a replayed batch replaces itself.
 
     ``prepare`` runs once per batch and its result is kept while ``transform`` reads it. A
-    ``transform`` of two arguments also gets the number of the batch.
+    ``transform`` that needs two arguments also gets the number of the batch.
     """
-    numbered = transform is not None and len(inspect.signature(transform).parameters) > 1
+    numbered = transform is not None and sum(
+        p.default is p.empty for p in inspect.signature(transform).parameters.values()) > 1
 
     def write(batch: DataFrame, batch_id: int) -> None:
         prepared = (prepare(batch) if prepare else batch).persist()
