@@ -1,8 +1,9 @@
 """Training of all clients at once by synchronous data-parallel steps.
 
-A sample is written once in blocks of a few hundred rows, as arrays; a client has as many blocks
-as its rows need, so no task holds a client. In every step the blocks meet their client's weights,
-an Arrow batch of blocks gives one gradient a block, gradients are summed by position with partial
+A sample is written once in blocks of a few rows, as arrays, where its rows lie; a client has as
+many blocks as its rows need, so no task holds a client, and readers that take thousands of blocks
+at once hold some tens of megabytes. In every step the blocks meet their client's weights, an Arrow
+batch of blocks gives one gradient a client, gradients are summed by position with partial
 aggregation, and one narrow row of new weights a client is written for the next step.
 """
 
@@ -15,23 +16,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from nightwarden import fixed_values as fv
+from nightwarden.operators.anchors import changes
 from nightwarden.plans.learning import flat_weights, with_weights
 from nightwarden.plans.network_detection import Model
 from nightwarden.session import checkpointed, if_small
 
-BLOCK_ROWS = 256
+BLOCK_ROWS = 16
+#: Rows that a task holds back for fuller blocks.
+HELD_ROWS = 1 << 14
 #: Clients whose weights are sent to all tasks; a row of them is a few kilobytes.
 SMALL_CLIENTS = 20_000
 STEP_RATE = 0.1
 
 
 def blocks(sample: DataFrame, row_id: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(client_id, xs, ys): the rows of a sample with features ``x`` and class ``y`` in blocks of about ``rows``."""
-    sizes = sample.groupBy("client_id").agg(F.ceil(F.count("*") / rows).alias("_blocks"))
-    placed = sample.join(sizes, "client_id").withColumn("_block", F.pmod(F.xxhash64(row_id), F.col("_blocks")))
-    packed = placed.groupBy("client_id", "_block").agg(
-        F.collect_list(F.struct("x", F.col("y").cast("double").alias("y"))).alias("rows"))
-    return checkpointed(packed.select("client_id", F.flatten("rows.x").alias("xs"), F.col("rows.y").alias("ys")))
+    """(client_id, xs, ys): the rows of a sample with features ``x`` and class ``y`` in blocks of at most ``rows``."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("client_id").combine_chunks()
+        new = changes(table, ["client_id"])
+        at = np.arange(table.num_rows)
+        place = at - np.maximum.accumulate(np.where(new, at, 0))
+        begins = np.flatnonzero(place % rows == 0)
+        x, y = (table.column(name).combine_chunks() for name in ("x", "y"))
+        width = len(x.flatten()) // len(x)
+        ends = np.append(begins, len(x))
+        return pa.RecordBatch.from_arrays([
+            table.column("client_id").combine_chunks().take(pa.array(begins)),
+            pa.ListArray.from_arrays(pa.array(ends * width, pa.int32()), x.flatten()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), y),
+        ], ["client_id", "xs", "ys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    narrow = sample.select("client_id", "x", F.col("y").cast("double").alias("y"))
+    return checkpointed(narrow.mapInArrow(run, "client_id string, xs array<double>, ys array<double>"))
 
 
 def first_weights(blocks_: DataFrame, model: Model) -> DataFrame:
@@ -58,16 +86,19 @@ def gradient(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, fl
 
 
 def gradients(blocks_: DataFrame, weights: DataFrame, model: Model) -> DataFrame:
-    """(client_id, n, loss, gradient) of every block under its client's weights."""
+    """(client_id, n, loss, gradient) of the blocks of a batch under their client's weights."""
     width = len(model.mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for client, xs, ys, flat in zip(*batch.columns):
-                y = ys.values.to_numpy(zero_copy_only=False)
-                own = with_weights(model, flat.values.to_numpy(zero_copy_only=False))
-                out.append((client.as_py(), len(y), *gradient(own, xs.values.to_numpy(zero_copy_only=False).reshape(-1, width), y)))
+            names = batch.column(0).dictionary_encode()
+            for k, client in enumerate(names.dictionary):
+                own = batch.take(pa.array(np.flatnonzero(names.indices.to_numpy() == k)))
+                _, xs, ys, flat = own.columns
+                x, y = (c.flatten().to_numpy(zero_copy_only=False) for c in (xs, ys))
+                weights_ = with_weights(model, flat[0].values.to_numpy(zero_copy_only=False))
+                out.append((client.as_py(), len(y), *gradient(weights_, x.reshape(-1, width), y)))
             client, n, sums, loss = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(client, pa.string()), pa.array(n, pa.int64()), pa.array(loss, pa.float64()), pa.array(list(sums), pa.list_(pa.float64()))],

@@ -159,3 +159,13 @@ def test_steps_match_a_replay(spark):
         slope = (training.gradient(learning.with_weights(model, up), x, y)[1] - training.gradient(learning.with_weights(model, down), x, y)[1]) / 2e-6
         assert abs(slope - exact[at]) < 1e-4
     assert training.blocks(df.limit(0), "flow_no").count() == 0
+
+
+def test_blocks_are_bounded_and_lose_no_row(spark):
+    from nightwarden.plans import training
+
+    rows = [(f"c{i % 3}", i, [float(i)] * 38, i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "client_id string, flow_no long, x array<double>, y int").repartition(4)
+    held = training.blocks(df, "flow_no", rows=16).collect()
+    assert max(len(b.ys) for b in held) == 16 and all(len(b.xs) == 38 * len(b.ys) for b in held)
+    assert sorted((b.client_id, b.xs[38 * k], y) for b in held for k, y in enumerate(b.ys)) == sorted((c, float(i), float(y)) for c, i, _, y in rows)
