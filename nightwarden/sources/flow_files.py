@@ -39,7 +39,9 @@ COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # not inside quotes
 
 def _named(lines: DataFrame) -> DataFrame:
     """Cells of CSV lines (header, value) by the trimmed names of their file's header, as one map."""
-    cells = lambda line: F.transform(F.split(line, COMMA), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    # Looking for quotes ahead of every comma takes the square of a line's length; most lines have none.
+    quoted = lambda line: F.transform(F.split(line, COMMA), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    cells = lambda line: F.when(F.contains(line, F.lit('"')), quoted(line)).otherwise(F.transform(F.split(line, ","), lambda c: F.trim(c)))
     pairs = F.arrays_zip(cells(F.col("header")).alias("key"), cells(F.col("value")).alias("value"))
     named = F.map_from_entries(F.filter(pairs, lambda p: p["key"].isNotNull() & (p["key"] != "")))
     # Exploded, so that the columns taken from it do not each parse the line again.
