@@ -21,6 +21,8 @@ from nightwarden.schemas import MODEL_FLOWS
 from nightwarden.sources.flow_files import typed_cells
 
 PIECE_BYTES = 32 << 20
+#: Pieces of a file at most, so that a backlog makes longer tasks instead of ever more.
+MOST_PIECES = 64
 MARK_BYTES = 256
 BLOCK_BYTES = 1 << 16
 LINES = 4096
@@ -85,7 +87,8 @@ class TailReader(DataSourceStreamReader):
                 with files.open_input_file(path) as f:
                     if low > high or self._mark(f, low) != known:
                         low = 0
-            pieces += [Piece(path, at, min(at + self.piece_bytes, high), at == low) for at in range(low, high, self.piece_bytes)]
+            size = max(self.piece_bytes, -(-(high - low) // MOST_PIECES))
+            pieces += [Piece(path, at, min(at + size, high), at == low) for at in range(low, high, size)]
         return pieces
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
