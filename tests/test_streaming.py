@@ -63,6 +63,20 @@ def test_burst_merge(spark, sf_dir, tmp_path):
     assert got and got == sorted(tuple(r) for r in alert_store.ingest(alerts).select(*key).collect())
 
 
+def test_the_first_sent_of_an_id_is_kept_in_any_order(spark, sf_dir, tmp_path):
+    """An id sent twice in one batch, the later alert read first; its type names it."""
+    one = views.alerts(spark, sf_dir).limit(1).drop("alert_id", "arrival", "attack_type")
+    i = F.col("id")
+    sent = spark.range(400).select(
+        F.concat(F.lit("a"), (i / 2).cast("int").cast("string")).alias("alert_id"), i.alias("arrival"),
+        F.when(i % 2 == 0, "first").otherwise("second").alias("attack_type"), (1_704_100_000.0 + i).alias("at")).crossJoin(one)
+    sent = sent.withColumn("received_at", F.col("at")).drop("at").coalesce(1).sortWithinPartitions(F.desc("arrival"))
+    end = sent.limit(1).withColumns({"alert_id": F.lit("end"), "received_at": F.lit(1_804_100_000.0)})
+    stream = replay(spark, sent, "arrival", tmp_path, parts=1, end=end)
+    got = finish(alert_stream.merged_bursts(stream), spark, tmp_path, "bursts").collect()
+    assert {(r.attack_type, r.alert_id) for r in got} == {("first", "a0")}
+
+
 def test_lists_are_read_anew_per_batch(spark, sf_dir, tmp_path):
     events = views.host_events(spark, sf_dir).filter("event_id = 3008")
     reads = []
@@ -140,3 +154,11 @@ def test_an_open_flow_costs_the_same_with_many_packets(spark, sf_dir, tmp_path):
     assert max(updated) < 50
     (flow,) = flows.state_features(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert flow["Tot Fwd Pkts"] + flow["Tot Bwd Pkts"] == 20_013
+
+
+def test_rows_that_come_together_wait_together(spark, sf_dir, tmp_path):
+    """2,000 packets in 2,000 slices are a few entries of the state."""
+    one = views.packets(spark, sf_dir).limit(1)
+    ids = spark.range(2000)
+    sent = ids.crossJoin(one).withColumns({"seq": F.col("id"), "ts_us": F.lit(1_704_100_000_000_000) + F.col("id") * 6_000_000}).drop("id")
+    assert max(updates_per_run(spark, [sent], lambda s: flow_stream.finished_flows(s, delay="0 seconds"), tmp_path)) < 50
