@@ -8,7 +8,7 @@ from checks import alerts, network, views
 from checks.register import registrar
 from nightwarden import fixed_values as fv
 from nightwarden.plans import learning, network_detection as net, training
-from nightwarden.session import checkpointed
+from nightwarden.session import checkpointed, if_small
 
 QUERIES, ORACLES, query = registrar()
 
@@ -233,7 +233,8 @@ cells AS (SELECT client_id, n, unnest(range(len(weights))) AS place, unnest(weig
 def learning_round(spark, sf_dir):
     """Windows, labels, gates, samples, a step of training, the improvement gate, and the average of what is adopted."""
     rows = learning.with_holdout(net.scoring_rows(labelled(spark, sf_dir)), "flow_no")
-    rows = checkpointed(rows.join(learning.trainable_clients(rows).select("client_id"), "client_id", "left_semi"))
+    rows = learning.written(rows.select("client_id", "flow_no", "y", "is_holdout", "x"))
+    rows = rows.join(if_small(checkpointed(learning.trainable_clients(rows).select("client_id"))), "client_id", "left_semi")
     sample = learning.balanced(rows.filter("not is_holdout"), "flow_no")
     tuned = training.fine_tune_steps(sample, network.model(), "flow_no", steps=1, rate=0.1)
     holdout = rows.filter("is_holdout")

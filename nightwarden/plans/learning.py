@@ -12,6 +12,7 @@ from nightwarden.functions import clock
 from nightwarden.functions.numbers import or_nan
 from nightwarden.operators.sequence import previous_row
 from nightwarden.plans.network_detection import Model, scored
+from nightwarden.session import checkpointed, if_small
 
 ATTACK, BENIGN = "ATTACK", "BENIGN"
 
@@ -104,7 +105,8 @@ def windows_hit(flows: DataFrame, windows: DataFrame, grace: float = fv.LABEL_GR
     """Flows with a start, and whether it lies in an attack or a benign window.
 
     Windows up to a day are spread over fine bins, longer ones over days, so a window of years
-    is a few thousand rows.
+    is a few thousand rows. What they cover of the bins that have flows is written; if that is
+    little, it is sent to the flows, which stay where they are.
     """
     fine = 2 * grace if grace > 0 else fv.DENSITY_BIN_SECONDS
     t = F.col("FlowStartTime")
@@ -114,11 +116,14 @@ def windows_hit(flows: DataFrame, windows: DataFrame, grace: float = fv.LABEL_GR
         | F.exists(f"{label}_inside", lambda w: (t >= w["_lo"]) & (t <= w["_hi"])),
         F.lit(False))
     disjoint = _disjoint(_widened(windows, grace))
-    found = flows.filter(t.isNotNull() & ~F.isnan(t)).withColumns({"in_attack": F.lit(False), "in_benign": F.lit(False)})
+    begun = flows.filter(t.isNotNull() & ~F.isnan(t))
+    found = begun.withColumns({"in_attack": F.lit(False), "in_benign": F.lit(False)})
     long = F.col("_hi") - F.col("_lo") >= DAY
     for width, part in ((fine, disjoint.filter(~long)), (DAY, disjoint.filter(long))):
+        bins = begun.select("client_id", _bin(t, width).alias("_bin")).distinct()
+        cover = checkpointed(window_cover(part, width).join(bins, ["client_id", "_bin"], "left_semi"))
         found = (
-            found.withColumn("_bin", _bin(t, width)).join(window_cover(part, width), ["client_id", "_bin"], "left")
+            found.withColumn("_bin", _bin(t, width)).join(if_small(cover), ["client_id", "_bin"], "left")
             .withColumns({"in_attack": F.col("in_attack") | hit(ATTACK), "in_benign": F.col("in_benign") | hit(BENIGN)})
             .select(*flows.columns, "in_attack", "in_benign")
         )
@@ -151,7 +156,7 @@ def ambiguous_bins(flows: DataFrame, windows: DataFrame, grace: float = fv.LABEL
 def labelled(flows: DataFrame, windows: DataFrame, grace: float = fv.LABEL_GRACE_SECONDS,
              factor: float = fv.DENSITY_FACTOR) -> DataFrame:
     """Flows with ``y`` (0 attack, 1 benign); flows of ambiguous bursts are left out."""
-    burst = ambiguous_bins(flows, windows, grace, factor).select("client_id", "minute_bin")
+    burst = if_small(checkpointed(ambiguous_bins(flows, windows, grace, factor).select("client_id", "minute_bin")))
     attack = F.col("in_attack") & ~F.col("in_benign")
     return (
         windows_hit(flows, windows, grace)
@@ -187,25 +192,43 @@ def balanced(rows: DataFrame, row_id: str, seed: int = 1, max_rows_per_class: in
     """As many rows of each class as the client's rarer class has, drawn at random.
 
     ``max_rows_per_class`` bounds a training sample; without it no row of the sample is left
-    out. The k lowest draws are found by
-    counting per draw prefix; only the one prefix the limit falls into is ranked, so no client
-    is ever sorted as a whole.
+    out. The last draw of a class is found by counting per draw prefix and ranking the one prefix
+    that the limit falls into. It is one narrow row a class, so the sample itself is a filter: no
+    client is sorted as a whole, and no row is moved if the last draws are few.
     """
+    place, of_class = F.struct("_draw", row_id), ["client_id", "y"]
     drawn = rows.withColumn("_draw", draw(row_id, seed)).withColumn("_prefix", F.substring("_draw", 1, 4))
-    counts = drawn.groupBy("client_id", "y", "_prefix").agg(F.count("*").alias("_n"))
+    counts = checkpointed(drawn.groupBy(*of_class, "_prefix").agg(F.count("*").alias("_n")))
     of = lambda label: F.sum(F.when(F.col("y") == label, F.col("_n")).otherwise(0))
     bound = [] if max_rows_per_class is None else [F.lit(max_rows_per_class)]
     sizes = counts.groupBy("client_id").agg(F.least(of(fv.LABEL_ATTACK), of(fv.LABEL_BENIGN), *bound).alias("_k"))
-    upto = Window.partitionBy("client_id", "y").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    limits = counts.withColumn("_below", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(sizes, "client_id").select(
-        "client_id", "y", "_prefix", (F.col("_k") - F.col("_below")).alias("_room"), "_n"
-    ).filter("_room > 0")
-    placed = drawn.join(limits, ["client_id", "y", "_prefix"])
-    # Prefixes below the limit count as ranked first: their rows are spread by draw, not gathered.
-    spread = F.when(F.col("_n") <= F.col("_room"), F.col("_draw"))
-    rank = F.row_number().over(Window.partitionBy("client_id", "y", "_prefix", spread).orderBy("_draw", row_id))
-    kept = (F.col("_n") <= F.col("_room")) | (F.col("_rank") <= F.col("_room"))
-    return placed.withColumn("_rank", rank).filter(kept).select(*rows.columns)
+    upto = Window.partitionBy(*of_class).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("_k") - F.coalesce(F.sum("_n").over(upto), F.lit(0))
+    edges = counts.join(sizes, "client_id").withColumn("_room", room).filter("_room > 0").groupBy(*of_class).agg(
+        F.max(F.struct("_prefix", "_room")).alias("_edge"))
+    at_edge = drawn.join(if_small(checkpointed(edges)), of_class).filter("_prefix = _edge._prefix")
+    ranked = at_edge.select(*of_class, place.alias("_last"), F.col("_edge._room").alias("_room")).withColumn(
+        "_rank", F.rank().over(Window.partitionBy(*of_class).orderBy("_last")))
+    last = checkpointed(ranked.filter("_rank <= _room").groupBy(*of_class).agg(
+        F.max("_last").alias("_last"), F.max("_rank").alias("_rank"), F.max("_room").alias("_room"), F.count("*").alias("_n")))
+    placed = drawn.join(if_small(last), of_class)
+    if last.filter("_n > _room").isEmpty():
+        return placed.filter(place <= F.col("_last")).select(*rows.columns)
+    # Rows share the id of the last draw, so they fill what room it leaves.
+    shared = placed.filter(place == F.col("_last")).withColumn(
+        "_number", F.row_number().over(Window.partitionBy(*of_class).orderBy("_draw"))).filter("_number <= _room - _rank + 1")
+    return placed.filter(place < F.col("_last")).select(*rows.columns).union(shared.select(*rows.columns))
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Rows with a vector ``x`` by way of a table that has each of its numbers as a column of its own.
+
+    A column of one feature packs several times closer than vectors, and steps that do not read
+    ``x`` do not read its columns.
+    """
+    rest, width = [c for c in rows.columns if c != "x"], len(fv.MODEL_FEATURES)
+    table = checkpointed(rows.select(*rest, *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(width)]))
+    return table.select(*rest, F.array(*[f"x{i}" for i in range(width)]).alias("x"))
 
 
 # --- evaluation -------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Training of all clients at once by synchronous data-parallel steps.
 
-A sample is written once in blocks of a few rows, as arrays, where its rows lie; a client has as
-many blocks as its rows need, so no task holds a client, and readers that take thousands of blocks
+A sample is put into blocks of a few rows, as arrays, where its rows lie, and written if more than
+one step reads it; a client has as many blocks as its rows need, so no task holds a client, and readers that take thousands of blocks
 at once hold some tens of megabytes. In every step the blocks meet their client's weights, an Arrow
 batch of blocks gives one gradient a client, gradients are summed by position with partial
 aggregation, and one narrow row of new weights a client is written for the next step.
@@ -29,8 +29,11 @@ SMALL_CLIENTS = 20_000
 STEP_RATE = 0.1
 
 
-def blocks(sample: DataFrame, row_id: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(client_id, xs, ys): the rows of a sample with features ``x`` and class ``y`` in blocks of at most ``rows``."""
+def blocks(sample: DataFrame, row_id: str, rows: int = BLOCK_ROWS, kept: bool = True) -> DataFrame:
+    """(client_id, xs, ys): the rows of a sample with features ``x`` and class ``y`` in blocks of at most ``rows``.
+
+    They are ``kept`` in a table unless they are read only once.
+    """
 
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).sort_by("client_id").combine_chunks()
@@ -59,13 +62,14 @@ def blocks(sample: DataFrame, row_id: str, rows: int = BLOCK_ROWS) -> DataFrame:
             yield packed(held)
 
     narrow = sample.select("client_id", "x", F.col("y").cast("double").alias("y"))
-    return checkpointed(narrow.mapInArrow(run, "client_id string, xs array<double>, ys array<double>"))
+    made = narrow.mapInArrow(run, "client_id string, xs array<double>, ys array<double>")
+    return checkpointed(made) if kept else made
 
 
-def first_weights(blocks_: DataFrame, model: Model) -> DataFrame:
-    """(client_id, weights): every client starts from the same model."""
+def first_weights(sample: DataFrame, model: Model) -> DataFrame:
+    """(client_id, weights): every client of a sample, or of its blocks, starts from the same model."""
     start = F.array(*[F.lit(float(w)) for w in flat_weights(model)])
-    return checkpointed(blocks_.select("client_id").distinct().select("client_id", start.alias("weights")))
+    return checkpointed(sample.select("client_id").distinct().select("client_id", start.alias("weights")))
 
 
 def gradient(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -123,8 +127,8 @@ def fine_tune_step(blocks_: DataFrame, weights: DataFrame, model: Model, rate: f
 
 def fine_tune_steps(sample: DataFrame, model: Model, row_id: str, steps: int = fv.FINE_TUNE_EPOCHS, rate: float = STEP_RATE) -> DataFrame:
     """(client_id, n, loss, weights) after some steps from the same model; nothing bounds a client's sample."""
-    held = blocks(sample, row_id)
-    state = first_weights(held, model)
+    held = blocks(sample, row_id, kept=steps > 1)
+    state = first_weights(held if steps > 1 else sample, model)
     for _ in range(steps):
         state = checkpointed(fine_tune_step(held, state, model, rate))
     return state

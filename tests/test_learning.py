@@ -103,6 +103,26 @@ def test_balanced_takes_all_of_the_rarer_class(spark):
     assert sizes == {0: n, 1: n}
 
 
+def moves_rows(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return "hashpartitioning" in plan or "Window" in plan
+
+
+def test_labels_and_samples_leave_rows_where_they_are(spark):
+    """Wide rows meet a few windows, bursts and last draws; nothing but those is shuffled."""
+    rows = training_rows(spark)
+    assert not moves_rows(learning.balanced(rows, "row_no"))
+    flows = rows.withColumn("FlowStartTime", F.col("row_no").cast("double"))
+    windows = spark.createDataFrame([("a", 10.0, 20.0, "ATTACK"), ("b", 5.0, 900.0, "BENIGN")], WINDOWS)
+    assert not moves_rows(learning.labelled(flows, windows))
+
+
+def test_balanced_counts_rows_that_share_an_id(spark):
+    rows = spark.range(300).select(
+        F.lit(7).alias("row_no"), F.lit("a").alias("client_id"), F.when(F.col("id") < 100, 0).otherwise(1).alias("y"))
+    assert {r.y: r["count"] for r in learning.balanced(rows, "row_no").groupBy("y").count().collect()} == {0: 100, 1: 100}
+
+
 def test_gate(spark):
     schema = "client_id string, recall double, fp_rate double"
     before = spark.createDataFrame([(c, 0.9, 0.1) for c in "abcd"], schema)
