@@ -10,6 +10,7 @@ from nightwarden import fixed_values as fv
 from nightwarden.schemas import MODEL_FLOWS
 from nightwarden.sources.text_lines import numbered_lines, text_lines
 
+OPEN_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 def write_flows84(flows84: DataFrame, path: str) -> None:
     """The 84 columns with a header line; writers append files, never rewrite them."""
@@ -27,11 +28,32 @@ def read_flows84(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") if c in texts else F.col(f"`{c}`").try_cast("double").alias(c) for c in fv.FLOW_COLUMNS])
 
 
+#: Day folders a task writes at once, and the bytes it gathers for each.
+OPEN_DAYS, DAY_BYTES = 32, 8 << 20
+
+
+def write_days(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
+    """Rows with ``flow_date`` in one folder per day.
+
+    A task keeps the files of `OPEN_DAYS` days open, so rows are written as they come; only those
+    of further days are sorted by day first.
+    """
+    conf = rows.sparkSession.conf
+    before = conf.get(OPEN_WRITERS, "0")
+    conf.set(OPEN_WRITERS, str(OPEN_DAYS))
+    try:
+        writer = rows.write.mode(mode).partitionBy("flow_date").option("parquet.block.size", DAY_BYTES)
+        if mode == "overwrite":
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+        (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
+    finally:
+        conf.set(OPEN_WRITERS, before)
+
+
 def write_model_rows(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Model rows in one folder per day."""
     columns = [*[c for c in ("client_id", "flow_no") if c in rows.columns], *fv.MODEL_FEATURES, "FlowStartTime"]
-    writer = with_flow_date(rows.select(*columns)).write.mode("append").partitionBy("flow_date")
-    (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
+    write_days(with_flow_date(rows.select(*columns)), path, fmt)
 
 
 COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # not inside quotes
@@ -109,7 +131,7 @@ def archive_old(spark: SparkSession, path: str, archive: str, today: dt.date, da
     """
     rows = spark.read.parquet(path)
     old = rows.filter(F.col("flow_date") < F.lit(today - dt.timedelta(days=days)))
-    old.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("flow_date").parquet(archive)
+    write_days(old, archive, mode="overwrite")
     return retained(rows, today, days)
 
 

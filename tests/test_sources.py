@@ -105,6 +105,20 @@ def test_flow_files(spark, sf_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(flow_date" in one_day._jdf.queryExecution().toString()
 
 
+def test_day_folders_are_written_without_a_sort(spark, sf_dir, tmp_path):
+    """A sort of wide rows by day spills all of them where a task reads more than its memory holds."""
+    rows = views.flows(spark, sf_dir).filter("FlowStartTime is not null").withColumn(
+        "FlowStartTime", F.col("FlowStartTime") + F.col("flow_no") % 12 * 86400)
+    ran = spark._jsparkSession.sharedState().statusStore()
+    before = ran.executionsCount()
+    flow_files.write_model_rows(rows, str(tmp_path / "days"))
+    flow_files.archive_old(spark, str(tmp_path / "days"), str(tmp_path / "old"), dt.date(2024, 1, 12))
+    done = ran.executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(before, done.size())]
+    assert plans and not any("Sort" in p for p in plans)
+    assert spark.conf.get(flow_files.OPEN_WRITERS, "0") == "0"
+
+
 def test_incremental_csv(spark, tmp_path):
     (tmp_path / "in").mkdir()
     header = ",".join([*fv.MODEL_FEATURES, "FlowStartTime"])
