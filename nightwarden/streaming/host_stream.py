@@ -74,13 +74,14 @@ class Judge(StatefulProcessor):
             self._forget(watermark_ms)
             return
         slices, parts, gone, total, uniq, last_at, last_fired = self.figures.get() if self.figures.exists() else ([], [], 0, 0, 0, 0, -1)
-        entries, counts, changed = list(zip(slices, parts)), {}, set()
+        entries, counts, stored = list(zip(slices, parts)), {}, {}
+        empty = not entries  # nothing in the window, so nothing in the state to ask for
 
         def count(value: str, by: int) -> int:
             if value not in counts:
-                counts[value] = self.present.getValue((value,))[0] if self.present.containsKey((value,)) else 0
+                known = not empty and self.present.containsKey((value,))
+                counts[value] = stored[value] = self.present.getValue((value,))[0] if known else 0
             counts[value] += by
-            changed.add(value)
             return counts[value]
 
         events = events.sort_values(["at_us", "log_id"], ignore_index=True)
@@ -117,10 +118,10 @@ class Judge(StatefulProcessor):
                 out.append((log, now, total, uniq, record))
         for entry, held in fresh.items():
             self.judged.updateValue(entry, held)
-        for value in changed:
-            if counts[value]:
+        for value, before in stored.items():
+            if counts[value] and counts[value] != before:
                 self.present.updateValue((value,), (counts[value],))
-            elif self.present.containsKey((value,)):
+            elif before and not counts[value]:
                 self.present.removeKey((value,))
         self.figures.update(([e[0] for e in entries], [e[1] for e in entries], gone, total, uniq, last_at, last_fired))
         self.handle.registerTimer(max((last_at + 2 * self.window_us) // 1000 + 1, watermark_ms + 1))

@@ -4,15 +4,18 @@ Rows that come together wait in entries of a map in the state store: a few thous
 of time, over as many slices as they span. A passed entry is read and removed; one that the
 watermark cuts is written again with the rest. No trigger touches entries that are all later, so
 its cost follows the rows that come and go, and one entry; not the slices, and not those that wait.
+An entry is one Arrow batch in bytes, so that a row is not turned into Python objects twice on its way.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 ENTRY_ROWS = 1 << 12
+_ARROW = {"bigint": pa.int64(), "string": pa.string()}
 
 
 class Waiting:
@@ -20,7 +23,8 @@ class Waiting:
 
     def __init__(self, handle: StatefulProcessorHandle, columns: dict[str, str], time: str, slice_us: int):
         self.handle, self.columns, self.time, self.slice_us = handle, columns, time, slice_us
-        self.entries = handle.getMapState("waiting", "entry bigint", ", ".join(f"{n} array<{t}>" for n, t in columns.items()))
+        self.schema = pa.schema([(n, _ARROW[t]) for n, t in columns.items()])
+        self.entries = handle.getMapState("waiting", "entry bigint", "rows binary")
         self.pending = handle.getValueState("pending", "entries array<bigint>, firsts array<bigint>, lasts array<bigint>")
 
     def _spans(self) -> dict[int, tuple[int, int]]:
@@ -40,8 +44,12 @@ class Waiting:
             self.pending.clear()
 
     def _put(self, entry: int, rows: pd.DataFrame) -> tuple[int, int]:
-        self.entries.updateValue((entry,), tuple(
-            rows[c].astype("int64").tolist() if t == "bigint" else rows[c].tolist() for c, t in self.columns.items()))
+        whole = {c: "int64" for c, t in self.columns.items() if t == "bigint"}
+        batch = pa.RecordBatch.from_pandas(rows[list(self.columns)].astype(whole), self.schema, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, self.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_batch(batch)
+        self.entries.updateValue((entry,), (out.getvalue().to_pybytes(),))
         times = rows[self.time]
         return int(times.iloc[0]) // self.slice_us, int(times.iloc[-1]) // self.slice_us
 
@@ -64,7 +72,7 @@ class Waiting:
         for entry, (first, last) in list(spans.items()):
             if first >= end:
                 continue
-            rows = pd.DataFrame(dict(zip(self.columns, map(list, self.entries.getValue((entry,))))))
+            rows = pa.ipc.open_stream(bytes(self.entries.getValue((entry,))[0])).read_pandas()
             if last < end:
                 del spans[entry]
                 self.entries.removeKey((entry,))

@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import network, views
 from nightwarden.plans import alert_store, flows, host_detection, network_detection
 from nightwarden.sources.indicators import default_indicators
-from nightwarden.streaming import alert_stream, flow_stream, host_stream
+from nightwarden.streaming import alert_stream, flow_stream, host_stream, waiting
 
 
 def replay(spark, df, order, tmp_path, parts=3, end=None):
@@ -162,3 +163,34 @@ def test_rows_that_come_together_wait_together(spark, sf_dir, tmp_path):
     ids = spark.range(2000)
     sent = ids.crossJoin(one).withColumns({"seq": F.col("id"), "ts_us": F.lit(1_704_100_000_000_000) + F.col("id") * 6_000_000}).drop("id")
     assert max(updates_per_run(spark, [sent], lambda s: flow_stream.finished_flows(s, delay="0 seconds"), tmp_path)) < 50
+
+
+class Held(dict):
+    """A value or map state, and the handle that gives it, in memory."""
+
+    value = None
+    exists = lambda self: self.value is not None
+    updateValue = dict.__setitem__
+    getValue, removeKey = dict.get, dict.pop
+    getMapState = getValueState = lambda self, *_: Held()
+    registerTimer = lambda self, _: None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_waiting_rows_are_bytes_in_the_state():
+    columns = {"at_us": "bigint", "value": "string"}
+    waits = waiting.Waiting(Held(), columns, "at_us", 10)
+    n = waiting.ENTRY_ROWS + 5
+    waits.add([pd.DataFrame({"at_us": range(n), "value": [None if i % 3 else f"v{i}" for i in range(n)]})])
+    assert len(waits.entries) == 2 and all(isinstance(v, bytes) for (v,) in waits.entries.values())
+    early, rest = waits.passed(1), waits.passed(n)
+    assert early["at_us"].tolist() + rest["at_us"].tolist() == list(range(n)) and len(early) == 1000
+    assert rest["value"].tolist()[:3] == [None, None, "v1002"] and not waits.entries
