@@ -137,3 +137,16 @@ def test_indexed_search_and_pages(spark, tmp_path):
     only = alert_search.page_after(spark, path, None, 50, F.col("severity") == 4)
     assert [r.alert_id for r in only.collect()] == [r[0] for r in want if r[6] == 4]
     alert_search.write_store(df.limit(0), str(tmp_path / "e"))
+
+
+def test_filter_of_a_crowded_day_grows(spark, tmp_path):
+    from nightwarden.streaming import alert_ids
+
+    ids = alert_ids.AlertIds(spark, str(tmp_path), blocks=64)
+    sent = lambda first, n: spark.range(first, first + n).select(
+        F.concat(F.lit("a"), F.col("id").cast("string")).alias("alert_id"), F.lit(1_704_100_000.0).alias("received_at"))
+    ids.record(sent(0, 5000), 0)
+    ids.record(sent(5000, 10), 1)
+    filters = spark.read.schema(alert_ids.FILTERS).parquet(f"{tmp_path}/filters")
+    assert {(r.batch_id, r.blocks) for r in filters.select("batch_id", "blocks").distinct().collect()} == {(0, 512), (1, 64)}
+    assert {r.alert_id for r in ids.known(sent(4998, 20), 2).collect()} == {f"a{i}" for i in range(4998, 5010)}
