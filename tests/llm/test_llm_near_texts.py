@@ -72,3 +72,16 @@ def test_odd_and_empty(odd, empty):
     kept = [r.doc_id for r in near_texts.deduplicated(odd).collect()]
     assert sorted(kept) == [1, 4, 6, 6, 7, 8, 9, 10, 11, 12, 13, 14] and near_texts.deduplicated(odd).columns == odd.columns
     assert len(ODD) > len(kept) and near_texts.deduplicated(empty).count() == 0
+
+
+def test_links_of_large_groups(spark, monkeypatch):
+    """Links whose ends are neither nearest nor first in their group, in several blocks; one pair shares its check."""
+    monkeypatch.setattr(near_texts, "GROUP", 16)
+    draw = random.Random(8)
+    nodes = [(i, sum(1 << b for b in draw.sample(range(64), 4))) for i in range(300)] + [(300, 7), (301, 7), (302, 7)]
+    far = [(i, i + 150) for i in range(0, 150, 3)] + [(301, 302), (17, 290)]
+    classes = spark.createDataFrame([(i, c - (c >> 63 << 64), 1, 2, 3, 4, i) for i, c in nodes],
+                                    "class long, check long, f0 long, f1 long, f2 long, f3 long, text_id long")
+    true = spark.createDataFrame(far, "a long, b long")
+    monkeypatch.setattr(near_texts, "_verified", lambda docs, classes, pairs: pairs.join(true, ["a", "b"], "left_semi"))
+    assert sorted({tuple(r) for r in near_texts.links(None, classes).collect()}) == sorted(far)
