@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nightwarden import fixed_values as fv
 from nightwarden.schemas import MODEL_FLOWS
+from nightwarden.session import checkpointed, if_small
 from nightwarden.sources.text_lines import numbered_lines, text_lines
 
 OPEN_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
@@ -86,13 +87,17 @@ def read_model_csv(spark: SparkSession, path: str, extra: str = "") -> DataFrame
 
     Files may have their columns in any order, or lack some. Values that are no number are
     NULL; columns no model knows come along as text. Lines equal to the header are headers.
+    Lines stay where they are read: a file's kind of header and the kinds are sent to them.
     """
     names = [c.split()[0] for c in f"{MODEL_FLOWS}{extra}".split(", ")]
     lines = text_lines(spark, path)
-    headers = lines.groupBy("file").agg(F.min_by("value", F.struct("_split", "_read")).alias("header"))
+    firsts = lines.filter("_split = 0").groupBy("file").agg(F.min_by("value", "_read").alias("header"))
+    headers = checkpointed(firsts.withColumn("kind", F.sha2("header", 256)))
     columns = headers.select(F.explode(F.split("header", ",")).alias("c")).select(F.trim("c").alias("c")).distinct()
     rest = sorted({r.c for r in columns.collect()} - set(names) - {""})  # as many as there are column names
-    body = lines.join(headers, "file").filter((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    kinds = if_small(headers.select("kind", "header").distinct())
+    titled = lines.join(if_small(headers.select("file", "kind")), "file").join(kinds, "kind")
+    body = titled.filter((F.col("value") != F.col("header")) & (F.trim("value") != ""))
     return _model_rows(_named(body), names, rest)
 
 

@@ -60,6 +60,18 @@ def test_files_with_their_own_headers(spark, tmp_path):
     assert sorted(((r.DestinationPort, r.FlowStartTime) for r in back), key=lambda p: p[1]) == want
 
 
+def test_lines_of_flow_files_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("DestinationPort,FlowStartTime\n443,3.0\n")
+    (tmp_path / "b.csv").write_text("FlowStartTime,DestinationPort\n4.0,80\n")
+    rows = flow_files.read_model_csv(spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted((r.DestinationPort, r.FlowStartTime) for r in rows.collect()) == [(80.0, 4.0), (443.0, 3.0)]
+        assert "hashpartitioning(file" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_truth_logs_of_a_folder(spark, tmp_path):
     for client, base in (("c1", 1), ("c2", 50)):
         (tmp_path / client).mkdir()
