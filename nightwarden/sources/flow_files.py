@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from nightwarden import fixed_values as fv
 from nightwarden.schemas import MODEL_FLOWS
 from nightwarden.session import checkpointed, if_small
-from nightwarden.sources.text_lines import numbered_lines, text_lines
+from nightwarden.sources.text_lines import first_lines, numbered_lines, text_lines
 
 OPEN_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
@@ -105,17 +105,16 @@ def stream_model_csv(spark: SparkSession, path: str, schema: str = MODEL_FLOWS,
     """New files since the last trigger, each by its own header.
 
     The checkpoint remembers what was read, so a restart goes on where it stopped; producers
-    add files instead of appending lines (`flow_tail` follows files that grow). A file is read
-    whole and cut into lines.
+    add files instead of appending lines (`flow_tail` follows files that grow). Files are read in
+    splits, line by line; the task that reads a split takes the header from the file's start, so
+    the path must be one that pyarrow can open too.
     """
-    files = spark.readStream.schema("value STRING").format("text").option("wholetext", True).option(
+    found = spark.readStream.schema("value STRING").format("text").option("lineSep", "\n").option(
         "maxFilesPerTrigger", files_per_trigger).load(path)
-    lines = F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n")
-    # Header and line leave the file together, so that the file is cut once and not per line.
-    pairs = F.transform(F.array(lines), lambda ls: F.transform(
-        F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), lambda v: F.struct(F.get(ls, F.lit(0)).alias("header"), v.alias("value"))))
-    body = files.select(F.explode(F.flatten(pairs)).alias("l")).select("l.header", "l.value")
-    return typed_cells(body.filter((F.col("value") != F.col("header")) & (F.trim("value") != "")), schema)
+    line = F.regexp_replace("value", "\r$", "")
+    lines = found.select(line.alias("value"), first_lines(F.col("_metadata.file_path")).alias("first"))
+    body = lines.select("value", "first", F.regexp_replace("first", "^\ufeff", "").alias("header"))
+    return typed_cells(body.filter((F.col("value") != F.col("first")) & (F.col("value") != F.col("header")) & (F.trim("value") != "")), schema)
 
 
 def read_days(spark: SparkSession, path: str, first: dt.date, last: dt.date | None = None) -> DataFrame:

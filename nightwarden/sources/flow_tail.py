@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from nightwarden.schemas import MODEL_FLOWS
 from nightwarden.sources.flow_files import typed_cells
+from nightwarden.sources.text_lines import opened
 
 PIECE_BYTES = 32 << 20
 #: Pieces of a file at most, so that a backlog makes longer tasks instead of ever more.
@@ -28,10 +29,6 @@ BLOCK_BYTES = 1 << 16
 LINES = 4096
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 @dataclass
 class Piece(InputPartition):
     """Lines of a file that begin in [low, high); `whole` if a line begins at low for certain."""
@@ -51,7 +48,7 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """{file: [length of its whole lines, checksum of the bytes before that]}."""
-        files, folder = _opened(self.path)
+        files, folder = opened(self.path)
         out = {}
         for info in sorted(files.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)), key=lambda i: i.path):
             if info.type == pafs.FileType.File and info.path.endswith(".csv"):
@@ -77,7 +74,7 @@ class TailReader(DataSourceStreamReader):
         return zlib.crc32(f.read_at(end - low, low))
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
-        files, _ = _opened(self.path)
+        files, _ = opened(self.path)
         pieces = []
         for path, (high, mark) in end.items():
             low, known = start.get(path, (0, None))
@@ -92,7 +89,7 @@ class TailReader(DataSourceStreamReader):
         return pieces
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        files, _ = _opened(self.path)
+        files, _ = opened(self.path)
         names = ["file", "at", "header", "value"]
         with files.open_input_file(partition.path) as f:
             header = self._lines(f, 0, 1)

@@ -60,6 +60,27 @@ def test_files_with_their_own_headers(spark, tmp_path):
     assert sorted(((r.DestinationPort, r.FlowStartTime) for r in back), key=lambda p: p[1]) == want
 
 
+def test_a_large_file_is_read_in_pieces(spark, tmp_path):
+    """A stream reads a file by many tasks, each split by the header at its start; a whole file in one row does not fit."""
+    (tmp_path / "in dir").mkdir()
+    row = "{0}.5,  {1} ,more\r\n"
+    (tmp_path / "in dir" / "a b.csv").write_bytes(("\ufeffFlowStartTime, DestinationPort,note\r\n" + "".join(row.format(i, i % 7) for i in range(5000))).encode())
+    (tmp_path / "in dir" / "c.csv").write_text("DestinationPort,FlowStartTime\n9,7000.5\n\nDestinationPort,FlowStartTime\n8,7001.5")
+    (tmp_path / "in dir" / "empty.csv").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        query = (flow_files.stream_model_csv(spark, str(tmp_path / "in dir")).writeStream.format("parquet")
+                 .option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start())
+        query.awaitTermination(120)
+        batch = flow_files.read_model_csv(spark, str(tmp_path / "in dir"))
+        got = [sorted((r.FlowStartTime, r.DestinationPort) for r in rows.collect()) for rows in (spark.read.parquet(str(tmp_path / "out")), batch)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1] == [*[(i + 0.5, i % 7) for i in range(5000)], (7000.5, 9.0), (7001.5, 8.0)]
+    assert len(list((tmp_path / "out").glob("part-*"))) > 4
+
+
 def test_lines_of_flow_files_are_not_shuffled(spark, tmp_path):
     (tmp_path / "a.csv").write_text("DestinationPort,FlowStartTime\n443,3.0\n")
     (tmp_path / "b.csv").write_text("FlowStartTime,DestinationPort\n4.0,80\n")
